@@ -77,7 +77,7 @@ def id_mod(column: str, n: int) -> Column:
 
 def cut(sizes, most: int):
     """Slices (i, j) of consecutive rows whose sizes add up to at most ``most``; a larger row stands alone."""
-    i = total = 0
+    sizes, i, total = list(sizes), 0, 0
     for j, n in enumerate(sizes):
         if j > i and total + n > most:
             yield i, j
