@@ -21,6 +21,7 @@ null ones too; an empty table gives no rows; other columns are kept, but ``n_tok
 from __future__ import annotations
 
 import re
+import string
 from pathlib import Path
 
 import numpy as np
@@ -35,8 +36,11 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 #: A chunk ends at the first border that no piece crosses among so many characters, else at once.
 LOOK_AHEAD = 256
-CACHED_UNITS, CACHED_PAIRS = 200_000, 200_000
+CACHED_UNITS, CACHED_PAIRS = 300_000, 300_000
 SPACE = "▁"
+#: Numbers of pieces: ids, then code points of characters without a piece, and the beginning.
+BITS, NO_PIECE = 22, 1 << 20
+BEGIN = (1 << BITS) - 1
 CLEAN = ("", 0)  # the state of a border that no piece crosses
 
 RESULT = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
@@ -65,9 +69,25 @@ class Pieces:
         if any(a != SPACE and b == SPACE for p in self.id for a, b in zip(p, p[1:], strict=False)) or "\n" in joined:
             raise ValueError("the vocabulary has pieces across word starts or line ends")
         self.joined = joined
-        self.unit = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        self.names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        self.root: dict = {}
+        for p, i in self.id.items():
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
+        # marks that no piece joins to a letter or the like: a border between the two is never crossed
+        beside = {(a, b) for p in self.id for a, b in zip(p, p[1:], strict=False)}
+        beside |= {(b, a) for a, b in beside}
+        punctuation = set(string.punctuation)
+        joins = {a for a, b in beside if a in punctuation and b not in punctuation and b != SPACE}
+        mark, other = (re.escape("".join(sorted(x))) or "\0" for x in (punctuation - joins, joins))
+        a = f"[^{SPACE}\n{mark}{other}]"
+        self.unit = re.compile(
+            f"{SPACE}*{a}+(?=[{SPACE}\n{mark}]|$)|{SPACE}*[{mark}]+(?={a}|[{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+        )
         self.units: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.selfs: dict[str, bool] = {}
 
     def merge(self, s: str) -> list[str]:
@@ -93,50 +113,72 @@ class Pieces:
             x = self.selfs[p] = self.merge(p) == [p]
         return x
 
-    def follows(self, a: str, b: str) -> bool:
-        if not a:
-            return True
-        if (x := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > CACHED_PAIRS:
-                self.pairs.clear()
-            x = self.pairs[a, b] = self.merge(a + b) == [a, b]
+    def number(self, p: str) -> int:
+        """A piece's id; NO_PIECE + its code point for a character without one; BEGIN for ''."""
+        return self.id[p] if p in self.id else NO_PIECE + ord(p) if p else BEGIN
+
+    def name(self, t: int) -> str:
+        return self.names[t] if t < NO_PIECE else "" if t == BEGIN else chr(t - NO_PIECE)
+
+    def follows(self, key: int) -> bool:
+        """May the second of the two numbers in key follow the first."""
+        a, b = self.name(key >> BITS), self.name(key & BEGIN)
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs.clear()
+        x = self.stands(b) and (not a or (not self.stands(a + b) and self.merge(a + b) == [a, b]))
+        self.pairs[key] = x
         return x
 
-    def ids(self, p: str) -> list[int]:
-        if (i := self.id.get(p)) is not None:
-            return [i]
-        b = [self.byte_id.get(x) for x in p.encode()]
+    def ids(self, t: int) -> list[int]:
+        if t < NO_PIECE:
+            return [t]
+        b = [self.byte_id.get(x) for x in chr(t - NO_PIECE).encode()]
         return [self.unknown] if None in b else b
 
-    def chain(self, s: str, begin: int, last: str, end: int, known: list[dict] | None = None) -> dict[int, str]:
-        """For each place up to ``end`` that a path from ``begin``, after the piece ``last``, reaches: its last piece.
+    def chain(self, s: str, begin: int, last: str, end: int, known: list[list] | None = None) -> list[int]:
+        """For each place up to ``end``: the last piece of the one path from ``begin``, after the piece ``last``; or -1.
 
-        The piece is unique. known: chains over the same text; from where this one has run along with one of them for a
-        piece's length, it goes on as that one does.
+        known: chains over the same text; from where this one has run along with one of them for a piece's length, it
+        goes on as that one does.
         """
-        got = {begin: last}
-        along = {id(k): 0 for k in known or ()}
-        for p in range(begin + 1, end + 1):
-            for n in range(1, min(self.longest, p - begin) + 1):
-                before = got.get(p - n)
-                if before is None:
-                    continue
-                t = s[p - n : p]
-                if self.stands(t) and self.follows(before, t):
-                    got[p] = t
-                    break
-            for k in known or ():
-                along[id(k)] = along[id(k)] + 1 if p in got and k.get(p) == got[p] else 0
-                if along[id(k)] > self.longest:
-                    got.update({q: t for q, t in k.items() if q > p})
+        got = [-1] * (end + 1)
+        got[begin] = self.number(last)
+        along = [0] * len(known or ())
+        root, pairs, follows = self.root, self.pairs, self.follows
+        for q in range(begin, end):
+            before = got[q]
+            if before < 0:
+                continue
+            base, node, p = before << BITS, root, q
+            while p < end:
+                node = node.get(s[p])
+                p += 1
+                if node is None:
+                    if p > q + 1:
+                        break
+                    t, node = NO_PIECE + ord(s[q]), {}
+                else:
+                    t = node.get("")
+                    if t is None:
+                        if p > q + 1:
+                            continue
+                        t = NO_PIECE + ord(s[q])
+                if got[p] < 0:
+                    x = pairs.get(base | t)
+                    if x or (x is None and follows(base | t)):
+                        got[p] = t
+            for i, k in enumerate(known or ()):
+                along[i] = along[i] + 1 if k[q] == before else 0
+                if along[i] > self.longest:
+                    got[q + 1 :] = k[q + 1 :]
                     return got
         return got
 
-    def back(self, got: dict[int, str], begin: int, end: int) -> list[str]:
+    def back(self, got: list[int], begin: int, end: int) -> list[int]:
         out, p = [], end
         while p > begin:
             out.append(got[p])
-            p -= len(got[p])
+            p -= len(self.name(got[p]))
         return out[::-1]
 
     def encode_unit(self, u: str) -> bytes:
@@ -191,8 +233,9 @@ class Pieces:
 
     def exits(self, got: dict[int, str], e: int, limit: int, safe_out: bool) -> list[tuple[str, int]]:
         if safe_out:
-            return [CLEAN] if e in got else []
-        return [(got[p], p - e) for p in range(e, min(limit, e + self.longest) + 1) if p in got and p - len(got[p]) < e and got[p]]
+            return [CLEAN] if got[e] >= 0 else []
+        ends = ((p, self.name(got[p])) for p in range(e, min(limit, e + self.longest) + 1) if got[p] >= 0)
+        return [(t, p - e) for p, t in ends if t and p - len(t) < e]
 
     def transfer(self, s: str, b: int, e: int, safe_in: bool, safe_out: bool) -> dict:
         """Max-plus matrix of the chunk s[b:e]: (entry, exit) -> score of the pieces that begin in it.
@@ -204,7 +247,7 @@ class Pieces:
         inner = self._inner(s, b, e)
         out: dict = {}
         if inner is None:
-            known: list[dict] = []
+            known: list[list] = []
             for t, over in starts:
                 got = self.chain(s, b + over, t, ahead, known)
                 known.append(got)
@@ -215,14 +258,14 @@ class Pieces:
         tail = self.chain(s, g, "", ahead)
         ends = {x: self._weight(tail, g, e + x[1]) for x in self.exits(tail, e, ahead, safe_out)}
         for t, over in starts:
-            got = self.chain(s, b + over, t, f) if b + over <= f else {}
-            if f in got:
+            got = self.chain(s, b + over, t, f) if b + over <= f else None
+            if got and got[f] >= 0:
                 w = self._weight(got, b + over, f)
                 out.update({((t, over), x): w + v for x, v in ends.items()})
         return out
 
     def _weight(self, got, begin, end) -> float:
-        return float(sum(self.score.get(p, 0.0) for p in self.back(got, begin, end)))
+        return float(sum(self.score.get(self.name(p), 0.0) for p in self.back(got, begin, end)))
 
     def encode_chunk(self, s: str, b: int, e: int, entry: tuple[str, int], exit: tuple[str, int]) -> bytes:
         begin, end = b + entry[1], e + exit[1]
