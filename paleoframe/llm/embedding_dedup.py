@@ -175,8 +175,8 @@ def near_duplicates(vectors: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     )
     out = rows.join(told, ["label", "v"], "left").select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("root", "vec_id").alias("component_id"),
+        F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
