@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import string
+import struct
 from pathlib import Path
 
 import numpy as np
@@ -36,7 +37,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 #: A chunk ends at the first border that no piece crosses among so many characters, else at once.
 LOOK_AHEAD = 256
-CACHED_UNITS, CACHED_PAIRS = 300_000, 300_000
+CACHED_UNITS, CACHED_PAIRS, HEAD = 300_000, 600_000, 6
 SPACE = "▁"
 #: Numbers of pieces: ids, then code points of characters without a piece, and the beginning.
 BITS, NO_PIECE = 22, 1 << 20
@@ -73,7 +74,7 @@ class Pieces:
         self.root: dict = {}
         for p, i in self.id.items():
             node = self.root
-            for c in p:
+            for c in reversed(p):
                 node = node.setdefault(c, {})
             node[""] = i
         # marks that no piece joins to a letter or the like: a border between the two is never crossed
@@ -87,6 +88,7 @@ class Pieces:
             f"{SPACE}*{a}+(?=[{SPACE}\n{mark}]|$)|{SPACE}*[{mark}]+(?={a}|[{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
         )
         self.units: dict[str, bytes] = {}
+        self.heads: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.selfs: dict[str, bool] = {}
 
@@ -143,34 +145,37 @@ class Pieces:
         """
         got = [-1] * (end + 1)
         got[begin] = self.number(last)
+        return self._extend(s, begin, begin + 1, got, known)
+
+    def _extend(self, s: str, begin: int, first: int, got: list[int], known: list[list] | None = None) -> list[int]:
+        """Fill got from place ``first`` on. Pieces are found by their last character, in a trie of reversed pieces."""
         along = [0] * len(known or ())
         root, pairs, follows = self.root, self.pairs, self.follows
-        for q in range(begin, end):
-            before = got[q]
-            if before < 0:
-                continue
-            base, node, p = before << BITS, root, q
-            while p < end:
-                node = node.get(s[p])
-                p += 1
+        for p in range(first, len(got)):
+            node, q = root, p
+            while q > begin:
+                q -= 1
+                node = node.get(s[q])
                 if node is None:
-                    if p > q + 1:
+                    if q < p - 1:
                         break
                     t, node = NO_PIECE + ord(s[q]), {}
                 else:
                     t = node.get("")
                     if t is None:
-                        if p > q + 1:
+                        if q < p - 1:
                             continue
                         t = NO_PIECE + ord(s[q])
-                if got[p] < 0:
-                    x = pairs.get(base | t)
-                    if x or (x is None and follows(base | t)):
+                if got[q] >= 0:
+                    key = got[q] << BITS | t
+                    x = pairs.get(key)
+                    if x or (x is None and follows(key)):
                         got[p] = t
+                        break
             for i, k in enumerate(known or ()):
-                along[i] = along[i] + 1 if k[q] == before else 0
+                along[i] = along[i] + 1 if k[p] == got[p] >= 0 else 0
                 if along[i] > self.longest:
-                    got[q + 1 :] = k[q + 1 :]
+                    got[p + 1 :] = k[p + 1 :]
                     return got
         return got
 
@@ -181,11 +186,23 @@ class Pieces:
             p -= len(self.name(got[p]))
         return out[::-1]
 
+    def _pack(self, pieces: list[int]) -> bytes:
+        return np.array([i for p in pieces for i in self.ids(p)], np.int32).tobytes()
+
     def encode_unit(self, u: str) -> bytes:
         x = self.units.get(u)
         if x is None:
-            pieces = self.back(self.chain(u, 0, "", len(u)), 0, len(u))
-            x = np.array([i for p in pieces for i in self.ids(p)], np.int32).tobytes()
+            # what ends in the first characters depends on them alone
+            head = self.heads.get(u[:HEAD])
+            if head is None:
+                if len(self.heads) > CACHED_UNITS:
+                    self.heads.clear()
+                head = self.heads[u[:HEAD]] = self.chain(u, 0, "", min(HEAD, len(u)))
+            got = head
+            if len(u) > HEAD:
+                got = self._extend(u, 0, len(head), head + [-1] * (len(u) - HEAD))
+            pieces = self.back(got, 0, len(u))
+            x = struct.pack(f"<{len(pieces)}i", *pieces) if max(pieces) < NO_PIECE else self._pack(pieces)
             if len(u) <= 64:
                 self.units[u] = x
         return x
@@ -280,7 +297,7 @@ class Pieces:
                 continue
             x, t, y = part
             pieces = self.back(self.chain(s, x, t, y), x, y)
-            out.append(np.array([i for p in pieces for i in self.ids(p)], np.int32).tobytes())
+            out.append(self._pack(pieces))
         return b"".join(out)
 
     def decode(self, ids) -> str:
