@@ -89,3 +89,15 @@ def profile(wide: DataFrame, *by: str, drop_tt: bool = False) -> DataFrame:
     out = rest.select(*by, F.explode(folded).alias("x")).select(*by, "x.*").groupBy(*by, "idx").agg(*[F.max(c).alias(c) for c in names])
     top = F.max(F.greatest("scale_ct", "scale_ga")).over(Window.partitionBy(*(by or (F.lit(0),))))
     return out.withColumns({"max_all": top}).withColumns({c: F.try_divide(F.col(c), F.col("max_all")) for c in ("scale_ct", "scale_ga")})
+
+
+def damage_summary(counts: DataFrame, n_reads: DataFrame, by: str, positions: int) -> DataFrame:
+    """by, dist, n_reads and, each times n_reads: the 5' C to T rate, the 3' G to A rate, and a tenth of the sum of all
+    other substitution rates of both ends."""
+    r = substitution_rates(counts.where(F.col("dist") < positions), by)
+    ct = (F.col("end") == "5'") & (F.col("ref") == 1) & (F.col("read") == 3)
+    ga = (F.col("end") == "3'") & (F.col("ref") == 2) & (F.col("read") == 0)
+    rest = (F.col("ref") != F.col("read")) & ~ct & ~ga
+    pick = lambda x: F.sum(F.when(x, F.col("rate")).otherwise(0.0))
+    sums = r.groupBy(by, "dist").agg(pick(ct).alias("ct"), pick(ga).alias("ga"), (pick(rest) / 10).alias("other"))
+    return sums.join(n_reads, by).select(by, "dist", "n_reads", *[(F.col(c) * F.col("n_reads")).alias(c) for c in ("ct", "ga", "other")])
