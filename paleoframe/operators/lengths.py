@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..schema import LENGTH_LIMIT, MIN_LENGTH
 
-_all = Window.partitionBy(F.lit(0))  # over tables of one row a length
+def _all():
+    """Over tables of one row a length."""
+    return Window.partitionBy(F.lit(0))
 
 
 def length_histogram(reads: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def gap_filled(hist: DataFrame) -> DataFrame:
     span = hist.agg(F.min("length").alias("a"), F.max("length").alias("b")).where("a IS NOT NULL")
     every = span.select(F.explode(F.sequence("a", "b")).alias("length"))
     full = every.join(hist, "length", "left").select("length", F.coalesce("n", F.lit(0)).alias("n"))
-    return full.withColumn("freq", F.col("n") / F.sum("n").over(_all))
+    return full.withColumn("freq", F.col("n") / F.sum("n").over(_all()))
 
 
 def shortest(reads: DataFrame) -> DataFrame:
@@ -32,12 +34,12 @@ def shortest(reads: DataFrame) -> DataFrame:
 def normalised(weights: DataFrame, limit: int = LENGTH_LIMIT) -> DataFrame:
     """length, freq of (length, weight) rows under the limit; they add up to one."""
     kept = weights.where(F.col("length") < limit)
-    return kept.select("length", (F.col("weight") / F.sum("weight").over(_all)).alias("freq"))
+    return kept.select("length", (F.col("weight") / F.sum("weight").over(_all())).alias("freq"))
 
 
 def normalised_by_all(weights: DataFrame, limit: int = LENGTH_LIMIT) -> DataFrame:
     """length, freq of the lengths in (0, limit), as shares of all lengths."""
-    shares = weights.select("length", (F.col("weight") / F.sum("weight").over(_all)).alias("freq"))
+    shares = weights.select("length", (F.col("weight") / F.sum("weight").over(_all())).alias("freq"))
     return shares.where((F.col("length") > 0) & (F.col("length") < limit))
 
 

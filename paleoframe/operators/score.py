@@ -61,22 +61,22 @@ def weights(x: tuple, length: int, tol: float, damage: bool) -> Weights:
                 w, last = nu / D[a, b], (1 - nu) / D[a, b] if b <= first else 0.0
                 used = (N - a) * w + max(0, first - b) * w + last
                 both[a, b] = dp[a, b] * np.array([w, last, 1 - used])
-        for b in range(N + 1, L - 1 - a):  # a long overhang on the other side, of any place that is left
-            total += dp[a, b] + dp[b, a]
-            if dp[a, b] >= tol:
-                w, used = nu / D[a, b], 0.0
-                for nick in range(a, min(N - 1, L - b - 1) + 1):
-                    v = (1 - nu) / D[a, b] if damage and nick == L - b - 1 else w
-                    left[a, nick] += dp[a, b] * v
-                    used += v
-                left_rest[a] += dp[a, b] * (1 - used)
-            if dp[b, a] > tol:
-                w, used = nu / D[b, a], 0.0
-                for m in range(a, min(N, L - 1 - b) + 1):
-                    v = (1 - nu) / D[b, a] if m == a else w
-                    right[a, m] += dp[b, a] * v
-                    used += v
-                right_rest[a] += dp[b, a] * (1 - used)
+        far = np.arange(N + 1, L - 1 - a)  # a long overhang on the other side, of any place that is left
+        total += dp[a, far].sum() + dp[far, a].sum()
+        for weight, ok, table, rest, places in (
+            (dp[a, far], dp[a, far] >= tol, left, left_rest, range(a, N)),
+            (dp[far, a], dp[far, a] > tol, right, right_rest, range(a, N + 1)),
+        ):
+            w, last, used = nu / D[a, far], (1 - nu) / D[a, far], np.zeros(len(far))
+            for k in places:  # of the nick, from the end with the short overhang
+                if table is right:
+                    at_end = np.full(len(far), k == a)
+                else:
+                    at_end = (k == L - far - 1) & damage
+                v = np.where(k <= L - far - 1, np.where(at_end, last, w), 0.0)
+                table[a, k] = (weight * v)[ok].sum()
+                used += v
+            rest[a] = (weight * (1 - used))[ok].sum()
     return Weights(both, left, left_rest, right, right_rest, 1 - total if 1 - total > tol else 0.0)
 
 
