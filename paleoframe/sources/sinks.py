@@ -64,6 +64,55 @@ def bdamage_bytes(groups: Iterable[tuple[int, int, list, list]], positions: int
     return b"".join(out)
 
 
+def damage_groups(counts: DataFrame, by: str, n_reads: DataFrame) -> DataFrame:
+    """by, n_reads, fw, bw: the counts of each group as 15 x 16 numbers an end, in order of distance and cell."""
+    at = F.col("dist") * 16 + F.col("ref") * 4 + F.col("read")
+    cell = F.map_from_entries(F.collect_list(F.when(F.col("end") == F.col("_side"), F.struct(at.alias("k"), F.col("n").cast("double").alias("v")))))
+    sides = {}
+    for name, end in (("fw", "5'"), ("bw", "3'")):
+        own = counts.withColumn("_side", F.lit(end)).groupBy(by).agg(cell.alias("m"))
+        full = F.transform(F.sequence(F.lit(0), F.lit(16 * POSITIONS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+        sides[name] = own.select(by, full.alias(name))
+    return n_reads.join(sides["fw"], by).join(sides["bw"], by)
+
+
+def write_bdamage(groups: DataFrame, by: str, path: str) -> None:
+    """A gzip file in the format of read_bdamage. groups: of damage_groups, one row a taxon, streamed to the driver."""
+    import gzip
+
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    fs, name = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+    with fs.open_output_stream(name, compression=None) as f, gzip.GzipFile(fileobj=f, mode="wb") as z:
+        z.write(struct.pack("<i", POSITIONS))
+        for r in groups.where("n_reads > 0").orderBy(by).toLocalIterator():
+            z.write(bdamage_bytes([(r[by], r["n_reads"], r["fw"], r["bw"])])[4:])
+
+
+def group_lines(groups: DataFrame, by: str) -> DataFrame:
+    """A text line a group: its key, its reads and 2 x 15 x 16 numbers."""
+    return groups.select(F.concat_ws("\t", F.col(by).cast("string"), F.col("n_reads").cast("string"), *[F.array_join(F.transform(c, lambda v: F.format_string("%f", v)), "\t") for c in ("fw", "bw")]).alias("value"))
+
+
+def rate_lines(rates: DataFrame) -> DataFrame:
+    """line, text: the twelve substitution rates of each position, 5' end first."""
+    cells = [(a, b) for a in range(4) for b in range(4) if a != b]
+    pick = lambda a, b: F.coalesce(F.sum(F.when((F.col("ref") == a) & (F.col("read") == b), F.col("rate"))), F.lit(0.0))
+    wide = rates.groupBy("end", "dist").agg(*[pick(a, b).alias(f"c{a}{b}") for a, b in cells])
+    line = F.when(F.col("end") == "5'", F.col("dist")).otherwise(F.col("dist") + POSITIONS).cast("int")
+    return wide.select(line.alias("line"), F.concat_ws("\t", *[F.format_string("%f", f"c{a}{b}") for a, b in cells]).alias("text"))
+
+
+def report(profile_rows, fit, mixture=None) -> str:
+    """What a run tells its user: the first five rates of each end, parameters, and the length mixture if there is one."""
+    rows = {r["idx"]: r for r in profile_rows}
+    number = lambda v: "nan" if v is None else f"{v:f}"
+    out = ["5' C>T: " + " ".join(number(rows[i]["freq_ct"]) for i in range(5)), "3' G>A: " + " ".join(number(rows[i]["freq_ga"]) for i in range(5)), fit_line(fit)]
+    if mixture is not None:
+        out.append("\t".join(f"{k}: {v}" for k, v in mixture.row().items()))
+    return "\n".join(out)
+
+
 def write_reads(scored: DataFrame, path: str) -> None:
     """Scored reads with their float columns, as Parquet."""
     scored.write.mode("overwrite").parquet(path)

@@ -124,3 +124,18 @@ def test_fasta_and_whole_run(spark, tmp_path):
     got = scored.collect()
     assert len(got) == 400 and all(0 <= r.AN <= 1 and 0 <= r.AO <= 1 and 0 <= r.PD <= 1 for r in got)
     assert fitted.fit.x[2] > 0.3 and sum(r.AO for r in got) / 400 > 0.6
+
+
+def test_damage_files_by_group(spark, tmp_path):
+    rows = [(7, "5'", 0, 1, 3, 4), (7, "5'", 0, 1, 1, 6), (7, "3'", 14, 2, 0, 5), (8, "3'", 1, 0, 0, 2)]
+    counts = spark.createDataFrame(rows, "taxid int, end string, dist int, ref int, read int, n long")
+    n = spark.createDataFrame([(7, 3), (8, 1), (9, 0)], "taxid int, n_reads int")
+    groups = sinks.damage_groups(counts, "taxid", n)
+    sinks.write_bdamage(groups, "taxid", str(tmp_path / "d.gz"))
+    back = tables.bdamage_counts(tables.read_bdamage(spark, str(tmp_path / "d.gz"))).where("n > 0")
+    assert sorted((r.taxid, r.end, r.dist, r.ref, r.read, int(r.n)) for r in back.collect()) == sorted(rows)
+    assert {len(r.value.split("\t")) for r in sinks.group_lines(groups, "taxid").collect()} == {2 + 2 * 240}
+    from paleoframe.operators.profile import substitution_rates
+
+    lines = {r.line: r.text.split("\t") for r in sinks.rate_lines(substitution_rates(counts.where("taxid = 7").drop("taxid"))).collect()}
+    assert lines[0][5] == "0.400000" and lines[29][6] == "1.000000"
