@@ -49,16 +49,28 @@ def end_bases(aligned: DataFrame, keep: tuple[str, ...] = ("read_id",), position
 
     Only end positions are exploded, at most twice ``positions`` rows a read.
     """
+    rows = aligned.where("length > 0").select(*keep, "flag", "length", "ref", "read", "qual", end_cycles(positions).alias("cycle"))
+    at = F.col("cycle") + 1
+    rows = rows.withColumns({c: F.element_at(c, at) for c in ("ref", "read", "qual")})
+    return orient(rows, keep, min_quality)
+
+
+def end_cycles(positions: int = POSITIONS) -> Column:
+    """Explodes the places of a read that are near an end."""
     n = F.col("length")
     head = F.sequence(F.lit(0), F.least(F.lit(positions), n) - 1)
     tail = F.when(n > positions, F.sequence(F.greatest(F.lit(positions), n - positions), n - 1)).otherwise(F.array().cast("array<int>"))
-    rows = aligned.where("length > 0").select(*keep, "flag", "length", "ref", "read", "qual", F.explode(F.concat(head, tail)).alias("cycle"))
-    at = F.col("cycle") + 1
+    return F.explode(F.concat(head, tail))
+
+
+def orient(rows: DataFrame, keep: tuple[str, ...] = ("read_id",), min_quality: int | None = None) -> DataFrame:
+    """From one row a base (flag, length, cycle, ref, read, qual in the order of the reference) to dist5, dist3 and codes
+    as they are on the molecule."""
     d5, d3 = distances("cycle", "length", "flag")
     rev = is_reverse("flag")
-    one = lambda c: F.when(rev, complement(F.element_at(c, at))).otherwise(F.element_at(c, at))
+    one = lambda c: F.when(rev, complement(c)).otherwise(F.col(c))
     out = rows.select(
-        *keep, d5.cast("int").alias("dist5"), d3.cast("int").alias("dist3"), one("ref").alias("ref"), one("read").alias("read"), F.element_at("qual", at).alias("qual")
+        *keep, d5.cast("int").alias("dist5"), d3.cast("int").alias("dist3"), one("ref").alias("ref"), one("read").alias("read"), "qual"
     ).where("ref < 4 AND read < 4")
     return out.where(F.col("qual") >= min_quality) if min_quality else out
 

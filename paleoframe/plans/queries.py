@@ -43,7 +43,7 @@ def aligned(spark, d):
 
 
 def base_rows(spark, d, *keep):
-    return OR.end_bases(aligned(spark, d), ("read_id", *keep))
+    return OR.orient(D.stored_bases(reads(spark, d), *keep), ("read_id", *keep))
 
 
 def counts(spark, d, *by):
@@ -143,7 +143,7 @@ def length_dist_rlens_style(spark, d):
 
 @query(_CTE + "SELECT read_id, dist5, dist3, ref, read, qual FROM bases")
 def base_orient(spark, d):
-    return base_rows(spark, d)
+    return OR.end_bases(aligned(spark, d))
 
 
 @query(_CTE + "SELECT CASE WHEN read < 4 THEN 3 - read ELSE 4 END AS code, substr('ACGTN', 1 + CASE WHEN read < 4 THEN 3 - read ELSE 4 END, 1) AS letter, count(*) AS n FROM bases GROUP BY ALL")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import complement
+from ..operators.reads import end_cycles
 
 #: Columns of a read from an id e; c is the cycle from the molecule's 5' end.
 READ = {
@@ -60,6 +61,17 @@ def with_bases(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ref": own(ref), "read": own(read), "qual": F.transform(stored, qual)})
 
 
+def stored_bases(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row for each base near an end, as with_bases stores them: keep, flag, length, cycle, ref, read, qual."""
+    rev = F.col("flag").bitwiseAND(F.lit(16)) != 0
+    out = rows.select("read_id", *[k for k in keep if k != "read_id"], "flag", "length", end_cycles().alias("cycle"))
+    own = F.when(rev, F.col("length") - 1 - F.col("cycle")).otherwise(F.col("cycle")).cast("long")
+    out = out.withColumns({"e": F.col("read_id"), "n": F.col("length").cast("long"), "c": own})
+    out = out.withColumns({"r": F.expr(REF), "h": F.expr(HASH), "qual": F.expr(QUAL)}).withColumn("a", F.expr(READ_BASE))
+    flip = lambda c: F.when(rev, complement(c)).otherwise(F.col(c)).cast("int")
+    return out.withColumns({"ref": flip("r"), "read": flip("a")}).drop("e", "n", "c", "r", "h", "a")
+
+
 READS_SQL = "SELECT " + ", ".join(f"{x} AS {c}" for c, x in READ.items()) + " FROM (SELECT event_id AS e, user_id FROM events)"
 ELIGIBLE_SQL = "SELECT * FROM reads WHERE flag & 1 = 0 AND flag <= 256 AND length >= 30 AND length < 150"
 #: Per end base, from the 5' end: dist5, dist3, ref, read, qual.
