@@ -51,16 +51,14 @@ def weights(x: tuple, length: int, tol: float, damage: bool) -> Weights:
     p[0] += 0.5
     dp = 4 * p[:, None] * p[None, :] / (3 + (1 - q - (L - 1) * lam * q) / (1 - q) ** 2)
     D = 1 + (L - over[:, None] - over[None, :] - 2) * nu
-    both = np.zeros((N + 1, N + 1, 3))
+    k = np.arange(N + 1)
+    near, w, last = dp[: N + 1, : N + 1], nu / D[: N + 1, : N + 1], (1 - nu) / D[: N + 1, : N + 1] * (k <= first)
+    used = (N - k[:, None]) * w + np.maximum(0, first - k) * w + last
+    both = np.where(near > tol, near, 0.0)[..., None] * np.stack([w, last, 1 - used], 2)
     left, left_rest = np.zeros((N + 1, N)), np.zeros(N + 1)
     right, right_rest = np.zeros((N + 1, N + 1)), np.zeros(N + 1)
     total = dp[: N + 1, : N + 1].sum()
     for a in range(N + 1):
-        for b in range(N + 1):
-            if dp[a, b] > tol:
-                w, last = nu / D[a, b], (1 - nu) / D[a, b] if b <= first else 0.0
-                used = (N - a) * w + max(0, first - b) * w + last
-                both[a, b] = dp[a, b] * np.array([w, last, 1 - used])
         far = np.arange(N + 1, L - 1 - a)  # a long overhang on the other side, of any place that is left
         total += dp[a, far].sum() + dp[far, a].sum()
         for weight, ok, table, rest, places in (

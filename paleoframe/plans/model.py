@@ -51,6 +51,8 @@ def _behind_nick(lam: float, nu: float, length: np.ndarray, n: np.ndarray):
     dc = np.where(_K == 0, 1.0, (1 - lam) ** _K - _K * lam * (1 - lam) ** np.maximum(_K - 1, 0))
     w = (c[:, None] * c[None, :] * _pair)[None, None]
     dw = ((dc[:, None] * c[None, :] + c[:, None] * dc[None, :]) * _pair)[None, None]
+    if length.min(initial=np.inf) >= 2 * POSITIONS and n.max() < POSITIONS:
+        return _behind_nick_long(w[0, 0].ravel(), dw[0, 0].ravel(), nu, length, n)
     L, m = length[None, :, None, None], n[:, None, None, None]
     rest = 1 + (L - 2 - _l - _r) * nu
     out = []
@@ -60,6 +62,25 @@ def _behind_nick(lam: float, nu: float, length: np.ndarray, n: np.ndarray):
     return out
 
 
+_sum_of = ((_l + _r).ravel()[:, None] == np.arange(2 * POSITIONS + 1)[None, :]).astype(float)
+
+
+def _behind_nick_long(w, dw, nu: float, length: np.ndarray, n: np.ndarray):
+    """_behind_nick where no overhang reaches the other end: the weights depend on n and l + r alone, so what is summed
+    for each length has one term for each l + r."""
+    l, r, m = _l.ravel()[None, :], _r.ravel()[None, :], n[:, None]
+    left, right, right_l = np.where(l <= m, m - l, 0.0), (r <= m).astype(float), np.where(r <= m, l, 0.0)
+    rest = 1 + (length[None, :] - 2 - np.arange(2 * POSITIONS + 1)[:, None]) * nu  # [l + r, length]
+    keep = np.arange(2 * POSITIONS + 1)[:, None] <= POSITIONS
+    g, g_nu = np.where(keep, nu / rest, 0.0), np.where(keep, 1 / rest**2, 0.0)
+    far = length[None, :] - m - 1
+    out: list = [[], []]
+    for v, k in ((w, g), (dw, g), (w, g_nu)):
+        out[0].append((left * v) @ _sum_of @ k / 4)
+        out[1].append((far * ((right * v) @ _sum_of @ k) - (right_l * v) @ _sum_of @ k) / 4)
+    return out
+
+
 def rates(x, model: str, length: np.ndarray, n: np.ndarray = np.arange(POSITIONS), grad: bool = False):
     """C-to-T and G-to-A rates [signal, n, length]: CT at 5', GA at 3', CT at 3', GA at 5'. With grad: also their
     derivatives [parameter, signal, n, length]."""
