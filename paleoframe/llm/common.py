@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bucketed(df: DataFrame, column: str, what: str) -> DataFrame:
+    """``df``, which is dealt out by ``column`` already, as a table in as many buckets as a shuffle has partitions: joins
+    on the column then move only the other side."""
+    spark = df.sparkSession
+    path, name = fresh(spark, what), f"paleoframe_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name only: the table is an external one
+    out.written_path = path
+    release(spark)
     return out
 
 

@@ -136,8 +136,8 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(start[new]), pa.array(size)], ["doc", "start", "size"])
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """doc, text, anchors: the texts with repeated anchors, and these."""
+def _anchors(texts: DataFrame) -> DataFrame:
+    """doc, anchors: the texts with repeated anchors."""
 
     def run(batches):
         for batch in batches:
@@ -153,9 +153,9 @@ def _candidates(texts: DataFrame) -> DataFrame:
 
     anchors = texts.mapInArrow(run, "doc long, h long, n byte")
     repeated = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    own = anchors.select("doc", "h").join(repeated, "h").groupBy("doc").agg(F.collect_set("h").alias("anchors"))
-    own = common.written(own, "substring-anchors")
-    return common.written(texts.join(own, "doc"), "substring-candidates")
+    # which side is small depends on the corpus: merged at any size, and split by Spark where an anchor is very common
+    own = anchors.select("doc", "h").join(repeated.hint("merge"), "h").groupBy("doc").agg(F.collect_set("h").alias("anchors"))
+    return common.written(own, "substring-anchors")
 
 
 def _contexts(candidates: DataFrame) -> DataFrame:
@@ -267,16 +267,21 @@ def repeats(docs: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> tuple[Data
         marked.join(first, "sha", "left").select("doc", "sha", "n_bytes", F.coalesce(F.col("doc") > F.col("rep"), F.lit(False)).alias("whole")),
         "substring-rows",
     )
-    copies = common.written(marked.where("whole").select("doc", "sha").distinct(), "substring-copies")
-    texts = rows.where(F.length("text") >= LENGTH)
-    # the copies' hash is compared too: another text may have the same id
-    texts = texts.withColumn("sha", F.sha2("text", 256)).join(copies, ["doc", "sha"], "left_anti").drop("sha")
-    candidates = _candidates(texts)
-    firsts = (
-        _first_occurrences(_contexts(candidates), group_contexts)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the texts move once, to buckets by id; the hash of a copy counts too, as another text may have the same id
+    copies = marked.where("whole").groupBy("doc").agg(F.collect_set("sha").alias("gone"))
+    texts = rows.where(F.length("text") >= LENGTH).repartition(n, "doc").join(copies.hint("merge"), "doc", "left")
+    texts = texts.where("gone IS NULL OR NOT array_contains(gone, sha2(text, 256))").select("doc", "text")
+    texts = common.bucketed(texts, "doc", "substring-distinct")
+    candidates = texts.join(_anchors(texts).hint("merge"), "doc")
+    found = _contexts(candidates)
+    firsts = common.written(
+        _first_occurrences(found, group_contexts)
         .groupBy("doc")
-        .agg(F.collect_list(F.struct("start", "size")).alias("firsts"))
+        .agg(F.collect_list(F.struct("start", "size")).alias("firsts")),
+        "substring-firsts",
     )
+    common.drop_written(found)
 
     def run(batches):
         names = ["doc", "sha", "kept", "n_removed", "n_spans", "spans"]
@@ -298,7 +303,7 @@ def repeats(docs: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> tuple[Data
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
     changed = (
-        candidates.join(firsts, "doc", "left")
+        candidates.join(firsts.hint("merge"), "doc", "left")
         .select("doc", "text", "anchors", "firsts")
         .mapInArrow(run, "doc long, sha string, kept binary, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>")
     )
