@@ -322,6 +322,14 @@ def deam_rate_cube_nb(spark, d):
 _CELL_TERMS = (("ct5", "i", "i", "ct"), ("ga3", "29 - i", "i", "ga"), ("ct3", "29 - i", "29 - i", "ct"), ("ga5", "i", "29 - i", "ga"))
 
 
+def _log(p: str) -> str:
+    """The logarithm of a probability; an impossible cell weighs nothing."""
+    return f"CASE WHEN {p} > 0 THEN ln({p}) ELSE 0 END"
+
+
+_TERM = f"w * y * {_log('(f * (1 - s) + (1 - f) * s / 3)')} + w * (1 - y) * {_log('((1 - f) * (1 - s) + f * s / 3)')}"
+
+
 def _full_sql(model: str) -> str:
     parts = "\n  UNION ALL ".join(
         f"SELECT {c} * {1 - EPS}::DOUBLE AS f, e.seq_err AS s, q.scale_{k} AS w, q.freq_{k} AS y FROM avg_rates JOIN prof e ON e.idx = {err} JOIN prof q ON q.idx = {at}"
@@ -331,7 +339,7 @@ def _full_sql(model: str) -> str:
         _CTE + _WIDE + _PROFILE + _HIST + ", " + _cube_sql(model) + f""", freq AS (SELECT length, n / (SELECT CAST(sum(n) AS DOUBLE) FROM hist) AS f FROM hist)
 , avg_rates AS (SELECT n AS i, {", ".join(f"sum({c} * f) AS {c}" for c in _RATES)} FROM cube JOIN freq ON len = length GROUP BY n)
 , terms AS ({parts})
-SELECT round(-sum(w * y * ln(f * (1 - s) + (1 - f) * s / 3) + w * (1 - y) * ln((1 - f) * (1 - s) + f * s / 3)), 6) AS llh FROM terms"""
+SELECT round(-sum({_TERM}), 6) AS llh FROM terms"""
     )
 
 
@@ -351,8 +359,7 @@ def _full(spark, d, model):
     t = t.join(e, "err").join(q, "at").withColumns(
         {"w": F.when(is_ct, F.col("scale_ct")).otherwise(F.col("scale_ga")), "y": F.when(is_ct, F.col("freq_ct")).otherwise(F.col("freq_ga"))}
     )
-    term = F.expr("w * y * ln(f * (1 - s) + (1 - f) * s / 3) + w * (1 - y) * ln((1 - f) * (1 - s) + f * s / 3)")
-    return t.agg(F.round(-F.sum(term), 6).alias("llh"))
+    return t.agg(F.round(-F.sum(F.expr(_TERM)), 6).alias("llh"))
 
 
 @query(_full_sql("b"))
