@@ -27,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 #: A chunk ends at the first border that no piece crosses among so many characters, else at once.
 LOOK_AHEAD = 256
-CACHED_UNITS, CACHED_PAIRS, HEAD = 300_000, 600_000, 6
+CACHED_UNITS, CACHED_HEADS, CACHED_PAIRS, HEAD = 600_000, 250_000, 600_000, 6
 SPACE = "▁"
 #: Numbers of pieces: ids, then code points of characters without a piece, and the beginning.
 BITS, NO_PIECE = 22, 1 << 20
@@ -195,7 +196,7 @@ class Pieces:
             # what ends in the first characters depends on them alone
             head = self.heads.get(u[:HEAD])
             if head is None:
-                if len(self.heads) > CACHED_UNITS:
+                if len(self.heads) > CACHED_HEADS:
                     self.heads.clear()
                 head = self.heads[u[:HEAD]] = self.chain(u, 0, "", min(HEAD, len(u)))
             got = head
@@ -300,9 +301,12 @@ class Pieces:
             out.append(self._pack(pieces))
         return b"".join(out)
 
+    def plain(self, text: bytes) -> str:
+        """The text of joined pieces, without the space put in front."""
+        return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
+
     def decode(self, ids) -> str:
-        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.plain(b"".join(map(self.text.__getitem__, ids)))
 
 
 def compose(a: dict, b: dict) -> dict:
@@ -461,16 +465,24 @@ def _encode_long(docs: DataFrame, model: bytes, chunk_chars: int, names: list[st
 
 
 def decode(rows: DataFrame, model_path: str = MODEL_PATH, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text of the pieces in ``ids`` instead of them."""
+    """``rows`` with the text of the pieces in ``ids`` as column ``out``."""
     common.tune(rows.sparkSession)
     model = Path(model_path).read_bytes()
-    names = [c for c in rows.columns if c not in (ids, out)]
+    names = [c for c in rows.columns if c != out]
     schema = T.StructType([rows.schema[c] for c in names] + [T.StructField(out, T.StringType())])
 
     def run(batches):
         p = _pieces(model)
+        sizes = np.array([len(b) for b in p.text], np.int64)
         for batch in batches:
-            texts = [p.decode(x.values.to_pylist() if x.is_valid else ()) for x in batch.column(ids)]
+            lists = batch.column(ids)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            texts = []
+            for i, j in common.cut(counts, 1 << 20):
+                flat = lists.slice(i, j - i).flatten().to_numpy()
+                line = b"".join(map(p.text.__getitem__, flat.tolist()))
+                edge = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum(counts[i:j])])].tolist()
+                texts += [p.plain(line[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, out])
 
     return rows.mapInArrow(run, schema)
@@ -479,8 +491,8 @@ def decode(rows: DataFrame, model_path: str = MODEL_PATH, ids: str = "token_ids"
 def op4_sentencepiece(spark, sf_dir):
     """Ids of every text and whether they decode to it."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    done = encode(docs).select("doc_id", "n_tokens", "token_ids", F.sha2("text", 256).alias("sha"), F.col("token_ids").alias("x"))
-    return decode(done, ids="x").select("doc_id", "n_tokens", "token_ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
+    done = encode(docs).select("doc_id", "n_tokens", "token_ids", F.sha2("text", 256).alias("sha"))
+    return decode(done).select("doc_id", "n_tokens", "token_ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 
 def stage_pieces(spark, docs, sf_dir):
