@@ -35,10 +35,10 @@ from pyspark.sql import types as T
 from . import common
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 32_768
 #: A chunk ends at the first border that no piece crosses among so many characters, else at once.
 LOOK_AHEAD = 256
-CACHED_UNITS, CACHED_HEADS, CACHED_PAIRS, HEAD = 600_000, 250_000, 600_000, 6
+CACHED_UNITS, CACHED_HEADS, CACHED_PAIRS, HEAD = 400_000, 200_000, 400_000, 6
 SPACE = "▁"
 #: Numbers of pieces: ids, then code points of characters without a piece, and the beginning.
 BITS, NO_PIECE = 22, 1 << 20
@@ -453,8 +453,10 @@ def _encode_long(docs: DataFrame, model: bytes, chunk_chars: int, names: list[st
             ids = [p.encode_chunk(r["slice"], r["b"], r["e"], pair(r["entry"]), pair(r["exit"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), _ids(ids)], ["key", "k", "ids"])
 
+    # chunks between two safe borders have no states to wait for and stay where they are
+    closed = chunks.where("safe_in AND safe_out").withColumns({c: F.lit(None).cast(state) for c in ("entry", "exit")})
     solved = (
-        chunks.join(states, ["key", "k"], "left")
+        closed.unionByName(open_chunks.join(states, ["key", "k"]))
         .mapInArrow(solve, "key long, k int, ids array<int>")
         .groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
