@@ -38,7 +38,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
 #: A chunk ends at the first border that no piece crosses among so many characters, else at once.
 LOOK_AHEAD = 256
-CACHED_UNITS, CACHED_HEADS, CACHED_PAIRS, HEAD = 400_000, 200_000, 400_000, 6
+CACHED_UNITS, CACHED_HEADS, CACHED_PAIRS, HEAD = 200_000, 80_000, 250_000, 6
 SPACE = "▁"
 #: Numbers of pieces: ids, then code points of characters without a piece, and the beginning.
 BITS, NO_PIECE = 22, 1 << 20
