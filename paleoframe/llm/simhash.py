@@ -45,11 +45,11 @@ def _pieces(text: bytes):
     yield text[at:]
 
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """Of the UTF-8 text, as an unsigned number."""
+def shingle_hashes(text: bytes | None, words: int):
+    """Arrays of the hashes of the UTF-8 text's shingles, in order; fewer words than a shingle make one."""
     from xxhash import xxh64_intdigest
 
-    counts, n, held = np.zeros(64, np.int64), 0, []
+    held, some = [], False
     for piece in _pieces(text or b""):
         held += piece.lower().split()
         if len(held) < words:
@@ -59,14 +59,21 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
         begins = (ends + 1 - lens)[: len(held) - words + 1].tolist()
         line = b" ".join(held)
         shingles = [line[a:b] for a, b in zip(begins, ends[words - 1 :].tolist(), strict=True)]
-        hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+        yield np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+        some = True
+        held = held[len(held) - words + 1 :] if words > 1 else []
+    if held and not some:
+        yield np.array([xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
+
+
+def fingerprint(text: bytes | None, words: int = WORDS) -> int:
+    """Of the UTF-8 text, as an unsigned number."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, words):
         for i in range(0, len(hashes), 1 << 16):
             bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts += bits.sum(0, dtype=np.int64)
         n += len(hashes)
-        held = held[len(held) - words + 1 :] if words > 1 else []
-    if not n:
-        return xxh64_intdigest(b" ".join(held), SEED) if held else 0
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -159,7 +166,10 @@ def op6_simhash(spark, sf_dir):
 
 
 def stage_simhash(spark, docs, sf_dir):
-    """One document of each component: that with the smallest id, once. Rows without an id stay."""
-    drop = near_components(docs).where("component_id < doc_id").select("doc_id").distinct()
-    rest = docs.join(drop, "doc_id", "left_anti")
+    """One document of each component of near-copies (five-word shingles, similarity 0.8 or more; see near_sets): that
+    with the smallest id, once. Rows without an id stay."""
+    from .near_sets import near_copies, text_hash
+
+    drop = near_copies(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rest = docs.join(drop, (F.col("doc_id") == F.col("_id")) & (text_hash() == F.col("_hash")), "left_anti")
     return rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id IS NULL")).select(*docs.columns)
