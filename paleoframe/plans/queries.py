@@ -157,7 +157,7 @@ def base_complement(spark, d):
     "FROM (SELECT unnest(string_split(substr(text, 1, 200), '')) AS b FROM documents) GROUP BY b"
 )
 def base_decode(spark, d):
-    letters = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.split(F.substring("text", 1, 200), "")).alias("b")).where("b <> ''")
+    letters = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.split("text", "")).alias("b")).where("b <> ''")
     return letters.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("code", FB.base_code("b").cast("int"))
 
 
