@@ -409,7 +409,7 @@ def md_tokens(spark, d):
 def ref_reconstruct(spark, d):
     from ..operators.alignment import aligned as rebuild
 
-    rows = aligned(spark, d).where("length >= 40").select(
+    rows = aligned(spark, d).select(
         "read_id", "flag", F.concat(F.lit("3S"), (F.col("length") - 8).cast("string"), F.lit("M5I")).alias("cigar"),
         F.concat(F.lit("4A"), (F.col("length") - 13).cast("string")).alias("md"),
         F.array_join(F.transform("read", FB.base_letter), "").alias("seq"), "qual",

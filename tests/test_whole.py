@@ -1,9 +1,14 @@
 """Queries against brute force where the SQL, or the lack of it, leaves rows unseen."""
 
+import os
 from collections import Counter
 
+import pytest
+
 from paleoframe.plans import queries
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_base_decode_counts_whole_texts(spark, tmp_path):
     texts = ["ACGTacgt0123 N" * 40 + "é", "x" * 250 + "Zz😀", "", None, "short\nlines\n"]
@@ -11,3 +16,14 @@ def test_base_decode_counts_whole_texts(spark, tmp_path):
     code = {c: k % 4 for k, c in enumerate("ACGTacgt0123")}
     want = {(c, code.get(c, 4), n) for c, n in Counter("".join(t or "" for t in texts)).items()}
     assert {(r.b, r.code, r.n) for r in queries.base_decode(spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.exists(f"{DATA}/events.parquet"), reason="no test data")
+def test_ref_reconstruct_rebuilds_every_eligible_read(spark):
+    want = []
+    for r in queries.aligned(spark, DATA).select("read_id", "length", "read").collect():
+        ref = [4] * 3 + list(r.read[3 : r.length - 5]) + [4] * 5
+        ref[7] = 0
+        want.append((r.read_id, r.length, "".join(map(str, ref)), "".join(map(str, r.read))))
+    assert min(r[1] for r in want) < 40
+    assert sorted(map(tuple, queries.ref_reconstruct(spark, DATA).collect())) == sorted(want)
