@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CELLS, POSITIONS
 
 
-def _by_end(bases: DataFrame, *keep) -> DataFrame:
-    """A row for each end that a base is near to."""
-    near = F.array(
-        F.struct(F.lit("5'").alias("end"), F.col("dist5").alias("dist")), F.struct(F.lit("3'").alias("end"), F.col("dist3").alias("dist"))
-    )
-    return bases.select(*keep, "ref", "read", F.explode(near).alias("at")).select(*keep, "ref", "read", "at.end", "at.dist").where(F.col("dist") < POSITIONS)
+def _by_end(bases: DataFrame, by: tuple[str, ...], total: Column, name: str) -> DataFrame:
+    """(by,) end, dist, ref, read and the sum of ``total`` over the bases near to each end.
+
+    Bases are summed by both distances first, which are equal beyond the positions looked at, and only the sums are
+    listed under the two ends: a task sends 480 rows a group, and no row is made for each base and end.
+    """
+    near = lambda c: F.least(F.col(c), F.lit(POSITIONS)).alias(c)
+    part = bases.select(*by, near("dist5"), near("dist3"), "ref", "read", total.alias("_v")).groupBy(*by, "dist5", "dist3", "ref", "read").agg(F.sum("_v").alias("_v"))
+    at = F.explode(F.array(F.struct(F.lit("5'").alias("end"), F.col("dist5").alias("dist")), F.struct(F.lit("3'").alias("end"), F.col("dist3").alias("dist"))))
+    rows = part.select(*by, "ref", "read", "_v", at.alias("at")).select(*by, "at.end", "at.dist", "ref", "read", "_v")
+    return rows.where(F.col("dist") < POSITIONS).groupBy(*by, "end", "dist", "ref", "read").agg(F.sum("_v").alias(name))
 
 
 def mismatch_counts(bases: DataFrame, *by: str) -> DataFrame:
-    """(by,) end, dist, ref, read, n. Partial counts are made before the shuffle; at most 480 rows a group."""
-    return _by_end(bases, *by).groupBy(*by, "end", "dist", "ref", "read").agg(F.count(F.lit(1)).alias("n"))
+    """(by,) end, dist, ref, read, n. Partial counts are made before the shuffle."""
+    return _by_end(bases, by, F.lit(1).cast("long"), "n")
 
 
-def weighted_counts(bases: DataFrame, by: str, weight: str) -> DataFrame:
-    """As mismatch_counts, with summed weights and the number of reads of the class."""
-    cells = _by_end(bases, by, weight).groupBy(by, "end", "dist", "ref", "read").agg(F.sum(weight).alias("w"))
-    reads = bases.groupBy(by).agg(F.countDistinct("read_id").alias("n_reads"))
-    return cells.join(reads, by)
+def weighted_counts(bases: DataFrame, reads: DataFrame, by: str, weight: str) -> DataFrame:
+    """As mismatch_counts, with summed weights and the number of reads of the class (rows of ``reads``)."""
+    cells = _by_end(bases, (by,), F.col(weight), "w")
+    return cells.join(reads.groupBy(by).agg(F.count(F.lit(1)).alias("n_reads")), by)
 
 
 def mismatch_wide(counts: DataFrame, *by: str, value: str = "n") -> DataFrame:

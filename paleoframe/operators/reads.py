@@ -65,30 +65,30 @@ def end_cycles(positions: int = POSITIONS) -> Column:
 
 def orient(rows: DataFrame, keep: tuple[str, ...] = ("read_id",), min_quality: int | None = None) -> DataFrame:
     """From one row a base (flag, length, cycle, ref, read, qual in the order of the reference) to dist5, dist3 and codes
-    as they are on the molecule."""
-    d5, d3 = distances("cycle", "length", "flag")
-    rev = is_reverse("flag")
-    one = lambda c: F.when(rev, complement(c)).otherwise(F.col(c))
-    out = rows.select(
-        *keep, d5.cast("int").alias("dist5"), d3.cast("int").alias("dist3"), one("ref").alias("ref"), one("read").alias("read"), "qual"
-    ).where("ref < 4 AND read < 4")
-    return out.where(F.col("qual") >= min_quality) if min_quality else out
+    as they are on the molecule.
 
-
-def oriented(aligned: DataFrame) -> DataFrame:
-    """ref, read and qual from the molecule's 5' to its 3' end."""
+    Bases without a code go first: a complement never changes which those are, and a filter above it would be pushed
+    down with the complement written out in it.
+    """
+    kept = rows.where("ref < 4 AND read < 4")
+    if min_quality:
+        kept = kept.where(F.col("qual") >= min_quality)
+    d5, d3 = distances("cycle", "length", "flag")
     rev = is_reverse("flag")
-    turn = lambda c: F.when(rev, F.transform(F.reverse(c), complement)).otherwise(F.col(c))
-    return aligned.withColumns(
-        {"ref": turn("ref"), "read": turn("read"), "qual": F.when(rev, F.reverse("qual")).otherwise(F.col("qual"))}
-    )
+    one = lambda c: F.when(rev, 3 - F.col(c)).otherwise(F.col(c))
+    return kept.select(*keep, d5.cast("int").alias("dist5"), d3.cast("int").alias("dist3"), one("ref").alias("ref"), one("read").alias("read"), "qual")
 
 
 def ends(aligned: DataFrame, positions: int = POSITIONS) -> DataFrame:
-    """ref5, read5, qual5 and ref3, read3, qual3: the first and last bases, each counted from its own end."""
-    o = oriented(aligned)
+    """ref5, read5, qual5 and ref3, read3, qual3: the first and last bases, each counted from its own end.
+
+    Only these are turned and complemented, not whole reads. Alignments (rows with a column seq) keep their qualities.
+    """
+    rev = is_reverse("flag")
     cut = {}
     for c in ("ref", "read", "qual"):
-        cut[f"{c}5"] = F.slice(c, 1, positions)
-        cut[f"{c}3"] = F.slice(F.reverse(c), 1, positions)
-    return o.withColumns(cut).drop("ref", "read", "qual")
+        turn = (lambda x: F.transform(x, complement)) if c != "qual" else (lambda x: x)
+        head, tail = F.slice(c, 1, positions), F.slice(F.reverse(c), 1, positions)
+        cut[f"{c}5"] = F.when(rev, turn(tail)).otherwise(head)
+        cut[f"{c}3"] = F.when(rev, turn(head)).otherwise(tail)
+    return aligned.withColumns(cut).drop("ref", "read", *([] if "seq" in aligned.columns else ["qual"]))

@@ -81,4 +81,6 @@ def fit_by(counts: DataFrame, lengths: DataFrame, by: str, model: str = "nb", ep
                 out.append({by: group} | f.row())
             yield pd.DataFrame(out, columns=[by, *(c.split()[0] for c in FIT_SCHEMA.split(", "))])
 
-    return packed.mapInPandas(run, f"{by} {kind}, {FIT_SCHEMA}")
+    # a packed group is small but takes a fit: dealt out by count, which Spark doesn't merge by size
+    spread = packed.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    return spread.mapInPandas(run, f"{by} {kind}, {FIT_SCHEMA}")

@@ -5,6 +5,7 @@ Counts are exact; doubles are rounded on both sides, as sums depend on their ord
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,12 @@ from ..operators import profile as OP
 from ..operators import reads as OR
 from ..operators import reference as OREF
 from ..operators import score as OS
-from ..schema import CELLS, POSITIONS, Options
+from ..schema import CELLS, LENGTH_LIMIT, MIN_LENGTH, POSITIONS, Options
 from ..sources import derived as D
 from . import fit as PF
 from . import mixture as PM
+from . import model as DM
+from . import score_sql as SS
 
 #: Fixed parameters (lambda, delta, delta_s, nu) and mixture of queries that don't fit them.
 X = (0.36, 0.01, 0.7, 0.02)
@@ -27,7 +30,7 @@ ANY = Options(single_end=True)
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
+    return D.spread(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id"))
 
 
 def all_reads(spark, d):
@@ -42,6 +45,11 @@ def aligned(spark, d):
     return D.with_bases(reads(spark, d))
 
 
+def aligned_ends(spark, d):
+    """Rows that hold only the bases which scores look at."""
+    return D.with_bases(reads(spark, d), POSITIONS)
+
+
 def base_rows(spark, d, *keep):
     return OR.orient(D.stored_bases(reads(spark, d), *keep), ("read_id", *keep))
 
@@ -154,7 +162,7 @@ def base_complement(spark, d):
 
 @query(
     "SELECT b, CASE WHEN upper(b) IN ('A', 'C', 'G', 'T') THEN instr('ACGT', upper(b)) - 1 WHEN b IN ('0', '1', '2', '3') THEN CAST(b AS INT) ELSE 4 END AS code, count(*) AS n "
-    "FROM (SELECT unnest(string_split(substr(text, 1, 200), '')) AS b FROM documents) GROUP BY b"
+    "FROM (SELECT unnest(string_split(text, '')) AS b FROM documents) WHERE b <> '' GROUP BY b"
 )
 def base_decode(spark, d):
     letters = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.split("text", "")).alias("b")).where("b <> ''")
@@ -184,16 +192,16 @@ def mismatch_by_taxon(spark, d):
 
 
 @query(
-    _CTE + ', r AS (SELECT taxid, count(DISTINCT read_id) AS n_reads FROM bases GROUP BY taxid) '
+    _CTE + ', r AS (SELECT taxid, count(*) AS n_reads FROM eligible GROUP BY taxid) '
     'SELECT taxid, "end", dist, ref, read, CAST(sum(mapq) AS BIGINT) AS w, n_reads FROM near JOIN r USING (taxid) GROUP BY taxid, "end", dist, ref, read, n_reads'
 )
 def mismatch_weighted(spark, d):
-    return OP.weighted_counts(base_rows(spark, d, "taxid", "mapq"), "taxid", "mapq")
+    return OP.weighted_counts(base_rows(spark, d, "taxid", "mapq"), reads(spark, d), "taxid", "mapq")
 
 
-@query(_CTE + 'SELECT taxid, count(*) AS n_reads FROM eligible WHERE taxid > 0 GROUP BY taxid HAVING count(*) > 0')
+@query(_CTE + 'SELECT taxid, count(*) AS n_reads FROM eligible GROUP BY taxid HAVING count(*) > 0')
 def taxa_with_reads(spark, d):
-    return reads(spark, d).where("taxid > 0").groupBy("taxid").agg(F.count(F.lit(1)).alias("n_reads")).where("n_reads > 0")
+    return reads(spark, d).groupBy("taxid").agg(F.count(F.lit(1)).alias("n_reads")).where("n_reads > 0")
 
 
 @query(_CTE + _WIDE + _PROFILE + "SELECT idx, round(freq_ct, 9) AS freq_ct, round(freq_ga, 9) AS freq_ga FROM prof")
@@ -245,26 +253,20 @@ _GRID_SQL = "(VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" fo
 FROM (SELECT *, pow(1 - lam, idx + 1) / 2 AS s FROM prof, {_GRID_SQL} WHERE idx < 15) GROUP BY ALL"""
 )
 def naive_loglike_grid(spark, d):
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("lam"), F.lit(b).alias("de"), F.lit(c).alias("ds")) for a, b, c in _GRID]))
-    p = profile(spark, d).where("idx < 15").withColumn("g", grid).select("*", "g.*").withColumn("s", F.pow(1 - F.col("lam"), F.col("idx") + 1) / 2)
-    term = F.expr(
-        "scale_ct * (freq_ct * ln(de + s * (ds - de)) + (1 - freq_ct) * ln(1 - de - s * (ds - de)))"
-        " + scale_ga * (freq_ga * ln(s * ds) + (1 - freq_ga) * ln(1 - s * ds))"
-    )
-    return p.groupBy("lam", "de", "ds").agg(F.round(-F.sum(term), 6).alias("llh"))
+    p = DM.Profile.of(profile(spark, d).collect(), [], [])
+    rows = [(*x, DM.naive_loss(x, p)[0]) for x in _GRID]
+    return rounded(spark.createDataFrame(rows, "lam double, de double, ds double, llh double"), 6, "llh")
 
 
-# rates of the model by position and length, as a relation over overhangs
+# the model's rates in SQL: a relation over overhangs
 
-_LAM, _DE, _DS, _NU = (f"{v}D" for v in X)
 
+def _weight(k: str, lam: str) -> str:
+    return f"CASE WHEN {k} = 0 THEN 1 + {lam} ELSE {lam} * pow(1 - {lam}, {k}) END"
 
-def _weight(k: str, t: str) -> str:
-    return f"CASE WHEN {k} = 0 THEN 1 + {X[0]}{t} ELSE {X[0]}{t} * pow(1 - {X[0]}{t}, {k}) END"
 
-
-def _rate_columns(model: str, t: str) -> dict[str, str]:
-    lam, de, ds, _ = (f"{v}{t}" for v in X)
+def _rate_columns(model: str, x) -> dict[str, str]:
+    lam, de, ds, _ = (f"{v}::DOUBLE" for v in x)
     p4 = f"pow(1 - {lam}, n + 1) / 2"
     if model == "b":
         return {
@@ -275,31 +277,21 @@ def _rate_columns(model: str, t: str) -> dict[str, str]:
     return {"ct5": one, "ga3": one, "ct3": two, "ga5": two}
 
 
-def _cube_sql(model: str) -> str:
-    t = "::DOUBLE"
-    nu = f"{X[3]}{t}"
-    return f"""cells AS (SELECT CAST(n AS BIGINT) AS n, CAST(len AS BIGINT) AS len, l, r, ({_weight("l", t)}) * ({_weight("r", t)}) * {nu} / (1 + (len - 2 - l - r) * {nu}) / 4 AS w
+def _cube_sql(model: str, x=X) -> str:
+    lam, nu = f"{x[0]}::DOUBLE", f"{x[3]}::DOUBLE"
+    return f"""cells AS (SELECT CAST(n AS BIGINT) AS n, CAST(len AS BIGINT) AS len, l, r, ({_weight("l", lam)}) * ({_weight("r", lam)}) * {nu} / (1 + (len - 2 - l - r) * {nu}) / 4 AS w
   FROM range(15) a(n), range(30, 150) b(len), range(16) c(l), range(16) e(r) WHERE l + r <= 15)
 , nick AS (SELECT n, len, sum(CASE WHEN l <= n AND r <= len - n - 1 THEN w * (n - l) ELSE 0 END) AS pl,
   sum(CASE WHEN r <= n AND l <= len - n - 1 THEN w * (len - n - 1 - l) ELSE 0 END) AS pr FROM cells GROUP BY n, len)
-, cube AS (SELECT n, len, {", ".join(f"{v} AS {k}" for k, v in _rate_columns(model, t).items())} FROM nick)"""
+, cube AS (SELECT n, len, {", ".join(f"{v} AS {k}" for k, v in _rate_columns(model, x).items())} FROM nick)"""
 
 
 def rate_cube(spark: SparkSession, model: str) -> DataFrame:
-    """n, len, ct5, ga3, ct3, ga5 at the parameters X, by DataFrame functions: 15 x 120 rows from a fixed grid."""
-    series = lambda a, b: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b - 1).cast("long")))
-    grid = spark.range(15).withColumnRenamed("id", "n").withColumn("len", series(30, 150)).withColumn("l", series(0, 16)).withColumn("r", series(0, 16))
-    w = F.expr(f"({_weight('l', 'D')}) * ({_weight('r', 'D')}) * {_NU} / (1 + (len - 2 - l - r) * {_NU}) / 4")
-    nick = (
-        grid.where("l + r <= 15")
-        .withColumn("w", w)
-        .groupBy("n", "len")
-        .agg(
-            F.sum(F.expr("CASE WHEN l <= n AND r <= len - n - 1 THEN w * (n - l) ELSE 0 END")).alias("pl"),
-            F.sum(F.expr("CASE WHEN r <= n AND l <= len - n - 1 THEN w * (len - n - 1 - l) ELSE 0 END")).alias("pr"),
-        )
-    )
-    return nick.select("n", "len", *[F.expr(v).alias(k) for k, v in _rate_columns(model, "D").items()])
+    """n, len, ct5, ga3, ct3, ga5 at the parameters X."""
+    ct, ga = DM.rate_cube(X, model)
+    far = 2 * POSITIONS - 1
+    rows = [(n, k + MIN_LENGTH, *map(float, (ct[k, n], ga[k, n], ct[k, far - n], ga[k, far - n]))) for k in range(len(ct)) for n in range(POSITIONS)]
+    return spark.createDataFrame(rows, "n long, len long, ct5 double, ga3 double, ct3 double, ga5 double")
 
 
 _RATES = ("ct5", "ga3", "ct3", "ga5")
@@ -330,36 +322,28 @@ def _log(p: str) -> str:
 _TERM = f"w * y * {_log('(f * (1 - s) + (1 - f) * s / 3)')} + w * (1 - y) * {_log('((1 - f) * (1 - s) + f * s / 3)')}"
 
 
-def _full_sql(model: str) -> str:
+def _full_sql(model: str, x=X, eps: float = EPS) -> str:
     parts = "\n  UNION ALL ".join(
-        f"SELECT {c} * {1 - EPS}::DOUBLE AS f, e.seq_err AS s, q.scale_{k} AS w, q.freq_{k} AS y FROM avg_rates JOIN prof e ON e.idx = {err} JOIN prof q ON q.idx = {at}"
+        f"SELECT {c} * {1 - eps}::DOUBLE AS f, e.seq_err AS s, q.scale_{k} AS w, q.freq_{k} AS y FROM avg_rates JOIN prof e ON e.idx = {err} JOIN prof q ON q.idx = {at}"
         for c, err, at, k in _CELL_TERMS
     )
     return (
-        _CTE + _WIDE + _PROFILE + _HIST + ", " + _cube_sql(model) + f""", freq AS (SELECT length, n / (SELECT CAST(sum(n) AS DOUBLE) FROM hist) AS f FROM hist)
+        _CTE + _WIDE + _PROFILE + _HIST + ", " + _cube_sql(model, x) + f""", freq AS (SELECT length, n / (SELECT CAST(sum(n) AS DOUBLE) FROM hist) AS f FROM hist)
 , avg_rates AS (SELECT n AS i, {", ".join(f"sum({c} * f) AS {c}" for c in _RATES)} FROM cube JOIN freq ON len = length GROUP BY n)
 , terms AS ({parts})
 SELECT round(-sum({_TERM}), 6) AS llh FROM terms"""
     )
 
 
+def model_profile(spark, d):
+    """What the model is fitted to: 30 rows and a length distribution, in one pass over the bases."""
+    freq = OL.gap_filled(OL.length_histogram(reads(spark, d))).select("length", "freq")
+    return PF.profile_of(counts(spark, d), freq)
+
+
 def _full(spark, d, model):
-    hist = OL.length_histogram(reads(spark, d))
-    freq = OL.normalised(hist.withColumnRenamed("n", "weight"))
-    cube = rate_cube(spark, model)
-    own = cube.join(freq, cube["len"] == freq["length"]).groupBy(F.col("n").alias("i")).agg(*[F.sum(F.col(c) * F.col("freq")).alias(c) for c in _RATES])
-    terms = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("k"), (F.col(c) * (1 - EPS)).alias("f"), F.expr(err).alias("err"), F.expr(at).alias("at")) for c, err, at, k in _CELL_TERMS])
-    )
-    p = profile(spark, d)
-    t = own.select(terms.alias("t")).select("t.*")
-    e = p.select(F.col("idx").alias("err"), F.col("seq_err").alias("s"))
-    q = p.select(F.col("idx").alias("at"), "scale_ct", "scale_ga", "freq_ct", "freq_ga")
-    is_ct = F.col("k") == "ct"
-    t = t.join(e, "err").join(q, "at").withColumns(
-        {"w": F.when(is_ct, F.col("scale_ct")).otherwise(F.col("scale_ga")), "y": F.when(is_ct, F.col("freq_ct")).otherwise(F.col("freq_ga"))}
-    )
-    return t.agg(F.round(-F.sum(F.expr(_TERM)), 6).alias("llh"))
+    llh = DM.loss(X, model_profile(spark, d), model, EPS)[0]
+    return rounded(spark.createDataFrame([(llh,)], "llh double"), 6, "llh")
 
 
 @query(_full_sql("b"))
@@ -405,7 +389,14 @@ def md_tokens(spark, d):
     return _strings(spark, d).select("e", "md", said.alias("tokens"))
 
 
-@query()
+@query(
+    _CTE + f""", places AS (SELECT *, CASE WHEN flag & 16 <> 0 THEN n - 1 - i ELSE i END AS c FROM
+  (SELECT read_id, flag, length, read_id AS e, CAST(length AS BIGINT) AS n, unnest(range(length)) AS i FROM eligible))
+, codes AS (SELECT read_id, flag, length, i, n, {D.READ_BASE} AS m FROM (SELECT *, {D.REF} AS r, {D.HASH} AS h FROM places))
+, stored AS (SELECT read_id, length, i, n, CASE WHEN m > 3 THEN 4 WHEN flag & 16 <> 0 THEN 3 - m ELSE m END AS b FROM codes)
+SELECT read_id, length, string_agg(CAST(CASE WHEN i < 3 OR i >= n - 5 THEN 4 WHEN i = 7 THEN 0 ELSE b END AS VARCHAR), '' ORDER BY i) AS ref,
+  string_agg(CAST(b AS VARCHAR), '' ORDER BY i) AS read FROM stored GROUP BY read_id, length"""
+)
 def ref_reconstruct(spark, d):
     from ..operators.alignment import aligned as rebuild
 
@@ -460,79 +451,136 @@ def bed_semi_join(spark, d):
     "FROM near GROUP BY read_id, length"
 )
 def error_lik(spark, d):
-    return OS.native_log_error(aligned(spark, d)).select("read_id", "length", F.round("ln_err", 6).alias("ln_err"))
+    return OS.native_log_error(aligned_ends(spark, d)).select("read_id", "length", F.round("ln_err", 6).alias("ln_err"))
+
 
+_W = "WITH " + SS.weights_sql(X, True)
+_SIDES = "SELECT len, CAST({damage} AS BOOLEAN) AS damage, side, k, m, round(w, 12) + 0.0::DOUBLE AS w FROM side{tag} UNION ALL SELECT len, {damage}, side, k, -1, round(w, 12) + 0.0::DOUBLE FROM side_rest{tag} UNION ALL SELECT len, {damage}, '-', -1, -1, round(w, 12) + 0.0::DOUBLE FROM rest{tag}"
 
-def _overhang_sql(t: str) -> tuple[str, str, str]:
-    lam = f"{X[0]}{t}"
-    q = f"pow(1 - {lam}, len - 1)"
-    p = lambda k: f"(0.5{t} * {lam} * pow(1 - {lam}, {k}) / (1 - {q}) + CASE WHEN {k} = 0 THEN 0.5{t} ELSE 0 END)"
-    nu = f"{X[3]}{t}"
-    dp = f"4 * {p('l')} * {p('r')} / (3 + (1 - {q} - (len - 1) * {lam} * {q}) / pow(1 - {q}, 2))"
-    return dp, f"{nu} / (1 + (len - l - r - 2) * {nu})", f"(1 - {nu}) / (1 + (len - l - r - 2) * {nu})"
 
+def _weight_rows(spark, schema: str, rows) -> DataFrame:
+    """rows(length): tuples of ``schema`` for every length of the model's window, made on the executors."""
 
-def _overhang_query() -> str:
-    dp, w, last = _overhang_sql("::DOUBLE")
-    return f"""SELECT CAST(len AS BIGINT) AS len, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, round({dp}, 12) AS dp, round({w}, 9) AS nick, round({last}, 9) AS nick_last
-FROM range(30, 150, 7) a(len), range(16) b(l), range(16) c(r)"""
+    def run(batches):
+        for batch in batches:
+            got = [r for n in batch.column(0).to_pylist() for r in rows(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
+    return spark.range(MIN_LENGTH, LENGTH_LIMIT, 1, spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
 
-@query(_overhang_query())
+
+@query(_W + "SELECT len, l, r, round(nick, 12) + 0.0::DOUBLE AS nick, round(nick_last, 12) + 0.0::DOUBLE AS nick_last, round(none, 12) + 0.0::DOUBLE AS none FROM short_pair")
 def nick_overhang_weights(spark, d):
-    dp, w, last = _overhang_sql("D")
-    series = lambda a, b: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b - 1).cast("long")))
-    grid = spark.range(30, 150, 7).withColumnRenamed("id", "len").withColumn("l", series(0, 16)).withColumn("r", series(0, 16))
-    return grid.select("len", "l", "r", F.round(F.expr(dp), 12).alias("dp"), F.round(F.expr(w), 9).alias("nick"), F.round(F.expr(last), 9).alias("nick_last"))
+    def rows(n):
+        w = OS.weights(X, n, 1e-8, True).both
+        return [(n, a, b, *map(float, w[a, b] + 0.0)) for a in range(POSITIONS + 1) for b in range(POSITIONS + 1)]
 
+    return rounded(_weight_rows(spark, "len long, l long, r long, nick double, nick_last double, none double", rows), 12, "nick", "nick_last", "none")
 
-def scored(spark, d, model="nb"):
-    return OS.read_likelihoods(aligned(spark, d).select("read_id", "flag", "length", "ref", "read", "qual"), X, Options(model=model, eps=EPS))
 
+@query(_W + ", " + SS.weights_sql(X, False, "_no") + _SIDES.format(damage="true", tag="") + " UNION ALL " + _SIDES.format(damage="false", tag="_no"))
+def nick_side_weights(spark, d):
+    def rows(n):
+        for damage in (True, False):
+            w = OS.weights(X, n, 1e-8, damage)
+            for side, table, rest in (("L", w.left, w.left_rest), ("R", w.right, w.right_rest)):
+                for k in range(POSITIONS + 1):
+                    yield from ((n, damage, side, k, m, float(table[k, m]) + 0.0) for m in range(k, table.shape[1]))
+                    yield n, damage, side, k, -1, float(rest[k]) + 0.0
+            yield n, damage, "-", -1, -1, float(w.rest)
 
-@query()
+    return rounded(_weight_rows(spark, "len long, damage boolean, side string, k long, m long, w double", rows), 12, "w")
+
+
+def scored(spark, d, model="nb", compat=True):
+    return OS.read_likelihoods(aligned_ends(spark, d).select("read_id", "flag", "length", "ref", "read", "qual"), X, Options(model=model, eps=EPS, compat=compat))
+
+
+def _ancient_sql(model: str, compat: bool) -> str:
+    parts = [_CTE + ", " + SS.FACES, SS.MODERN, SS.weights_sql(X, True), SS.scores_sql(X, compat, True), SS.model_sql("", model)]
+    return ", ".join(parts) + "SELECT read_id, length, round(ln_err, 6) AS ln_err, round(ln(v), 6) AS ln_anc FROM value JOIN modern USING (read_id)"
+
+
+def _ancient(spark, d, model, compat):
+    return scored(spark, d, model, compat).select("read_id", "length", F.round(F.ln("l_err"), 6).alias("ln_err"), F.round(F.ln("l_anc"), 6).alias("ln_anc"))
+
+
+@query(_ancient_sql("b", True))
 def anc_lik(spark, d):
-    return scored(spark, d, "b").select("read_id", "length", "l_err", "l_anc")
+    return _ancient(spark, d, "b", True)
 
 
-@query()
+@query(_ancient_sql("b", False))
+def anc_lik_corrected(spark, d):
+    return _ancient(spark, d, "b", False)
+
+
+@query(_ancient_sql("nb", True))
+def anc_lik_nb(spark, d):
+    return _ancient(spark, d, "nb", True)
+
+
+@query(_ancient_sql("nb", False))
+def anc_lik_nb_corrected(spark, d):
+    return _ancient(spark, d, "nb", False)
+
+
+def _undamaged_sql(model: str) -> str:
+    parts = [_CTE + ", " + SS.FACES, SS.weights_sql(X, False), SS.scores_sql(X, False, False), SS.model_sql("", model)]
+    return ", ".join(parts) + "SELECT read_id, length, round(v, 9) AS l_none FROM value"
+
+
+@query(_undamaged_sql("nb"))
 def no_pmd_lik(spark, d):
-    return scored(spark, d).select("read_id", "length", "l_none")
+    return rounded(scored(spark, d).select("read_id", "length", "l_none"), 9, "l_none")
 
 
-@query()
+@query(_undamaged_sql("b"))
+def no_pmd_lik_b(spark, d):
+    return rounded(scored(spark, d, "b").select("read_id", "length", "l_none"), 9, "l_none")
+
+
+def _posterior_sql() -> str:
+    parts = [
+        "WITH RECURSIVE " + SS.length_probability_sql("p_anc", *MIX[:2]), SS.length_probability_sql("p_mod", *MIX[2:]), _CTE.removeprefix("WITH ") + ", " + SS.FACES,
+        SS.MODERN, SS.weights_sql(X, True), SS.scores_sql(X, True, True), SS.model_sql("", "nb"),
+        SS.weights_sql(X, False, "_no"), SS.scores_sql(X, False, False, "_no"), SS.model_sql("_no", "nb"),
+    ]
+    one = lambda p: f"round(CAST(CAST(least(1, greatest(0, {p})) AS REAL) AS DOUBLE), 5)"
+    keep, mix = f"{1 - EPS}::DOUBLE", f"{EPS}::DOUBLE"
+    return ", ".join(parts) + f"""SELECT v.read_id, v.length, {one(f"v.v * {keep} * a.p / (v.v * {keep} * a.p + exp(ln_err) * {mix} * m.p)")} AS "AN",
+  {one(f"v.v * {keep} / (v.v * {keep} + exp(ln_err) * {mix})")} AS "AO", {one("1 - n.v * exp(ln_err) / v.v")} AS "PD"
+FROM value v JOIN value_no n USING (read_id) JOIN modern USING (read_id) JOIN p_anc a ON a.length = v.length JOIN p_mod m ON m.length = v.length"""
+
+
+@query(_posterior_sql())
 def posterior_scores(spark, d):
     o = Options(eps=EPS, isrecal=1)
-    return OS.posterior(scored(spark, d), o, MIX).select("read_id", "length", "AN", "AO", "PD")
+    out = OS.posterior(scored(spark, d), o, MIX)
+    return out.select("read_id", "length", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("AN", "AO", "PD")])
 
 
-def _mixture_sql() -> str:
-    a, m = PM.length_probability(*MIX[:2])[0], PM.length_probability(*MIX[2:])[0]
-    rows = ", ".join(f"({k + 30}, {float(x)!r}::DOUBLE, {float(y)!r}::DOUBLE)" for k, (x, y) in enumerate(zip(a, m, strict=True)))
+def _mixture_sql(x=MIX) -> str:
+    head = "WITH RECURSIVE " + SS.length_probability_sql("p_anc", *x[:2]) + ", " + SS.length_probability_sql("p_mod", *x[2:]) + ", " + _CTE.removeprefix("WITH ")
     return (
-        _CTE + f""", p(length, pa, pm) AS (VALUES {rows})
-, l AS (SELECT length, (1 + read_id % 97) / 97.0::DOUBLE AS l_err, (1 + read_id % 89) / 89.0::DOUBLE AS l_anc FROM eligible)
-SELECT round(sum(-ln(l_anc * pa * {1 - EPS}::DOUBLE + l_err * pm * {EPS}::DOUBLE)), 5) AS llh, count(*) AS n FROM l JOIN p USING (length)"""
+        head + f""", l AS (SELECT length, (1 + read_id % 97) / 97.0::DOUBLE AS l_err, (1 + read_id % 89) / 89.0::DOUBLE AS l_anc FROM eligible)
+SELECT round(sum(-ln(l_anc * a.p * {1 - EPS}::DOUBLE + l_err * m.p * {EPS}::DOUBLE)), 5) AS llh, count(*) AS n FROM l JOIN p_anc a USING (length) JOIN p_mod m USING (length)"""
     )
 
 
 @query(_mixture_sql())
 def mixture_loglike_fixed(spark, d):
     r = reads(spark, d).select("length", ((1 + F.col("read_id") % 97) / F.lit(97.0)).alias("l_err"), ((1 + F.col("read_id") % 89) / F.lit(89.0)).alias("l_anc"))
-    density, _ = PM._terms(MIX, EPS, 30, 150)
-    return r.agg(F.round(F.sum(-F.ln(density)), 5).alias("llh"), F.count(F.lit(1)).alias("n"))
+    llh, n = PM.evaluate(r, MIX, EPS)[0], r.count()
+    return rounded(spark.createDataFrame([(llh, n)], "llh double, n long"), 5, "llh")
 
 
 # fits
 
-def fit(spark, d, model="nb", eps=EPS):
-    freq = OL.gap_filled(OL.length_histogram(reads(spark, d))).select("length", "freq")
-    return PF.fit_profile(PF.profile_of(counts(spark, d), freq), model, eps)
-
-
 @query()
 def fit_damage_params(spark, d):
-    rows = [{"model": m} | fit(spark, d, m).row() for m in ("b", "nb")]
+    p = model_profile(spark, d)
+    rows = [{"model": m} | PF.fit_profile(p, m, EPS).row() for m in ("b", "nb")]
     return spark.createDataFrame(rows, "model string, " + PF.FIT_SCHEMA)
 
 

@@ -37,39 +37,57 @@ def reads(events: DataFrame, key: str = "event_id", user: str = "user_id") -> Da
     return e.select(*[F.expr(x).alias(c) for c, x in READ.items()])
 
 
-def with_bases(rows: DataFrame) -> DataFrame:
-    """Adds ref, read and qual in the order of the forward reference (so reversed and complemented for flag 16)."""
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a small file is one partition, and a read becomes many rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def with_bases(rows: DataFrame, window: int | None = None) -> DataFrame:
+    """Adds ref, read and qual in the order of the forward reference (so reversed and complemented for flag 16).
+
+    window: only so many bases of each end, which is all that ``ends`` looks at.
+    """
     e, n = F.col("read_id"), F.col("length")
     cycles = F.sequence(F.lit(0), n - 1)
+    if window is not None:
+        cycles = F.when(n > 2 * window, F.concat(F.sequence(F.lit(0), F.lit(window - 1)), F.sequence(n - window, n - 1))).otherwise(cycles)
 
-    def ref(c):
+    def drawn(c):
         c = c.cast("long")
-        return (((e * 2477 + c * 6151 + e * c * 13) % 1009) % 4).cast("int")
+        r = (((e * 2477 + c * 6151 + e * c * 13) % 1009) % 4).cast("int")
+        return F.struct(c.alias("c"), r.alias("r"), (((e * 7919 + c * 104729 + e * c * 29) % 10007) % 1000).alias("h"))
 
-    def read(c):
-        c = c.cast("long")
-        h, r = ((e * 7919 + c * 104729 + e * c * 29) % 10007) % 1000, ref(c)
-        near = F.when((r == 1) & (h * (c + 1) < 250), 3).when((r == 2) & (h * (n - c) < 250), 0)
-        return F.when(h == 500, 4).otherwise(F.coalesce(near, F.when(h >= 997, (r + 1) % 4).otherwise(r))).cast("int")
+    def read(x):
+        c, h, r = x["c"], x["h"], x["r"]
+        return (
+            F.when(h == 500, 4).when((r == 1) & (h * (c + 1) < 250), 3).when((r == 2) & (h * (n - c) < 250), 0).when(h >= 997, (r + 1) % 4).otherwise(r)
+        ).cast("int")
 
-    def qual(c):
-        return (20 + (e + c.cast("long") * 3) % 21).cast("int")
+    def flipped(codes):
+        return F.when(rev, F.transform(codes, complement)).otherwise(codes).cast("array<int>")
 
     rev = F.col("flag").bitwiseAND(F.lit(16)) != 0
-    stored = F.when(rev, F.reverse(cycles)).otherwise(cycles)
-    own = lambda f: F.when(rev, F.transform(stored, lambda c: complement(f(c)))).otherwise(F.transform(stored, f)).cast("array<int>")
-    return rows.withColumns({"ref": own(ref), "read": own(read), "qual": F.transform(stored, qual)})
+    base = rows.withColumn("_c", F.transform(F.when(rev, F.reverse(cycles)).otherwise(cycles), drawn))
+    return base.withColumns(
+        {
+            "ref": flipped(F.transform("_c", lambda x: x["r"])),
+            "read": flipped(F.transform("_c", read)),
+            "qual": F.transform("_c", lambda x: (20 + (e + x["c"] * 3) % 21).cast("int")),
+        }
+    ).drop("_c")
 
 
 def stored_bases(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row for each base near an end, as with_bases stores them: keep, flag, length, cycle, ref, read, qual."""
+    """One row for each base near an end that has a code, as with_bases stores them: keep, flag, length, cycle, ref, read,
+    qual."""
     rev = F.col("flag").bitwiseAND(F.lit(16)) != 0
-    out = rows.select("read_id", *[k for k in keep if k != "read_id"], "flag", "length", end_cycles().alias("cycle"))
-    own = F.when(rev, F.col("length") - 1 - F.col("cycle")).otherwise(F.col("cycle")).cast("long")
-    out = out.withColumns({"e": F.col("read_id"), "n": F.col("length").cast("long"), "c": own})
-    out = out.withColumns({"r": F.expr(REF), "h": F.expr(HASH), "qual": F.expr(QUAL)}).withColumn("a", F.expr(READ_BASE))
-    flip = lambda c: F.when(rev, complement(c)).otherwise(F.col(c)).cast("int")
-    return out.withColumns({"ref": flip("r"), "read": flip("a")}).drop("e", "n", "c", "r", "h", "a")
+    out = rows.select(F.col("read_id").alias("e"), *keep, "flag", "length", F.col("length").cast("long").alias("n"), end_cycles().alias("i"))
+    out = out.withColumns({"c": F.col("i").cast("long")}).withColumns({"r": F.expr(REF), "h": F.expr(HASH), "qual": F.expr(QUAL)})
+    out = out.where("h <> 500").withColumn("a", F.expr(READ_BASE))
+    turn = F.when(rev, 3).otherwise(0)
+    cycle = F.when(rev, F.col("length") - 1 - F.col("i")).otherwise(F.col("i"))
+    return out.select(F.col("e").alias("read_id"), *[k for k in keep if k != "read_id"], "flag", "length", cycle.alias("cycle"), *[F.abs(turn - F.col(k)).alias(c) for c, k in (("ref", "r"), ("read", "a"))], "qual")
 
 
 READS_SQL = "SELECT " + ", ".join(f"{x} AS {c}" for c, x in READ.items()) + " FROM (SELECT event_id AS e, user_id FROM events)"
