@@ -32,12 +32,16 @@ def align(reads: DataFrame, chunks: DataFrame | None = None, o: Options = Option
     """ALIGNED rows of READS rows: from MD tags, or from the reference's chunks where these are given. Flags and
     lengths are filtered before anything is rebuilt."""
     own = reads.withColumn("length", F.length("seq"))
-    own = OR.reject_unmapped(OR.eligible(own, o).withColumn("read_id", F.xxhash64("qname", "flag", "rname", "pos")))
+    own = OR.reject_unmapped(OR.eligible(own, o).withColumn("read_id", F.xxhash64("qname", "flag", "rname", "pos", "cigar")))
     if chunks is None:
         return rebuild(own.withColumn("md", F.col("tags")["MD"]), "md", o.compat)
-    wanted = own.select(F.col("read_id").alias("key"), "rname", F.col("pos").alias("begin"), (F.col("pos") + span("cigar") - 1).alias("end")).distinct()
-    bases = OREF.fetch(wanted, chunks).select(F.col("key").alias("read_id"), "bases")
-    return rebuild(own.join(bases, "read_id"), "bases", o.compat)
+    # each range is fetched once, however many reads lie in it; a read without reference is an error, never a lost row
+    own = own.withColumns({"_begin": F.col("pos"), "_end": F.col("pos") + span("cigar") - 1})
+    wanted = own.select(F.lit(0).alias("key"), "rname", F.col("_begin").alias("begin"), F.col("_end").alias("end")).distinct()
+    found = OREF.fetch(wanted, chunks).select(F.col("rname").alias("_rname"), F.col("begin").alias("_b"), F.col("end").alias("_e"), "bases")
+    joined = own.join(found, (F.col("rname") == F.col("_rname")) & (F.col("_begin") == F.col("_b")) & (F.col("_end") == F.col("_e")), "left")
+    missing = F.raise_error(F.concat(F.lit("no reference at "), F.col("rname"), F.lit(":"), F.col("_begin").cast("string"))).cast("string")
+    return rebuild(joined.withColumn("bases", F.coalesce("bases", missing)).drop("_begin", "_end", "_rname", "_b", "_e"), "bases", o.compat)
 
 
 def fit_reads(aligned: DataFrame, o: Options = Options(), lengths: DataFrame | None = None) -> Fitted:
@@ -67,12 +71,12 @@ def fit_bdamage(spark: SparkSession, bdamage: str, rlens: str, o: Options = Opti
 
 def recalibrate(aligned: DataFrame, fitted: Fitted, o: Options) -> PM.MixtureFit:
     """The length mixture over all reads in the length window; flags are not filtered here."""
-    reads = aligned.where(OR.length_filter(o.len_limit))
+    reads = aligned.where(OR.length_filter(o.len_limit)).select("flag", "length", "ref", "read", "qual")
     return PM.fit_mixture(OS.read_likelihoods(reads, fitted.fit.x, o), o.eps, fitted.len_min, o.len_limit if o.len_limit > 0 else LENGTH_LIMIT)
 
 
 def score(aligned: DataFrame, fitted: Fitted, o: Options, mixture: PM.MixtureFit | None = None) -> DataFrame:
-    """Eligible reads with AN, PD and, with a mixture, AO."""
+    """Eligible reads, all columns but ref and read, with AN, PD and, with a mixture, AO."""
     rows = OS.read_likelihoods(OR.eligible(aligned, o), fitted.fit.x, o)
     return OS.posterior(rows, o, None if mixture is None else tuple(mixture.x), fitted.len_min).drop("l_err", "l_anc", "l_none")
 
@@ -119,7 +123,8 @@ def main(args: list[str] | None = None) -> int:
         fitted = fit_reads(load(a.bam, a.ref), o, tables.read_lengths(spark, a.len) if a.len else None)
     else:
         fitted = fit_tables(spark, a.tab, a.len, o) if a.tab else fit_bdamage(spark, a.bdamage, a.rlens, o)
-    print(sinks.fit_line(fitted.fit))
+    rates = OP.profile(fitted.wide).select("idx", "freq_ct", "freq_ga").collect()
+    print(sinks.report(rates, fitted.fit))
     if a.otab:
         sinks.write_mismatch_table(fitted.wide, a.otab)
     if a.oinf:
@@ -131,7 +136,11 @@ def main(args: list[str] | None = None) -> int:
         mixture = recalibrate(reads, fitted, o) if o.isrecal == 1 else None
         if mixture is not None:
             print(mixture.row())
-        sinks.write_reads(score(reads, fitted, o, mixture), a.obam)
+        scored = score(reads, fitted, o, mixture)
+        if a.obam.endswith(".parquet"):
+            sinks.write_reads(scored, a.obam)
+        else:
+            sinks.write_sam(scored, [r["value"] for r in alignments.read_header(spark, a.ibam).collect()], a.obam)
     return 0
 
 

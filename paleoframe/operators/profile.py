@@ -15,7 +15,9 @@ def _by_end(bases: DataFrame, by: tuple[str, ...], total: Column, name: str) ->
     listed under the two ends: a task sends 480 rows a group, and no row is made for each base and end.
     """
     near = lambda c: F.least(F.col(c), F.lit(POSITIONS)).alias(c)
-    part = bases.select(*by, near("dist5"), near("dist3"), "ref", "read", total.alias("_v")).groupBy(*by, "dist5", "dist3", "ref", "read").agg(F.sum("_v").alias("_v"))
+    part = bases.select(*by, near("dist5"), near("dist3"), "ref", "read", total.alias("_v"))
+    if not bases.isStreaming:  # a stream keeps one state, that of the last sum
+        part = part.groupBy(*by, "dist5", "dist3", "ref", "read").agg(F.sum("_v").alias("_v"))
     at = F.explode(F.array(F.struct(F.lit("5'").alias("end"), F.col("dist5").alias("dist")), F.struct(F.lit("3'").alias("end"), F.col("dist3").alias("dist"))))
     rows = part.select(*by, "ref", "read", "_v", at.alias("at")).select(*by, "at.end", "at.dist", "ref", "read", "_v")
     return rows.where(F.col("dist") < POSITIONS).groupBy(*by, "end", "dist", "ref", "read").agg(F.sum("_v").alias(name))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
 import struct
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -36,18 +37,24 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         F.transform(F.split(p[10], ""), lambda c: F.ascii(c) - 33)
     )
     extra = F.slice(p, 12, 1 << 20)
-    tags = F.map_from_entries(F.transform(extra, lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 6, 1 << 30).alias("v"))))
+    tag = lambda at, n: F.map_from_entries(F.transform(extra, lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, at, n).alias("v"))))
     return spark.read.text(check_path(path)).where("value <> '' AND NOT startswith(value, '@')").select(
         p[0].alias("qname"), p[1].cast("int").alias("flag"), F.nullif(p[2], F.lit("*")).alias("rname"), (p[3].cast("long") - 1).alias("pos"),
-        p[4].cast("int").alias("mapq"), F.nullif(p[5], F.lit("*")).alias("cigar"), F.nullif(seq, F.lit("*")).alias("seq"), qual.alias("qual"), tags.alias("tags"),
+        p[4].cast("int").alias("mapq"), F.nullif(p[5], F.lit("*")).alias("cigar"), F.nullif(seq, F.lit("*")).alias("seq"), qual.alias("qual"), tag(6, 1 << 30).alias("tags"), tag(4, 1).alias("tag_types"),
     )
 
 
 _TAG = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+#: The empty block that ends a complete file, a fixed value of the format.
+LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+#: Compressed bytes of one task, where an index tells at which places records begin.
+SPLIT_BYTES = 64 << 20
+ROWS = 2000
 
 
-def _tags(data: bytes) -> dict[str, str]:
-    out, at = {}, 0
+def _tags(data: bytes) -> tuple[dict[str, str], dict[str, str]]:
+    """Values and types as SAM writes them."""
+    out, types, at = {}, {}, 0
     while at < len(data):
         name, kind = data[at : at + 2].decode(), chr(data[at + 2])
         at += 3
@@ -56,58 +63,174 @@ def _tags(data: bytes) -> dict[str, str]:
             out[name], at = data[at:end].decode(), end + 1
         elif kind == "B":
             sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            out[name] = ",".join(map(str, struct.unpack_from(f"<{n}{_TAG[sub]}", data, at + 5)))
+            out[name] = ",".join([sub, *map(str, struct.unpack_from(f"<{n}{_TAG[sub]}", data, at + 5))])
             at += 5 + n * struct.calcsize(_TAG[sub])
         else:
             v = struct.unpack_from(f"<{_TAG[kind]}", data, at)[0]
             out[name], at = v.decode() if kind == "A" else str(v), at + struct.calcsize(_TAG[kind])
-    return out
-
-
-def parse_bam(stream):
-    """READS tuples of an uncompressed BAM stream, one record in memory at a time."""
+        types[name] = "i" if kind in "cCsSiI" else kind
+    return out, types
+
+
+class Blocks:
+    """The uncompressed bytes of a file of gzip members, from a virtual offset (member's place << 16 | place in it) on."""
+
+    def __init__(self, file, voffset: int = 0):
+        self.file, self.size = file, file.size()
+        self.raw, self.next = b"", voffset >> 16  # compressed bytes at hand, where the bytes after them are
+        self.data, self.at, self.block, self.gone, self.inflate = b"", 0, voffset >> 16, 0, None
+        self.read(voffset & 0xFFFF)
+
+    def tell(self) -> int:
+        return self.block << 16 | (self.gone + self.at)
+
+    def _more(self) -> bool:
+        """The next bytes; False at the end of the file."""
+        while True:
+            if not self.raw:
+                if self.next >= self.size:
+                    return False
+                self.raw = self.file.read_at(min(1 << 18, self.size - self.next), self.next)
+                self.next += len(self.raw)
+            if self.inflate is None:
+                self.inflate, self.block, self.gone, self.data = zlib.decompressobj(31), self.next - len(self.raw), 0, b""
+            self.gone += len(self.data)
+            self.data, self.at = self.inflate.decompress(self.raw, 1 << 20), 0
+            self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            if self.inflate.eof:
+                self.inflate = None
+            if self.data:
+                return True
+
+    def read(self, n: int) -> bytes:
+        out = []
+        while n > 0:
+            if self.at == len(self.data) and not self._more():
+                break
+            part = self.data[self.at : self.at + n]
+            self.at += len(part)
+            n -= len(part)
+            out.append(part)
+        return b"".join(out)
+
+    def begins(self) -> int | None:
+        """The virtual offset of the next byte; None at the end."""
+        return self.tell() if self.at < len(self.data) or self._more() else None
+
+
+def parse_header(stream) -> tuple[str, list[tuple[str, int]]]:
+    """Header text and (name, length) of the contigs of an uncompressed BAM stream."""
     if stream.read(4) != b"BAM\x01":
         raise ValueError("not a BAM file")
     number = lambda: struct.unpack("<i", stream.read(4))[0]
-    stream.read(number())
-    names = []
-    for _ in range(number()):
-        names.append(stream.read(number())[:-1].decode())
-        number()
-    while len(size := stream.read(4)) == 4:
-        d = stream.read(struct.unpack("<i", size)[0])
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", d)
-        at = 32
-        qname = d[at : at + l_name - 1].decode()
-        at += l_name
-        ops = struct.unpack_from(f"<{n_cigar}I", d, at)
-        at += 4 * n_cigar
-        packed = d[at : at + (l_seq + 1) // 2]
-        at += (l_seq + 1) // 2
-        seq = "".join(NIBBLES[b >> 4] + NIBBLES[b & 15] for b in packed)[:l_seq]
-        qual = list(d[at : at + l_seq])
-        yield (
-            qname, flag, names[ref] if ref >= 0 else None, pos, mapq, "".join(f"{o >> 4}{CIGAR_OPS[o & 15]}" for o in ops) or None,
-            seq, qual, _tags(d[at + l_seq :]),
-        )
+    text = stream.read(number()).rstrip(b"\0").decode()
+    return text, [(stream.read(number())[:-1].decode(), number()) for _ in range(number())]
+
+
+def parse_record(d: bytes, names: list[str]) -> tuple:
+    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", d)
+    at = 32
+    qname = d[at : at + l_name - 1].decode()
+    at += l_name
+    ops = struct.unpack_from(f"<{n_cigar}I", d, at)
+    at += 4 * n_cigar
+    packed = d[at : at + (l_seq + 1) // 2]
+    at += (l_seq + 1) // 2
+    seq = "".join([_PAIRS[b] for b in packed])[:l_seq]
+    tags, types = _tags(d[at + l_seq :])
+    cigar = "".join([f"{o >> 4}{CIGAR_OPS[o & 15]}" for o in ops]) or None
+    return qname, flag, names[ref] if ref >= 0 else None, pos, mapq, cigar, seq or None, list(d[at : at + l_seq]), list(tags.items()), list(types.items())
+
+
+_PAIRS = [NIBBLES[b >> 4] + NIBBLES[b & 15] for b in range(256)]
+
+
+def index_places(data: bytes) -> list[int]:
+    """Virtual offsets at which records begin, of a BAI index."""
+    if data[:4] != b"BAI\x01":
+        raise ValueError("not a BAM index")
+    n_ref, at, out = struct.unpack_from("<i", data, 4)[0], 8, set()
+    for _ in range(n_ref):
+        n_bin = struct.unpack_from("<i", data, at)[0]
+        at += 4
+        for _ in range(n_bin):
+            number, n = struct.unpack_from("<Ii", data, at)
+            at += 8
+            if number != 37450:  # that one has counts instead
+                out.update(struct.unpack_from(f"<{2 * n}Q", data, at)[::2])
+            at += 16 * n
+        n = struct.unpack_from("<i", data, at)[0]
+        out.update(struct.unpack_from(f"<{n}Q", data, at + 4))
+        at += 4 + 8 * n
+    return sorted(out - {0})
 
 
 class BamReader(DataSourceReader):
-    """A partition a file; filters on flags, lengths and names are left to Spark."""
+    """Where an index (.bai) lies beside a file, a partition has about ``split`` compressed bytes; else a whole file. Filters
+    are left to Spark. A file without its last, empty block is cut off and an error, unless ``complete`` is False."""
 
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], split: int = SPLIT_BYTES, complete: bool = True):
+        self.paths, self.split, self.complete = paths, split, complete
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        out = []
+        for path in self.paths:
+            cuts: list = [None]
+            for name in (path + ".bai", path.removesuffix(".bam") + ".bai"):
+                try:
+                    with _open(name) as f:
+                        places = index_places(f.read())
+                except FileNotFoundError:
+                    continue
+                last = 0
+                for v in places:
+                    if (v >> 16) - last >= self.split:
+                        cuts.append(v)
+                        last = v >> 16
+                break
+            out += [InputPartition((path, a, b)) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+        return out
 
     def read(self, partition):
-        with gzip.open(_open(partition.value)) as stream:  # BGZF blocks are gzip members
-            yield from parse_bam(stream)
+        path, begin, end = partition.value
+        with _open(path) as file:
+            if self.complete and (file.size() < len(LAST_BLOCK) or file.read_at(len(LAST_BLOCK), file.size() - len(LAST_BLOCK)) != LAST_BLOCK):
+                raise ValueError(f"{path}: the file is cut off")
+            stream = Blocks(file)
+            names = [n for n, _ in parse_header(stream)[1]]
+            if begin is not None:
+                stream = Blocks(file, begin)
+            rows = []
+            while (at := stream.begins()) is not None and (end is None or at < end):
+                size = struct.unpack("<i", stream.read(4))[0]
+                d = stream.read(size)
+                if len(d) < size:
+                    raise ValueError(f"{path}: a record is cut off")
+                rows.append(parse_record(d, names))
+                if len(rows) == ROWS:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    text = pa.map_(pa.string(), pa.string())
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), text, text]
+    names = [c.split()[0] for c in READS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _paths(options) -> list[str]:
+    paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
+    if not paths:
+        raise ValueError("a BAM source needs a path")
+    return [check_path(p) for p in paths]
 
 
 class BamSource(DataSource):
-    """spark.read.format("bam").load(path), or .option("paths", "a,b")."""
+    """spark.read.format("bam").load(path), or .option("paths", "a,b"). Options split (bytes) and complete (false: take a
+    file that has no last block)."""
 
     @classmethod
     def name(cls):
@@ -117,10 +240,35 @@ class BamSource(DataSource):
         return READS
 
     def reader(self, schema):
-        paths = [p for p in (self.options.get("paths") or self.options.get("path") or "").split(",") if p]
-        if not paths:
-            raise ValueError("a BAM source needs a path")
-        return BamReader([check_path(p) for p in paths])
+        complete = str(self.options.get("complete", "true")).lower() != "false"
+        return BamReader(_paths(self.options), int(self.options.get("split", SPLIT_BYTES)), complete)
+
+
+class BamHeaderReader(BamReader):
+    def partitions(self):
+        return [InputPartition(p) for p in self.paths]
+
+    def read(self, partition):
+        with _open(partition.value) as file:
+            text, contigs = parse_header(Blocks(file))
+        lines = text.splitlines()
+        if not any(x.startswith("@SQ") for x in lines):
+            lines += [f"@SQ\tSN:{n}\tLN:{size}" for n, size in contigs]
+        yield from ((x,) for x in lines)
+
+
+class BamHeaderSource(BamSource):
+    """The header's lines, as in SAM."""
+
+    @classmethod
+    def name(cls):
+        return "bam_header"
+
+    def schema(self):
+        return "value string"
+
+    def reader(self, schema):
+        return BamHeaderReader(_paths(self.options))
 
 
 class FastaReader(DataSourceReader):
@@ -163,6 +311,7 @@ class FastaSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamSource)
+    spark.dataSource.register(BamHeaderSource)
     spark.dataSource.register(FastaSource)
 
 
@@ -172,3 +321,17 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
         register(spark)
         return spark.read.format("bam").load(path)
     return read_sam(spark, path)
+
+
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """The header's lines, column value, in order where the file is one."""
+    if path.endswith(".bam"):
+        register(spark)
+        return spark.read.format("bam_header").load(check_path(path))
+    return spark.read.text(check_path(path)).where("startswith(value, '@')")
+
+
+def contigs(header: DataFrame) -> DataFrame:
+    """rname, length of the header's contigs."""
+    part = lambda k: F.regexp_extract("value", rf"\t{k}:([^\t]*)", 1)
+    return header.where("startswith(value, '@SQ')").select(part("SN").alias("rname"), part("LN").cast("long").alias("length"))

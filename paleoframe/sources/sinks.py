@@ -118,12 +118,34 @@ def write_reads(scored: DataFrame, path: str) -> None:
     scored.write.mode("overwrite").parquet(path)
 
 
-def sam_lines(scored: DataFrame, tags: tuple[str, ...] = ("AN", "AO", "PD")) -> DataFrame:
-    """SAM records, with float tags, of reads that have the columns of the READS schema."""
+TAGS = ("AN", "AO", "PD")
+
+
+def sam_lines(scored: DataFrame, tags: tuple[str, ...] = TAGS) -> DataFrame:
+    """SAM records of scored alignments: nulls as *, the reads' own tags, then the scores as float tags."""
     own = [c for c in tags if c in scored.columns]
-    extra = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:f:"), F.col(c).cast("string"))) for c in own]
-    qual = F.array_join(F.transform("qual", lambda q: F.char(q + 33)), "")
-    return scored.select(
-        F.concat_ws("\t", "qname", F.col("flag").cast("string"), "rname", (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), "cigar",
-                    F.lit("*"), F.lit("0"), F.lit("0"), "seq", qual, *extra).alias("value")
-    )
+    star = lambda c: F.coalesce(c, F.lit("*"))
+    kind = F.col("tag_types") if "tag_types" in scored.columns else F.create_map().cast("map<string,string>")
+    entries = F.filter(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin(*tags))
+    kept = F.transform(entries, lambda e: F.concat_ws(":", e["key"], F.coalesce(F.try_element_at(kind, e["key"]), F.lit("Z")), e["value"]))
+    scores = F.array_compact(F.array(*[F.concat(F.lit(f"{c}:f:"), F.col(c).cast("string")) for c in own])) if own else F.array().cast("array<string>")
+    qual = F.when((F.size("qual") > 0) & (F.try_element_at("qual", F.lit(1)) != 255), F.array_join(F.transform("qual", lambda q: F.char(q + 33)), ""))
+    fields = [
+        star(F.col("qname")), F.col("flag").cast("string"), star(F.col("rname")), (F.coalesce("pos", F.lit(-1)) + 1).cast("string"), F.coalesce("mapq", F.lit(255)).cast("string"),
+        star(F.col("cigar")), F.lit("*"), F.lit("0"), F.lit("0"), star(F.col("seq")), star(qual),
+    ]
+    return scored.select(F.concat_ws("\t", *fields, kept, scores).alias("value"))
+
+
+def write_sam(scored: DataFrame, header: list[str], path: str) -> None:
+    """A folder of SAM files, one a task, each beginning with the header, so that each is a file that any tool reads."""
+    top = [*[x for x in header if not x.startswith("@PG\tID:paleoframe\t")], "@PG\tID:paleoframe\tPN:paleoframe\tVN:1.0"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(top)], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    sam_lines(scored).mapInArrow(run, "value string").write.mode("overwrite").text(path)

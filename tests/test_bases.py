@@ -68,3 +68,61 @@ def test_intervals(spark):
     bed = spark.createDataFrame([("c", 5, 10), ("c", 6, 40000)], "chrom string, start long, end long")
     reads = spark.createDataFrame([(p, "c", p) for p in (4, 5, 9, 39999, 40000)] + [(99, "d", 7)], "id long, rname string, pos long")
     assert sorted(r.id for r in REF.within(reads, bed).collect()) == [5, 9, 39999]
+
+
+def plain_reference(source, cigar, other, seq):
+    """One base after the other."""
+    import re
+
+    code = lambda c: "ACGT".find(c.upper()) if c.upper() in "ACGT" else 4
+    if source == "md":
+        under = []
+        for number, gone, base in re.findall(r"(\d+)|(\^[A-Za-z]+)|([A-Za-z])", other):
+            under += [None] * int(number) if number else [] if gone else [code(base)]
+    out, at, place = [], 0, 0
+    for n, op in re.findall(r"(\d+)([MIDS])", cigar):
+        for _ in range(int(n)):
+            if op == "M":
+                if source == "md":
+                    out.append(code(seq[at]) if under[place] is None else under[place])
+                else:
+                    out.append(code(other[place]) if place < len(other) else 4)
+            elif op in "IS":
+                out.append(4)
+            at += op in "MIS"
+            place += op == "M" or (op == "D" and source != "md")
+    return out
+
+
+def test_references_of_many_reads_at_once():
+    import random
+
+    rng = random.Random(4)
+    rows = {"md": [], "bases": []}
+    for _ in range(300):
+        ops, md, run, seq, ref = [], "", 0, "", ""
+        for k in range(rng.randint(1, 6)):
+            op, n = rng.choice("MMMIDS" if k else "MMS"), rng.choice([1, 2, 5, 12])
+            if ops and ops[-1][1] == op:
+                continue
+            ops.append((n, op))
+            bases = "".join(rng.choice("ACGTNacgt") for _ in range(n))
+            if op in "MIS":
+                seq += bases
+            if op == "M":
+                for c in bases:
+                    if rng.random() < 0.3:
+                        md, run = f"{md}{run}{(x := rng.choice('ACGTN'))}", 0
+                        ref += x
+                    else:
+                        run, ref = run + 1, ref + c
+            elif op == "D":
+                md, run = f"{md}{run}^{bases.upper().replace('N', 'A')}", 0
+                ref += bases
+        cigar = "".join(f"{n}{o}" for n, o in ops)
+        if seq:
+            rows["md"].append((cigar, f"{md}{run}", seq))
+            rows["bases"].append((cigar, ref[: rng.choice([len(ref), len(ref) - 1])], seq))
+    for source, own in rows.items():
+        ref, read, sizes = A.reference_under(source, *map(list, zip(*own, strict=True)))
+        assert ref.tolist() == [x for r in own for x in plain_reference(source, *r)] and sizes.tolist() == [len(r[2]) for r in own]

@@ -1,11 +1,12 @@
 import gzip
 import struct
+import zlib
 
 import numpy as np
 import pytest
 
 from paleoframe import api
-from paleoframe.schema import CELLS, Options
+from paleoframe.schema import CELLS, READS, Options
 from paleoframe.sources import alignments, sinks, tables
 
 #: A small published count table (CC, CT at the 5' end; GG, GA at the 3' end), positions 1 to 15.
@@ -86,17 +87,93 @@ def bam(records):
 
 def test_bam_and_sam_give_the_same_rows(spark, tmp_path):
     records = [("r1", 0, 4, [("M", 5)], "ACGTN", [30] * 5, "5"), ("r2", 16, 9, [("S", 1), ("M", 3)], "ACGT", [20, 21, 22, 23], "1A1")]
-    (tmp_path / "x.bam").write_bytes(gzip.compress(bam(records)[:40]) + gzip.compress(bam(records)[40:]))
+    (tmp_path / "x.bam").write_bytes(gzip.compress(bam(records)[:40]) + gzip.compress(bam(records)[40:]) + alignments.LAST_BLOCK)
+    (tmp_path / "cut.bam").write_bytes(gzip.compress(bam(records)))
     lines = ["@HD\tVN:1.6"]
     for name, flag, pos, cigar, seq, qual, md in records:
         c = "".join(f"{n}{o}" for o, n in cigar)
-        lines.append("\t".join([name, str(flag), "c1", str(pos + 1), "37", c, "*", "0", "0", seq, "".join(chr(q + 33) for q in qual), f"MD:Z:{md}", "NM:i:1", "XB:B:1,-2"]))
+        lines.append("\t".join([name, str(flag), "c1", str(pos + 1), "37", c, "*", "0", "0", seq, "".join(chr(q + 33) for q in qual), f"MD:Z:{md}", "NM:i:1", "XB:B:c,1,-2"]))
     (tmp_path / "x.sam").write_text("\n".join(lines) + "\n")
     a = alignments.read_alignments(spark, str(tmp_path / "x.bam")).orderBy("qname").collect()
     b = alignments.read_alignments(spark, str(tmp_path / "x.sam")).orderBy("qname").collect()
     assert [r.asDict() for r in a] == [r.asDict() for r in b]
     with pytest.raises(ValueError):
         alignments.read_alignments(spark, "x.cram")
+    with pytest.raises(Exception, match="cut off"):
+        alignments.read_alignments(spark, str(tmp_path / "cut.bam")).count()
+    assert spark.read.format("bam").option("complete", "false").load(str(tmp_path / "cut.bam")).count() == 2
+    found = alignments.contigs(alignments.read_header(spark, str(tmp_path / "x.bam"))).collect()
+    assert [tuple(r) for r in found] == [("c1", 1000)]
+
+
+def block(data):
+    """A BGZF block: a gzip member that tells its size."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    head = bytes.fromhex("1f8b08040000000000ff0600424302") + b"\0" + struct.pack("<H", len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def test_an_indexed_bam_is_split(spark, tmp_path):
+    records = [(f"r{k}", 0, k, [("M", 40)], "ACGT" * 10, [30] * 40, "40") for k in range(300)]
+    data, place = bam(records), {}
+    first = data.index(b"c1\0") + 7
+    at, starts = first, []
+    while at < len(data):
+        starts.append(at)
+        at += 4 + struct.unpack_from("<i", data, at)[0]
+    out = b""
+    for k in range(0, len(data), 1000):  # records lie across blocks
+        for s in starts:
+            if k <= s < k + 1000:
+                place[s] = len(out) << 16 | (s - k)
+        out += block(data[k : k + 1000])
+    (tmp_path / "x.bam").write_bytes(out + alignments.LAST_BLOCK)
+    chosen = [place[s] for s in starts[::7]]
+    index = b"BAI\x01" + struct.pack("<iiIiQQIiQQi", 1, 2, 4681, 1, chosen[0], chosen[-1], 37450, 1, 5, 9, len(chosen)) + struct.pack(f"<{len(chosen)}Q", *chosen)
+    (tmp_path / "x.bam.bai").write_bytes(index)
+    alignments.register(spark)
+    df = spark.read.format("bam").option("split", 800).load(str(tmp_path / "x.bam"))
+    assert df.rdd.getNumPartitions() > 3 and sorted(r.pos for r in df.select("pos").collect()) == list(range(300))
+
+
+def test_reads_are_neither_lost_nor_multiplied(spark):
+    chunks = spark.createDataFrame([("c", 0, "ACGT" * 50)], "rname string, chunk_id long, seq string")
+    seq = "ACGT" * 10
+    rows = [("r", 0, "c", 4, 37, c, seq, [30] * 40, {}, {}) for c in ("40M", "30M10S", "40M")]
+    reads = spark.createDataFrame(rows, READS)
+    got = api.align(reads, chunks).collect()
+    assert sorted(r.cigar for r in got) == ["30M10S", "40M", "40M"]
+    assert all(list(r.ref[:30]) == [0, 1, 2, 3] * 7 + [0, 1] for r in got)
+    other = spark.createDataFrame([("r", 0, "d", 4, 37, "40M", seq, [30] * 40, {}, {})], READS)
+    with pytest.raises(Exception, match="no reference at d:4"):
+        api.align(reads.unionByName(other), chunks).collect()
+
+
+def test_command_line_writes_alignments(spark, tmp_path, capsys):
+    rng = np.random.default_rng(8)
+    lines = ["@HD\tVN:1.6", "@SQ\tSN:c1\tLN:9000"]
+    for k in range(300):
+        n = int(rng.integers(35, 100))
+        seq = "".join(rng.choice(list("ACGT"), n))
+        at = seq.find("T")
+        md = f"{at}C{n - at - 1}" if k % 3 == 0 and 0 <= at < 8 else str(n)
+        lines.append("\t".join([f"r{k}", "0", "c1", str(k + 1), "37", f"{n}M", "*", "0", "0", seq, "*" if k == 5 else "I" * n, f"MD:Z:{md}", "XB:B:c,1,-2", "NM:i:1"]))
+    (tmp_path / "x.sam").write_text("\n".join(lines) + "\n")
+    x, out = str(tmp_path / "x.sam"), str(tmp_path / "out.sam")
+    assert api.main(["-bam", x, "-ibam", x, "-obam", out, "-eps", "0.1", "-olen", str(tmp_path / "len"), "-oinf", str(tmp_path / "inf"), "-otab", str(tmp_path / "tab")]) == 0
+    said = capsys.readouterr().out
+    assert "5' C>T:" in said and "lambda: " in said
+    back = alignments.read_sam(spark, out).orderBy("pos").collect()
+    first = alignments.read_sam(spark, x).orderBy("pos").collect()
+    same = ("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual")
+    assert [[r[c] for c in same] for r in back] == [[r[c] for c in same] for r in first]
+    for a, b in zip(back, first, strict=True):
+        assert {k: v for k, v in a.tags.items() if k not in sinks.TAGS} == b.tags and a.tag_types["XB"] == "B" and a.tag_types["AN"] == "f"
+        assert 0 <= float(a.tags["AN"]) <= 1 and 0 <= float(a.tags["PD"]) <= 1
+    assert [tuple(r) for r in alignments.contigs(alignments.read_header(spark, out)).distinct().collect()] == [("c1", 9000)]
+    assert [r.value for r in spark.read.text(str(tmp_path / "len")).collect()][0].split("\t")[0] == "35"
+    assert spark.read.text(str(tmp_path / "tab")).count() == 31 and spark.read.text(str(tmp_path / "inf")).head()[0].startswith("lambda")
 
 
 def test_fasta_and_whole_run(spark, tmp_path):
