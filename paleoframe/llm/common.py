@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch. Texts of a few kB keep a batch at a few MB; numpy code cuts batches again by size.
 ARROW_ROWS = 1000
 
+#: Names of columns that operators add to a user's rows for themselves begin with this.
+OWN = "__pf_"
+
 _made: dict[str, str] = {}
 
 
@@ -34,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _made:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="paleoframe-")
         _made[app] = f"{base.rstrip('/')}/paleoframe-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _made[app])

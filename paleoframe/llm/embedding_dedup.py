@@ -1,21 +1,27 @@
 """Embedding near-duplicates: random-hyperplane sign hashing, exact cosine verification, connected components.
 
-Equal vectors of a label are one class first, so a vector that is everywhere is hashed once. Each class gets TABLES
-signatures of PLANES signs. Classes meet in buckets (table, label, signature); a bucket over BUCKET_ROWS is dealt into
-blocks by a hash, and pairs of blocks meet in cells, so every pair of a large bucket is still compared, in many tasks.
-Pairs are verified with cosines in double precision. A pair that meets in several tables is counted in the first one,
-which both sides can tell from their signatures. Only link counts and edges of spanning forests leave a task.
-
-At cosine 0.98 two vectors meet in some table with probability 1 - (1 - (1 - acos(0.98) / pi) ** PLANES) ** TABLES,
-over 0.9999; the more similar, the surer.
+Equal vectors of a label are one class first (by 128 bits of hash, computed by Spark), so a vector that is everywhere is
+hashed once. Each class gets ``tables`` signatures of ``planes`` signs. Both follow the data: planes grow with the
+logarithm of the largest label, so that vectors that are not alike rarely meet, and tables so that two vectors at the
+limit meet nowhere with a probability of MISS at most; the more similar, the surer.
+
+Ids go first: (bucket, class) rows show which buckets have two classes or more, and of buckets with the same classes in
+several tables only the first is kept, as it shows the same pairs. Only then vectors are sent to what is left. A bucket
+over BUCKET_ROWS is dealt into blocks, and pairs of blocks meet in cells, so every pair of a large bucket is still
+compared, in many tasks. Pairs are verified with cosines in double precision. A pair that meets in several tables is
+counted in the first one, which both sides can tell from their signatures. Only link counts and edges of spanning forests
+leave a task.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows with a null label or id,
 link with nothing; vectors of different lengths do not link; equal rows are copies of each other and link; a row without
-links is its own component; for a null id component_id is null and kept is true; an empty table gives no rows.
+links is its own component; for a null id component_id is null and kept is true; rows with one id and different vectors
+are one node of the graph; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,20 +31,29 @@ from . import common
 from .graph import connected_components, local_roots, whole_groups
 
 LEAST_COSINE = 0.98
-TABLES, PLANES, SEED = 16, 12, 11
+SEED, MISS = 11, 1e-3
+#: Planes beyond the logarithm of a label's classes, and the most of them.
+MORE_PLANES, MOST_PLANES = 6, 30
 BUCKET_ROWS = 1024
 #: Cosines of products of normalised vectors are a little off; pairs this near to the limit are computed again.
 SLACK = 1e-9
 
 
-def planes(dim: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, TABLES * PLANES))
+def plan(classes: int, miss: float = MISS) -> tuple[int, int]:
+    """(tables, planes) for labels of at most so many classes."""
+    planes = min(MOST_PLANES, max(1, math.ceil(math.log2(max(1, classes)))) + MORE_PLANES)
+    meet = (1 - math.acos(LEAST_COSINE) / math.pi) ** planes
+    return math.ceil(math.log(miss) / math.log(1 - meet)), planes
 
 
-def signatures(x: np.ndarray) -> np.ndarray:
-    """[vector, table] -> PLANES bits."""
-    signs = (x @ planes(x.shape[1]) > 0).reshape(len(x), TABLES, PLANES)
-    return (signs @ (1 << np.arange(PLANES))).astype(np.int16)
+def signatures(x: np.ndarray, tables: int, planes: int) -> np.ndarray:
+    """[vector, table] -> signs as bits of a number."""
+    normal = np.random.default_rng([SEED, x.shape[1]]).standard_normal((x.shape[1], tables * planes))
+    out = np.empty((len(x), tables), np.int32)
+    for a in range(0, len(x), 4096):
+        signs = (x[a : a + 4096] @ normal > 0).reshape(-1, tables, planes)
+        out[a : a + 4096] = signs @ (1 << np.arange(planes))
+    return out
 
 
 def _exact(x: np.ndarray, norm: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -80,46 +95,71 @@ def cell_pairs(cell: np.ndarray, side: np.ndarray, mixed: np.ndarray, x: np.ndar
     return i[ok], j[ok]
 
 
+def keyed(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, v and the two hashes of v, which are null where it can link with nothing."""
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<float>").alias("v"))
+    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    able = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & ~F.forall("v", lambda c: c == 0)
+    return rows.withColumns({"d1": F.when(able, F.xxhash64("v")), "d2": F.when(able, F.xxhash64(F.lit(SEED), "v"))})
+
+
 def classes(rows: DataFrame) -> DataFrame:
-    """label, v, rep (smallest id), m (rows) of each class of equal vectors that can link."""
-    e = F.col("v")
-    finite = F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    able = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & e.isNotNull() & finite
-    zero = F.forall(e, lambda c: c == 0)
-    return rows.where(able & ~zero).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
+    """label, d1, d2, dim, v, rep (smallest id), m (rows) of each class of equal vectors that can link. Partial sums before
+    the shuffle, so a very common vector moves once a task."""
+    return (
+        rows.where("d1 IS NOT NULL AND d2 IS NOT NULL")
+        .groupBy("label", "d1", "d2")
+        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
+        .withColumn("dim", F.size("v"))
+    )
 
 
-def near_vectors(own: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """rep, links, root: in every cell, linked rows of other classes and a representative of the linked ones."""
-    spark = own.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets(own: DataFrame, tables: int, planes: int) -> DataFrame:
+    """key, t, rep, n: the classes of each bucket that has n of them, two or more; a written table of ids."""
 
     def sign(batches):
         for batch in batches:
             lists = batch.column("v")
-            lens = np.diff(lists.offsets.to_numpy())
-            sig = [None] * len(lens)
+            lens = lists.value_lengths().to_numpy()
+            sig = np.zeros((len(lens), tables), np.int32)
             for d in np.unique(lens):
                 at = np.flatnonzero(lens == d)
-                got = signatures(lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), d).astype(np.float64))
-                for i, s in zip(at, got, strict=True):
-                    sig[i] = s
-            flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int16), pa.int16())
-            offsets = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * TABLES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat)], [*batch.schema.names, "sig"])
-
-    signed = own.select("label", "v", "rep", "m").mapInArrow(sign, "label int, v array<float>, rep long, m long, sig array<smallint>")
-    rows = signed.select("*", F.posexplode("sig").alias("t", "s")).withColumn("dim", F.size("v"))
-    bucket = ["label", "dim", "t", "s"]
-    large = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
-    blocks = F.coalesce(F.ceil(F.col("n") / bucket_rows), F.lit(1)).cast("int")
+                sig[at] = signatures(lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), d).astype(np.float64), tables, planes)
+            offsets = pa.array(np.arange(len(lens) + 1, dtype=np.int32) * tables)
+            kept = [batch.column(c) for c in ("label", "dim", "rep")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, pa.array(sig.reshape(-1)))], ["label", "dim", "rep", "sig"])
+
+    signed = own.select("label", "dim", "rep", "v").mapInArrow(sign, "label int, dim int, rep long, sig array<int>")
+    rows = signed.select("*", F.posexplode("sig").alias("t", "s")).select(F.xxhash64("label", "dim", "t", "s").alias("key"), "t", "rep")
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return common.written(rows.join(several.hint("merge"), "key"), "vector-buckets")
+
+
+def different_sets(met: DataFrame) -> DataFrame:
+    """Of buckets with the same classes the one of the first table."""
+    own = met.groupBy("key").agg(
+        F.min("t").alias("t"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "rep")).alias("y")
+    )
+    first = own.groupBy("n", "x", "y").agg(F.min(F.struct("t", "key")).alias("k")).select(F.col("k.key").alias("key"))
+    return met.join(first, "key")
+
+
+def near_vectors(own: DataFrame, bucket_rows: int = BUCKET_ROWS, miss: float = MISS) -> DataFrame:
+    """rep, links, root: in every cell, linked rows of other classes and a representative of the linked ones."""
+    spark = own.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = own.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+    tables, planes = plan(most, miss)
+    met = buckets(own, tables, planes)
+    blocks = F.ceil(F.col("n") / bucket_rows).cast("int")
     dealt = (
-        rows.join(large, bucket, "left")
+        different_sets(met)
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("cell", F.xxhash64(*bucket, F.least("block", "other"), F.greatest("block", "other")))
-        .select("cell", "t", "block", (F.col("block") != F.col("other")).alias("moved"), "label", "dim", "rep", "m", "v", "sig")
+        .withColumn("cell", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+        .select("cell", "t", "block", (F.col("block") != F.col("other")).alias("moved"), "rep")
+        .join(own.select("rep", "label", "dim", "m", "v"), "rep")
     )
 
     def compare(batches):
@@ -128,9 +168,8 @@ def near_vectors(own: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
             for d in np.unique(dims):
                 part = t.filter(pa.array(dims == d)).combine_chunks()
                 cell, block = part.column("cell").to_numpy(), part.column("block").to_numpy()
-                flat = lambda c: part.column(c).combine_chunks().flatten().to_numpy()  # noqa: B023, E731
-                x = flat("v").reshape(-1, d).astype(np.float64)
-                sig = flat("sig").reshape(-1, TABLES)
+                x = part.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.float64)
+                sig = signatures(x, tables, planes)
                 table, rep, m = (part.column(c).to_numpy() for c in ("t", "rep", "m"))
                 # a cell of two blocks has rows of both; a row of the cell (b, b) has not moved
                 mixed = part.column("moved").to_numpy(zero_copy_only=False)
@@ -140,7 +179,7 @@ def near_vectors(own: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
                 met = sig[at, table]  # cells are told apart by a hash; were two to share one, their rows still don't link
                 ok = (label[i] == label[j]) & (table[i] == table[j]) & (met[i] == met[j])
                 i, j = i[ok], j[ok]
-                earlier = (sig[i] == sig[j]) & (np.arange(TABLES)[None, :] < table[i][:, None])
+                earlier = (sig[i] == sig[j]) & (np.arange(tables)[None, :] < table[i][:, None])
                 first = ~earlier.any(1)
                 links = np.zeros(len(rep), np.int64)
                 np.add.at(links, i[first], m[j[first]])
@@ -150,30 +189,27 @@ def near_vectors(own: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
                 place[order] = np.arange(len(rep))
                 root = rep[order][local_roots(len(rep), place[i], place[j])][place]
                 told = np.flatnonzero((links > 0) | (root != rep))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rep[told]), pa.array(links[told]), pa.array(root[told])], ["rep", "links", "root"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(rep[told]), pa.array(links[told]), pa.array(root[told])], ["rep", "links", "root"])
 
-    return dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare, "rep long, links long, root long")
+    found = dealt.repartition(n, "cell").sortWithinPartitions("cell").select("cell", "t", "block", "moved", "label", "dim", "rep", "m", "v")
+    return common.written(found.mapInArrow(compare, "rep long, links long, root long"), "vector-links")
 
 
-def near_duplicates(vectors: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, bucket_rows: int = BUCKET_ROWS, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label)."""
-    spark = vectors.sparkSession
-    common.tune(spark)
-    rows = vectors.select(
-        F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<float>").alias("v")
-    )
+    common.tune(vectors.sparkSession)
+    rows = keyed(vectors)
     own = common.written(classes(rows), "vector-classes")
-    found = common.written(near_vectors(own, bucket_rows), "vector-links")
+    found = near_vectors(own, bucket_rows, miss)
     roots = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     told = (
-        own.join(links, "rep", "left")
+        own.select("label", "d1", "d2", "rep", "m")
+        .join(links, "rep", "left")
         .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root"))
+        .select("label", "d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root"))
     )
-    out = rows.join(told, ["label", "v"], "left").select(
+    out = rows.select("vec_id", "label", "d1", "d2").join(told, ["label", "d1", "d2"], "left").select(
         "vec_id",
         F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id")).alias("component_id"),
