@@ -78,13 +78,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def bucketed(df: DataFrame, column: str, what: str) -> DataFrame:
-    """``df``, which is dealt out by ``column`` already, as a table in as many buckets as a shuffle has partitions: joins
-    on the column then move only the other side."""
+def bucketed(df: DataFrame, by: str | list[str], what: str) -> DataFrame:
+    """``df``, which is dealt out by ``by`` already, as a table in as many buckets as a shuffle has partitions: joins
+    on these columns then move only the other side."""
     spark = df.sparkSession
     path, name = fresh(spark, what), f"paleoframe_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, column).saveAsTable(name)
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *([by] if isinstance(by, str) else by)).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its name only: the table is an external one
     out.written_path = path

@@ -7,19 +7,24 @@ and minus infinity otherwise, and the encoding is the one path of finite weight.
 
 * Texts of up to ``CHUNK_CHARS`` are cut at borders that no piece crosses (before a space, around a character that no
   longer piece contains); the units in between are solved once and kept in a bounded cache.
-* Longer texts are cut into chunks, which Spark spreads over tasks. A border inside a unit has a state: the piece that
-  reaches or crosses it. Every chunk gives a sparse max-plus matrix from entry to exit states, the matrices of a text are
-  combined by an associative scan, the states are traced back from the end, and every chunk is then solved by itself.
+* Longer texts are cut at fixed places into chunks of CHUNK_CHARS, which Spark spreads over tasks. A border has a state:
+  the piece that reaches or crosses it. Every chunk gives a max-plus matrix from entry to exit states, FAN neighbours at a
+  time are multiplied to one, round after round (up), then the states at the borders are traced back from the whole
+  text's to the chunks', round after round (down), and every chunk is solved by itself between its two states.
+  A chunk that has a border which no piece crosses has a matrix of rank one in max-plus: a vector of its entries and one
+  of its exits. So have products with such a factor, and the tables of matrices stay small.
 
 Normalisation is the model's own: identity, one space put in front, spaces written as U+2581. Decoding undoes this, so
 the round trip is exact for every text without U+2581, which decodes to a space.
 
 Defined results: a null or empty text has no pieces and decodes to ''; repeated rows are encoded each; ids pass through,
-null ones too; an empty table gives no rows; other columns are kept, but ``n_tokens`` and ``token_ids`` are replaced.
+null ones too; an empty table gives no rows; other columns are kept, but ``n_tokens`` and ``token_ids`` are replaced, and
+names that begin with ``__pf_`` are not for users.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import string
 import struct
@@ -36,14 +41,14 @@ from . import common
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
-#: A chunk ends at the first border that no piece crosses among so many characters, else at once.
-LOOK_AHEAD = 256
+#: Matrices that are multiplied in one step of the scan.
+FAN = 16
 CACHED_UNITS, CACHED_HEADS, CACHED_PAIRS, HEAD = 200_000, 80_000, 250_000, 6
 SPACE = "▁"
 #: Numbers of pieces: ids, then code points of characters without a piece, and the beginning.
 BITS, NO_PIECE = 22, 1 << 20
 BEGIN = (1 << BITS) - 1
-CLEAN = ("", 0)  # the state of a border that no piece crosses
+CLEAN = ("", 0)  # the state before the first and after the last chunk
 
 RESULT = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
 
@@ -221,20 +226,6 @@ class Pieces:
 
     # chunks
 
-    def split(self, s: str, most: int) -> list[tuple[int, int, bool]]:
-        """Chunks (begin, end, is the border at its end safe)."""
-        out, b = [], 0
-        while b < len(s):
-            e = b + most
-            if e >= len(s):
-                e, ok = len(s), True
-            else:
-                found = next((p for p in range(e, min(len(s), e + LOOK_AHEAD) + 1) if self.safe(s, p)), None)
-                e, ok = (e, False) if found is None else (found, True)
-            out.append((b, e, ok))
-            b = e
-        return out
-
     def _inner(self, s: str, b: int, e: int) -> tuple[int, int] | None:
         """The first and the last safe border strictly inside."""
         first = next((p for p in range(b + 1, e) if self.safe(s, p)), None)
@@ -249,38 +240,36 @@ class Pieces:
             if y > x and self.stands(s[x:y])
         ]
 
-    def exits(self, got: dict[int, str], e: int, limit: int, safe_out: bool) -> list[tuple[str, int]]:
-        if safe_out:
+    def exits(self, got: list[int], e: int, limit: int, last: bool) -> list[tuple[str, int]]:
+        if last:
             return [CLEAN] if got[e] >= 0 else []
         ends = ((p, self.name(got[p])) for p in range(e, min(limit, e + self.longest) + 1) if got[p] >= 0)
         return [(t, p - e) for p, t in ends if t and p - len(t) < e]
 
-    def transfer(self, s: str, b: int, e: int, safe_in: bool, safe_out: bool) -> dict:
-        """Max-plus matrix of the chunk s[b:e]: (entry, exit) -> score of the pieces that begin in it.
-
-        s has the chunk's neighbourhood of one piece's length on both sides.
+    def transfer(self, s: str, b: int, e: int, first: bool, last: bool) -> Matrix:
+        """Max-plus matrix of the chunk s[b:e], the first or last of its text or not: by entry and exit, the score of the
+        pieces that begin in it. s has the chunk's neighbourhood of one piece's length on both sides.
         """
-        starts = [CLEAN] if safe_in else self.entries(s, b)
-        ahead = e if safe_out else min(len(s), e + self.longest)
+        starts = [CLEAN] if first else self.entries(s, b)
+        ahead = e if last else min(len(s), e + self.longest)
         inner = self._inner(s, b, e)
-        out: dict = {}
         if inner is None:
             known: list[list] = []
+            cells: dict = {}
             for t, over in starts:
                 got = self.chain(s, b + over, t, ahead, known)
                 known.append(got)
-                for x in self.exits(got, e, ahead, safe_out):
-                    out[(t, over), x] = self._weight(got, b + over, e + x[1])
-            return out
+                for x in self.exits(got, e, ahead, last):
+                    cells[(t, over), x] = self._weight(got, b + over, e + x[1])
+            return Matrix(cells=cells)
         f, g = inner
-        tail = self.chain(s, g, "", ahead)
-        ends = {x: self._weight(tail, g, e + x[1]) for x in self.exits(tail, e, ahead, safe_out)}
+        left, tail = {}, self.chain(s, g, "", ahead)
+        right = {x: self._weight(tail, g, e + x[1]) for x in self.exits(tail, e, ahead, last)}
         for t, over in starts:
             got = self.chain(s, b + over, t, f) if b + over <= f else None
             if got and got[f] >= 0:
-                w = self._weight(got, b + over, f)
-                out.update({((t, over), x): w + v for x, v in ends.items()})
-        return out
+                left[t, over] = self._weight(got, b + over, f)
+        return Matrix(left=left, right=right)
 
     def _weight(self, got, begin, end) -> float:
         return float(sum(self.score.get(self.name(p), 0.0) for p in self.back(got, begin, end)))
@@ -309,28 +298,67 @@ class Pieces:
         return self.plain(b"".join(map(self.text.__getitem__, ids)))
 
 
-def compose(a: dict, b: dict) -> dict:
-    """Max-plus product of two sparse matrices."""
-    by: dict = {}
-    for (m, x), w in b.items():
-        by.setdefault(m, []).append((x, w))
-    out: dict = {}
-    for (e, m), v in a.items():
-        for x, w in by.get(m, ()):
-            if v + w > out.get((e, x), -np.inf):
-                out[e, x] = v + w
+class Matrix:
+    """A sparse max-plus matrix between states: cells {(entry, exit): score}, or of rank one, entries left and exits
+    right, with the score left[entry] + right[exit]."""
+
+    def __init__(self, cells: dict | None = None, left: dict | None = None, right: dict | None = None):
+        self.cells, self.left, self.right = cells, left, right
+
+    def __matmul__(self, other: Matrix) -> Matrix:
+        if self.cells is None and other.cells is None:
+            top = max((v + other.left[m] for m, v in self.right.items() if m in other.left), default=None)
+            return Matrix(left={} if top is None else {e: v + top for e, v in self.left.items()}, right=other.right)
+        if self.cells is None:
+            return Matrix(left=self.left, right=other.after(self.right)[0])
+        by: dict = {}
+        for (e, m), v in self.cells.items():
+            by.setdefault(e, {})[m] = v
+        if other.cells is None:
+            tops = {e: max((v + other.left[m] for m, v in row.items() if m in other.left), default=None) for e, row in by.items()}
+            return Matrix(left={e: v for e, v in tops.items() if v is not None}, right=other.right)
+        return Matrix(cells={(e, x): v for e, row in by.items() for x, v in other.after(row)[0].items()})
+
+    def after(self, vector: dict) -> tuple[dict, dict]:
+        """The scores of the exits after those of the entries, and the entry that each comes from."""
+        if self.cells is None:
+            top = max(((v + self.left[m], m) for m, v in vector.items() if m in self.left), default=None)
+            return ({}, {}) if top is None else ({x: top[0] + v for x, v in self.right.items()}, dict.fromkeys(self.right, top[1]))
+        score: dict = {}
+        back: dict = {}
+        for (m, x), w in self.cells.items():
+            if m in vector and (x not in score or vector[m] + w > score[x]):
+                score[x], back[x] = vector[m] + w, m
+        return score, back
+
+    def dump(self) -> str:
+        flat = lambda d: [[*k, v] for k, v in d.items()]
+        return json.dumps([flat(self.left), flat(self.right)] if self.cells is None else [[*a, *b, v] for (a, b), v in self.cells.items()] + [None])
+
+    @classmethod
+    def load(cls, text: str) -> Matrix:
+        x = json.loads(text)
+        if x and x[-1] is None:
+            return cls(cells={((a, i), (b, j)): v for a, i, b, j, v in x[:-1]})
+        return cls(left={(p, o): v for p, o, v in x[0]}, right={(p, o): v for p, o, v in x[1]})
+
+
+def product(matrices: list[Matrix]) -> Matrix:
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = out @ m
     return out
 
 
-def borders(matrices: list[dict]) -> list[tuple[str, int]]:
-    """The states before each chunk and after the last of a text: prefix products, then a trace from the end."""
-    prefix = [matrices[0]]
-    for m in matrices[1:]:
-        prefix.append(compose(prefix[-1], m))
-    states = [CLEAN]
-    for k in range(len(matrices) - 1, -1, -1):
-        reach = {CLEAN: 0.0} if k == 0 else {x: v for (_, x), v in prefix[k - 1].items()}
-        states.append(max((v + reach[m], m) for (m, x), v in matrices[k].items() if x == states[-1] and m in reach)[1])
+def borders(matrices: list[Matrix], entry: tuple[str, int] = CLEAN, exit: tuple[str, int] = CLEAN) -> list[tuple[str, int]]:
+    """The states before each of the matrices and after the last: those of the best path from ``entry`` to ``exit``."""
+    vector, backs = {entry: 0.0}, []
+    for m in matrices:
+        vector, back = m.after(vector)
+        backs.append(back)
+    states = [exit]
+    for back in reversed(backs):
+        states.append(back[states[-1]])
     return states[::-1]
 
 
@@ -357,7 +385,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, chunk_chars: int = CHU
     """``docs`` with n_tokens and token_ids of its column text."""
     common.tune(docs.sparkSession)
     model = Path(model_path).read_bytes()
-    names = [f.name for f in docs.schema.fields if f.name not in ("n_tokens", "token_ids")]
+    names = [c for c in docs.columns if c not in ("n_tokens", "token_ids")]
     base = docs.select(*names)
     schema = T.StructType(base.schema.fields + RESULT)
     long_text = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
@@ -376,93 +404,105 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, chunk_chars: int = CHU
     return near.unionByName(_encode_long(base.where(long_text), model, chunk_chars, names, schema))
 
 
-def _encode_long(docs: DataFrame, model: bytes, chunk_chars: int, names: list[str], schema: T.StructType) -> DataFrame:
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part_of = T.StructType(
-        [T.StructField("key", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("slice", T.StringType())]
-        + [T.StructField(c, T.IntegerType()) for c in ("b", "e")]
-        + [T.StructField(c, T.BooleanType()) for c in ("safe_in", "safe_out")]
-    )
+KEY = common.OWN + "key"
+_STATE = "struct<piece:string,over:int>"
+_ARROW_STATE = pa.struct([("piece", pa.string()), ("over", pa.int32())])
+
+
+def _pair(x) -> tuple[str, int]:
+    return x["piece"], x["over"]
+
+
+def chunks_of(rows: DataFrame, model: bytes, chunk_chars: int) -> DataFrame:
+    """key, k, slice, b, e, last of each chunk of the texts of ``rows`` (key, text): s[b:e] of a slice that has a piece's
+    length more on both sides. In buckets by (key, k), so that what comes back to a chunk doesn't move its text."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
+    names = ["key", "k", "slice", "b", "e", "last"]
 
     def split(batches):
         p = _pieces(model)
-        names_ = part_of.fieldNames()
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s, ok, rows = normalise(text), True, []
-                for k, (b, e, ok_out) in enumerate(p.split(s, chunk_chars)):
-                    x = max(0, b - p.longest)
-                    rows.append((key, k, s[x : e + p.longest], b - x, e - x, ok, ok_out))
-                    ok = ok_out
-                for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_pylist([dict(zip(names_, r, strict=True)) for r in rows[i : i + 64]], schema=arrow_part)
-
-    kinds = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    arrow_part = pa.schema([(f.name, kinds[f.dataType.typeName()]) for f in part_of.fields])
-    # the rows and their chunks are written once: the row keys must not change between the passes
-    rows = common.written(docs.withColumn("key", F.monotonically_increasing_id()), "pieces-rows")
-    chunks = common.written(rows.select("key", "text").mapInArrow(split, part_of).repartition(n, "key", "k"), "pieces-chunks")
-
-    state = "struct<piece:string,over:int>"
-    cell = f"array<struct<entry:{state},exit:{state},score:double>>"
-
-    def transfers(batches):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s, own = normalise(text), []
+                for k, b in enumerate(range(0, len(s), chunk_chars)):
+                    e, x = min(len(s), b + chunk_chars), max(0, b - p.longest)
+                    own.append((key, k, s[x : e + p.longest], b - x, e - x, e == len(s)))
+                for i in range(0, len(own), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own[i : i + 64], strict=True), kinds, strict=True)], names)
+
+    cut = rows.mapInArrow(split, "key long, k int, slice string, b int, e int, last boolean")
+    return common.bucketed(cut.repartition(n, "key", "k"), ["key", "k"], "pieces-chunks")
+
+
+def chunk_matrices(chunks: DataFrame, model: bytes) -> DataFrame:
+    """key, k, m: the matrix of every chunk."""
+
+    def run(batches):
         p = _pieces(model)
         for batch in batches:
-            rows = batch.to_pylist()
-            cells = []
-            for r in rows:
-                m = p.transfer(r["slice"], r["b"], r["e"], r["safe_in"], r["safe_out"])
-                cells.append([{"entry": {"piece": a[0], "over": a[1]}, "exit": {"piece": x[0], "over": x[1]}, "score": v} for (a, x), v in m.items()])
-            st = pa.struct([("piece", pa.string()), ("over", pa.int32())])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("k"), pa.array(cells, pa.list_(pa.struct([("entry", st), ("exit", st), ("score", pa.float64())])))],
-                ["key", "k", "cells"],
-            )
-
-    def scan(batches):
-        st = pa.struct([("piece", pa.string()), ("over", pa.int32())])
-        pair = lambda x: (x["piece"], x["over"])
+            m = [p.transfer(r["slice"], r["b"], r["e"], r["k"] == 0, r["last"]).dump() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(m, pa.string())], ["key", "k", "m"])
+
+    return chunks.mapInArrow(run, "key long, k int, m string")
+
+
+def _fans(level: DataFrame) -> DataFrame:
+    """key, k, ms: up to FAN neighbours of a level, under their number in the next one."""
+    up = F.floor(F.col("k") / FAN).cast("int").alias("k")
+    return level.select("key", up, F.struct(F.col("k").alias("at"), "m").alias("x")).groupBy("key", "k").agg(F.sort_array(F.collect_list("x")).alias("ms"))
+
+
+def border_states(matrices: DataFrame) -> DataFrame:
+    """key, k, entry, exit: the states around every chunk, by a scan up and down trees of fan FAN."""
+
+    def multiply(batches):
+        for batch in batches:
+            m = [product([Matrix.load(x["m"]) for x in ms]).dump() for ms in batch.column("ms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(m, pa.string())], ["key", "k", "m"])
+
+    def trace(batches):
         for batch in batches:
-            for key, ms in zip(batch.column("key").to_pylist(), batch.column("ms").to_pylist(), strict=True):
-                keys, ks, ins, outs, run = [], [], [], [], []
-                for i, m in enumerate(ms):
-                    run.append(m)
-                    if i + 1 == len(ms) or ms[i + 1]["safe_in"]:  # a stretch of chunks between safe borders
-                        got = borders([{(pair(c["entry"]), pair(c["exit"])): c["score"] for c in x["cells"]} for x in run])
-                        for x, a, z in zip(run, got, got[1:], strict=False):
-                            keys.append(key), ks.append(x["k"])
-                            ins.append({"piece": a[0], "over": a[1]}), outs.append({"piece": z[0], "over": z[1]})
-                        run = []
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ks, pa.int32()), pa.array(ins, st), pa.array(outs, st)], ["key", "k", "entry", "exit"])
-
-    open_chunks = chunks.where("NOT (safe_in AND safe_out)")
-    states = (
-        open_chunks.mapInArrow(transfers, f"key long, k int, cells {cell}")
-        .join(open_chunks.select("key", "k", "safe_in"), ["key", "k"])
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "safe_in", "cells"))).alias("ms"))
-        .mapInArrow(scan, f"key long, k int, entry {state}, exit {state}")
-    )
+            rows = []
+            for r in batch.to_pylist():
+                got = borders([Matrix.load(x["m"]) for x in r["ms"]], _pair(r["entry"]), _pair(r["exit"]))
+                rows += [(r["key"], x["at"], *({"piece": t, "over": o} for t, o in pair)) for x, pair in zip(r["ms"], zip(got, got[1:], strict=False), strict=True)]
+            kinds = [pa.int64(), pa.int32(), _ARROW_STATE, _ARROW_STATE]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["key", "k", "entry", "exit"])
+
+    levels = [common.written(matrices, "pieces-matrices")]
+    most = levels[0].agg(F.max("k")).head()[0] or 0
+    while most >= FAN:
+        levels.append(common.written(_fans(levels[-1]).mapInArrow(multiply, "key long, k int, m string"), "pieces-products"))
+        most //= FAN
+    clean = F.lit(json.dumps({"piece": "", "over": 0}))
+    states = levels[-1].select("key", F.lit(0).alias("k")).distinct().withColumns({c: F.from_json(clean, "piece string, over int") for c in ("entry", "exit")})
+    for level in reversed(levels):
+        states = common.written(_fans(level).join(states, ["key", "k"]).mapInArrow(trace, f"key long, k int, entry {_STATE}, exit {_STATE}"), "pieces-states")
+    return states
+
+
+def _encode_long(docs: DataFrame, model: bytes, chunk_chars: int, names: list[str], schema: T.StructType) -> DataFrame:
+    # the rows are written once: their keys must not change between the passes
+    rows = common.written(docs.withColumn(KEY, F.monotonically_increasing_id()), "pieces-rows")
+    chunks = chunks_of(rows.select(F.col(KEY).alias("key"), "text"), model, chunk_chars)
+    states = border_states(chunk_matrices(chunks, model))
 
     def solve(batches):
         p = _pieces(model)
-        pair = lambda x: CLEAN if x is None else (x["piece"], x["over"])
         for batch in batches:
-            ids = [p.encode_chunk(r["slice"], r["b"], r["e"], pair(r["entry"]), pair(r["exit"])) for r in batch.to_pylist()]
+            ids = [p.encode_chunk(r["slice"], r["b"], r["e"], _pair(r["entry"]), _pair(r["exit"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), _ids(ids)], ["key", "k", "ids"])
 
-    # chunks between two safe borders have no states to wait for and stay where they are
-    closed = chunks.where("safe_in AND safe_out").withColumns({c: F.lit(None).cast(state) for c in ("entry", "exit")})
     solved = (
-        closed.unionByName(open_chunks.join(states, ["key", "k"]))
+        chunks.join(states.hint("merge"), ["key", "k"])
+        .select("key", "k", "slice", "b", "e", "entry", "exit")
         .mapInArrow(solve, "key long, k int, ids array<int>")
         .groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-        .select("key", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("token_ids"))
+        .select(F.col("key").alias(KEY), F.flatten(F.transform("parts", lambda x: x["ids"])).alias("token_ids"))
     )
-    out = rows.join(solved, "key").withColumn("n_tokens", F.size("token_ids").cast("long"))
+    out = rows.join(solved, KEY).withColumn("n_tokens", F.size("token_ids").cast("long"))
     return out.select(*schema.fieldNames())
 
 

@@ -188,17 +188,20 @@ def test_pieces_are_those_of_the_library():
         s = sentencepiece.normalise(x)
         assert np.frombuffer(p.encode_clean(s), np.int32).tolist() == want
         assert p.decode(want) == x
-        chunks, ok, run, states = [], True, [], []
-        for b, e, out in p.split(s, rng.choice([17, 20, 33])):
-            a = max(0, b - p.longest)
-            chunks.append((s[a : e + p.longest], b - a, e - a, ok, out))
-            ok = out
-        for c in chunks:
-            run.append(p.transfer(*c))
-            if c[4]:
-                at = sentencepiece.borders(run)
-                states += zip(at, at[1:], strict=False)
-                run = []
+        size, chunks = rng.choice([1, 3, 17, 33]), []
+        for b in range(0, len(s), size):
+            x, e = max(0, b - p.longest), min(len(s), b + size)
+            chunks.append((s[x : e + p.longest], b - x, e - x, b == 0, e == len(s)))
+        if not chunks:
+            continue
+        ms = [p.transfer(*c) for c in chunks]
+        ms = [sentencepiece.Matrix.load(m.dump()) for m in ms]
+        at = sentencepiece.borders(ms)
+        k = rng.randrange(len(ms) + 1)  # products are associative, and their states the same
+        halves = [x for x in (ms[:k], ms[k:]) if x]
+        middle = sentencepiece.borders([sentencepiece.product(x) for x in halves])
+        assert middle == [at[0], *([at[k]] if len(halves) == 2 else []), at[-1]]
+        states = list(zip(at, at[1:], strict=False))
         got = b"".join(p.encode_chunk(c[0], c[1], c[2], *t) for c, t in zip(chunks, states, strict=True))
         assert np.frombuffer(got, np.int32).tolist() == want
 
@@ -216,6 +219,30 @@ def test_pieces_of_odd_rows(spark, odd):
     assert sentencepiece.encode(odd.limit(0)).count() == 0
 
 
+@model
+def test_long_texts_go_through_matrices(spark, monkeypatch):
+    import sentencepiece as library
+
+    sp = library.SentencePieceProcessor(model_file=sentencepiece.MODEL_PATH)
+    rng = random.Random(3)
+    words = ["the", "ing", "  ", "a", "être", "日本", "12", "\n", "x" * 40, "😀"]
+    rows = [(i, "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(n))) for i, n in enumerate((0, 5, 60, 300, 900))] + [(9, "q" * 3000), (9, "q" * 3000)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    seen = []
+    own = sentencepiece.border_states
+    monkeypatch.setattr(sentencepiece, "border_states", lambda m: seen.append(m) or own(m))
+    monkeypatch.setattr(sentencepiece, "FAN", 3)  # several rounds
+    got = sentencepiece.encode(df, chunk_chars=50).collect()
+    want = {t: sp.encode(t) for _, t in rows}
+    assert len(got) == len(rows) and all(r.token_ids == want[r.text] and r.key in (0, 1, 2, 3, 4, 9) for r in got)
+    chunks = {}
+    for r in seen[0].collect():  # a matrix for every chunk of every long text
+        chunks.setdefault(r.key, []).append(r.k)
+        assert r.m != "[null]"
+    long = [len(t) + 1 for _, t in rows if len(t) > 50]
+    assert sorted(map(sorted, chunks.values())) == sorted(list(range(-(-n // 50))) for n in long)
+
+
 # the others
 
 
