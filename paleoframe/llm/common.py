@@ -61,14 +61,18 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df``, written as a table in the shared folder and read again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, what: str, small: bool = False) -> DataFrame:
+    """``df``, written as a table in the shared folder and read again: cuts lineage and survives lost executors.
+
+    small: a table of few rows, after which there are no large shuffles to release.
+    """
     spark = df.sparkSession
     path = fresh(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
-    release(spark)
+    if not small:
+        release(spark)
     return out
 
 

@@ -1,33 +1,45 @@
 """Mixing sources to target weights with DataFrame functions only.
 
 Documents fall into cells (source, language, topic). Iterative proportional fitting rakes the token weights of the cells
-until their sums over sources, languages and topics meet the targets. A document is then taken with the probability that
-its cell's weight asks for, decided by a hash of its id, so that a rerun takes the same documents.
-
-Targets default to tempered shares: a category with the share s of all tokens gets s ** TEMPER, made to add up to one.
-Probabilities are the cells' raking factors divided by the largest of them, so none is over one and none is cut off.
-
-The only tables that grow with the data are read in place: one pass sums tokens by cell (partial sums before the
-shuffle), one pass looks up the cells, which have one row for each combination of source, language and topic that
-occurs; Spark broadcasts that table if its written size is under the session's limit and joins by shuffle otherwise.
-
-Defined results: a null or empty text has no tokens and its document is taken with its cell's probability; null sources
-and languages are categories of their own, written as ''; a null id hashes as ''; repeated rows are taken or left
-together; a cell without tokens has probability 0 unless all have none, and then 1; an empty table gives no rows.
+until their sums over sources, languages and topics meet the targets: each category has a factor, and in turn those of one
+dimension are set to what its categories lack. A document is then taken with the probability that its cell's weight asks
+for, decided by a hash of its id, so that a rerun takes the same documents.
+
+Targets are the caller's: for each dimension shares by category, or an exponent that tempers the categories' own shares
+(1: as they are, 0: all equal). Probabilities are the cells' raking factors divided by the largest of them, so none is
+over one and none is cut off.
+
+What grows with the data is read in place: one pass sums tokens by cell (partial sums before the shuffle), one pass looks
+up the cells. Cells and factors are tables that Spark groups and joins, broadcast only if their written size is under the
+session's limit; to the driver come single numbers.
+
+Defined results: a null or empty text has no tokens and its document is taken with its cell's probability; null sources,
+languages and topics are categories of their own, written as ''; a category without a target has the share 0 and is not
+taken; a null id hashes as ''; repeated rows are taken or left together; a cell without tokens has probability 0 unless
+all have none, and then 1; an empty table gives no rows; all columns are kept, names that begin with ``__pf_`` are not for
+users.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 TEMPER = 0.85
-ROUNDS = 6
+#: Rounds of raking, and how far off a marginal may be after them, as a part of itself.
+ROUNDS, TOLERANCE = 6, 0.01
 DIMS = ("source", "lang", "topic")
-#: Text contained -> topic, first match first; "general" where none is found.
+#: Exponents, or shares by category, for each dimension.
+Targets = Mapping[str, "float | Mapping[str, float]"]
+TARGETS: Targets = dict.fromkeys(DIMS, TEMPER)
+#: Text contained -> topic, first match first; "general" where none is found. For corpora that have no column of topics.
 TOPICS = {"License": "legal", "@": "contact", " | ": "table", "http": "web"}
+CELL, TOKENS, P = (common.OWN + x for x in ("cell", "tokens", "p"))
 
 
 def topic_of(text: Column) -> Column:
@@ -42,56 +54,86 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct ``_cell`` of its categories and ``_tokens``."""
+def keyed(docs: DataFrame, topic: Column | str | None = None) -> DataFrame:
+    """``docs`` with the struct CELL of its categories and TOKENS. topic: the column that has it; else topic_of(text)."""
+    topic = topic_of(F.coalesce("text", F.lit(""))) if topic is None else F.col(topic) if isinstance(topic, str) else topic
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return docs.withColumns(
         {
-            "_cell": F.struct(
-                F.coalesce("source", F.lit("")).alias("source"),
-                F.coalesce("lang", F.lit("")).alias("lang"),
-                topic_of(F.coalesce("text", F.lit(""))).alias("topic"),
-            ),
-            "_tokens": token_estimate(F.col("text")),
+            CELL: F.struct(blank(F.col("source")).alias("source"), blank(F.col("lang")).alias("lang"), blank(topic).alias("topic")),
+            TOKENS: token_estimate(F.col("text")),
         }
     )
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """cells: source, lang, topic, tokens. Adds weight (tokens after raking) and p (probability of a document)."""
-    everything = Window.partitionBy(F.lit(0))
-    out = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+def cells_of(rows: DataFrame) -> DataFrame:
+    """source, lang, topic, tokens of ``keyed`` rows."""
+    return rows.groupBy(CELL).agg(F.sum(TOKENS).alias("tokens")).select(f"{CELL}.*", "tokens")
+
+
+def target_shares(cells: DataFrame, dim: str, target: float | Mapping[str, float]) -> DataFrame:
+    """dim, want: the categories' shares, which add up to one."""
+    own = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0")
+    if isinstance(target, Mapping):
+        if any(not v >= 0 for v in target.values()):
+            raise ValueError(f"targets of {dim} are 0 or more")
+        told = F.create_map(*[F.lit(x) for k, v in target.items() for x in (k, float(v))]) if target else F.create_map().cast("map<string,double>")
+        raw = F.coalesce(F.try_element_at(told, F.col(dim)), F.lit(0.0))
+    else:
+        raw = F.pow("n", F.lit(float(target)))
+    out = own.select(dim, raw.alias("raw"))
+    total = out.agg(F.sum("raw")).head()[0]
+    if total is not None and total <= 0:
+        raise ValueError(f"no category of {dim} has both tokens and a target")
+    return out.select(dim, (F.col("raw") / F.lit(total or 1.0)).alias("want"))
+
+
+def rake(cells: DataFrame, targets: Targets = TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells: source, lang, topic, tokens. Adds weight (tokens after raking) and p (probability of a document).
+
+    A warning tells of a marginal that is off by more than ``tolerance`` after all rounds, as where targets contradict cells.
+    """
+    cells = common.written(cells.where("tokens > 0"), "mix-cells")
+    total = float(cells.agg(F.sum("tokens")).head()[0] or 0)
+    factors = {d: common.written(target_shares(cells, d, targets[d]).select(d, F.lit(1.0).alias(f"f_{d}"), (F.col("want") * total).alias(f"w_{d}")), "mix-targets", True) for d in DIMS}
+    weight = F.col("tokens").cast("double")
     for d in DIMS:
-        own = Window.partitionBy(d)
-        out = out.withColumn("_raw", F.pow(F.sum("tokens").over(own).cast("double"), F.lit(temper)))
-        out = out.withColumn("_raw_part", F.col("_raw") / F.count(F.lit(1)).over(own))
-        out = out.withColumn(f"_want_{d}", F.col("_raw") / F.sum("_raw_part").over(everything))
-    out = out.withColumn("_all", F.sum("tokens").over(everything))
+        weight = weight * F.col(f"f_{d}")
+
+    def weighted():
+        out = cells
+        for d in DIMS:
+            out = out.join(factors[d], d)
+        return out.withColumn("weight", weight)
+
+    def sums(d):
+        return weighted().groupBy(d).agg(F.sum("weight").alias("sum"), F.max(f"f_{d}").alias("f"), F.max(f"w_{d}").alias("want"))
+
+    lack = F.coalesce(F.try_divide(F.col("want"), F.col("sum")), F.lit(0.0))
     for _ in range(rounds):
         for d in DIMS:
-            own = Window.partitionBy(d)
-            out = out.withColumn("weight", F.col("weight") * F.col(f"_want_{d}") * F.col("_all") / F.sum("weight").over(own))
-    out = out.withColumn("_factor", F.col("weight") / F.col("tokens"))
-    out = out.withColumn("p", F.col("_factor") / F.max("_factor").over(everything))
-    return out.select(*DIMS, "tokens", "weight", "p")
-
-
-def mix(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """The taken rows of ``docs`` with the columns ``_cell``, ``_tokens`` and ``_p``."""
-    rows = keyed(docs)
-    cells = rows.groupBy("_cell").agg(F.sum("_tokens").alias("tokens")).select("_cell.*", "tokens")
-    table = common.written(rake(cells, rounds, temper).select(F.struct(*DIMS).alias("_cell"), F.col("p").alias("_p")), "mix-cells")
+            factors[d] = common.written(sums(d).select(d, (F.col("f") * lack).alias(f"f_{d}"), F.col("want").alias(f"w_{d}")), "mix-factors", True)
+    for d in DIMS[:-1]:  # the last one has just been met
+        off = sums(d).agg(F.max(F.try_divide(F.abs(F.col("sum") - F.col("want")), F.col("want")))).head()[0] or 0.0
+        if off > tolerance:
+            warnings.warn(f"raking does not meet the targets of {d}: a marginal is off by {off:.3g} of itself", stacklevel=2)
+    out = weighted().withColumn("f", F.col("weight") / F.col("tokens"))
+    top = out.agg(F.max("f")).head()[0]
+    return out.select(*DIMS, "tokens", "weight", (F.col("f") / F.lit(top or 1.0)).alias("p"))
+
+
+def mix(docs: DataFrame, targets: Targets = TARGETS, topic: Column | str | None = None) -> DataFrame:
+    """The taken rows of ``docs`` with the columns CELL, TOKENS and P."""
+    rows = keyed(docs, topic)
+    table = common.written(rake(cells_of(rows), targets).select(F.struct(*DIMS).alias(CELL), F.col("p").alias(P)), "mix-table")
     none = F.lit(0.0 if table.head(1) else 1.0)
     u = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10)
-    return (
-        rows.join(table, "_cell", "left")
-        .withColumn("_p", F.coalesce("_p", none))
-        .where(u.cast("double") / 4294967296.0 < F.col("_p"))
-    )
+    return rows.join(table, CELL, "left").withColumn(P, F.coalesce(P, none)).where(u.cast("double") / 4294967296.0 < F.col(P))
 
 
 def op7_mixing(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs).select("doc_id", "_cell.*", F.col("_tokens").alias("tokens"), F.round("_p", 6).alias("p"))
+    return mix(docs).select("doc_id", f"{CELL}.*", F.col(TOKENS).alias("tokens"), F.round(P, 6).alias("p"))
 
 
 def stage_mix(spark, docs, sf_dir):
