@@ -34,7 +34,7 @@ LEAST_COSINE = 0.98
 SEED, MISS = 11, 1e-3
 #: Planes beyond the logarithm of a label's classes, and the most of them.
 MORE_PLANES, MOST_PLANES = 6, 30
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 256
 #: Cosines of products of normalised vectors are a little off; pairs this near to the limit are computed again.
 SLACK = 1e-9
 
