@@ -143,11 +143,13 @@ def judge(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return m | {"base_failed": failed, "kept": good}
 
 
-def flag_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of RESULT."""
+def flag_quality(docs: DataFrame, text: str = "text", only: str | None = None) -> DataFrame:
+    """``docs`` with the columns of RESULT; with ``only``, with no column more than the verdict, under that name."""
     common.tune(docs.sparkSession)
-    keep = [f for f in docs.schema.fields if f.name not in RESULT.fieldNames()]
-    schema = T.StructType(keep + RESULT.fields)
+    result = RESULT.fields if only is None else [T.StructField(only, T.BooleanType())]
+    new = {f.name: f.name if only is None else "kept" for f in result}
+    keep = [f for f in docs.schema.fields if f.name not in new]
+    schema = T.StructType(keep + result)
     names = [f.name for f in keep]
 
     def run(batches):
@@ -157,8 +159,8 @@ def flag_quality(docs: DataFrame, text: str = "text") -> DataFrame:
                 got = judge(measure(texts[i:j]))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in names] + [pa.array(got[c]) for c in RESULT.fieldNames()],
-                    names + RESULT.fieldNames(),
+                    [part.column(c) for c in names] + [pa.array(got[c]) for c in new.values()],
+                    [*names, *new],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -170,7 +172,9 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def stage_quality(spark, docs, sf_dir):
-    return flag_quality(docs).where("kept").select(*docs.columns)
+    """The documents that the rules keep, with all their columns as they are."""
+    verdict = common.OWN + "kept"
+    return flag_quality(docs, only=verdict).where(verdict).select(*docs.columns)
 
 
 _GRAMS = "\n".join(

@@ -5,9 +5,9 @@ in at most two of 64 bits agree in two of four 16-bit blocks, so distinct finger
 of two blocks. Inside a group, a table of Hamming distances to PIVOTS reference fingerprints discards every pair whose
 distances to any pivot differ by more than two (triangle inequality), and the survivors are verified.
 
-Groups over GROUP_ROWS are not compared pair by pair. Their fingerprints are linked exactly by another way, linear in
-their number: two fingerprints are at most two bits apart if and only if they share a fingerprint at most one bit from
-either, so each is listed under its 65 neighbours, and those listed under one (at most 65) are one chain.
+The fingerprints of groups over GROUP_ROWS meet in smaller ones instead: those within two bits agree in six of eight
+8-bit blocks, so in one of 28 tables by the 48 bits of six blocks. These groups, in which at most 16 bits differ, go through
+the same distance tables.
 
 Only edges of spanning forests leave a task. Components come from the distributed graph step.
 
@@ -133,21 +133,13 @@ def near_edges(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
                 [pa.array(at[move].view(np.int64)), pa.array(at[root[move]].view(np.int64))], ["src", "dst"]
             )
 
-    compared = rows.join(large, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
-    bit = F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")
-    listed = (
-        rows.join(large, "key", "left_semi")
-        .select("fp")
-        .distinct()
-        .select("fp", bit)
-        .select("fp", F.when(F.col("bit") == 64, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, bit)"))).alias("near"))
-        .groupBy("near")
-        .agg(F.collect_list("fp").alias("own"))
-        .where(F.size("own") > 1)
-        .select(F.explode("own").alias("src"), F.array_min("own").alias("dst"))
-        .where("src <> dst")
-    )
-    return compared.unionByName(listed)
+    # of eight blocks of 8 bits, two fingerprints at most two bits apart share six
+    masks = [sum(0xFF << 8 * b for b in kept) for kept in combinations(range(8), 6)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    finer = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)]))
+    listed = rows.join(large, "key", "left_semi").select("fp").distinct().select(finer.alias("key"), "fp")
+    met = rows.join(large, "key", "left_anti").unionByName(listed)
+    return met.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
 
 
 def near_components(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -167,9 +159,13 @@ def op6_simhash(spark, sf_dir):
 
 def stage_simhash(spark, docs, sf_dir):
     """One document of each component of near-copies (five-word shingles, similarity 0.8 or more; see near_sets): that
-    with the smallest id, once. Rows without an id stay."""
+    with the smallest id, once. Documents are told apart by id and text: of two different texts with one id neither goes
+    because the other is a copy. Rows without an id stay."""
     from .near_sets import near_copies, text_hash
 
-    drop = near_copies(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rest = docs.join(drop, (F.col("doc_id") == F.col("_id")) & (text_hash() == F.col("_hash")), "left_anti")
-    return rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id IS NULL")).select(*docs.columns)
+    own_id, own_hash = common.OWN + "id", common.OWN + "hash"
+    drop = near_copies(docs).where("doc_id IS NOT NULL AND NOT first").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    marked = docs.withColumn(common.OWN + "text", text_hash())
+    rest = marked.join(drop, (F.col("doc_id").cast("long") == F.col(own_id)) & (F.col(common.OWN + "text") == F.col(own_hash)), "left_anti")
+    once = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", common.OWN + "text"])
+    return once.unionByName(rest.where("doc_id IS NULL")).select(*docs.columns)

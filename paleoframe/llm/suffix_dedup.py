@@ -10,11 +10,14 @@
    before the shuffle). Contexts are gathered by anchor and laid end to end in blocks of BLOCK_BYTES; a block's suffix
    array (two-stage sorting) and the common prefixes of neighbours show which windows are equal, and of each set of equal
    ones the earliest is noted as a first occurrence.
-4. An anchor with over GROUP_CONTEXTS different contexts is not gathered: its windows themselves are grouped, by a grouped
-   minimum that Spark computes in part before the shuffle.
+4. An anchor with over GROUP_CONTEXTS different contexts is not gathered at once. Its windows are parted by how far the
+   anchor lies from their begin, in halves, and contexts meet by all bytes beside the anchor that the windows of a half
+   have in common; halves that are still too large are parted again. A part of one place has whole windows for its key,
+   and equal ones are merged, so no block is larger, however common a string is.
 5. Back at its document, every window with a repeated anchor that is no first occurrence is a repeat.
 
-All steps are exact and none depends on how long a text or how large a group is; a single text is held whole by one task.
+All steps are exact, every first occurrence comes from a block's suffix array, and none depends on how large a group is; a
+single text is held whole by one task.
 
 Defined results: a null text is empty; texts under LENGTH bytes are untouched; a null id is smaller than all others;
 repeated rows (same id and text) have the same result, that of one of them; rows with the same id and different texts
@@ -36,7 +39,11 @@ from .graph import whole_groups
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 100, 32
-GROUP_CONTEXTS = 8192
+GROUP_CONTEXTS = 1024
+#: Halvings after which a part is one window.
+STEPS = (LENGTH - ANCHOR).bit_length()
+#: A text that is there very often is met by so many tasks.
+SALTS = 16
 BLOCK_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 20
 NO_ID = -(1 << 63)
@@ -57,14 +64,14 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: document, first window, last window (places in data), anchor hash.
+def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: document, first window, last window, anchor (places in data), anchor hash.
 
     data: texts end to end, under 2 ** 24 bytes; ends: where each ends.
     """
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64)
     h = _hashes(data)
     low = (h >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
     wide, have = LENGTH - ANCHOR + 1, 1
@@ -79,12 +86,12 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     doc = np.repeat(np.arange(len(ends)), count)
     window = np.arange(len(doc)) + np.repeat(begins - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
     if not len(window):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64)
     anchor = anchor[window]
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(window)]]) - 1
-    return doc[first], window[first], window[last], h[anchor[first]]
+    return doc[first], window[first], window[last], anchor[first], h[anchor[first]]
 
 
 def _segments(texts: list[bytes]):
@@ -101,11 +108,11 @@ def _segments(texts: list[bytes]):
 
 
 def text_contexts(texts: list[bytes]):
-    """Over all texts: lots of (text number, first window, last window (places in the text), anchor hash)."""
+    """Over all texts: lots of (text number, first window, last window, anchor (places in the text), anchor hash)."""
     for i, data, ends, offset in _segments(texts):
-        doc, a, b, h = contexts(data, ends)
+        doc, a, b, p, h = contexts(data, ends)
         begin = np.concatenate([[0], ends[:-1]])[doc]
-        yield doc + i, a - begin + offset, b - begin + offset, h
+        yield doc + i, a - begin + offset, b - begin + offset, p - begin + offset, h
 
 
 def first_windows(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +149,7 @@ def _anchors(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             docs = batch.column(0).to_numpy()
-            for doc, _, _, h in text_contexts(batch.column(1).to_pylist()):
+            for doc, _, _, _, h in text_contexts(batch.column(1).to_pylist()):
                 order = np.lexsort((h, doc))
                 d, x = doc[order], h[order]
                 new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])) if len(d) else d
@@ -159,14 +166,15 @@ def _anchors(texts: DataFrame) -> DataFrame:
 
 
 def _contexts(candidates: DataFrame) -> DataFrame:
-    """h, context, doc, at: different contexts with repeated anchors and their earliest places."""
+    """h, context, off, doc, at: different contexts with repeated anchors, the anchor's place in them, and their earliest
+    places."""
 
     def run(batches):
         for batch in batches:
             docs, texts = batch.column("doc").to_numpy(), batch.column("text").to_pylist()
             known = [np.sort(x.values.to_numpy().view(np.uint64)) for x in batch.column("anchors")]
             out: dict = {}
-            for doc, a, b, h in text_contexts(texts):
+            for doc, a, b, p, h in text_contexts(texts):
                 # a text's parts come one after the other; equal contexts of one text keep the first place
                 out = {c: None for c in out if len(doc) and c[0] == doc[0]}
                 edge = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -174,27 +182,84 @@ def _contexts(candidates: DataFrame) -> DataFrame:
                     s = slice(edge[i], edge[i + 1])
                     hit = np.minimum(np.searchsorted(known[i], h[s]), len(known[i]) - 1)
                     for k in np.flatnonzero(known[i][hit] == h[s]) + edge[i]:
-                        out.setdefault((int(i), texts[i][a[k] : b[k] + LENGTH]), (h[k], a[k]))
+                        out.setdefault((int(i), texts[i][a[k] : b[k] + LENGTH]), (h[k], p[k] - a[k], a[k]))
                 new = {c: v for c, v in out.items() if v}
                 if new:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.array([v[0] for v in new.values()], np.uint64).view(np.int64)),
                             pa.array([c for _, c in new], pa.binary()),
+                            pa.array(np.array([v[1] for v in new.values()], np.int32)),
                             pa.array(docs[[i for i, _ in new]]),
-                            pa.array(np.array([v[1] for v in new.values()], np.int64)),
+                            pa.array(np.array([v[2] for v in new.values()], np.int64)),
                         ],
-                        ["h", "context", "doc", "at"],
+                        ["h", "context", "off", "doc", "at"],
                     )
 
-    rows = candidates.mapInArrow(run, "h long, context binary, doc long, at long")
-    return common.written(rows.groupBy("h", "context").agg(F.min("doc").alias("doc"), F.min_by("at", "doc").alias("at")), "substring-contexts")
+    return _earliest(candidates.mapInArrow(run, "h long, context binary, off int, doc long, at long"))
+
+
+def _earliest(rows: DataFrame) -> DataFrame:
+    """Equal contexts of an anchor as one row, that of their earliest place (partial minima before the shuffle)."""
+    first = F.min(F.struct("doc", "at")).alias("x")
+    return common.written(rows.groupBy("h", "context").agg(F.min("off").alias("off"), first).select("h", "context", "off", "x.doc", "x.at"), "substring-contexts")
+
+
+def halves(context: bytes, off: int, low: int, high: int):
+    """The windows of a context, whose begins lie ``low`` to ``high`` bytes before the anchor, parted in two: of each part
+    the key (hash of the bytes that all its windows have around the anchor), and where in the context it begins and
+    ends."""
+    from xxhash import xxh64_intdigest
+
+    middle = (low + high) // 2
+    for a, b in ((low, middle), (middle + 1, high)):
+        nearest, farthest = max(a, off - (len(context) - LENGTH)), min(b, off)
+        if nearest <= farthest:
+            key = xxh64_intdigest(context[off - a : off - b + LENGTH], a << 8 | b)
+            yield key, off - farthest, off - nearest + LENGTH
+
+
+def _parted(found: DataFrame, step: int) -> DataFrame:
+    """Contexts as in ``found`` with the keys of the halves of their parts; step: how often that has been done."""
+
+    def run(batches):
+        for batch in batches:
+            keys, texts, offs, docs, ats = [], [], [], [], []
+            for context, off, doc, at in zip(*(batch.column(c).to_pylist() for c in ("context", "off", "doc", "at")), strict=True):
+                low, high = part_of(off - (len(context) - LENGTH), off, step)
+                for key, begin, end in halves(context, off, low, high):
+                    keys.append(key), texts.append(context[begin:end]), offs.append(off - begin), docs.append(doc), ats.append(at + begin)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(texts, pa.binary()), pa.array(offs, pa.int32()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64())],
+                ["h", "context", "off", "doc", "at"],
+            )
+
+    return _earliest(found.mapInArrow(run, "h long, context binary, off int, doc long, at long"))
+
+
+def part_of(nearest: int, farthest: int, step: int) -> tuple[int, int]:
+    """The part, after ``step`` halvings of all distances that an anchor can have, in which these distances lie."""
+    low, high = 0, LENGTH - ANCHOR
+    for _ in range(step):
+        middle = (low + high) // 2
+        low, high = (low, middle) if farthest <= middle else (middle + 1, high)
+    return low, high
 
 
 def _first_occurrences(found: DataFrame, group_contexts: int) -> DataFrame:
     """doc, start, size: runs of windows that are the first of their kind."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    large = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_contexts).select("h")
+    ready, left, step = None, found, 0
+    while True:
+        large = left.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_contexts).select("h")
+        small, step = left, step + 1
+        if step <= STEPS:
+            large = common.written(large, "substring-anchors", True)
+            small = left.join(large, "h", "left_anti")
+        ready = small if ready is None else ready.unionByName(small)
+        if step > STEPS or not large.head(1):
+            break
+        left = _parted(left.join(large, "h", "left_semi"), step - 1)
 
     def run(batches):
         texts, docs, places, total = [], [], [], 0
@@ -219,19 +284,8 @@ def _first_occurrences(found: DataFrame, group_contexts: int) -> DataFrame:
         if texts:
             yield _runs(*first_windows(texts, np.concatenate(docs), np.concatenate(places)))
 
-    gathered = found.join(large, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h")
-    blocks = gathered.select("h", "context", "doc", "at").mapInArrow(run, "doc long, start long, size long")
-    windows = (
-        found.join(large, "h", "left_semi")
-        .select("doc", "at", "context", F.explode(F.sequence(F.lit(0), F.length("context") - LENGTH)).alias("k"))
-        .select("doc", (F.col("at") + F.col("k")).alias("start"), F.expr(f"substring(context, k + 1, {LENGTH})").alias("window"))
-        .groupBy("window", "doc")
-        .agg(F.min("start").alias("start"))
-        .groupBy("window")
-        .agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"))
-        .select("doc", "start", F.lit(1).cast("long").alias("size"))
-    )
-    return blocks.unionByName(windows)
+    gathered = ready.repartition(n, "h").sortWithinPartitions("h")
+    return gathered.select("h", "context", "doc", "at").mapInArrow(run, "doc long, start long, size long")
 
 
 def removed_spans(text: bytes, anchors: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -241,7 +295,7 @@ def removed_spans(text: bytes, anchors: np.ndarray, first: np.ndarray) -> np.nda
     np.add.at(kept, first[:, 0], 1)
     np.add.at(kept, first[:, 0] + first[:, 1], -1)
     candidate = np.zeros(len(text) + 1, np.int32)
-    for _, a, b, h in text_contexts([text]):
+    for _, a, b, _, h in text_contexts([text]):
         hit = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
         hit = anchors[hit] == h
         np.add.at(candidate, a[hit], 1)
@@ -262,9 +316,10 @@ def repeats(docs: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> tuple[Data
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
     marked = common.written(rows.select("doc", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("n_bytes")), "substring-texts")
-    first = marked.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc").alias("rep"))
+    first = marked.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select("sha", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     marked = common.written(
-        marked.join(first, "sha", "left").select("doc", "sha", "n_bytes", F.coalesce(F.col("doc") > F.col("rep"), F.lit(False)).alias("whole")),
+        marked.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(first, ["sha", "salt"], "left").select("doc", "sha", "n_bytes", F.coalesce(F.col("doc") > F.col("rep"), F.lit(False)).alias("whole")),
         "substring-rows",
     )
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -333,18 +388,19 @@ def stage_substrings(spark, docs, sf_dir):
             texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("sha"), pa.array(texts, pa.string())], ["doc", "sha", "new"])
 
+    own_doc, own_sha, own_new = (common.OWN + x for x in ("doc", "sha", "new"))
     new = changed.select("doc", "sha", "kept").mapInArrow(clean, "doc long, sha string, new string")
     gone = rows.where("whole").select("doc", "sha", F.lit("").alias("new"))
-    new = new.unionByName(gone).dropDuplicates(["doc", "sha"])
+    new = new.unionByName(gone).dropDuplicates(["doc", "sha"]).toDF(own_doc, own_sha, own_new)
     keyed = docs.withColumns(
         {
-            "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-            "_sha": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256),
+            own_doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+            own_sha: F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256),
         }
     )
-    joined = keyed.join(new, (F.col("_doc") == F.col("doc")) & (F.col("_sha") == F.col("sha")), "left")
-    text = F.coalesce("new", "text")
-    out = joined.where(F.col("new").isNull() | (F.col("new") != "")).withColumn("text", text)
+    joined = keyed.join(new, [own_doc, own_sha], "left")
+    out = joined.where(F.col(own_new).isNull() | (F.col(own_new) != "")).withColumn("text", F.coalesce(own_new, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("new").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        size = F.length("text").try_cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(own_new).isNull(), F.col("n_chars")).otherwise(size))
     return out.select(*docs.columns)

@@ -28,8 +28,26 @@ ODD = [
 @pytest.fixture
 def odd(spark):
     """With columns whose names the operators use themselves."""
-    rows = [(i, t, "en" if k % 2 else None, None if k % 3 else "s", 0, 1.5, "q", True) for k, (i, t) in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens string, kept boolean")
+    extra = ["key", "doc", "sha", "new", "_p", "_cell", "_tokens", "kept", "n_words", "k", "h", "fp", "node", "root", "rep", "first", "label", "t", "cell", "weight", "p", "held_out"]
+    rows = [(i, t, "en" if k % 2 else None, None if k % 3 else "s", 0, 1.5, "q", *(f"{c}{k}" for c in extra)) for k, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens string, " + ", ".join(f"{c} string" for c in extra))
+
+
+def whole(rows, *but):
+    """All that the rows have, without the columns that an operator sets."""
+    return sorted(str({k: v for k, v in r.asDict().items() if k not in but}) for r in rows)
+
+
+def test_stages_leave_other_columns_alone(spark, odd):
+    first = whole(odd.collect(), "n_chars", "text")
+    for stage, but in (
+        (quality_rules.stage_quality, ()), (simhash.stage_simhash, ()), (suffix_dedup.stage_substrings, ("text", "n_chars")), (mixing.stage_mix, ()),
+    ):
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns
+        assert set(whole(out.collect(), "n_chars", "text", *but)) <= set(first)
+    out = sentencepiece.encode(odd, chunk_chars=100)
+    assert whole(out.select(*odd.columns).collect(), "n_tokens") == whole(odd.collect(), "n_tokens")
 
 
 # suffix arrays and substring dedup
@@ -70,7 +88,7 @@ def substrings(spark, monkeypatch, rows, **more):
     return sorted(map(tuple, suffix_dedup.op2_suffix_dedup(spark, "").collect()), key=lambda r: (r[0] is not None, r[0]))
 
 
-@pytest.mark.parametrize("limit", [8192, 1])
+@pytest.mark.parametrize("limit", [1024, 3, 1])
 def test_substring_dedup(spark, monkeypatch, limit):
     rng = np.random.default_rng(1)
     shared = ["".join(rng.choice(list("abé "), k)) for k in (99, 100, 101, 150, 400, 60, 60, 60)]
@@ -130,7 +148,7 @@ def test_simhash_of_long_texts(monkeypatch):
 
 def test_simhash_stage(spark, odd):
     got = simhash.stage_simhash(spark, odd, "").collect()
-    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 4, 6, 7]
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 4, 6, 6, 7]
     assert simhash.stage_simhash(spark, odd.limit(0), "").count() == 0
 
 
@@ -284,6 +302,8 @@ def test_quality_rules_by_hand(spark, odd):
     assert m["n_repeat_words"].tolist() == [6, 0, 0, 0] and m["n_dup_lines"].tolist() == [0, 0, 1, 0] and m["n_symbols"].tolist() == [0, 0, 2, 0]
     got = quality_rules.flag_quality(odd).collect()
     assert len(got) == len(ODD) and not any(r.kept for r in got)
+    long = spark.createDataFrame([(f"w{k}", " ".join(f"w{i}" for i in range(80)), "mine") for k in range(3)], "n_words string, text string, kept string")
+    assert {(r.n_words, r.kept) for r in quality_rules.stage_quality(spark, long, "").collect()} == {(f"w{k}", "mine") for k in range(3)}
     assert quality_rules.stage_quality(spark, odd, "").columns == odd.columns
 
 
