@@ -6,7 +6,8 @@ first. So a text is a lattice whose arcs are pieces; an arc weighs its piece's s
 and minus infinity otherwise, and the encoding is the one path of finite weight.
 
 * Texts of up to ``CHUNK_CHARS`` are cut at borders that no piece crosses (before a space, around a character that no
-  longer piece contains); the units in between are solved once and kept in a bounded cache.
+  longer piece contains); the units in between are solved once and kept in a bounded cache, short ones by merging, long
+  ones as the lattice's path.
 * Longer texts are cut at fixed places into chunks of CHUNK_CHARS, which Spark spreads over tasks. A border has a state:
   the piece that reaches or crosses it. Every chunk gives a max-plus matrix from entry to exit states, FAN neighbours at a
   time are multiplied to one, round after round (up), then the states at the borders are traced back from the whole
@@ -27,7 +28,7 @@ from __future__ import annotations
 import json
 import re
 import string
-import struct
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -44,15 +45,93 @@ CHUNK_CHARS = 32_768
 #: Matrices that are multiplied in one step of the scan.
 FAN = 16
 CACHED_UNITS, CACHED_HEADS, CACHED_PAIRS, HEAD = 200_000, 80_000, 250_000, 6
+#: Units up to so many characters are merged directly.
+SHORT_UNIT = 48
 SPACE = "▁"
 #: Numbers of pieces: ids, then code points of characters without a piece, and the beginning.
 BITS, NO_PIECE = 22, 1 << 20
+NO_PAIR = (1 << 40, -1)
 BEGIN = (1 << BITS) - 1
 CLEAN = ("", 0)  # the state before the first and after the last chunk
 
 RESULT = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
 
 
+class Pairs:
+    """The pairs of pieces that merge, as a hash table in numpy, and merging of many words at once."""
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, pair: dict[int, tuple[int, int]], chars: dict[str, int]):
+        keys = np.fromiter(pair, np.uint64, len(pair))
+        self.shift = np.uint64(64 - max(10, (8 * len(pair)).bit_length()))
+        size = (1 << (64 - int(self.shift))) + 64
+        self.key = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.rank, self.made = np.full(size, self.NONE, np.int32), np.zeros(size, np.int32)
+        self.probes = 1
+        for k, h, (rank, made) in zip(keys.tolist(), self._hash(keys).tolist(), pair.values(), strict=True):
+            at = h
+            while self.key[at] != 0xFFFFFFFFFFFFFFFF:
+                at += 1
+            self.key[at], self.rank[at], self.made[at] = k, rank, made
+            self.probes = max(self.probes, at - h + 1)
+        self.char = np.arange(0x110000, dtype=np.int32) + NO_PIECE
+        for c, number in chars.items():
+            self.char[ord(c)] = number
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of each pair; NONE where there is none."""
+        keys = (a.astype(np.uint64) << np.uint64(BITS)) | b.astype(np.uint64)
+        at = self._hash(keys)
+        rank, made = np.full(len(keys), self.NONE, np.int32), np.zeros(len(keys), np.int32)
+        for k in range(self.probes):
+            hit = np.flatnonzero(self.key[at + k] == keys)
+            rank[hit], made[hit] = self.rank[at[hit] + k], self.made[at[hit] + k]
+        return rank, made
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all words end to end, and where each word's end. In each round every word merges its
+        best pair, the leftmost of equals."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        piece = self.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        word = np.repeat(np.arange(len(words)), size)
+        rank, made = np.full(len(piece), self.NONE, np.int32), np.zeros(len(piece), np.int32)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner], made[inner] = self.look_up(piece[inner], piece[inner + 1])
+        done = []
+        while len(word):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            n = np.diff(np.concatenate([first, [len(word)]]))
+            best = np.minimum.reduceat(rank, first)
+            live = np.repeat(best < self.NONE, n)
+            if not live.all():
+                done.append((word[~live], piece[~live]))
+                word, piece, rank, made = word[live], piece[live], rank[live], made[live]
+                n, best = n[best < self.NONE], best[best < self.NONE]
+                if not len(word):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, n))
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
+            piece[at] = made[at]
+            keep = np.ones(len(word), bool)
+            keep[at + 1] = False
+            word, piece, rank, made = word[keep], piece[keep], rank[keep], made[keep]
+            at -= np.arange(len(at))  # of the new pieces now
+            rank[at] = self.NONE
+            near = np.concatenate([at, at - 1])
+            near = near[(near >= 0) & (near + 1 < len(word))]
+            near = near[word[near] == word[near + 1]]
+            rank[near], made[near] = self.look_up(piece[near], piece[near + 1])
+        if not done:
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        word, piece = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        return piece[order], np.cumsum(np.bincount(word, minlength=len(words)))
+
+
 class Pieces:
     """The vocabulary and the solver of units and chunks."""
 
@@ -94,22 +173,41 @@ class Pieces:
             f"{SPACE}*{a}+(?=[{SPACE}\n{mark}]|$)|{SPACE}*[{mark}]+(?={a}|[{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
         )
         self.units: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.chars: dict[str, int] = {}
+        # (number of a piece, number of the next) -> (rank, number) of the piece that both make; the best score has the least rank
+        rank = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.pair = {
+            self.number(p[:k]) << BITS | self.number(p[k:]): (rank[x], self.id[p])
+            for p, x in self.score.items() for k in range(1, len(p)) if all(len(y) == 1 or y in self.id for y in (p[:k], p[k:]))
+        }
+        self.pairs_table = Pairs(self.pair, {p: i for p, i in self.id.items() if len(p) == 1})
         self.heads: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.selfs: dict[str, bool] = {}
 
+    def merged(self, s: str) -> list[int]:
+        """BPE by its definition: merge the best pair, the leftmost of equals, until there is none. Numbers of pieces."""
+        parts, pair, none = [self.char(c) for c in s], self.pair.get, NO_PAIR
+        pairs = [pair(a << BITS | b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) is not none:
+            i = pairs.index(best)
+            new = parts[i] = best[1]
+            del parts[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = pair(parts[i - 1] << BITS | new, none)
+            if i < len(pairs):
+                pairs[i] = pair(new << BITS | parts[i + 1], none)
+        return parts
+
+    def char(self, c: str) -> int:
+        x = self.chars.get(c)
+        if x is None:
+            x = self.chars[c] = self.number(c)
+        return x
+
     def merge(self, s: str) -> list[str]:
-        """BPE by its definition: merge the best pair, the leftmost of equals, until there is none."""
-        parts = list(s)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                x = self.score.get(parts[i] + parts[i + 1])
-                if x is not None and (best is None or x > best):
-                    best, at = x, i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.name(t) for t in self.merged(s)]
 
     def stands(self, p: str) -> bool:
         """Is p a piece that encodes to itself; single characters always are."""
@@ -195,20 +293,23 @@ class Pieces:
     def _pack(self, pieces: list[int]) -> bytes:
         return np.array([i for p in pieces for i in self.ids(p)], np.int32).tobytes()
 
+    def solve(self, u: str) -> bytes:
+        """Ids of a unit."""
+        if len(u) <= SHORT_UNIT:
+            parts = self.merged(u)
+            return array("i", parts).tobytes() if max(parts) < NO_PIECE else self._pack(parts)
+        # what ends in the first characters depends on them alone
+        head = self.heads.get(u[:HEAD])
+        if head is None:
+            if len(self.heads) > CACHED_HEADS:
+                self.heads.clear()
+            head = self.heads[u[:HEAD]] = self.chain(u, 0, "", HEAD)
+        return self._pack(self.back(self._extend(u, 0, len(head), head + [-1] * (len(u) - HEAD)), 0, len(u)))
+
     def encode_unit(self, u: str) -> bytes:
         x = self.units.get(u)
         if x is None:
-            # what ends in the first characters depends on them alone
-            head = self.heads.get(u[:HEAD])
-            if head is None:
-                if len(self.heads) > CACHED_HEADS:
-                    self.heads.clear()
-                head = self.heads[u[:HEAD]] = self.chain(u, 0, "", min(HEAD, len(u)))
-            got = head
-            if len(u) > HEAD:
-                got = self._extend(u, 0, len(head), head + [-1] * (len(u) - HEAD))
-            pieces = self.back(got, 0, len(u))
-            x = struct.pack(f"<{len(pieces)}i", *pieces) if max(pieces) < NO_PIECE else self._pack(pieces)
+            x = self.solve(u)
             if len(u) <= 64:
                 self.units[u] = x
         return x
@@ -220,6 +321,31 @@ class Pieces:
         units, get = self.unit.findall(s), self.units.get
         return b"".join([get(u) or self.encode_unit(u) for u in units])
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Encodings of whole texts. No piece crosses the border before a space, unless that comes after another; so words
+        are solved once, those that are not known yet all together."""
+        if len(self.words) > CACHED_UNITS:
+            self.words.clear()
+        parts = [None if not t or "  " in t or t[0] == " " or SPACE in t else t.split(" ") for t in texts]
+        new = set().union(*(x for x in parts if x)).difference(self.words)
+        own = []
+        for w in new:
+            if len(w) < SHORT_UNIT:
+                own.append(w)
+            else:
+                self.words[w] = self.encode_clean(SPACE + w)
+        pieces, ends = self.pairs_table.merge([SPACE + w for w in own])
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(pieces >= NO_PIECE), "right")).tolist()
+        line, edge = pieces.tobytes(), [0, *(4 * ends).tolist()]
+        self.words.update((w, line[a:b]) for w, a, b in zip(own, edge, edge[1:], strict=False))
+        for k in odd:  # with characters that are written as bytes
+            self.words[own[k]] = self._pack(pieces[edge[k] // 4 : edge[k + 1] // 4].tolist())
+        known = self.words.__getitem__
+        out = [b"".join(map(known, x)) if x else self.encode_clean(normalise(t)) for x, t in zip(parts, texts, strict=True)]
+        for w in [w for w in new if len(w) > 64]:
+            del self.words[w]
+        return out
+
     def safe(self, s: str, p: int) -> bool:
         """No piece crosses the border before s[p]."""
         return p in (0, len(s)) or (s[p] == SPACE and s[p - 1] != SPACE) or s[p] not in self.joined or s[p - 1] not in self.joined
@@ -395,7 +521,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, chunk_chars: int = CHU
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in common.cut([len(t or "") for t in texts], 1 << 20):
-                ids = [p.encode_clean(normalise(t)) for t in texts[i:j]]
+                ids = p.encode(texts[i:j])
                 part = batch.slice(i, j - i)
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, counts, _ids(ids)], [*names, "n_tokens", "token_ids"])
@@ -515,14 +641,14 @@ def decode(rows: DataFrame, model_path: str = MODEL_PATH, ids: str = "token_ids"
 
     def run(batches):
         p = _pieces(model)
-        sizes = np.array([len(b) for b in p.text], np.int64)
+        sizes, table = np.array([len(b) for b in p.text], np.int64), pa.array(p.text, pa.large_binary())
         for batch in batches:
             lists = batch.column(ids)
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             texts = []
             for i, j in common.cut(counts, 1 << 20):
                 flat = lists.slice(i, j - i).flatten().to_numpy()
-                line = b"".join(map(p.text.__getitem__, flat.tolist()))
+                line = bytes(table.take(pa.array(flat)).buffers()[2] or b"")
                 edge = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum(counts[i:j])])].tolist()
                 texts += [p.plain(line[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, out])
