@@ -44,7 +44,7 @@ GROUP_CONTEXTS = 1024
 STEPS = (LENGTH - ANCHOR).bit_length()
 #: A text that is there very often is met by so many tasks.
 SALTS = 16
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 CHUNK_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 _PLACE_BITS = np.uint64(24)
@@ -288,24 +288,38 @@ def _first_occurrences(found: DataFrame, group_contexts: int) -> DataFrame:
     return gathered.select("h", "context", "doc", "at").mapInArrow(run, "doc long, start long, size long")
 
 
-def removed_spans(text: bytes, anchors: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """[span, (begin, end)] of the bytes in repeated windows. first: [run, (start, size)] of first occurrences."""
-    edge = np.zeros(len(text) + 1, np.int32)
-    kept = np.zeros(len(text) + 1, np.int32)
-    np.add.at(kept, first[:, 0], 1)
-    np.add.at(kept, first[:, 0] + first[:, 1], -1)
-    candidate = np.zeros(len(text) + 1, np.int32)
-    for _, a, b, _, h in text_contexts([text]):
-        hit = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
-        hit = anchors[hit] == h
-        np.add.at(candidate, a[hit], 1)
-        np.add.at(candidate, b[hit] + 1, -1)
-    again = np.flatnonzero((np.cumsum(candidate) > 0) & (np.cumsum(kept) <= 0))
-    np.add.at(edge, again, 1)
-    np.add.at(edge, again + LENGTH, -1)
-    gone = np.concatenate([[False], np.cumsum(edge) > 0, [False]]).astype(np.int8)
-    step = np.diff(gone)
-    return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1)
+def removed_spans(texts: list[bytes], anchors: list[np.ndarray], firsts: list[np.ndarray]):
+    """(text number, [span, (begin, end)]) of the bytes in repeated windows, for each text that has some. anchors: sorted
+    hashes; firsts: [run, (start, size)] of first occurrences; both of each text. Texts are handled by lots."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    for i, j in common.cut(sizes, CHUNK_BYTES):
+        begins = np.cumsum(sizes[i:j]) - sizes[i:j]
+        total = int(sizes[i:j].sum())
+        candidate, kept, edge = (np.zeros(total + 1, np.int32) for _ in range(3))
+        for doc, a, b, _, h in text_contexts(texts[i:j]):
+            cuts = np.searchsorted(doc, np.arange(j - i + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                s, own = slice(cuts[k], cuts[k + 1]), anchors[i + k]
+                hit = own[np.minimum(np.searchsorted(own, h[s]), len(own) - 1)] == h[s]
+                np.add.at(candidate, begins[k] + a[s][hit], 1)
+                np.add.at(candidate, begins[k] + b[s][hit] + 1, -1)
+        runs = np.concatenate([f + [[begins[k], 0]] for k, f in enumerate(firsts[i:j])])
+        np.add.at(kept, runs[:, 0], 1)
+        np.add.at(kept, runs[:, 0] + runs[:, 1], -1)
+        again = np.flatnonzero((np.cumsum(candidate) > 0) & (np.cumsum(kept) <= 0))
+        np.add.at(edge, again, 1)
+        np.add.at(edge, again + LENGTH, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        first, last = np.zeros(total, bool), np.zeros(total, bool)  # of a text
+        first[begins[sizes[i:j] > 0]] = True
+        last[(begins + sizes[i:j] - 1)[sizes[i:j] > 0]] = True
+        start = np.flatnonzero(gone & (first | ~np.concatenate([[False], gone[:-1]])))
+        end = np.flatnonzero(gone & (last | ~np.concatenate([gone[1:], [False]]))) + 1
+        of = np.searchsorted(begins, start, "right") - 1
+        cuts = np.searchsorted(of, np.arange(j - i + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            s = slice(cuts[k], cuts[k + 1])
+            yield i + int(k), np.stack([start[s], end[s]], 1) - begins[k]
 
 
 def repeats(docs: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> tuple[DataFrame, DataFrame]:
@@ -341,18 +355,16 @@ def repeats(docs: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> tuple[Data
     def run(batches):
         names = ["doc", "sha", "kept", "n_removed", "n_spans", "spans"]
         for batch in batches:
-            out = []
-            for doc, text, anchors, own in zip(*(batch.column(c) for c in ("doc", "text", "anchors", "firsts")), strict=True):
-                text, found = text.as_py(), np.zeros((0, 2), np.int64)
-                if own.is_valid:
-                    v = own.values
-                    found = np.stack([v.field("start").to_numpy(), v.field("size").to_numpy()], 1)
-                spans = removed_spans(text, np.sort(anchors.values.to_numpy().view(np.uint64)), found)
-                if len(spans):
-                    edges = [0, *spans.reshape(-1).tolist(), len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    pairs = [{"begin": a, "end": b} for a, b in spans.tolist()]
-                    out.append((doc.as_py(), hashlib.sha256(text).hexdigest(), kept, len(text) - len(kept), len(spans), pairs))
+            out, texts = [], batch.column("text").to_pylist()
+            anchors = [np.sort(x.values.to_numpy().view(np.uint64)) for x in batch.column("anchors")]
+            firsts = [np.stack([x.values.field(c).to_numpy() for c in ("start", "size")], 1) if x.is_valid else np.zeros((0, 2), np.int64) for x in batch.column("firsts")]
+            docs = batch.column("doc").to_pylist()
+            for k, spans in removed_spans(texts, anchors, firsts):
+                text = texts[k]
+                edges = [0, *spans.reshape(-1).tolist(), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                pairs = [{"begin": a, "end": b} for a, b in spans.tolist()]
+                out.append((docs[k], hashlib.sha256(text).hexdigest(), kept, len(text) - len(kept), len(spans), pairs))
             span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(span)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)

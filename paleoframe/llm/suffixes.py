@@ -30,19 +30,27 @@ def rising(text: np.ndarray) -> np.ndarray:
 
 
 def _sort_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    at = at[np.argsort(words[at], kind="stable")]
-    new = np.concatenate([[True], words[at[1:]] != words[at[:-1]]]) if len(at) else np.zeros(0, bool)
+    if not len(at):
+        return at
+    at = at[np.argsort(words[at])]
+    new = np.concatenate([[True], words[at[1:]] != words[at[:-1]]])
+    place = np.arange(len(at))  # of those that are tied with a neighbour, with the begins of their groups
     for step in range(8, depth, 8):
-        group = np.cumsum(new) - 1
-        tied = np.flatnonzero(np.bincount(group)[group] > 1) if len(at) else group
-        if not len(tied):
+        tied = ~(new & np.concatenate([new[1:], [True]]))
+        place, new = place[tied], new[tied]
+        if not len(place):
             break
-        own, g = at[tied], group[tied]
+        own = at[place]
         w = words[own + step]
-        order = np.lexsort((w, g))
-        at[tied] = own[order]
-        w, g = w[order], g[order]
-        new[tied] = np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])])
+        differs = np.concatenate([[False], w[1:] != w[:-1]]) & ~new
+        if differs.any():  # only groups that differ here are sorted
+            group = np.cumsum(new) - 1
+            apart = np.zeros(group[-1] + 1, bool)
+            apart[group[differs]] = True
+            some = np.flatnonzero(apart[group])
+            order = np.lexsort((w[some], group[some]))
+            at[place[some]], w[some] = own[some[order]], w[some[order]]
+            new = new | np.concatenate([[False], w[1:] != w[:-1]])
     return at
 
 
