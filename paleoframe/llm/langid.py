@@ -10,7 +10,9 @@ largest share in that set, the score its share.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as are all texts if there is nothing to
 learn from; equal shares go to the language first in order; rows with a null language or id are never learnt from, and
-a null id counts as held out; repeated rows count as often as they occur; an empty table gives no rows.
+a null id counts as held out; repeated rows count as often as they occur; an empty table gives no rows; other columns are
+kept, but ``lang_pred`` and ``score`` are replaced. A task holds CELLS numbers, or for a longer text some 60 bytes a
+character. The model has BUCKETS numbers a language and goes to every task; LANGUAGES is the most it may have.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SEGMENT = 48
 STEPS = 8
 PENALTY = 3.0
 SMOOTH = 0.5
+#: More languages than that are an error: such a column holds something else.
+LANGUAGES = 1000
 #: Numbers of the largest array at once.
 CELLS = 1_600_000
 
@@ -69,6 +73,9 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
                 [pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "bucket", "n"]
             )
 
+    found = rows.where(F.col(lang).isNotNull()).select(lang).distinct().limit(LANGUAGES + 1).count()
+    if found > LANGUAGES:
+        raise ValueError(f"{lang} has over {LANGUAGES} values")
     counts = (
         rows.where(F.col(lang).isNotNull())
         .select(text, lang)

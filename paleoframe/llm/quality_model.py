@@ -1,16 +1,18 @@
 """Quality classifier: supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
-Words, character n-grams of three lengths and repetition marks of a document are hashed to BUCKETS learned vectors. The
-vectors of each kind are averaged, the three averages are added and go through a softmax layer. A repetition mark stands
-for every word and is one of two: the word begins three words that occurred earlier in the document, or it does not.
+Words and character n-grams of three lengths of a document are hashed to BUCKETS learned vectors. The vectors of each kind
+are averaged, the two averages are added and go through a softmax layer.
 
-Training takes at most SAMPLE labelled rows, those with the smallest hashes of their ids (``SAMPLE`` is the documented
-bound); their features are made on the executors and only bucket counts reach the driver. Scoring is a sum of one
-learned number a feature, over whole texts.
+Training takes at most SAMPLE labelled rows, those with the smallest hashes of their ids, and of these, in that order, as
+many as have FEATURES different features together (``SAMPLE`` and ``FEATURES`` are the documented bounds: the driver holds
+eight bytes a feature); their features are made on the executors and only bucket counts reach the driver. Scoring is a sum
+of one learned number a feature, over whole texts.
 
 Defined results: a null or empty text scores the bias alone; without any label, or with labels of one kind, every score
 is the smoothed share of label 1; a null id counts as held out; rows with null labels are not learnt from; of labels that
-contradict each other the smaller one counts; repeated rows are scored each; an empty table gives no rows.
+contradict each other the smaller one counts; repeated rows are scored each; an empty table gives no rows; other columns
+are kept, but ``score`` and ``predicted`` are replaced. A task holds some 60 bytes a character of CHUNK_CHARS characters or
+of the longest text.
 """
 
 from __future__ import annotations
@@ -22,16 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .ngrams import BASE, char_grams, code_points, mix, words
+from .ngrams import char_grams, code_points, words
 
-SAMPLE = 4000
+SAMPLE, FEATURES = 4000, 24_000_000
 BITS = 14
 GRAMS = (2, 3, 4)
 DIM, STEPS, RATE, SEED = 8, 32_000, 0.5, 7
 #: Gradient steps on a kind's vectors are larger by this, as each of many features has a small share of an average.
 FEATURE_RATE = 60.0
-KINDS = 3  # buckets of words, of n-grams, of repetition marks follow each other
-WIDTH = 2 * (1 << BITS) + 2
+WIDTH = 2 * (1 << BITS)  # buckets of words, then those of n-grams
 CHUNK_CHARS = 400_000
 
 
@@ -47,13 +48,6 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     at = np.arange(len(inside)) + np.repeat(begins - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
     grams = [char_grams(cps, n, BITS)[at] for n in GRAMS]
     out.append((np.stack(grams, 1).reshape(-1) + (1 << BITS), np.repeat(inside, len(GRAMS))))
-    mark = np.zeros(len(word), np.int64)
-    if len(word) > 2:
-        three = mix((word[:-2] * BASE + word[1:-1]) * BASE + word[2:]) ^ mix((doc[:-2] + 1).astype(np.uint64) * BASE)
-        order = np.argsort(three, kind="stable")
-        again = order[1:][three[order[1:]] == three[order[:-1]]]
-        mark[again[doc[again] == doc[again + 2]]] = 1
-    out.append((mark + 2 * (1 << BITS), doc))
     return out
 
 
@@ -130,24 +124,28 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     def run(batches):
         for batch in batches:
-            texts, own = [t or "" for t in batch.column(0).to_pylist()], batch.column(1)
+            texts, own = [t or "" for t in batch.column(0).to_pylist()], batch.slice(0)
             for i, j in common.cut(map(len, texts), CHUNK_CHARS):
-                got = _sparse(texts[i:j])
+                got, part = _sparse(texts[i:j]), own.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        own.slice(i, j - i),
+                        part.column(1),
+                        part.column(2),
+                        pa.array([len(a) for a, _ in got], pa.int64()),
                         pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())),
                         pa.array([b.astype(np.float32) for _, b in got], pa.list_(pa.float32())),
                     ],
-                    ["label", "ids", "weights"],
+                    ["label", "h", "n", "ids", "weights"],
                 )
 
     # both sides are cut to the sample before they meet
     chosen = docs.where(order <= last).select("doc_id", "text").join(marked.where(order <= last), "doc_id")
-    t = chosen.select("text", "label").mapInArrow(run, "label int, ids array<int>, weights array<float>").toArrow()
-    rows = []
-    for y, ids, weights in zip(t["label"].to_pylist(), t["ids"], t["weights"], strict=True):
-        rows.append((ids.values.to_numpy().astype(np.int64), weights.values.to_numpy().astype(np.float64), y))
+    made = chosen.select("text", "label", order.alias("h")).mapInArrow(run, "label int, h long, n long, ids array<int>, weights array<float>")
+    made = common.written(made.orderBy("h", "n", "label").limit(sample), "quality-features")
+    size = np.cumsum([r["n"] for r in made.select("n", "h", "label").orderBy("h", "n", "label").collect()])
+    fit = made.orderBy("h", "n", "label").limit(max(1, int((size <= FEATURES).sum())))
+    t = fit.select("label", "ids", "weights").toArrow()
+    rows = [(ids.values.to_numpy(), weights.values.to_numpy(), y) for y, ids, weights in zip(t["label"].to_pylist(), t["ids"], t["weights"], strict=True)]
     rows.sort(key=lambda r: (len(r[0]), r[2], r[0].tobytes(), r[1].tobytes()))  # the same order in every run
     return train(rows)
 

@@ -206,6 +206,7 @@ def test_pieces_are_those_of_the_library():
         s = sentencepiece.normalise(x)
         assert np.frombuffer(p.encode_clean(s), np.int32).tolist() == want
         assert p.decode(want) == x
+        assert [np.frombuffer(y, np.int32).tolist() for y in p.encode([x, None, x[::-1], ""])] == [want, [], sp.encode(x[::-1]), []]
         size, chunks = rng.choice([1, 3, 17, 33]), []
         for b in range(0, len(s), size):
             x, e = max(0, b - p.longest), min(len(s), b + size)
@@ -372,3 +373,118 @@ def test_quality_model(spark, odd):
     assert sum(r.predicted == r.quality for r in got) / len(got) > 0.9
     none = quality_model.learn(odd.limit(0).select("doc_id", "text"), labels.limit(0))
     assert {r.score for r in quality_model.score(odd, none).collect()} == {0.5}
+
+
+# models against plain Python
+
+
+def bucket(points, bits):
+    """Of an n-gram of code points, by whole numbers."""
+    m, h = (1 << 64) - 1, 0
+    for c in points:
+        x = c * 0x9E3779B97F4A7C15 & m
+        h = (h * 0x100000001B3 + (x ^ x >> 32)) & m
+    h = h + len(points) & m
+    h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & m
+    return (h ^ h >> 29) >> 64 - bits
+
+
+TEXTS = ["the cat sat on the mat and that was that", "der hund und die katze", "le chat est sur la table, oui", "the dog und der hund " * 30, "x", "a b c 123 d", "Ünï cödé wörds 日本 text", "the the the the", "qq\nzz  der die das", "oui oui non"]
+
+
+def test_languages_against_plain_em(spark):
+    rows = [("the cat and the dog that was on the mat " * 5, "en"), ("der hund und die katze das ist nicht gut " * 5, "de"), ("le chat et le chien sont sur la table " * 5, "fr")]
+    names, table = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+
+    def grams(t):
+        points = [ord(c) if ord(c) > 127 or "a" <= c <= "z" else 32 for c in t.lower()] + [32, 32]
+        return [bucket(points[i : i + 3], langid.BITS) for i in range(len(points) - 2)]
+
+    for k, name in enumerate(names):
+        n = np.zeros(1 << langid.BITS)
+        np.add.at(n, grams(dict((b, a) for a, b in rows)[name]), 1)
+        want = np.log((n + langid.SMOOTH) / (n.sum() + langid.SMOOTH * len(n)))
+        assert table[:, k] == pytest.approx(want, rel=1e-5)
+
+    def plain(text):
+        g = grams(text)
+        segments = [np.sum([table[x] for x in g[i : i + langid.SEGMENT]], 0) for i in range(0, len(g), langid.SEGMENT)]
+        like = np.exp(np.maximum(np.array(segments, float) - np.max(segments, 1, keepdims=True), -60))
+        top = np.max(segments, 1)
+
+        def em(pi):
+            for _ in range(langid.STEPS):
+                r = like * pi
+                pi = (r / r.sum(1, keepdims=True)).mean(0)
+            return pi
+
+        active = np.ones(len(names), bool)
+        pi = em(np.full(len(names), 1 / len(names)))
+        value = lambda pi, k: (np.log((like * pi).sum(1)) + top).sum() - langid.PENALTY * k * np.log(len(segments) + 1)
+        best = (value(pi, len(names)), pi)
+        drop = (pi < 0.01) & (np.arange(len(names)) != pi.argmax())
+        while True:
+            if not drop.any():
+                if active.sum() == 1:
+                    return best[1]
+                drop = np.arange(len(names)) == np.where(active, pi, np.inf).argmin()
+            active &= ~drop
+            drop = np.zeros(len(names), bool)
+            pi = np.where(active, np.maximum(pi, 1e-12), 0)
+            pi = np.where(active, em(pi / pi.sum()), 0)
+            v = value(np.maximum(pi, 1e-300), active.sum())
+            if v > best[0]:
+                best = (v, pi)
+
+    got, score = langid.predict(TEXTS, names, table)
+    for text, name, x in zip(TEXTS, got, score, strict=True):
+        pi = plain(text)
+        assert x == pytest.approx(pi.max(), abs=1e-5) and pi[names.index(name)] == pytest.approx(pi.max(), abs=1e-6)
+
+
+def test_quality_scores_against_plain_sums(spark):
+    labelled = [(i, TEXTS[i % len(TEXTS)] + f" {i}", int(i % len(TEXTS) < 5)) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in labelled], "doc_id long, text string")
+    model_ = quality_model.learn(docs, spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id long, quality int"))
+    known = quality_model.score(docs, model_).collect()
+    assert sum(r.predicted == labelled[r.doc_id][2] for r in known) >= 57
+    half = 1 << quality_model.BITS
+
+    def word_bucket(w):
+        m, h = (1 << 64) - 1, 0
+        for k, c in enumerate(map(ord, w)):
+            x = c * 0x9E3779B97F4A7C15 & m
+            h = h + (x ^ x >> 32) * pow(0x100000001B3, k, 1 << 64) & m
+        h = h + len(w) & m
+        h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & m
+        return (h ^ h >> 29) >> 64 - quality_model.BITS
+
+    def plain(text):
+        z = model_.bias
+        w = [model_.weight[word_bucket(x)] for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        padded = text + " \n\n\n"
+        g = [model_.weight[half + bucket(list(map(ord, padded[i : i + n])), quality_model.BITS)] for i in range(len(text)) for n in quality_model.GRAMS]
+        z += (sum(map(float, w)) / len(w) if w else 0) + (sum(map(float, g)) / len(g) if g else 0)
+        return 1 / (1 + np.exp(-z))
+
+    assert model_.score([*TEXTS, ""]) == pytest.approx([plain(t) for t in [*TEXTS, ""]], rel=1e-4)
+
+
+def test_long_texts_and_empty_tables(spark, odd):
+    long = "the quick brown fox jumps over 12 dogs. " * 20_000
+    df = spark.createDataFrame([(1, long, "en", 0, "u", long), (2, "short", "en", 0, "v", "x")], "doc_id long, text string, lang string, turn long, url string, html string")
+    got = {r.doc_id: r for r in quality_rules.flag_quality(df).collect()}
+    assert got[1].n_words == len(long.split()) and not got[1].kept
+    m = langid.learn(df.select("text", "lang"))
+    assert {r.lang_pred for r in langid.identify(df, m).collect()} == {"en"}
+    q = quality_model.learn(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality_model.score(df, q).collect()}
+    assert got[1] > got[2]
+    folder = common.fresh(spark, "warc-long")
+    pages = df.selectExpr("doc_id AS page_id", "url", "html")
+    assert sorted(r.payload_bytes for r in warc.read_warc(warc.write_warc(pages, folder), folder).collect()) == [1, len(long)]
+    talk = chat.format_chats(df.selectExpr("doc_id AS conv_id", "turn", "'user' AS role", "text"))
+    assert max(len(r.formatted) for r in talk.collect()) > len(long)
+    assert {r.doc_id for r in mixing.mix(df.selectExpr('*', 'url AS source')).collect()} <= {1, 2}
+    for out in (langid.identify(odd.limit(0), m), quality_model.score(odd.limit(0), q), quality_rules.flag_quality(odd.limit(0))):
+        assert out.count() == 0
