@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from paleoframe.llm import near_sets, simhash
 
@@ -51,7 +52,9 @@ def planted():
     return list(enumerate(texts))
 
 
-def test_stage_finds_planted_near_copies(spark):
+@pytest.mark.parametrize("many", [64, 0])
+def test_stage_finds_planted_near_copies(spark, monkeypatch, many):
+    monkeypatch.setattr(near_sets, "MANY_PAIRS", many)  # 0: rounds of hubs as long as they join anything
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == kept_by_force(rows)
