@@ -54,7 +54,7 @@ def planted():
 
 @pytest.mark.parametrize("many", [64, 0])
 def test_stage_finds_planted_near_copies(spark, monkeypatch, many):
-    monkeypatch.setattr(near_sets, "MANY_PAIRS", many)  # 0: rounds of hubs as long as they join anything
+    monkeypatch.setattr(near_sets, "MANY_PAIRS", many)  # 0: all rounds of hubs
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == kept_by_force(rows)
