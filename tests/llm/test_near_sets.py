@@ -68,6 +68,30 @@ def test_similar_sets_share_a_key():
         a, b = np.unique(a), np.unique(b)
         if near_sets.similar(a, b) and not np.array_equal(a, b):
             assert set(near_sets.keys(a).tolist()) & set(near_sets.keys(b).tolist())
-            part, size = np.arange(2), np.array([len(a), len(b)])
+            same, part, size = np.zeros(2, np.int64), np.arange(2), np.array([len(a), len(b)])
             prints = np.frombuffer(near_sets.sketch(a) + near_sets.sketch(b), np.uint64).reshape(2, -1)
-            assert list(near_sets.open_pairs(part, part, size, prints))
+            least = np.full((2, near_sets.LEAST_KEYS), 1 << 62)
+            assert [(i.tolist(), j.tolist()) for i, j in near_sets.open_pairs(same, part, size, prints, least)] == [([0], [1])]
+            assert any(len(i) for i, j in near_sets.first_partners(same, size, prints))
+
+
+def test_pairs_of_several_keys_are_listed_at_the_first():
+    """Three nodes share keys 1 and 2, and two of them key 3 too: every pair once, as long as the keys are among the least."""
+    key = np.array([1, 1, 1, 2, 2, 2, 3, 3])
+    node = np.array([0, 1, 2, 0, 1, 2, 0, 1])
+    n, prints = np.full(8, 10), np.zeros((8, near_sets.SKETCH // 64), np.uint64)
+    least = np.full((3, near_sets.LEAST_KEYS), np.iinfo(np.int64).max)
+    least[:, :2] = [1, 2]
+    least[:2, 2] = 3
+    found = lambda m: sorted(tuple(sorted(p)) for i, j in near_sets.open_pairs(key, node, n, prints, m[node]) for p in zip(node[i].tolist(), node[j].tolist(), strict=True))
+    assert found(least) == [(0, 1), (0, 2), (1, 2)]
+    assert set(found(np.full_like(least, np.iinfo(np.int64).max))) == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_a_group_over_many_batches_keeps_its_window(monkeypatch):
+    """Partners are found over the edges of batches and at most WINDOW rows back."""
+    monkeypatch.setattr(near_sets, "WINDOW", 3)
+    prints = np.zeros((6, near_sets.SKETCH // 64), np.uint64)
+    prints[1:4] = np.iinfo(np.uint64).max
+    pairs = sorted((int(y), int(x)) for i, j in near_sets.first_partners(np.zeros(6, np.int64), np.full(6, 10), prints, 4) for x, y in zip(i, j, strict=True))
+    assert pairs == [(5, 4)]  # row 0 is four rows before row 4
