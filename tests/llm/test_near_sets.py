@@ -88,10 +88,10 @@ def test_pairs_of_several_keys_are_listed_at_the_first():
     assert set(found(np.full_like(least, np.iinfo(np.int64).max))) == {(0, 1), (0, 2), (1, 2)}
 
 
-def test_a_group_over_many_batches_keeps_its_window(monkeypatch):
-    """Partners are found over the edges of batches and at most WINDOW rows back."""
-    monkeypatch.setattr(near_sets, "WINDOW", 3)
+def test_first_partners_are_the_first_of_a_group(monkeypatch):
+    """Rows from ``new`` on meet the WINDOW first rows of their key only."""
+    monkeypatch.setattr(near_sets, "WINDOW", 2)
     prints = np.zeros((6, near_sets.SKETCH // 64), np.uint64)
-    prints[1:4] = np.iinfo(np.uint64).max
-    pairs = sorted((int(y), int(x)) for i, j in near_sets.first_partners(np.zeros(6, np.int64), np.full(6, 10), prints, 4) for x, y in zip(i, j, strict=True))
-    assert pairs == [(5, 4)]  # row 0 is four rows before row 4
+    prints[[0, 4]] = np.iinfo(np.uint64).max
+    pairs = sorted((int(y), int(x)) for i, j in near_sets.first_partners(np.array([7, 7, 7, 7, 7, 8]), np.full(6, 10), prints, 3) for x, y in zip(i, j, strict=True))
+    assert pairs == [(3, 1), (4, 0)]
