@@ -16,7 +16,7 @@ from .operators.alignment import aligned as rebuild
 from .operators.alignment import span
 from .plans import fit as PF
 from .plans import mixture as PM
-from .schema import LENGTH_LIMIT, MIN_LENGTH, Options
+from .schema import MIN_LENGTH, Options
 from .sources import tables
 
 
@@ -71,8 +71,8 @@ def fit_bdamage(spark: SparkSession, bdamage: str, rlens: str, o: Options = Opti
 
 def recalibrate(aligned: DataFrame, fitted: Fitted, o: Options) -> PM.MixtureFit:
     """The length mixture over all reads in the length window; flags are not filtered here."""
-    reads = aligned.where(OR.length_filter(o.len_limit)).select("flag", "length", "ref", "read", "qual")
-    return PM.fit_mixture(OS.read_likelihoods(reads, fitted.fit.x, o), o.eps, fitted.len_min, o.len_limit if o.len_limit > 0 else LENGTH_LIMIT)
+    reads = aligned.where(OR.length_filter(o.limit)).select("flag", "length", "ref", "read", "qual")
+    return PM.fit_mixture(OS.read_likelihoods(reads, fitted.fit.x, o), o.eps, fitted.len_min, o.limit)
 
 
 def score(aligned: DataFrame, fitted: Fitted, o: Options, mixture: PM.MixtureFit | None = None) -> DataFrame:

@@ -21,12 +21,12 @@ def flag_filter(o: Options, flag: str = "flag") -> Column:
 
 
 def length_filter(limit: int = LENGTH_LIMIT, length: str = "length") -> Column:
-    """MIN_LENGTH up to, not including, the limit; a limit of zero or less means 512."""
-    return (F.col(length) >= MIN_LENGTH) & (F.col(length) < (limit if limit > 0 else 512))
+    """MIN_LENGTH up to, not including, the limit."""
+    return (F.col(length) >= MIN_LENGTH) & (F.col(length) < limit)
 
 
 def eligible(reads: DataFrame, o: Options = Options()) -> DataFrame:
-    keep = flag_filter(o) & length_filter(o.len_limit)
+    keep = flag_filter(o) & length_filter(o.limit)
     if o.min_mapq is not None:
         keep &= F.col("mapq") >= o.min_mapq
     return reads.where(keep)

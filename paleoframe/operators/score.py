@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.mixture import length_probability
-from ..schema import LENGTH_LIMIT, MIN_LENGTH, POSITIONS, Options
+from ..schema import MIN_LENGTH, NO_QUALITY, POSITIONS, Options
 from .reads import ends
 
 N = POSITIONS
@@ -123,14 +123,19 @@ def _error(q: np.ndarray) -> np.ndarray:
     return 10.0 ** (-q / 10.0)
 
 
+def _seen(ref: np.ndarray, read: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Bases that say something: both have a code, and how certain the read one is is known."""
+    return (ref < NO_BASE) & (read < NO_BASE) & (q != NO_QUALITY)
+
+
 def modern_likelihood(ref5, read5, qual5, ref3, read3, qual3) -> np.ndarray:
-    """Product of 1 - e for a match and e / 3 for a mismatch over the bases of both ends, missing bases left out."""
+    """Product of 1 - e for a match and e / 3 for a mismatch over the bases of both ends; bases that are missing or have
+    no quality are left out."""
     out = np.zeros(len(ref5))
     with np.errstate(divide="ignore"):
         for ref, read, q in ((ref5, read5, qual5), (ref3, read3, qual3)):
             e = _error(q)
-            ok = (ref < NO_BASE) & (read < NO_BASE)
-            out += np.where(ok, np.log(np.where(ref == read, 1 - e, e / 3)), 0.0).sum(1)
+            out += np.where(_seen(ref, read, q), np.log(np.where(ref == read, 1 - e, e / 3)), 0.0).sum(1)
     return np.exp(out)
 
 
@@ -144,7 +149,7 @@ def _factors(ref, read, q, extra: float, base: int, to: int, floor: float = ALMO
     hit = ref == base
     value = np.where(hit & (read == base), np.maximum(1 - e - d, ALMOST_ZERO), value)
     value = np.where(hit & (read == to), np.minimum(e / 3 + d, ALMOST_ONE), value)
-    return np.where((ref < NO_BASE) & (read < NO_BASE), np.log(value), 0.0)
+    return np.where(_seen(ref, read, q), np.log(value), 0.0)
 
 
 def ancient_likelihood(x, lengths, ref5, read5, qual5, ref3, read3, qual3, tol: float, compat: bool, turned: bool = False) -> np.ndarray:
@@ -157,7 +162,7 @@ def ancient_likelihood(x, lengths, ref5, read5, qual5, ref3, read3, qual3, tol:
     whole_l, whole_r = np.exp(left[0].sum(1)), np.exp(right[0].sum(1))
     window = None
     if compat and turned:  # there an unexplained mismatch of the left end has the smallest factor
-        odd = (ref5 != read5) & (ref5 < NO_BASE) & (read5 < NO_BASE) & ~((ref5 == C) & (read5 == T_)) & ~((ref5 == G) & (read5 == A))
+        odd = (ref5 != read5) & _seen(ref5, read5, qual5) & ~((ref5 == C) & (read5 == T_)) & ~((ref5 == G) & (read5 == A))
         least = np.log(np.minimum(_error(qual5) / 3, ALMOST_ZERO))
         s, b = (_prefix(np.where(odd, least, f)) for f in left[:2])
         window = np.exp(s + b[:, N, None] - b)
@@ -165,7 +170,7 @@ def ancient_likelihood(x, lengths, ref5, read5, qual5, ref3, read3, qual3, tol:
     rest_l = whole_l
     if compat and not turned:  # with both overhangs long, a C to T change has the full rate added
         e = _error(qual5) / 3
-        rest_l = np.exp(np.where((ref5 == C) & (read5 == T_), np.log(np.minimum(e + ds, ALMOST_ONE)), left[0]).sum(1))
+        rest_l = np.exp(np.where((ref5 == C) & (read5 == T_) & (qual5 != NO_QUALITY), np.log(np.minimum(e + ds, ALMOST_ONE)), left[0]).sum(1))
     return out + rest_l * whole_r * t["rest"]
 
 
@@ -236,8 +241,8 @@ def posterior(scored: DataFrame, o: Options = Options(), mixture=None, len_min:
     plain = ancient(one, one)
     out = scored
     if o.isrecal == 1 and mixture is not None:
-        at = (F.least(F.greatest("length", F.lit(len_min)), F.lit(o.len_limit - 1)) - len_min + 1).cast("int")
-        table = lambda mu, si: F.element_at(F.lit([float(v) for v in length_probability(mu, si, len_min, o.len_limit)[0]]), at)
+        at = (F.least(F.greatest("length", F.lit(len_min)), F.lit(o.limit - 1)) - len_min + 1).cast("int")
+        table = lambda mu, si: F.element_at(F.lit([float(v) for v in length_probability(mu, si, len_min, o.limit)[0]]), at)
         out = out.withColumn("AO", plain).withColumn("AN", ancient(table(*mixture[:2]), table(*mixture[2:])))
     else:
         out = out.withColumn("AN", plain)
@@ -255,7 +260,7 @@ def native_log_error(aligned: DataFrame) -> DataFrame:
             err = F.pow(F.lit(10.0), -c["q"] / F.lit(10.0))
             value = F.when(c["a"] == c["b"], 1 - err).otherwise(err / 3)
             log = F.when(value <= 0, F.lit(float("-inf"))).otherwise(F.ln(value))
-            return acc + F.when((c["a"] < NO_BASE) & (c["b"] < NO_BASE), log).otherwise(0.0)
+            return acc + F.when((c["a"] < NO_BASE) & (c["b"] < NO_BASE) & (c["q"] != NO_QUALITY), log).otherwise(0.0)
 
         own = F.aggregate(cells, F.lit(0.0), step)
         part = own if part is None else part + own

@@ -169,7 +169,10 @@ def base_decode(spark, d):
     return letters.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("code", FB.base_code("b").cast("int"))
 
 
-@query(_CTE + "SELECT qual, count(*) AS n, round(pow(10.0, -qual / 10.0), 12) AS err, round(pow(10.0, -qual / 10.0) / 3, 12) AS third FROM bases GROUP BY qual")
+_ERR = "CASE WHEN qual <> 255 THEN pow(10.0, -qual / 10.0) END"
+
+
+@query(_CTE + f"SELECT qual, count(*) AS n, round({_ERR}, 12) AS err, round({_ERR} / 3, 12) AS third FROM bases GROUP BY qual")
 def phred_error(spark, d):
     e = FB.phred_error("qual")
     n = base_rows(spark, d).groupBy("qual").agg(F.count(F.lit(1)).alias("n"))
@@ -298,17 +301,23 @@ _RATES = ("ct5", "ga3", "ct3", "ga5")
 
 
 def _cube_query(model: str) -> str:
-    return "WITH " + _cube_sql(model) + "SELECT n, len, " + ", ".join(f"round({c}, 9) AS {c}" for c in _RATES) + " FROM cube"
+    return _CTE + _HIST + ", " + _cube_sql(model) + "SELECT cube.n, len, hist.n AS n_reads, " + ", ".join(f"round({c}, 9) AS {c}" for c in _RATES) + " FROM cube JOIN hist ON len = length"
+
+
+def of_lengths(spark, d, df: DataFrame) -> DataFrame:
+    """``df`` for the lengths that reads have, with their numbers."""
+    hist = OL.length_histogram(reads(spark, d)).select(F.col("length").cast("long").alias("len"), F.col("n").alias("n_reads"))
+    return df.join(hist, "len")
 
 
 @query(_cube_query("b"))
 def deam_rate_cube_b(spark, d):
-    return rounded(rate_cube(spark, "b"), 9, *_RATES)
+    return rounded(of_lengths(spark, d, rate_cube(spark, "b")), 9, *_RATES)
 
 
 @query(_cube_query("nb"))
 def deam_rate_cube_nb(spark, d):
-    return rounded(rate_cube(spark, "nb"), 9, *_RATES)
+    return rounded(of_lengths(spark, d, rate_cube(spark, "nb")), 9, *_RATES)
 
 
 _CELL_TERMS = (("ct5", "i", "i", "ct"), ("ga3", "29 - i", "i", "ga"), ("ct3", "29 - i", "29 - i", "ct"), ("ga5", "i", "29 - i", "ga"))
@@ -447,38 +456,40 @@ def bed_semi_join(spark, d):
 # scores
 
 @query(
-    _CTE + "SELECT read_id, length, round(sum(CASE WHEN ref = read THEN ln(1 - pow(10.0, -qual / 10.0)) ELSE ln(pow(10.0, -qual / 10.0) / 3) END), 6) AS ln_err "
+    _CTE + "SELECT read_id, length, round(sum(CASE WHEN qual = 255 THEN 0 WHEN ref = read THEN ln(1 - pow(10.0, -qual / 10.0)) ELSE ln(pow(10.0, -qual / 10.0) / 3) END), 6) + 0.0::DOUBLE AS ln_err "
     "FROM near GROUP BY read_id, length"
 )
 def error_lik(spark, d):
-    return OS.native_log_error(aligned_ends(spark, d)).select("read_id", "length", F.round("ln_err", 6).alias("ln_err"))
+    return OS.native_log_error(aligned_ends(spark, d)).select("read_id", "length", (F.round("ln_err", 6) + 0.0).alias("ln_err"))
 
 
-_W = "WITH " + SS.weights_sql(X, True)
+_W = _CTE + _HIST + ", " + SS.weights_sql(X, True)
 _SIDES = "SELECT len, CAST({damage} AS BOOLEAN) AS damage, side, k, m, round(w, 12) + 0.0::DOUBLE AS w FROM side{tag} UNION ALL SELECT len, {damage}, side, k, -1, round(w, 12) + 0.0::DOUBLE FROM side_rest{tag} UNION ALL SELECT len, {damage}, '-', -1, -1, round(w, 12) + 0.0::DOUBLE FROM rest{tag}"
 
 
-def _weight_rows(spark, schema: str, rows) -> DataFrame:
-    """rows(length): tuples of ``schema`` for every length of the model's window, made on the executors."""
+def _weight_rows(spark, d, schema: str, rows) -> DataFrame:
+    """rows(length): tuples of ``schema`` for every length that reads have, made on the executors; the number of reads."""
 
     def run(batches):
         for batch in batches:
-            got = [r for n in batch.column(0).to_pylist() for r in rows(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got, strict=True)], [c.split()[0] for c in schema.split(", ")])
+            for length, n_reads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = [*zip(*rows(length), strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, got), pa.array([n_reads] * len(got[0]))], [c.split()[0] for c in kinds.split(", ")])
 
-    return spark.range(MIN_LENGTH, LENGTH_LIMIT, 1, spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
+    kinds = schema + ", n_reads long"
+    return OL.length_histogram(reads(spark, d)).select(F.col("length").cast("long"), "n").mapInArrow(run, kinds)
 
 
-@query(_W + "SELECT len, l, r, round(nick, 12) + 0.0::DOUBLE AS nick, round(nick_last, 12) + 0.0::DOUBLE AS nick_last, round(none, 12) + 0.0::DOUBLE AS none FROM short_pair")
+@query(_W + "SELECT len, l, r, round(nick, 12) + 0.0::DOUBLE AS nick, round(nick_last, 12) + 0.0::DOUBLE AS nick_last, round(none, 12) + 0.0::DOUBLE AS none, hist.n AS n_reads FROM short_pair JOIN hist ON len = length")
 def nick_overhang_weights(spark, d):
     def rows(n):
         w = OS.weights(X, n, 1e-8, True).both
         return [(n, a, b, *map(float, w[a, b] + 0.0)) for a in range(POSITIONS + 1) for b in range(POSITIONS + 1)]
 
-    return rounded(_weight_rows(spark, "len long, l long, r long, nick double, nick_last double, none double", rows), 12, "nick", "nick_last", "none")
+    return rounded(_weight_rows(spark, d, "len long, l long, r long, nick double, nick_last double, none double", rows), 12, "nick", "nick_last", "none")
 
 
-@query(_W + ", " + SS.weights_sql(X, False, "_no") + _SIDES.format(damage="true", tag="") + " UNION ALL " + _SIDES.format(damage="false", tag="_no"))
+@query(_W + ", " + SS.weights_sql(X, False, "_no") + "SELECT s.*, hist.n AS n_reads FROM (" + _SIDES.format(damage="true", tag="") + " UNION ALL " + _SIDES.format(damage="false", tag="_no") + ") s JOIN hist ON len = length")
 def nick_side_weights(spark, d):
     def rows(n):
         for damage in (True, False):
@@ -489,7 +500,7 @@ def nick_side_weights(spark, d):
                     yield n, damage, side, k, -1, float(rest[k]) + 0.0
             yield n, damage, "-", -1, -1, float(w.rest)
 
-    return rounded(_weight_rows(spark, "len long, damage boolean, side string, k long, m long, w double", rows), 12, "w")
+    return rounded(_weight_rows(spark, d, "len long, damage boolean, side string, k long, m long, w double", rows), 12, "w")
 
 
 def scored(spark, d, model="nb", compat=True):
@@ -498,11 +509,11 @@ def scored(spark, d, model="nb", compat=True):
 
 def _ancient_sql(model: str, compat: bool) -> str:
     parts = [_CTE + ", " + SS.FACES, SS.MODERN, SS.weights_sql(X, True), SS.scores_sql(X, compat, True), SS.model_sql("", model)]
-    return ", ".join(parts) + "SELECT read_id, length, round(ln_err, 6) AS ln_err, round(ln(v), 6) AS ln_anc FROM value JOIN modern USING (read_id)"
+    return ", ".join(parts) + "SELECT read_id, length, round(ln_err, 6) + 0.0::DOUBLE AS ln_err, round(ln(v), 6) + 0.0::DOUBLE AS ln_anc FROM value JOIN modern USING (read_id)"
 
 
 def _ancient(spark, d, model, compat):
-    return scored(spark, d, model, compat).select("read_id", "length", F.round(F.ln("l_err"), 6).alias("ln_err"), F.round(F.ln("l_anc"), 6).alias("ln_anc"))
+    return scored(spark, d, model, compat).select("read_id", "length", (F.round(F.ln("l_err"), 6) + 0.0).alias("ln_err"), (F.round(F.ln("l_anc"), 6) + 0.0).alias("ln_anc"))
 
 
 @query(_ancient_sql("b", True))

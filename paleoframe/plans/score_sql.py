@@ -55,7 +55,7 @@ FACES = f"""raw AS ({BASES_SQL})
 def _factor(rate: float, base: int, to: int, other: str = f"least(e3, {HIGH})") -> str:
     d = f"({rate}::DOUBLE * (1 - 4 * e3))"
     return (
-        f"CASE WHEN ref > 3 OR read > 3 THEN 0 ELSE ln(CASE WHEN ref = {base} AND read = {base} THEN greatest(1 - 3 * e3 - {d}, {LOW})"
+        f"CASE WHEN ref > 3 OR read > 3 OR qual = 255 THEN 0 ELSE ln(CASE WHEN ref = {base} AND read = {base} THEN greatest(1 - 3 * e3 - {d}, {LOW})"
         f" WHEN ref = {base} AND read = {to} THEN least(e3 + {d}, {HIGH}) WHEN ref = read THEN greatest(1 - 3 * e3, {LOW}) ELSE {other} END) END"
     )
 
@@ -72,7 +72,7 @@ def scores_sql(x, compat: bool, damage: bool, tag: str = "") -> str:
             "s": side(_factor(ds, *C), _factor(ds, *G)), "b": side(_factor(d, *C), _factor(d, *G)), "a": side(_factor(d, *G), _factor(d, *C)),
             "ws": _factor(ds, *C, least), "wb": _factor(d, *C, least),
         }
-        full = f"CASE WHEN NOT turned AND side = 'L' AND ref = 1 AND read = 3 THEN ln(least(e3 + {ds}::DOUBLE, {HIGH})) ELSE {cols['s']} END"
+        full = f"CASE WHEN NOT turned AND side = 'L' AND ref = 1 AND read = 3 AND qual <> 255 THEN ln(least(e3 + {ds}::DOUBLE, {HIGH})) ELSE {cols['s']} END"
         cols["alone"] = full if compat else cols["s"]
         first = N
     else:
@@ -107,7 +107,7 @@ def scores_sql(x, compat: bool, damage: bool, tag: str = "") -> str:
 
 
 #: The modern likelihood by read.
-MODERN = """modern AS (SELECT read_id, sum(CASE WHEN ref > 3 OR read > 3 THEN 0 WHEN ref = read THEN ln(1 - pow(10.0, -qual / 10.0)) ELSE ln(pow(10.0, -qual / 10.0) / 3) END) AS ln_err
+MODERN = """modern AS (SELECT read_id, sum(CASE WHEN ref > 3 OR read > 3 OR qual = 255 THEN 0 WHEN ref = read THEN ln(1 - pow(10.0, -qual / 10.0)) ELSE ln(pow(10.0, -qual / 10.0) / 3) END) AS ln_err
   FROM faces WHERE NOT turned GROUP BY read_id)
 """
 

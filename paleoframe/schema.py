@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 POSITIONS = 15  # looked at from each end of a molecule
 MIN_LENGTH, LENGTH_LIMIT = 30, 150  # the limit itself is out
+NO_QUALITY = 255  # a missing base quality
 BASES = "ACGT"
 CELLS = [a + b for a in BASES for b in BASES]  # reference base, read base
 
@@ -32,6 +33,11 @@ class Options:
     #: Keep known oddities of earlier results (see README) instead of their corrected forms.
     compat: bool = True
 
+    @property
+    def limit(self) -> int:
+        """The first length that is out; a len_limit of zero or less means 512."""
+        return self.len_limit if self.len_limit > 0 else 512
+
     def __post_init__(self):
         if self.model not in ("b", "nb"):
             raise ValueError(f"model is b or nb, not {self.model!r}")

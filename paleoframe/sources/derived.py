@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import complement
 from ..operators.reads import end_cycles
+from ..schema import NO_QUALITY
 
 #: Columns of a read from an id e; c is the cycle from the molecule's 5' end.
 READ = {
@@ -28,7 +29,7 @@ READ_BASE = (
     "CAST(CASE WHEN h = 500 THEN 4 WHEN r = 1 AND h * (c + 1) < 250 THEN 3 WHEN r = 2 AND h * (n - c) < 250 THEN 0"
     " WHEN h >= 997 THEN (r + 1) % 4 ELSE r END AS INT)"
 )
-QUAL = "CAST(20 + (e + c * 3) % 21 AS INT)"
+QUAL = "CAST(CASE WHEN e % 23 = 0 OR (e + c) % 41 = 0 THEN 255 ELSE 20 + (e + c * 3) % 21 END AS INT)"
 
 
 def reads(events: DataFrame, key: str = "event_id", user: str = "user_id") -> DataFrame:
@@ -73,7 +74,7 @@ def with_bases(rows: DataFrame, window: int | None = None) -> DataFrame:
         {
             "ref": flipped(F.transform("_c", lambda x: x["r"])),
             "read": flipped(F.transform("_c", read)),
-            "qual": F.transform("_c", lambda x: (20 + (e + x["c"] * 3) % 21).cast("int")),
+            "qual": F.transform("_c", lambda x: F.when((e % 23 == 0) | ((e + x["c"]) % 41 == 0), NO_QUALITY).otherwise(20 + (e + x["c"] * 3) % 21).cast("int")),
         }
     ).drop("_c")
 

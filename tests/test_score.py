@@ -11,7 +11,7 @@ HI, LO, TOL = 1 - 1e-8, 1e-8, 1e-8
 
 
 def factor(ref, read, q, state, d, ds):
-    if ref > 3 or read > 3:
+    if ref > 3 or read > 3 or q == 255:
         return 1.0
     e = 10 ** (-q / 10)
     rate = {"ssc": ds, "dsc": d, "ssg": ds, "dsg": d}[state] * (1 - 4 * e / 3)
@@ -78,7 +78,7 @@ def sample(rng, n):
     L = rng.choice([30, 31, 33, 45, 80, 149], n)
     ref5, ref3 = rng.integers(0, 4, (n, 15)), rng.integers(0, 4, (n, 15))
     change = lambda r: np.where(rng.random(r.shape) < 0.15, rng.integers(0, 5, r.shape), r)
-    q = lambda: rng.integers(5, 41, (n, 15))
+    q = lambda: np.where(rng.random((n, 15)) < 0.1, 255, rng.integers(5, 41, (n, 15)))
     return L, ref5, change(ref5), q(), ref3, change(ref3), q()
 
 
@@ -102,7 +102,7 @@ def test_modern_likelihood():
         want = 1.0
         for r, a, q in ((r5, a5, q5), (r3, a3, q3)):
             for k in range(15):
-                if r[i, k] < 4 and a[i, k] < 4:
+                if r[i, k] < 4 and a[i, k] < 4 and q[i, k] != 255:
                     e = 10 ** (-q[i, k] / 10)
                     want *= 1 - e if r[i, k] == a[i, k] else e / 3
         assert math.isclose(got[i], want, rel_tol=1e-12)
@@ -113,3 +113,31 @@ def test_no_damage_without_rates():
     x = (0.3, 0.0, 0.0, 0.05)
     assert np.allclose(S.ancient_likelihood(x, L, r5, a5, q5, r3, a3, q3, TOL, False), S.modern_likelihood(r5, a5, q5, r3, a3, q3), rtol=1e-6)
     assert np.allclose(S.undamaged_probability(x, L, r5, r3, TOL), 1.0)
+
+
+def test_reads_without_qualities_say_nothing():
+    L, r5, a5, q5, r3, a3, q3 = sample(np.random.default_rng(4), 5)
+    none = np.full_like(q5, 255)
+    assert np.array_equal(S.modern_likelihood(r5, a5, none, r3, a3, none), np.ones(5))
+    x = (0.36, 0.01, 0.7, 0.02)
+    for compat in (True, False):
+        for turned in (True, False):
+            assert np.allclose(S.ancient_likelihood(x, L, r5, a5, none, r3, a3, none, TOL, compat, turned), 1.0, atol=1e-6)
+
+
+def test_no_length_limit(spark):
+    from paleoframe import api
+    from paleoframe.schema import Options
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(300):
+        n = int(rng.choice([40, 90, 149, 150, 200, 511, 512]))
+        ref = rng.integers(0, 4, n).tolist()
+        read = [3 if c == 1 and rng.random() < 0.5 * 0.6**i else c for i, c in enumerate(ref)]
+        rows.append((k, 0, n, ref, read, [30 if k % 7 else 255] * n))
+    df = spark.createDataFrame(rows, "read_id long, flag int, length int, ref array<int>, read array<int>, qual array<int>").cache()
+    o = Options(len_limit=0, isrecal=1, eps=0.1)
+    got = api.run(df, o)[1].collect()
+    assert len(got) == sum(r[2] < 512 for r in rows)
+    assert all(0 <= r[c] <= 1 for r in got for c in ("AN", "AO", "PD"))
