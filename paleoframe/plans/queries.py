@@ -604,7 +604,7 @@ def fit_by_taxon(spark, d):
 @query()
 def fit_mixture_params(spark, d):
     f = PM.fit_mixture(scored(spark, d), EPS)
-    return spark.createDataFrame([f.row()], ", ".join(f"{n} double, {n}_low double, {n}_high double" for n in PM.NAMES) + ", llh double, calls int")
+    return spark.createDataFrame([f.row()], ", ".join(f"{n} double, {n}_low double, {n}_high double" for n in PM.NAMES) + ", llh double, calls int, jobs int")
 
 
 # what the sinks write

@@ -106,3 +106,79 @@ def test_rebin():
     assert rebin(lens, f) == (lens, f)
     assert rebin(lens, f, 2) == ([30.5, 32.5], pytest.approx([0.3, 0.7]))
     assert sum(rebin(lens, f, 3)[1]) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("mu, sigma, low, limit", [(60.0, 20.0, 30, 150), (31.0, 1.0, 30, 150), (149.0, 100.0, 35, 150), (30.0, 1.5, 40, 512), (80.0, 7.0, 30, 512)])
+def test_derivatives_of_length_probabilities(mu, sigma, low, limit):
+    """Against differences in 50 decimal digits, where the normal distribution is a series."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 90
+    pi = Decimal("3.14159265358979323846264338327950288419716939937510582097494459230781640628620899862803482534211706798")
+
+    def cdf(z):
+        # erf by its series of positive terms, as long as they count; beyond 14 standard deviations nothing is left
+        if abs(z) > 14:
+            return Decimal(int(z > 0))
+        term = total = z
+        k = 0
+        while abs(term) > Decimal(10) ** -75:
+            k += 1
+            term = term * z * z / (2 * k + 1)
+            total += term
+        return Decimal("0.5") + total * (-z * z / 2).exp() / (2 * pi).sqrt()
+
+    def shares(m, s):
+        edge = [cdf((Decimal(k) - Decimal("0.5") - m) / s) for k in range(low, limit + 1)]
+        return [(b - a) / (edge[-1] - edge[0]) for a, b in zip(edge, edge[1:], strict=False)]
+
+    m, s, h = Decimal(mu), Decimal(sigma), Decimal(10) ** -15
+    f = {(i, j): shares(m + i * h, s + j * h) for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    pairs = lambda g: [float(g(k)) for k in range(limit - low)]
+    want = [
+        pairs(lambda k: f[0, 0][k]), pairs(lambda k: (f[1, 0][k] - f[-1, 0][k]) / (2 * h)), pairs(lambda k: (f[0, 1][k] - f[0, -1][k]) / (2 * h)),
+        pairs(lambda k: (f[1, 0][k] - 2 * f[0, 0][k] + f[-1, 0][k]) / (h * h)), pairs(lambda k: (f[0, 1][k] - 2 * f[0, 0][k] + f[0, -1][k]) / (h * h)),
+        pairs(lambda k: (f[1, 1][k] - f[1, -1][k] - f[-1, 1][k] + f[-1, -1][k]) / (4 * h * h)),
+    ]
+    got = M.length_derivatives(mu, sigma, low, limit)
+    assert np.isfinite(got).all()
+    for a, b in zip(got, want, strict=True):
+        assert np.allclose(a, b, rtol=1e-7, atol=1e-10 * max(1.0, np.abs(b).max()))
+
+
+def test_points_of_a_batch(spark):
+    rng = np.random.default_rng(12)
+    n = 400
+    rows = list(zip((rng.random(n) * 1e-3).tolist(), rng.random(n).tolist(), rng.integers(25, 160, n).tolist(), strict=True))
+    df = spark.createDataFrame(rows + [(0.0, 0.0, 70)], "l_err double, l_anc double, length int").cache()
+    points, eps = [(60.0, 20.0, 110.0, 30.0), (90.0, 15.0, 30.0, 100.0), (149.0, 50.0, 70.0, 1.0)], 0.1
+
+    def value(x):
+        a, m = M.length_probability(x[0], x[1])[0], M.length_probability(x[2], x[3])[0]
+        at = [min(max(r[2], 30), 149) - 30 for r in rows]
+        return -sum(np.log(max(r[1] * (1 - eps) * a[k] + r[0] * eps * m[k], 1e-300)) for r, k in zip(rows, at, strict=True)) - np.log(1e-300)
+
+    for x, p in zip(points, M.evaluate_points(df, points, eps), strict=True):
+        assert p.value == pytest.approx(value(x), rel=1e-12)
+        assert np.allclose(p.hessian, p.hessian.T)
+        for i in range(4):
+            if 15 < x[i] < 149:
+                e = np.zeros(4)
+                e[i] = 1e-4
+                up, down = M.evaluate_points(df, [np.add(x, e), np.subtract(x, e)], eps)
+                assert p.gradient[i] == pytest.approx((value(np.add(x, e)) - value(np.subtract(x, e))) / 2e-4, rel=1e-5, abs=1e-4)
+                assert np.allclose(p.hessian[i], (up.gradient - down.gradient) / 2e-4, rtol=1e-5, atol=1e-5)
+
+
+def test_the_fit_of_the_mixture_is_an_optimum_in_few_jobs(spark):
+    rng = np.random.default_rng(13)
+    old = rng.random(3000) < 0.7
+    lens = np.clip(np.where(old, rng.normal(55, 18, 3000), rng.normal(115, 20, 3000)).round(), 30, 149).astype(int)
+    rows = [(1e-3, 0.5, int(k)) if o else (0.5, 1e-3, int(k)) for o, k in zip(old, lens, strict=True)]
+    df = spark.createDataFrame(rows, "l_err double, l_anc double, length int").cache()
+    got = M.fit_mixture(df, 0.3)
+    assert got.jobs <= 15 and got.calls <= 5 * got.jobs
+    near = [np.clip(got.x + np.array(d) * s, M.LOW, M.HIGH) for s in (0.05, 1.0, 10.0) for d in ((1, 0, 0, 0), (-1, 0, 0, 0), (0, 1, 0, 0), (0, -1, 0, 0), (0, 0, 1, 0), (0, 0, -1, 0), (0, 0, 0, 1), (0, 0, 0, -1), (1, 1, 1, 1), (1, -1, -1, 1))]
+    assert min(p.value for p in M.evaluate_points(df, near, 0.3)) >= -got.llh - 1e-6
+    inside = (got.x > M.LOW) & (got.x < M.HIGH)
+    assert (got.low[inside] < got.x[inside]).all() and (got.high[inside] > got.x[inside]).all()
