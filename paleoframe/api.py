@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ class Fitted:
     wide: DataFrame
     lengths: DataFrame
     len_min: int = MIN_LENGTH
+    n_reads: int | None = None
+    lacking: int | None = None  # reads without qualities, whose bases count but are left out of scores
 
 
 def align(reads: DataFrame, chunks: DataFrame | None = None, o: Options = Options()) -> DataFrame:
@@ -45,16 +48,23 @@ def align(reads: DataFrame, chunks: DataFrame | None = None, o: Options = Option
 
 
 def fit_reads(aligned: DataFrame, o: Options = Options(), lengths: DataFrame | None = None) -> Fitted:
-    """Fit to aligned reads; lengths (length, freq) replaces the reads' own distribution."""
-    reads = OR.eligible(aligned, o)
-    counts = OP.mismatch_counts(OR.end_bases(reads, min_quality=o.min_quality))
-    own = lengths if lengths is not None else OL.gap_filled(OL.length_histogram(reads)).select("length", "freq")
-    low = OL.shortest(reads).head()[0] or MIN_LENGTH
-    return Fitted(PF.fit_profile(PF.profile_of(counts, own), o.model, o.eps), OP.mismatch_wide(counts), own, low)
+    """Fit to aligned reads, in one pass over them; lengths (length, freq) replaces the reads' own distribution.
+
+    Of the pass at most some 4,600 rows reach the driver; everything after it is computed from these.
+    """
+    spark = aligned.sparkSession
+    rows = OP.read_summary(aligned, o).collect()
+    summary = spark.createDataFrame(rows, OP.SUMMARY)
+    counts, hist = OP.summary_counts(summary), OP.summary_lengths(summary)
+    own = lengths if lengths is not None else OL.gap_filled(hist).select("length", "freq")
+    by_length = [r for r in rows if r["dist3"] < 0]
+    low = max(MIN_LENGTH, min((r["dist5"] for r in by_length), default=MIN_LENGTH))
+    fit = PF.fit_profile(PF.profile_of(counts, own), o.model, o.eps)
+    return Fitted(fit, OP.mismatch_wide(counts), own, low, sum(r["n"] for r in by_length), sum(r["lacking"] for r in by_length))
 
 
 def fit_tables(spark: SparkSession, table: str, lengths: str, o: Options = Options()) -> Fitted:
-    counts, own = tables.read_mismatch_counts(spark, table), tables.read_lengths(spark, lengths)
+    counts, own = tables.read_mismatch_counts(spark, table), tables.read_lengths(spark, lengths, compat=o.compat)
     return Fitted(PF.fit_profile(PF.profile_of(counts, own), o.model, o.eps), OP.mismatch_wide(counts), own)
 
 
@@ -100,7 +110,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("-model", choices=("b", "nb"), default="nb")
     p.add_argument("-eps", type=float, default=0.0)
     p.add_argument("-isrecal", type=int, default=0)
-    p.add_argument("-nthread", "-nthreads", type=int, default=1, help="cores of a local master; a cluster's own otherwise")
+    p.add_argument("-nthread", "-nthreads", type=int, help="cores of a local master, where no master is set otherwise")
     a = p.parse_args(args)
     if sum(x is not None for x in (a.bam, a.tab, a.bdamage)) != 1:
         p.error("give one of -bam, -tab and -bdamage")
@@ -109,7 +119,10 @@ def main(args: list[str] | None = None) -> int:
     if a.ibam and not a.obam:
         p.error("-ibam needs -obam")
     o = Options(model=a.model, eps=a.eps, isrecal=a.isrecal)
-    spark = SparkSession.builder.appName("paleoframe").getOrCreate()
+    session = SparkSession.builder.appName("paleoframe")
+    if a.nthread and not SparkConf().contains("spark.master"):
+        session = session.master(f"local[{a.nthread}]")
+    spark = session.getOrCreate()
 
     def load(path, ref):
         reads = alignments.read_alignments(spark, path)
@@ -120,11 +133,13 @@ def main(args: list[str] | None = None) -> int:
         return align(reads, spark.read.format("fasta").load(ref) if ref else None, o)
 
     if a.bam:
-        fitted = fit_reads(load(a.bam, a.ref), o, tables.read_lengths(spark, a.len) if a.len else None)
+        fitted = fit_reads(load(a.bam, a.ref), o, tables.read_lengths(spark, a.len, compat=o.compat) if a.len else None)
     else:
         fitted = fit_tables(spark, a.tab, a.len, o) if a.tab else fit_bdamage(spark, a.bdamage, a.rlens, o)
     rates = OP.profile(fitted.wide).select("idx", "freq_ct", "freq_ga").collect()
     print(sinks.report(rates, fitted.fit))
+    if fitted.lacking:
+        print(f"reads without qualities: {fitted.lacking} of {fitted.n_reads}")
     if a.otab:
         sinks.write_mismatch_table(fitted.wide, a.otab)
     if a.oinf:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import CELLS, POSITIONS
+from ..functions.bases import distances, is_reverse
+from ..schema import CELLS, NO_QUALITY, POSITIONS, Options
+from .reads import eligible, end_places
 
 
 def _by_end(bases: DataFrame, by: tuple[str, ...], total: Column, name: str) -> DataFrame:
@@ -18,11 +20,53 @@ def _by_end(bases: DataFrame, by: tuple[str, ...], total: Column, name: str) ->
     part = bases.select(*by, near("dist5"), near("dist3"), "ref", "read", total.alias("_v"))
     if not bases.isStreaming:  # a stream keeps one state, that of the last sum
         part = part.groupBy(*by, "dist5", "dist3", "ref", "read").agg(F.sum("_v").alias("_v"))
+    return _listed(part, by, name)
+
+
+def _listed(part: DataFrame, by: tuple[str, ...], name: str) -> DataFrame:
+    """Sums by both distances, listed under each end that is near."""
     at = F.explode(F.array(F.struct(F.lit("5'").alias("end"), F.col("dist5").alias("dist")), F.struct(F.lit("3'").alias("end"), F.col("dist3").alias("dist"))))
     rows = part.select(*by, "ref", "read", "_v", at.alias("at")).select(*by, "at.end", "at.dist", "ref", "read", "_v")
     return rows.where(F.col("dist") < POSITIONS).groupBy(*by, "end", "dist", "ref", "read").agg(F.sum("_v").alias(name))
 
 
+#: A row of read_summary: bases by both distances and their codes, or (dist3 under 0) reads by length, which is dist5.
+SUMMARY = "dist5 int, dist3 int, ref int, read int, n long, lacking long"
+
+
+def read_summary(aligned: DataFrame, o: Options = Options()) -> DataFrame:
+    """SUMMARY of all eligible reads: what a fit needs to know about them, in one pass and one aggregate.
+
+    A read is exploded into its end bases and one row for itself, which counts its length and whether its qualities are
+    missing. However many reads there are, the result has at most 16 x 16 x 16 rows of bases and one for each length.
+    """
+    places = F.explode(F.concat(F.array(F.lit(-1)), end_places()))
+    rows = eligible(aligned, o).where("length > 0").select("flag", "length", "ref", "read", "qual", places.alias("cycle"))
+    own, at = F.col("cycle") < 0, F.greatest(F.col("cycle"), F.lit(0)) + 1
+    rows = rows.withColumns({c: F.try_element_at(c, at) for c in ("ref", "read", "qual")})
+    keep = (F.col("ref") < 4) & (F.col("read") < 4)
+    if o.min_quality:
+        keep &= F.col("qual") >= o.min_quality
+    rows = rows.where(own | keep)  # before anything is turned
+    near = [F.least(d, F.lit(POSITIONS)) for d in distances("cycle", "length", "flag")]
+    code = lambda c: F.when(own, -1).when(is_reverse("flag"), 3 - F.col(c)).otherwise(F.col(c)).cast("int").alias(c)
+    part = rows.select(
+        F.when(own, F.col("length")).otherwise(near[0]).cast("int").alias("dist5"), F.when(own, -1).otherwise(near[1]).cast("int").alias("dist3"),
+        code("ref"), code("read"), (own & (F.col("qual") == NO_QUALITY)).cast("long").alias("lacks"),
+    )
+    return part.groupBy("dist5", "dist3", "ref", "read").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("lacks"), F.lit(0)).alias("lacking"))
+
+
+def summary_counts(summary: DataFrame) -> DataFrame:
+    """mismatch_counts of a read_summary."""
+    return _listed(summary.where("dist3 >= 0").select("dist5", "dist3", "ref", "read", F.col("n").alias("_v")), (), "n")
+
+
+def summary_lengths(summary: DataFrame) -> DataFrame:
+    """length_histogram of a read_summary."""
+    return summary.where("dist3 < 0").select(F.col("dist5").alias("length"), "n")
+
+
 def mismatch_counts(bases: DataFrame, *by: str) -> DataFrame:
     """(by,) end, dist, ref, read, n. Partial counts are made before the shuffle."""
     return _by_end(bases, by, F.lit(1).cast("long"), "n")

@@ -57,10 +57,14 @@ def end_bases(aligned: DataFrame, keep: tuple[str, ...] = ("read_id",), position
 
 def end_cycles(positions: int = POSITIONS) -> Column:
     """Explodes the places of a read that are near an end."""
+    return F.explode(end_places(positions))
+
+
+def end_places(positions: int = POSITIONS) -> Column:
     n = F.col("length")
     head = F.sequence(F.lit(0), F.least(F.lit(positions), n) - 1)
     tail = F.when(n > positions, F.sequence(F.greatest(F.lit(positions), n - positions), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.explode(F.concat(head, tail))
+    return F.concat(head, tail)
 
 
 def orient(rows: DataFrame, keep: tuple[str, ...] = ("read_id",), min_quality: int | None = None) -> DataFrame:
