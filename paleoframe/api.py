@@ -125,9 +125,11 @@ def main(args: list[str] | None = None) -> int:
     spark = session.getOrCreate()
 
     def load(path, ref):
-        reads = alignments.read_alignments(spark, path)
         if a.bed:
-            reads = OREF.within(reads, tables.read_bed(spark, a.bed))
+            bed = tables.read_bed(spark, a.bed)
+            reads = OREF.within(alignments.read_alignments(spark, path, OREF.windows(bed)), bed)
+        else:
+            reads = alignments.read_alignments(spark, path)
         if ref:
             alignments.register(spark)
         return align(reads, spark.read.format("fasta").load(ref) if ref else None, o)
@@ -155,7 +157,8 @@ def main(args: list[str] | None = None) -> int:
         if a.obam.endswith(".parquet"):
             sinks.write_reads(scored, a.obam)
         else:
-            sinks.write_sam(scored, [r["value"] for r in alignments.read_header(spark, a.ibam).collect()], a.obam)
+            header = [r["value"] for r in alignments.read_header(spark, a.ibam).collect()]
+            (sinks.write_bam if a.obam.endswith(".bam") else sinks.write_sam)(scored, header, a.obam)
     return 0
 
 

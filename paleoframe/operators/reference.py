@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
@@ -35,3 +35,12 @@ def within(reads: DataFrame, bed: DataFrame, bin_size: int = 1 << 14) -> DataFra
     r = reads.withColumn("_bin", F.floor(F.col("pos") / bin_size))
     near = (r["rname"] == bins["rname"]) & (r["_bin"] == bins["_bin"]) & (r["pos"] >= bins["_a"]) & (r["pos"] < bins["_b"])
     return r.join(bins, near, "left_semi").drop("_bin")
+
+
+def windows(bed: DataFrame, size: int = 1 << 14) -> list[tuple[str, int, int]]:
+    """(chrom, begin, end), 0-based with the end out: runs of neighbouring windows that intervals of bed touch, for a source
+    that reads regions. As many as the reference has windows at most, however many intervals there are."""
+    touched = bed.where("start < end").select("chrom", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("w")).distinct()
+    run = F.col("w") - F.row_number().over(Window.partitionBy("chrom").orderBy("w"))
+    runs = touched.withColumn("run", run).groupBy("chrom", "run").agg(F.min("w").alias("a"), F.max("w").alias("b"))
+    return sorted((r["chrom"], int(r["a"]) * size, (int(r["b"]) + 1) * size) for r in runs.collect())

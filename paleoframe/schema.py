@@ -11,7 +11,7 @@ BASES = "ACGT"
 CELLS = [a + b for a in BASES for b in BASES]  # reference base, read base
 
 READS = (
-    "qname string, flag int, rname string, pos long, mapq int, cigar string, seq string, qual array<int>, tags map<string,string>, tag_types map<string,string>"
+    "qname string, flag int, rname string, pos long, mapq int, cigar string, seq string, qual array<int>, tags map<string,string>, tag_types map<string,string>, rnext string, pnext long, tlen int"
 )
 #: One row for a read whose bases are aligned: codes in the order of the forward reference.
 ALIGNED = "read_id long, flag int, length int, ref array<int>, read array<int>, qual array<int>"

@@ -1,26 +1,27 @@
-"""Alignment sources: SAM as text, BAM and indexed FASTA as Python data sources that read byte ranges on executors."""
+"""Alignment sources: SAM as text, BAM and indexed FASTA as Python data sources that read byte ranges on executors; BAM
+is written by a Python data source as well."""
 
 from __future__ import annotations
 
+import json
 import struct
-import zlib
+import uuid
+from bisect import bisect_right
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from ..functions.bases import CIGAR_OPS, NIBBLES
+from ..functions.bases import CIGAR_OPS, NIBBLES  # noqa: F401
 from ..schema import READS
+from . import bam
+from .bam import LAST_BLOCK, Blocks, parse_header, parse_record
 
 
 def _open(path: str):
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    if "://" in path:
-        fs, path = FileSystem.from_uri(path)
-        return fs.open_input_file(path)
-    return LocalFileSystem().open_input_file(path)
+    return bam.open_file(path)
 
 
 def check_path(path: str) -> str:
@@ -41,182 +42,176 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(check_path(path)).where("value <> '' AND NOT startswith(value, '@')").select(
         p[0].alias("qname"), p[1].cast("int").alias("flag"), F.nullif(p[2], F.lit("*")).alias("rname"), (p[3].cast("long") - 1).alias("pos"),
         p[4].cast("int").alias("mapq"), F.nullif(p[5], F.lit("*")).alias("cigar"), F.nullif(seq, F.lit("*")).alias("seq"), qual.alias("qual"), tag(6, 1 << 30).alias("tags"), tag(4, 1).alias("tag_types"),
+        F.when(p[6] == "=", F.nullif(p[2], F.lit("*"))).otherwise(F.nullif(p[6], F.lit("*"))).alias("rnext"), (p[7].cast("long") - 1).alias("pnext"), p[8].cast("int").alias("tlen"),
     )
 
 
-_TAG = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-#: The empty block that ends a complete file, a fixed value of the format.
-LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-#: Compressed bytes of one task, where an index tells at which places records begin.
+#: Compressed bytes of one task.
 SPLIT_BYTES = 64 << 20
 ROWS = 2000
 
 
-def _tags(data: bytes) -> tuple[dict[str, str], dict[str, str]]:
-    """Values and types as SAM writes them."""
-    out, types, at = {}, {}, 0
-    while at < len(data):
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            end = data.index(0, at)
-            out[name], at = data[at:end].decode(), end + 1
-        elif kind == "B":
-            sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            out[name] = ",".join([sub, *map(str, struct.unpack_from(f"<{n}{_TAG[sub]}", data, at + 5))])
-            at += 5 + n * struct.calcsize(_TAG[sub])
-        else:
-            v = struct.unpack_from(f"<{_TAG[kind]}", data, at)[0]
-            out[name], at = v.decode() if kind == "A" else str(v), at + struct.calcsize(_TAG[kind])
-        types[name] = "i" if kind in "cCsSiI" else kind
-    return out, types
-
-
-class Blocks:
-    """The uncompressed bytes of a file of gzip members, from a virtual offset (member's place << 16 | place in it) on."""
-
-    def __init__(self, file, voffset: int = 0):
-        self.file, self.size = file, file.size()
-        self.raw, self.next = b"", voffset >> 16  # compressed bytes at hand, where the bytes after them are
-        self.data, self.at, self.block, self.gone, self.inflate = b"", 0, voffset >> 16, 0, None
-        self.read(voffset & 0xFFFF)
-
-    def tell(self) -> int:
-        return self.block << 16 | (self.gone + self.at)
-
-    def _more(self) -> bool:
-        """The next bytes; False at the end of the file."""
-        while True:
-            if not self.raw:
-                if self.next >= self.size:
-                    return False
-                self.raw = self.file.read_at(min(1 << 18, self.size - self.next), self.next)
-                self.next += len(self.raw)
-            if self.inflate is None:
-                self.inflate, self.block, self.gone, self.data = zlib.decompressobj(31), self.next - len(self.raw), 0, b""
-            self.gone += len(self.data)
-            self.data, self.at = self.inflate.decompress(self.raw, 1 << 20), 0
-            self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
-            if self.inflate.eof:
-                self.inflate = None
-            if self.data:
-                return True
+@dataclass
+class Piece(InputPartition):
+    """Of a file: the records of these chunks of virtual offsets (None: the file's first record, its end); or, without an
+    index, the records that begin in blocks from one byte to before another."""
 
-    def read(self, n: int) -> bytes:
-        out = []
-        while n > 0:
-            if self.at == len(self.data) and not self._more():
-                break
-            part = self.data[self.at : self.at + n]
-            self.at += len(part)
-            n -= len(part)
-            out.append(part)
-        return b"".join(out)
-
-    def begins(self) -> int | None:
-        """The virtual offset of the next byte; None at the end."""
-        return self.tell() if self.at < len(self.data) or self._more() else None
-
-
-def parse_header(stream) -> tuple[str, list[tuple[str, int]]]:
-    """Header text and (name, length) of the contigs of an uncompressed BAM stream."""
-    if stream.read(4) != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    number = lambda: struct.unpack("<i", stream.read(4))[0]
-    text = stream.read(number()).rstrip(b"\0").decode()
-    return text, [(stream.read(number())[:-1].decode(), number()) for _ in range(number())]
-
-
-def parse_record(d: bytes, names: list[str]) -> tuple:
-    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", d)
-    at = 32
-    qname = d[at : at + l_name - 1].decode()
-    at += l_name
-    ops = struct.unpack_from(f"<{n_cigar}I", d, at)
-    at += 4 * n_cigar
-    packed = d[at : at + (l_seq + 1) // 2]
-    at += (l_seq + 1) // 2
-    seq = "".join([_PAIRS[b] for b in packed])[:l_seq]
-    tags, types = _tags(d[at + l_seq :])
-    cigar = "".join([f"{o >> 4}{CIGAR_OPS[o & 15]}" for o in ops]) or None
-    return qname, flag, names[ref] if ref >= 0 else None, pos, mapq, cigar, seq or None, list(d[at : at + l_seq]), list(tags.items()), list(types.items())
-
-
-_PAIRS = [NIBBLES[b >> 4] + NIBBLES[b & 15] for b in range(256)]
-
-
-def index_places(data: bytes) -> list[int]:
-    """Virtual offsets at which records begin, of a BAI index."""
-    if data[:4] != b"BAI\x01":
-        raise ValueError("not a BAM index")
-    n_ref, at, out = struct.unpack_from("<i", data, 4)[0], 8, set()
-    for _ in range(n_ref):
-        n_bin = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        for _ in range(n_bin):
-            number, n = struct.unpack_from("<Ii", data, at)
-            at += 8
-            if number != 37450:  # that one has counts instead
-                out.update(struct.unpack_from(f"<{2 * n}Q", data, at)[::2])
-            at += 16 * n
-        n = struct.unpack_from("<i", data, at)[0]
-        out.update(struct.unpack_from(f"<{n}Q", data, at + 4))
-        at += 4 + 8 * n
-    return sorted(out - {0})
+    path: str
+    chunks: list
+    bytes: tuple[int, int] | None = None
 
+    def __init__(self, path, chunks, bytes=None):  # noqa: A002
+        self.path, self.chunks, self.bytes = path, chunks, bytes
 
-class BamReader(DataSourceReader):
-    """Where an index (.bai) lies beside a file, a partition has about ``split`` compressed bytes; else a whole file. Filters
-    are left to Spark. A file without its last, empty block is cut off and an error, unless ``complete`` is False."""
 
-    def __init__(self, paths: list[str], split: int = SPLIT_BYTES, complete: bool = True):
-        self.paths, self.split, self.complete = paths, split, complete
+_COMPARE = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+_TESTS = {"==": lambda a, b: a == b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
+
+
+class BamReader(DataSourceReader):
+    """A partition has about ``split`` compressed bytes. An index (.bai) beside a file tells where records begin; without
+    one, they are found in the bytes. A file without its last, empty block is cut off and an error, unless ``complete``
+    is False.
+
+    regions, [contig, begin, end] each: only records over these; with an index, only the bytes that hold them are read.
+    Comparisons of rname, pos, mapq and flag with constants are tested before a record is unpacked, those of rname and
+    pos choose bytes as regions do; Spark tests all of them again.
+    """
+
+    def __init__(self, paths: list[str], split: int = SPLIT_BYTES, complete: bool = True, regions: list | None = None):
+        self.paths, self.split, self.complete, self.regions = paths, split, complete, regions
+        self.tests: list[tuple] = []
+        self.contigs: set | None = None
+        self.low, self.high = 0, 1 << 31
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if column == "rname" and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.contigs = wanted if self.contigs is None else self.contigs & wanted
+            elif column in ("pos", "mapq", "flag") and type(f) in _COMPARE and f.value is not None:
+                how, v = _COMPARE[type(f)], int(f.value)
+                self.tests.append((column, how, v))
+                if column == "pos":
+                    self.low = max(self.low, {"==": v, ">": v + 1, ">=": v}.get(how, 0))
+                    self.high = min(self.high, {"==": v + 1, "<": v, "<=": v + 1}.get(how, 1 << 31))
+            yield f  # for Spark as well
+
+    def _wanted(self, names: list[str], lengths: list[int]) -> list[tuple[int, int, int]] | None:
+        """The regions by number of contig; None if every record may be wanted."""
+        if self.regions is None and self.contigs is None:
+            return None
+        at = {n: k for k, n in enumerate(names)}
+        every = [(n, 0, max(1, lengths[at[n]])) for n in (self.contigs or ()) if n in at] if self.regions is None else self.regions
+        kept = [(at[n], max(a, self.low), min(b, self.high)) for n, a, b in every if n in at and (self.contigs is None or n in self.contigs)]
+        return sorted(r for r in kept if r[1] < r[2])
 
     def partitions(self):
-        out = []
-        for path in self.paths:
-            cuts: list = [None]
-            for name in (path + ".bai", path.removesuffix(".bam") + ".bai"):
-                try:
-                    with _open(name) as f:
-                        places = index_places(f.read())
-                except FileNotFoundError:
-                    continue
-                last = 0
-                for v in places:
-                    if (v >> 16) - last >= self.split:
-                        cuts.append(v)
-                        last = v >> 16
+        return [piece for path in _files(self.paths) for piece in self._pieces(path)] or [Piece("", [])]
+
+    def _pieces(self, path: str):
+        index = None
+        for name in (path + ".bai", path.removesuffix(".bam") + ".bai"):
+            try:
+                with _open(name) as f:
+                    index = bam.Index.parse(f.read())
                 break
-            out += [InputPartition((path, a, b)) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
-        return out
+            except FileNotFoundError:
+                continue
+        with _open(path) as file:
+            size, blocks = file.size(), bam.block_size(file.read_at(min(18, file.size()), 0)) > 0
+            wanted = None
+            if index and (self.regions is not None or self.contigs is not None):
+                contigs = parse_header(Blocks(file, 0, 0))[1]
+                wanted = self._wanted([n for n, _ in contigs], [n for _, n in contigs])
+        if wanted is not None:
+            held, out = 0, [[]]
+            for a, b in index.chunks(wanted):
+                if held >= self.split:
+                    out.append([])
+                    held = 0
+                out[-1].append((a, b))
+                held += (b >> 16) - (a >> 16) + 1
+            return [Piece(path, chunks) for chunks in out if chunks]
+        if index:
+            cuts, last = [None], 0
+            for v in index.places():
+                if (v >> 16) - last >= self.split:
+                    cuts.append(v)
+                    last = v >> 16
+            return [Piece(path, [c]) for c in zip(cuts, [*cuts[1:], None], strict=True)]
+        if not blocks:  # plain gzip members do not tell where the next one begins
+            return [Piece(path, [(None, None)])]
+        return [Piece(path, [], (a, min(a + self.split, size))) for a in range(0, size, self.split)]
 
     def read(self, partition):
-        path, begin, end = partition.value
-        with _open(path) as file:
+        if not partition.path:
+            return
+        with _open(partition.path) as file:
             if self.complete and (file.size() < len(LAST_BLOCK) or file.read_at(len(LAST_BLOCK), file.size() - len(LAST_BLOCK)) != LAST_BLOCK):
-                raise ValueError(f"{path}: the file is cut off")
-            stream = Blocks(file)
-            names = [n for n, _ in parse_header(stream)[1]]
-            if begin is not None:
-                stream = Blocks(file, begin)
+                raise ValueError(f"{partition.path}: the file is cut off")
+            stream = Blocks(file, 0, None if not partition.bytes and partition.chunks[0][0] is None else 0)
+            contigs = parse_header(stream)[1]
+            names, lengths = [n for n, _ in contigs], [n for _, n in contigs]
+            first, chunks = None, partition.chunks
+            if partition.bytes or chunks[0][0] is None:
+                first = stream.begins()
+            if partition.bytes:
+                a, b = partition.bytes
+                first = None if first is None or first >> 16 >= b else first if first >> 16 >= a else bam.first_record(file, a, b, lengths)
+                chunks = [] if first is None else [(first, b << 16)]
+            keep = self._kept(names, lengths)
             rows = []
-            while (at := stream.begins()) is not None and (end is None or at < end):
-                size = struct.unpack("<i", stream.read(4))[0]
-                d = stream.read(size)
-                if len(d) < size:
-                    raise ValueError(f"{path}: a record is cut off")
-                rows.append(parse_record(d, names))
-                if len(rows) == ROWS:
-                    yield _batch(rows)
-                    rows = []
+            for a, b in chunks:
+                for d in self._records(stream if a is None else Blocks(file, a, b), b, partition.path):
+                    if keep(d):
+                        rows.append(parse_record(d, names))
+                        if len(rows) == ROWS:
+                            yield _batch(rows)
+                            rows = []
             if rows:
                 yield _batch(rows)
 
+    @staticmethod
+    def _records(stream, end, path):
+        while (at := stream.begins()) is not None and (end is None or at < end):
+            size = struct.unpack("<i", stream.read(4))[0]
+            d = stream.read(size)
+            if len(d) < size:
+                raise ValueError(f"{path}: a record is cut off")
+            yield d
+
+    def _kept(self, names, lengths):
+        """A test of packed records."""
+        wanted, tests = self._wanted(names, lengths), self.tests
+        if wanted is None and not tests:
+            return lambda d: True
+        by: dict[int, tuple[list[int], list[int]]] = {}
+        for ref, a, b in wanted or ():
+            begins, ends = by.setdefault(ref, ([], []))
+            begins.append(a)
+            ends.append(max(b, ends[-1] if ends else 0))
+
+        def keep(d):
+            if tests:
+                pos, mapq, flag = struct.unpack_from("<i", d, 4)[0], d[9], struct.unpack_from("<H", d, 14)[0]
+                values = {"pos": pos, "mapq": mapq, "flag": flag}
+                if not all(_TESTS[how](values[c], v) for c, how, v in tests):
+                    return False
+            if wanted is None:
+                return True
+            ref, a, b = bam.span_of(d)
+            begins, ends = by.get(ref, ((), ()))
+            k = bisect_right(begins, b - 1)  # regions that begin before the record ends
+            return k > 0 and ends[k - 1] > a
+
+        return keep
+
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     text = pa.map_(pa.string(), pa.string())
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), text, text]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), text, text, pa.string(), pa.int64(), pa.int32()]
     names = [c.split()[0] for c in READS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -228,9 +223,143 @@ def _paths(options) -> list[str]:
     return [check_path(p) for p in paths]
 
 
+def _files(paths: list[str]) -> list[str]:
+    """Files as they are, folders as the files that a writer has left in them, in order."""
+    from pyarrow.fs import FileSelector, FileType
+
+    out = []
+    for path in paths:
+        fs, name = _filesystem(path)
+        if fs.get_file_info(name).type != FileType.Directory:
+            out.append(path)
+            continue
+        found = sorted(x.base_name for x in fs.get_file_info(FileSelector(name)) if x.base_name.startswith("part-") and x.base_name.endswith(".bam"))
+        out += [f"{path.rstrip('/')}/{x}" for x in found]
+    return out
+
+
+def _filesystem(path: str):
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+
+
+@dataclass
+class Part(WriterCommitMessage):
+    names: list[str]
+
+
+class BamWriter(DataSourceArrowWriter):
+    """A folder of complete BAM files, one for each task that has rows, each with its index.
+
+    Tasks write into a hidden folder of the job. The driver moves the files of successful tasks to their place when all
+    are done, and only then; what other attempts have left goes with the hidden folder, and when the job fails everything
+    does.
+    """
+
+    def __init__(self, path: str, schema, header: str, overwrite: bool):
+        self.path, self.header, self.overwrite = path.rstrip("/"), header, overwrite
+        self.hidden = f".parts-{uuid.uuid4().hex}"
+        self.columns = schema.fieldNames()
+        self.scores = [f.name for f in schema.fields if len(f.name) == 2 and f.dataType.simpleString() == "float"]
+        missing = {c.split()[0] for c in READS.split(", ")} - set(self.columns)
+        if missing:
+            raise ValueError(f"a BAM file needs the columns {', '.join(sorted(missing))}")
+        self.contigs = header_contigs(header)
+        # here and not in tasks: one that still runs when its job is given up finds no folder to write into
+        fs, place = self._name(self.hidden)
+        fs.create_dir(place, recursive=True)
+
+    def _name(self, *parts: str):
+        fs, base = _filesystem(self.path)
+        return fs, "/".join([base, *parts])
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        name = f"part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}.bam"
+        out = index = None
+        places = {n: k for k, (n, _) in enumerate(self.contigs)}
+        reads = [c.split()[0] for c in READS.split(", ")]
+        for batch in iterator:
+            if out is None and batch.num_rows:
+                fs, place = self._name(self.hidden, name)
+                file = fs.open_output_stream(place, compression=None)
+                out, index = bam.BlockWriter(file), bam.Index()
+                out.write(bam.pack_header(self.header, self.contigs))
+                out.flush()
+            columns = [batch.column(self.columns.index(c)).to_pylist() for c in reads]
+            scores = [batch.column(self.columns.index(c)).to_pylist() for c in self.scores]
+            for k, row in enumerate(zip(*columns, strict=True)):
+                at = out.tell()
+                raw = bam.pack_record(places, *row, [(n, v[k]) for n, v in zip(self.scores, scores, strict=True)])
+                out.write(raw)
+                if row[2] is not None:
+                    index.add(*bam.span_of(raw[4:]), at, out.tell())
+        if out is None:
+            return Part([])
+        out.finish()
+        file.close()
+        with fs.open_output_stream(place + ".bai", compression=None) as f:
+            f.write(index.pack(len(self.contigs)))
+        return Part([name, name + ".bai"])
+
+    def commit(self, messages):
+        from pyarrow.fs import FileSelector, FileType
+
+        names = [n for m in messages if m is not None for n in m.names]
+        fs, base = self._name()
+        if not names:  # a file without records
+            names = ["part-00000-0.bam"]
+            with fs.open_output_stream(self._name(self.hidden, names[0])[1], compression=None) as f:
+                out = bam.BlockWriter(f)
+                out.write(bam.pack_header(self.header, self.contigs))
+                out.finish()
+        old = [x for x in fs.get_file_info(FileSelector(base)) if x.type == FileType.File and (x.base_name.startswith("part-") or x.base_name == "_SUCCESS")]
+        if old and not self.overwrite:
+            self.abort(messages)
+            raise ValueError(f"{self.path} has files already")
+        for x in old:
+            fs.delete_file(x.path)
+        for n in names:
+            fs.move(self._name(self.hidden, n)[1], self._name(n)[1])
+        self.abort(messages)  # what is left in the hidden folder
+        with fs.open_output_stream(self._name("_SUCCESS")[1], compression=None) as f:
+            f.write(b"")
+
+    def abort(self, messages):
+        import contextlib
+        import time
+
+        from pyarrow.fs import FileSelector, FileType
+
+        fs, place = self._name(self.hidden)
+        for _ in range(5):  # a task may just be writing a file
+            if fs.get_file_info(place).type != FileType.Directory:
+                break
+            with contextlib.suppress(OSError):
+                fs.delete_dir(place)
+                break
+            time.sleep(0.2)
+        base = self._name()[1]
+        if not fs.get_file_info(FileSelector(base)):  # made for this job
+            fs.delete_dir(base)
+
+
+def header_contigs(header: str) -> list[tuple[str, int]]:
+    """(name, length) of the contigs of a header's text, in order."""
+    fields = [dict(f.split(":", 1) for f in line.split("\t")[1:] if ":" in f) for line in header.splitlines() if line.startswith("@SQ")]
+    return [(f["SN"], int(f["LN"])) for f in fields]
+
+
 class BamSource(DataSource):
-    """spark.read.format("bam").load(path), or .option("paths", "a,b"). Options split (bytes) and complete (false: take a
-    file that has no last block)."""
+    """spark.read.format("bam").load(path), or .option("paths", "a,b"); a path is a file, or a folder that was written.
+    Options split (bytes), complete (false: take a file that has no last block) and regions (JSON, a list of [contig,
+    begin, end]).
+
+    df.write.format("bam").option("header", text).save(path) takes READS rows in the order that they are to have, further
+    columns of 32-bit floats with names of two letters are tags. ``sinks.write_bam`` sorts and writes."""
 
     @classmethod
     def name(cls):
@@ -241,12 +370,19 @@ class BamSource(DataSource):
 
     def reader(self, schema):
         complete = str(self.options.get("complete", "true")).lower() != "false"
-        return BamReader(_paths(self.options), int(self.options.get("split", SPLIT_BYTES)), complete)
+        regions = self.options.get("regions")
+        return BamReader(_paths(self.options), int(self.options.get("split", SPLIT_BYTES)), complete, None if regions is None else [tuple(r) for r in json.loads(regions)])
+
+    def writer(self, schema, overwrite):
+        return BamWriter(self.options["path"], schema, self.options.get("header", ""), overwrite)
+
 
+class BamHeaderReader(DataSourceReader):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
-class BamHeaderReader(BamReader):
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        return [InputPartition(files[0]) for p in self.paths if (files := _files([p]))]
 
     def read(self, partition):
         with _open(partition.value) as file:
@@ -310,21 +446,26 @@ class FastaSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    # the BAM reader takes filters, which Spark has to be told to give
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
     spark.dataSource.register(BamHeaderSource)
     spark.dataSource.register(FastaSource)
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+def read_alignments(spark: SparkSession, path: str, regions: list | None = None) -> DataFrame:
+    """READS rows. regions (contig, begin, end): those that a later filter can use at most; a BAM file with an index is then
+    read there only."""
     check_path(path)
     if path.endswith(".bam"):
         register(spark)
-        return spark.read.format("bam").load(path)
+        source = spark.read.format("bam")
+        return (source if regions is None else source.option("regions", json.dumps(regions))).load(path)
     return read_sam(spark, path)
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
-    """The header's lines, column value, in order where the file is one."""
+    """The header's lines, column value, in order where the file is one. Of a folder of BAM files, the first one's."""
     if path.endswith(".bam"):
         register(spark)
         return spark.read.format("bam_header").load(check_path(path))

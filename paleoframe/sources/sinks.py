@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CELLS, POSITIONS
+from ..schema import CELLS, POSITIONS, READS
 
 
 def mismatch_lines(wide: DataFrame) -> DataFrame:
@@ -129,17 +129,53 @@ def sam_lines(scored: DataFrame, tags: tuple[str, ...] = TAGS) -> DataFrame:
     entries = F.filter(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin(*tags))
     kept = F.transform(entries, lambda e: F.concat_ws(":", e["key"], F.coalesce(F.try_element_at(kind, e["key"]), F.lit("Z")), e["value"]))
     scores = F.array_compact(F.array(*[F.concat(F.lit(f"{c}:f:"), F.col(c).cast("string")) for c in own])) if own else F.array().cast("array<string>")
+    mate = [F.lit("*"), F.lit("0"), F.lit("0")]
+    if "rnext" in scored.columns:
+        mate = [F.when(F.col("rnext") == F.col("rname"), "=").otherwise(star(F.col("rnext"))), (F.coalesce("pnext", F.lit(-1)) + 1).cast("string"), F.coalesce("tlen", F.lit(0)).cast("string")]
     qual = F.when((F.size("qual") > 0) & (F.try_element_at("qual", F.lit(1)) != 255), F.array_join(F.transform("qual", lambda q: F.char(q + 33)), ""))
     fields = [
         star(F.col("qname")), F.col("flag").cast("string"), star(F.col("rname")), (F.coalesce("pos", F.lit(-1)) + 1).cast("string"), F.coalesce("mapq", F.lit(255)).cast("string"),
-        star(F.col("cigar")), F.lit("*"), F.lit("0"), F.lit("0"), star(F.col("seq")), star(qual),
+        star(F.col("cigar")), *mate, star(F.col("seq")), star(qual),
     ]
     return scored.select(F.concat_ws("\t", *fields, kept, scores).alias("value"))
 
 
+def header_of_run(header: list[str], order: str | None = None) -> list[str]:
+    """The header's lines with this program's, and with the sort order of what is written."""
+    lines = [x for x in header if not x.startswith("@PG\tID:paleoframe\t")]
+    if order:
+        first = next((x for x in lines if x.startswith("@HD")), "@HD\tVN:1.6")
+        kept = [x for x in first.split("\t") if not x.startswith(("SO:", "GO:"))]
+        lines = ["\t".join([*kept, f"SO:{order}"])] + [x for x in lines if not x.startswith("@HD")]
+    return [*lines, "@PG\tID:paleoframe\tPN:paleoframe\tVN:1.0"]
+
+
+def write_bam(scored: DataFrame, header: list[str], path: str, tags: tuple[str, ...] = TAGS) -> None:
+    """A folder of BAM files in the order of contig and position, each complete and with its index; their ranges do not
+    overlap. Scores are float tags.
+
+    Reads are dealt out by ranges of contig, position and a hash, so that a place with very many reads is more than one
+    range; those without a place come last.
+    """
+    from .alignments import header_contigs, register
+
+    spark = scored.sparkSession
+    register(spark)
+    text = "\n".join(header_of_run(header, "coordinate")) + "\n"
+    rows = [(n, k) for k, (n, _) in enumerate(header_contigs(text))]
+    places = spark.createDataFrame(rows, "rname string, _tid int")
+    columns = [c.split()[0] for c in READS.split(", ")]
+    known = scored.select(*columns, *[F.col(c).cast("float").alias(c) for c in tags if c in scored.columns]).join(places, "rname", "left")
+    unknown = F.raise_error(F.concat(F.lit("the header has no contig "), F.col("rname"))).cast("int")
+    known = known.withColumn("_tid", F.when(F.col("rname").isNull(), 1 << 30).otherwise(F.coalesce("_tid", unknown)))
+    order = ["_tid", "pos", F.xxhash64("qname", "flag", "seq")]
+    dealt = known.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select(*columns, *[c for c in tags if c in scored.columns]).write.format("bam").option("header", text).mode("overwrite").save(path)
+
+
 def write_sam(scored: DataFrame, header: list[str], path: str) -> None:
     """A folder of SAM files, one a task, each beginning with the header, so that each is a file that any tool reads."""
-    top = [*[x for x in header if not x.startswith("@PG\tID:paleoframe\t")], "@PG\tID:paleoframe\tPN:paleoframe\tVN:1.0"]
+    top = header_of_run(header)
 
     def run(batches):
         import pyarrow as pa

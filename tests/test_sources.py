@@ -140,12 +140,12 @@ def test_an_indexed_bam_is_split(spark, tmp_path):
 def test_reads_are_neither_lost_nor_multiplied(spark):
     chunks = spark.createDataFrame([("c", 0, "ACGT" * 50)], "rname string, chunk_id long, seq string")
     seq = "ACGT" * 10
-    rows = [("r", 0, "c", 4, 37, c, seq, [30] * 40, {}, {}) for c in ("40M", "30M10S", "40M")]
+    rows = [("r", 0, "c", 4, 37, c, seq, [30] * 40, {}, {}, None, -1, 0) for c in ("40M", "30M10S", "40M")]
     reads = spark.createDataFrame(rows, READS)
     got = api.align(reads, chunks).collect()
     assert sorted(r.cigar for r in got) == ["30M10S", "40M", "40M"]
     assert all(list(r.ref[:30]) == [0, 1, 2, 3] * 7 + [0, 1] for r in got)
-    other = spark.createDataFrame([("r", 0, "d", 4, 37, "40M", seq, [30] * 40, {}, {})], READS)
+    other = spark.createDataFrame([("r", 0, "d", 4, 37, "40M", seq, [30] * 40, {}, {}, None, -1, 0)], READS)
     with pytest.raises(Exception, match="no reference at d:4"):
         api.align(reads.unionByName(other), chunks).collect()
 
