@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.profile import mismatch_wide, profile
 from ..schema import POSITIONS
-from .model import Profile, hessian, loss, naive_loss
+from .model import Profile, loss, loss_hessian, naive_loss
 from .optimize import minimise
 
 NAMES = ("lambda", "delta", "delta_s", "nu")
@@ -39,7 +39,7 @@ def fit_profile(p: Profile, model: str = "nb", eps: float = 0.0) -> Fit:
     first = minimise(lambda x: naive_loss(x, p), (0.2, 0.1, 0.1), np.zeros(3), np.ones(3))
     edge = 1e-8
     best = minimise(lambda x: loss(x, p, model, eps), (*first.x, 0.01), np.full(4, edge), np.full(4, 1 - edge))
-    h = hessian(lambda x: loss(x, p, model, eps), best.x)
+    h = loss_hessian(best.x, p, model, eps)
     try:
         cov = np.linalg.inv(h)
     except np.linalg.LinAlgError:

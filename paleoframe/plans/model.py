@@ -45,73 +45,95 @@ class Profile:
         return cls(*(get(c) for c in ("freq_ct", "freq_ga", "scale_ct", "scale_ga", "seq_err")), float(rows[0]["max_all"]), np.asarray(lengths, float), np.asarray(freqs, float))
 
 
-def _behind_nick(lam: float, nu: float, length: np.ndarray, n: np.ndarray):
-    """p1_left, p1_right and their derivatives by lambda and nu, each [n, length]."""
-    c = np.where(_K == 0, 1 + lam, lam * (1 - lam) ** _K)
-    dc = np.where(_K == 0, 1.0, (1 - lam) ** _K - _K * lam * (1 - lam) ** np.maximum(_K - 1, 0))
-    w = (c[:, None] * c[None, :] * _pair)[None, None]
-    dw = ((dc[:, None] * c[None, :] + c[:, None] * dc[None, :]) * _pair)[None, None]
+def _overhangs(lam: float) -> list[np.ndarray]:
+    """The weights c_l c_r over [l, r] with l + r <= 15, and their first and second derivatives by lambda."""
+    low = lambda k: (1 - lam) ** np.maximum(_K - k, 0)
+    c = np.where(_K == 0, 1 + lam, lam * low(0))
+    c1 = np.where(_K == 0, 1.0, low(0) - _K * lam * low(1))
+    c2 = np.where(_K == 0, 0.0, -2 * _K * low(1) + _K * (_K - 1) * lam * low(2))
+    both = lambda a, b: a[:, None] * b[None, :] * _pair
+    return [both(c, c), both(c1, c) + both(c, c1), both(c2, c) + 2 * both(c1, c1) + both(c, c2)]
+
+
+#: Orders of derivatives by (lambda, nu) in what _behind_nick gives.
+_ORDERS = ((0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2))
+
+
+def _nick(nu: float, a: np.ndarray) -> list[np.ndarray]:
+    """nu / (1 + a nu) and its first and second derivatives by nu."""
+    rest = 1 + a * nu
+    return [nu / rest, 1 / rest**2, -2 * a / rest**3]
+
+
+def _behind_nick(lam: float, nu: float, length: np.ndarray, n: np.ndarray, order: int = 1):
+    """p1_left and p1_right, each a list by _ORDERS up to ``order`` of [n, length]."""
+    w = _overhangs(lam)
+    orders = [o for o in _ORDERS if sum(o) <= order]
     if length.min(initial=np.inf) >= 2 * POSITIONS and n.max() < POSITIONS:
-        return _behind_nick_long(w[0, 0].ravel(), dw[0, 0].ravel(), nu, length, n)
+        return _behind_nick_long([x.ravel() for x in w], nu, length, n, orders)
     L, m = length[None, :, None, None], n[:, None, None, None]
-    rest = 1 + (L - 2 - _l - _r) * nu
+    g = _nick(nu, L - 2 - _l - _r)
     out = []
     for count, ok in (((m - _l), (_l <= m) & (_r <= L - m - 1)), ((L - m - 1 - _l), (_r <= m) & (_l <= L - m - 1))):
         a = np.where(ok, count, 0.0)
-        out.append([(x * y).sum((2, 3)) / 4 for x, y in ((w, a * nu / rest), (dw, a * nu / rest), (w, a / rest**2))])
+        out.append([(w[i][None, None] * a * g[j]).sum((2, 3)) / 4 for i, j in orders])
     return out
 
 
 _sum_of = ((_l + _r).ravel()[:, None] == np.arange(2 * POSITIONS + 1)[None, :]).astype(float)
 
 
-def _behind_nick_long(w, dw, nu: float, length: np.ndarray, n: np.ndarray):
+def _behind_nick_long(w: list[np.ndarray], nu: float, length: np.ndarray, n: np.ndarray, orders):
     """_behind_nick where no overhang reaches the other end: the weights depend on n and l + r alone, so what is summed
     for each length has one term for each l + r."""
     l, r, m = _l.ravel()[None, :], _r.ravel()[None, :], n[:, None]
     left, right, right_l = np.where(l <= m, m - l, 0.0), (r <= m).astype(float), np.where(r <= m, l, 0.0)
-    rest = 1 + (length[None, :] - 2 - np.arange(2 * POSITIONS + 1)[:, None]) * nu  # [l + r, length]
-    keep = np.arange(2 * POSITIONS + 1)[:, None] <= POSITIONS
-    g, g_nu = np.where(keep, nu / rest, 0.0), np.where(keep, 1 / rest**2, 0.0)
+    both = np.arange(2 * POSITIONS + 1)[:, None]  # l + r
+    g = [np.where(both <= POSITIONS, x, 0.0) for x in _nick(nu, length[None, :] - 2 - both)]
     far = length[None, :] - m - 1
     out: list = [[], []]
-    for v, k in ((w, g), (dw, g), (w, g_nu)):
-        out[0].append((left * v) @ _sum_of @ k / 4)
-        out[1].append((far * ((right * v) @ _sum_of @ k) - (right_l * v) @ _sum_of @ k) / 4)
+    for i, j in orders:
+        out[0].append((left * w[i]) @ _sum_of @ g[j] / 4)
+        out[1].append((far * ((right * w[i]) @ _sum_of @ g[j]) - (right_l * w[i]) @ _sum_of @ g[j]) / 4)
     return out
 
 
-def rates(x, model: str, length: np.ndarray, n: np.ndarray = np.arange(POSITIONS), grad: bool = False):
-    """C-to-T and G-to-A rates [signal, n, length]: CT at 5', GA at 3', CT at 3', GA at 5'. With grad: also their
-    derivatives [parameter, signal, n, length]."""
+def rate_derivatives(x, model: str, length: np.ndarray, n: np.ndarray = np.arange(POSITIONS), order: int = 2) -> list[np.ndarray]:
+    """The rates [signal, n, length] and, up to ``order``, their first derivatives [parameter, ...] and second ones
+    [parameter, parameter, ...]."""
     lam, d, ds, nu = x
     length = np.asarray(length, float)
-    (pl, pl_lam, pl_nu), (pr, pr_lam, pr_nu) = _behind_nick(lam, nu, length, n)
-    one = np.ones_like(pl)
-    p4 = ((1 - lam) ** (n + 1) / 2)[:, None] * one
-    p4_lam = (-(n + 1) * (1 - lam) ** n / 2)[:, None] * one
-    zero = np.zeros_like(pl)
-    # double-strand and single-strand weights of each signal with their derivatives
-    left, right = (1 - p4 - pl, -p4_lam - pl_lam, -pl_nu), (1 - p4 - pr, -p4_lam - pr_lam, -pr_nu)
-    nick_l, nick_r = (pl, pl_lam, pl_nu), (pr, pr_lam, pr_nu)
-    single, none = (p4, p4_lam, zero), (zero, zero, zero)
+    pl, pr = _behind_nick(lam, nu, length, n, order)
+    one, m = np.ones_like(pl[0]), n[:, None]
+    p4 = [
+        one * v
+        for v in ((1 - lam) ** (m + 1) / 2, -(m + 1) * (1 - lam) ** m / 2, 0.0, (m + 1) * m * (1 - lam) ** np.maximum(m - 1, 0) / 2, 0.0, 0.0)[: len(pl)]
+    ]
+    zero = [np.zeros_like(one)] * len(pl)
+    # double-strand and single-strand weights of each signal with their derivatives by lambda and nu
+    left, right = ([(k == 0) - a - b for k, (a, b) in enumerate(zip(p4, p, strict=True))] for p in (pl, pr))
     if model == "b":
-        double = [left, nick_r, right, nick_l]
+        double = [left, pr, right, pl]
     else:
-        first, second = (tuple((a + b) / 2 for a, b in zip(*y, strict=True)) for y in ((nick_r, left), (nick_l, right)))
+        first, second = ([(a + b) / 2 for a, b in zip(*y, strict=True)] for y in ((pr, left), (pl, right)))
         double = [first, first, second, second]
-    strands = [single, single, none, none]
-    value = np.stack([a[0] * d + b[0] * ds for a, b in zip(double, strands, strict=True)])
-    if not grad:
-        return value
-    return value, np.stack(
-        [
-            np.stack([a[1] * d + b[1] * ds for a, b in zip(double, strands, strict=True)]),
-            np.stack([a[0] for a in double]),
-            np.stack([b[0] for b in strands]),
-            np.stack([a[2] * d + b[2] * ds for a, b in zip(double, strands, strict=True)]),
-        ]
-    )
+    a, b = (np.moveaxis(np.array(v), 1, 0) for v in (double, [p4, p4, zero, zero]))
+    out = [a[0] * d + b[0] * ds]
+    if order > 0:
+        out.append(np.stack([a[1] * d + b[1] * ds, a[0], b[0], a[2] * d]))
+    if order > 1:
+        h = np.zeros((4, 4, *a[0].shape))
+        for i, j, v in ((0, 0, a[3] * d + b[3] * ds), (0, 1, a[1]), (0, 2, b[1]), (0, 3, a[4] * d), (1, 3, a[2]), (3, 3, a[5] * d)):
+            h[i, j] = h[j, i] = v
+        out.append(h)
+    return out
+
+
+def rates(x, model: str, length: np.ndarray, n: np.ndarray = np.arange(POSITIONS), grad: bool = False):
+    """C-to-T and G-to-A rates [signal, n, length]: CT at 5', GA at 3', CT at 3', GA at 5'. With grad: also their
+    derivatives [parameter, signal, n, length]."""
+    got = rate_derivatives(x, model, length, n, int(grad))
+    return tuple(got) if grad else got[0]
 
 
 def rate_cube(x, model: str, limit: int = LENGTH_LIMIT) -> tuple[np.ndarray, np.ndarray]:
@@ -120,25 +142,38 @@ def rate_cube(x, model: str, limit: int = LENGTH_LIMIT) -> tuple[np.ndarray, np.
     return np.concatenate([ct5, ct3[::-1]]).T, np.concatenate([ga3, ga5[::-1]]).T
 
 
-def loss(x, p: Profile, model: str, eps: float = 0.0) -> tuple[float, np.ndarray]:
-    """Negative scaled log-likelihood and its gradient."""
-    value, slope = rates(x, model, p.lengths, grad=True)
-    f, df = (1 - eps) * value @ p.freqs, (1 - eps) * slope @ p.freqs
+def _cells(f: np.ndarray, p: Profile):
+    """Of each signal and position: the probabilities of a change and of none at the rates f, their slope by f, weights."""
     n, far = np.arange(POSITIONS), 2 * POSITIONS - 1 - np.arange(POSITIONS)
     err = np.stack([p.seq_err[n], p.seq_err[far], p.seq_err[far], p.seq_err[n]])
     scale = np.stack([p.scale_ct[n], p.scale_ga[n], p.scale_ct[far], p.scale_ga[far]])
     freq = np.stack([p.freq_ct[n], p.freq_ga[n], p.freq_ct[far], p.freq_ga[far]])
-    changed = f * (1 - err) + (1 - f) * err / 3
-    same = (1 - f) * (1 - err) + f * err / 3
-    total, g = 0.0, np.zeros(4)
-    for prob, sign, weight in ((changed, 1.0, scale * freq), (same, -1.0, scale * (1 - freq))):
+    slope = 1 - 4 * err / 3
+    for prob, k, weight in ((f * (1 - err) + (1 - f) * err / 3, slope, scale * freq), ((1 - f) * (1 - err) + f * err / 3, -slope, scale * (1 - freq))):
         ok = prob > 0
-        q = np.where(ok, prob, 1.0)
-        total -= (weight * np.where(ok, np.log(q), 0.0)).sum()
-        g -= (df * np.where(ok, weight * sign * (1 - 4 * err / 3) / q, 0.0)).sum((1, 2))
+        yield np.where(ok, prob, 1.0), k, np.where(ok, weight, 0.0)
+
+
+def loss(x, p: Profile, model: str, eps: float = 0.0) -> tuple[float, np.ndarray]:
+    """Negative scaled log-likelihood and its gradient."""
+    value, slope = rates(x, model, p.lengths, grad=True)
+    f, df = (1 - eps) * value @ p.freqs, (1 - eps) * slope @ p.freqs
+    total, g = 0.0, np.zeros(4)
+    for q, k, weight in _cells(f, p):
+        total -= (weight * np.log(q)).sum()
+        g -= (df * (weight * k / q)).sum((1, 2))
     return float(total), g
 
 
+def loss_hessian(x, p: Profile, model: str, eps: float = 0.0) -> np.ndarray:
+    """Second derivatives of the loss, exactly."""
+    f, df, hf = ((1 - eps) * v @ p.freqs for v in rate_derivatives(x, model, p.lengths))
+    h = np.zeros((4, 4))
+    for q, k, weight in _cells(f, p):
+        h -= (hf * (weight * k / q)).sum((2, 3)) - np.einsum("isn,jsn,sn->ij", df, df, weight * (k / q) ** 2)
+    return h
+
+
 def naive_loss(x, p: Profile) -> tuple[float, np.ndarray]:
     """Without nicks and errors, from the primary signals: parameters lambda, delta, delta_s."""
     lam, d, ds = x
@@ -154,16 +189,3 @@ def naive_loss(x, p: Profile) -> tuple[float, np.ndarray]:
         back = scale * (freq / q - (1 - freq) / (1 - q))
         g -= np.array([(back * k).sum() for k in slope])
     return float(total), g
-
-
-def hessian(fun, x, step: float = 1e-5) -> np.ndarray:
-    """Central differences of the gradient."""
-    x = np.asarray(x, float)
-    rows = []
-    for i in range(len(x)):
-        h = min(step, abs(x[i]) / 4, abs(1 - x[i]) / 4) if 0 < x[i] < 1 else step
-        e = np.zeros(len(x))
-        e[i] = h
-        rows.append((fun(x + e)[1] - fun(x - e)[1]) / (2 * h))
-    h = np.array(rows)
-    return (h + h.T) / 2

@@ -365,6 +365,70 @@ def full_loglike_nb_fixed(spark, d):
     return _full(spark, d, "nb")
 
 
+# the Hessian of the nb model in SQL: second derivatives of the weights, of the nick's share and of the rates, summed over the cells
+
+
+def _hessian_sql(x=X, eps: float = EPS) -> str:
+    lam, de, ds, nu = (f"{v}::DOUBLE" for v in x)
+    one = lambda k: (  # noqa: E731  the weight of an overhang and its derivatives by lambda
+        f"CASE WHEN {k} = 0 THEN 1 + {lam} ELSE {lam} * pow(1 - {lam}, {k}) END",
+        f"CASE WHEN {k} = 0 THEN 1 ELSE pow(1 - {lam}, {k}) - {k} * {lam} * pow(1 - {lam}, {k} - 1) END",
+        f"CASE WHEN {k} = 0 THEN 0 ELSE -2 * {k} * pow(1 - {lam}, {k} - 1) + {k} * ({k} - 1) * {lam} * pow(1 - {lam}, greatest({k} - 2, 0)) END",
+    )
+    (l0, l1, l2), (r0, r1, r2) = one("l"), one("r")
+    w = (f"({l0}) * ({r0})", f"(({l1}) * ({r0}) + ({l0}) * ({r1}))", f"(({l2}) * ({r0}) + 2 * ({l1}) * ({r1}) + ({l0}) * ({r2}))")
+    rest = f"(1 + (len - 2 - l - r) * {nu})"
+    g = (f"{nu} / {rest}", f"1 / ({rest} * {rest})", f"-2 * (len - 2 - l - r) / ({rest} * {rest} * {rest})")
+    orders = {"v": (0, 0), "a": (1, 0), "u": (0, 1), "aa": (2, 0), "au": (1, 1), "uu": (0, 2)}
+    sums = ", ".join(
+        f"sum(CASE WHEN l <= n AND r <= len - n - 1 THEN {w[i]} * {g[j]} * (n - l) ELSE 0 END) / 4 AS pl_{k},"
+        f" sum(CASE WHEN r <= n AND l <= len - n - 1 THEN {w[i]} * {g[j]} * (len - n - 1 - l) ELSE 0 END) / 4 AS pr_{k}"
+        for k, (i, j) in orders.items()
+    )
+    p4 = {"v": f"pow(1 - {lam}, n + 1) / 2", "a": f"-(n + 1) * pow(1 - {lam}, n) / 2", "aa": f"(n + 1) * n * pow(1 - {lam}, greatest(n - 1, 0)) / 2"}
+    # double-strand weights of the signals near their own end and of the others; p4 is the single-strand one
+    d1 = {k: f"(pr_{k} + {int(k == 'v')} - ({p4.get(k, '0')}) - pl_{k}) / 2" for k in orders}
+    d2 = {k: f"(pl_{k} + {int(k == 'v')} - ({p4.get(k, '0')}) - pr_{k}) / 2" for k in orders}
+    cols = {}
+    for s, dd, single in (("near", d1, True), ("far", d2, False)):
+        b = lambda k, single=single: p4.get(k, "0") if single else "0"
+        cols |= {
+            f"{s}_f": f"{dd['v']} * {de} + ({b('v')}) * {ds}", f"{s}_0": f"{dd['a']} * {de} + ({b('a')}) * {ds}", f"{s}_1": dd["v"], f"{s}_2": f"({b('v')}) * 1.0::DOUBLE", f"{s}_3": f"{dd['u']} * {de}",
+            f"{s}_00": f"{dd['aa']} * {de} + ({b('aa')}) * {ds}", f"{s}_01": dd["a"], f"{s}_02": f"({b('a')}) * 1.0::DOUBLE", f"{s}_03": f"{dd['au']} * {de}", f"{s}_13": dd["u"], f"{s}_33": f"{dd['uu']} * {de}",
+        }
+    names = [k.split("_")[1] for k in cols if k.startswith("near")]
+    mean = ", ".join(f"sum({k} * f) * {1 - eps}::DOUBLE AS {k}" for k in cols)
+    parts = "\n  UNION ALL ".join(
+        f"SELECT {', '.join(f'{s}_{k} AS d_{k}' for k in names)}, e.seq_err AS s, q.scale_{base} AS w, q.freq_{base} AS y FROM mean JOIN prof e ON e.idx = {err} JOIN prof q ON q.idx = {at}"
+        for s, err, at, base in (("near", "i", "i", "ct"), ("near", "29 - i", "i", "ga"), ("far", "29 - i", "29 - i", "ct"), ("far", "i", "29 - i", "ga"))
+    )
+    second = lambda i, j: f"d_{i}{j}" if f"{i}{j}" in names else "0"
+    rows = "\nUNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, round(-sum(CASE WHEN p > 0 THEN v * ({second(i, j)} * k / p - d_{i} * d_{j} * k * k / (p * p)) ELSE 0 END), 4) AS h FROM probs"
+        for i in range(4)
+        for j in range(i, 4)
+    )
+    return (
+        _CTE + _WIDE + _PROFILE + _HIST + f""", cells AS (SELECT CAST(n AS BIGINT) AS n, CAST(len AS BIGINT) AS len, l, r
+  FROM range(15) a(n), range(30, 150) b(len), range(16) c(l), range(16) e(r) WHERE l + r <= 15)
+, nick AS (SELECT n, len, {sums} FROM cells GROUP BY n, len)
+, rate AS (SELECT n, len, {", ".join(f"{v} AS {k}" for k, v in cols.items())} FROM nick)
+, freq AS (SELECT length, n / (SELECT CAST(sum(n) AS DOUBLE) FROM hist) AS f FROM hist)
+, mean AS (SELECT n AS i, {mean} FROM rate JOIN freq ON len = length GROUP BY n)
+, terms AS ({parts})
+, probs AS (SELECT *, d_f * (1 - s) + (1 - d_f) * s / 3 AS p, 1 - 4 * s / 3 AS k, w * y AS v FROM terms
+  UNION ALL SELECT *, (1 - d_f) * (1 - s) + d_f * s / 3, -(1 - 4 * s / 3), w * (1 - y) FROM terms)
+{rows}"""
+    )
+
+
+@query(_hessian_sql())
+def full_hessian_nb_fixed(spark, d):
+    h = DM.loss_hessian(X, model_profile(spark, d), "nb", EPS)
+    rows = [(i, j, float(h[i, j])) for i in range(4) for j in range(i, 4)]
+    return rounded(spark.createDataFrame(rows, "i int, j int, h double"), 4, "h")
+
+
 # strings of alignments
 
 _CIGAR = {

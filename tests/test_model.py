@@ -5,6 +5,7 @@ import pytest
 
 from paleoframe.operators.lengths import rebin
 from paleoframe.plans import mixture as M
+from paleoframe.plans import model as DM
 from paleoframe.plans.fit import fit_profile
 from paleoframe.plans.model import Profile, loss, naive_loss, rate_cube, rates
 from paleoframe.plans.optimize import minimise, numeric_gradient
@@ -182,3 +183,70 @@ def test_the_fit_of_the_mixture_is_an_optimum_in_few_jobs(spark):
     assert min(p.value for p in M.evaluate_points(df, near, 0.3)) >= -got.llh - 1e-6
     inside = (got.x > M.LOW) & (got.x < M.HIGH)
     assert (got.low[inside] < got.x[inside]).all() and (got.high[inside] > got.x[inside]).all()
+
+
+@pytest.mark.parametrize("model", ["b", "nb"])
+@pytest.mark.parametrize("low", [18, 30])
+def test_exact_second_derivatives(model, low):
+    """Against differences of the gradient with two steps, extrapolated; also where overhangs reach the other end."""
+    p = profile(X, model)
+    p = DM.Profile(p.freq_ct, p.freq_ga, p.scale_ct, p.scale_ga, p.seq_err, p.max_all, np.arange(low, low + 40.0), np.full(40, 1 / 40))
+    x = np.array((0.3, 0.02, 0.6, 0.03))
+    h = DM.loss_hessian(x, p, model, 0.1)
+    assert np.allclose(h, h.T, rtol=1e-12)
+
+    def slope(i, s):
+        e = np.zeros(4)
+        e[i] = s
+        return (DM.loss(x + e, p, model, 0.1)[1] - DM.loss(x - e, p, model, 0.1)[1]) / (2 * s)
+
+    for i in range(4):
+        s = 2e-4 * x[i] ** 0.5
+        want = (4 * slope(i, s / 2) - slope(i, s)) / 3
+        assert np.allclose(h[i], want, rtol=1e-7, atol=1e-8 * np.abs(h).max())
+
+
+@pytest.mark.parametrize("model", ["b", "nb"])
+def test_few_calls_and_nothing_better_around(model):
+    """A sample like the published one."""
+    x = (0.348019, 0.008409, 0.730853, 0.004318)
+    p = profile(x, model)
+    f = lambda y: DM.loss(y, p, model)
+    got = fit_profile(p, model)
+    assert got.calls <= 40
+    for step in (1e-3, 1e-2, 5e-2):
+        for k in range(81):
+            y = got.x + step * np.array([k % 3 - 1, k // 3 % 3 - 1, k // 9 % 3 - 1, k // 27 - 1]) * np.maximum(got.x, 1e-3)
+            if (y > 0).all() and (y < 1).all():
+                assert f(y)[0] >= -got.llh - 1e-6
+
+
+def test_minimise_hard_functions():
+    def rosen(x):
+        a, b = x
+        return float((1 - a) ** 2 + 100 * (b - a * a) ** 2), np.array([-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)])
+
+    m = minimise(rosen, (-1.2, 1.0), (-5, -5), (5, 5), pgtol=1e-9, factor=1e-16)
+    assert m.x == pytest.approx([1, 1], abs=1e-5) and m.calls < 80
+    m = minimise(rosen, (-1.2, 1.0), (-5, -5), (0.5, 5), pgtol=1e-9, factor=1e-16)
+    assert m.x == pytest.approx([0.5, 0.25], abs=1e-6) and list(m.at_bound) == [True, False]
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 6):
+        for _ in range(30):
+            a = rng.normal(size=(n, n))
+            a, c = a @ a.T + 0.1 * np.eye(n), rng.normal(size=n) * 3
+            low, high = -rng.random(n), rng.random(n)
+            m = minimise(lambda x, a=a, c=c: (float(x @ a @ x / 2 + c @ x), a @ x + c), rng.uniform(low, high), low, high, pgtol=1e-8, factor=0)
+            g = a @ m.x + c
+            assert np.abs(np.clip(m.x - g, low, high) - m.x).max() < 1e-6
+
+
+def test_line_search_meets_its_conditions():
+    from paleoframe.plans import optimize as O
+
+    for f, df in ((lambda t: (t - 3) ** 4, lambda t: 4 * (t - 3) ** 3), (lambda t: -t / (t * t + 2), lambda t: (t * t - 2) / (t * t + 2) ** 2), (lambda t: np.cos(5 * t) + t * t / 50, lambda t: -5 * np.sin(5 * t) + t / 25)):
+        start = 0.05
+        for first in (1e-3, 0.3, 1.0, 8.0):
+            at = lambda t, f=f, df=df: (f(start + t), np.array([df(start + t)]), df(start + t))
+            t, v, _, calls = O.line_search(at, f(start), df(start), 100.0, first)
+            assert calls <= O.TRIES and v <= f(start) + O.DECREASE * t * df(start) and abs(df(start + t)) <= -O.CURVATURE * df(start)
