@@ -1,7 +1,8 @@
 """Rebuilding the reference under a read from CIGAR and MD, or from the reference itself.
 
 The result is ALIGNED: base codes of reference and read in the order of the forward reference, one for each read base.
-Inserted and soft-clipped bases have no reference (code 4). Operations other than M, I, D, S are rejected.
+Inserted and soft-clipped bases have no reference (code 4). A CIGAR string is a map of intervals of the read to intervals
+of the reference: M, = and X run along both, I and S along the read, D and N along the reference, H and P along neither.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ _LETTER = np.full(256, 4, np.int8)
 for _i, _c in enumerate(b"ACGT"):
     _LETTER[_c] = _LETTER[_c + 32] = _i
 _CARET, _END = ord("^"), ord("\n")
+_letters = lambda ops: np.frombuffer(ops, np.uint8)
+#: Operations by what they run along: the read, the reference, both.
+READ_OPS, REFERENCE_OPS, BOTH_OPS, ALL_OPS = map(_letters, (b"MIS=X", b"MDN=X", b"M=X", b"MIDNSHP=X"))
 
 
 def _lines(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,21 +69,42 @@ def cigar_runs(cigars: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(((data < 48) | (data > 57)) & (data != _END))
     n = _numbers(data, at)
     bad = np.zeros(len(cigars), bool)
-    bad[row[at[(n < 0) | ~np.isin(data[at], np.frombuffer(b"MIDS", np.uint8))]]] = True
+    bad[row[at[(n < 0) | ~np.isin(data[at], ALL_OPS)]]] = True
     end = np.flatnonzero(data == _END)
     bad |= (data[np.maximum(end - 1, 0)] == _END) | ((data[np.maximum(end - 1, 0)] >= 48) & (data[np.maximum(end - 1, 0)] <= 57)) | (end == 0)
-    _complain(bad, "only M, I, D and S are known", cigars)
+    _complain(bad, "not a CIGAR string", cigars)
     return row[at], data[at], n
 
 
 def _laid_out(cigars: list[str], sizes: np.ndarray):
-    """For each base of all reads: its read, its operation and its place among the reference bases of M and D before it."""
+    """(read, operation, length, whether it runs along the read) of every operation; lengths have to fit the reads'."""
     row, op, n = cigar_runs(cigars)
-    own = np.isin(op, np.frombuffer(b"MIS", np.uint8))
+    own = np.isin(op, READ_OPS)
     _complain(_per_row(row[own], n[own], len(cigars)) != sizes, "CIGAR and sequence differ in length", cigars)
     return row, op, n, own
 
 
+def _mapped(row, op, n, sizes, under):
+    """Of the bases that run along both: where they are among all reads' bases, their places among the bases of the
+    operations ``under``, and their reads."""
+    both = np.isin(op, BOTH_OPS)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    at = np.repeat((starts[row] + _before(np.where(np.isin(op, READ_OPS), n, 0), row))[both], n[both])
+    place = np.repeat(_before(n * under, row)[both], n[both])
+    step = np.arange(len(at)) - np.repeat(np.cumsum(n[both]) - n[both], n[both])
+    return at + step, place + step, np.repeat(row[both], n[both])
+
+
+def places_under(cigars: list[str], sizes: np.ndarray) -> np.ndarray:
+    """Of every read base, end to end: how far along the reference it lies from its alignment's position on; -1 where it
+    has no reference."""
+    row, op, n, _ = _laid_out(cigars, sizes)
+    out = np.full(int(sizes.sum()), -1, np.int64)
+    at, place, _ = _mapped(row, op, n, sizes, np.isin(op, REFERENCE_OPS))
+    out[at] = place
+    return out
+
+
 def reference_under(source: str, cigars: list[str], other: list[str], seqs: list[str], compat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of the reference under every read base and of the reads, end to end, and the reads' lengths.
 
@@ -88,16 +113,10 @@ def reference_under(source: str, cigars: list[str], other: list[str], seqs: list
     """
     read, sizes = codes(seqs)
     row, op, n, own = _laid_out(cigars, sizes)
-    is_m = op == ord("M")
+    is_m = np.isin(op, BOTH_OPS)
     out = np.full(len(read), 4, np.int8)
-    # the bases of M operations: where they are in the read, and their places in what lies under them
-    consumed = np.where(own, n, 0)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    under = n * (is_m if source == "md" else is_m | (op == ord("D")))
-    at = np.repeat((starts[row] + _before(consumed, row))[is_m], n[is_m])
-    place = np.repeat(_before(under, row)[is_m], n[is_m])
-    step = np.arange(len(at)) - np.repeat(np.cumsum(n[is_m]) - n[is_m], n[is_m])
-    at, place, of = at + step, place + step, np.repeat(row[is_m], n[is_m])
+    # the bases that run along both; an MD string leaves out what the read skips
+    at, place, of = _mapped(row, op, n, sizes, is_m if source == "md" else np.isin(op, REFERENCE_OPS))
     if source == "md":
         spots, letters, totals = md_changes(other)
         _complain(totals != _per_row(row[is_m], n[is_m], len(seqs)), "MD and CIGAR differ in length", cigars)
@@ -150,16 +169,19 @@ def span(cigar) -> F.Column:
     """Reference bases that an alignment covers."""
     from ..functions.bases import cigar_ops
 
-    return F.aggregate(cigar_ops(cigar), F.lit(0), lambda a, x: a + F.when(x["op"].isin("M", "D"), x["len"]).otherwise(0))
+    return F.aggregate(cigar_ops(cigar), F.lit(0), lambda a, x: a + F.when(x["op"].isin("M", "D", "N", "=", "X"), x["len"]).otherwise(0))
 
 
-def aligned(reads: DataFrame, source: str = "md", compat: bool = False) -> DataFrame:
+def aligned(reads: DataFrame, source: str = "md", compat: bool = False, places: bool = False) -> DataFrame:
     """ALIGNED rows of reads with read_id, flag, cigar, seq, qual and ``md`` or ``bases``; all other columns, cigar and seq
-    too, are kept. Whole Arrow batches are rebuilt at once."""
-    keep = [f for f in reads.schema.fields if f.name not in ("qual", "md", "bases", "length", "ref", "read")]
+    too, are kept. Whole Arrow batches are rebuilt at once. places: also, from pos, the place on the reference of each
+    base, null where it has none."""
+    keep = [f for f in reads.schema.fields if f.name not in ("qual", "md", "bases", "length", "ref", "read", *(["places"] if places else []))]
     names = [f.name for f in keep]
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([*keep, T.StructField("length", T.IntegerType()), *(T.StructField(c, ints) for c in ("ref", "read", "qual"))])
+    if places:
+        schema.add("places", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
@@ -171,9 +193,11 @@ def aligned(reads: DataFrame, source: str = "md", compat: bool = False) -> DataF
             ref, read, sizes = reference_under(source, cigars, other, seqs, compat)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ref, read)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(sizes.astype(np.int32)), *lists, batch.column("qual").cast(pa.list_(pa.int32()))],
-                [*names, "length", "ref", "read", "qual"],
-            )
+            lists.append(batch.column("qual").cast(pa.list_(pa.int32())))
+            if places:
+                off = places_under(cigars, sizes)
+                on = np.repeat(batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64), sizes) + off
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(on, mask=off < 0)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sizes.astype(np.int32)), *lists], schema.fieldNames())
 
     return reads.mapInArrow(run, schema)

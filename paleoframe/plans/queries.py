@@ -462,23 +462,39 @@ def md_tokens(spark, d):
     return _strings(spark, d).select("e", "md", said.alias("tokens"))
 
 
+#: Alignments of three kinds: clipped with an insertion; all other operations; clipped alone.
+_MIXED = {
+    "cigar": "CASE CAST(read_id % 3 AS INT) WHEN 0 THEN concat('3S', length - 8, 'M5I') WHEN 1 THEN concat('2H2S10=1X5N5M3D', length - 25, 'M1P7I') ELSE concat('5S', length - 5, 'M') END",
+    "md": "CASE CAST(read_id % 3 AS INT) WHEN 0 THEN concat('4A', length - 13) WHEN 1 THEN concat('10A5^CGT', length - 25) ELSE concat(length - 5, '') END",
+}
+#: Where the MD strings name a base, by kind.
+_NAMED = "CASE CAST(read_id % 3 AS INT) WHEN 0 THEN 7 WHEN 1 THEN 12 END"
+
+
 @query(
-    _CTE + f""", places AS (SELECT *, CASE WHEN flag & 16 <> 0 THEN n - 1 - i ELSE i END AS c FROM
+    _CTE + rf""", cycles AS (SELECT *, CASE WHEN flag & 16 <> 0 THEN n - 1 - i ELSE i END AS c FROM
   (SELECT read_id, flag, length, read_id AS e, CAST(length AS BIGINT) AS n, unnest(range(length)) AS i FROM eligible))
-, codes AS (SELECT read_id, flag, length, i, n, {D.READ_BASE} AS m FROM (SELECT *, {D.REF} AS r, {D.HASH} AS h FROM places))
-, stored AS (SELECT read_id, length, i, n, CASE WHEN m > 3 THEN 4 WHEN flag & 16 <> 0 THEN 3 - m ELSE m END AS b FROM codes)
-SELECT read_id, length, string_agg(CAST(CASE WHEN i < 3 OR i >= n - 5 THEN 4 WHEN i = 7 THEN 0 ELSE b END AS VARCHAR), '' ORDER BY i) AS ref,
-  string_agg(CAST(b AS VARCHAR), '' ORDER BY i) AS read FROM stored GROUP BY read_id, length"""
+, codes AS (SELECT read_id, flag, length, i, n, {D.READ_BASE} AS m FROM (SELECT *, {D.REF} AS r, {D.HASH} AS h FROM cycles))
+, stored AS (SELECT read_id, length, i, CASE WHEN m > 3 THEN 4 WHEN flag & 16 <> 0 THEN 3 - m ELSE m END AS b FROM codes)
+, strings AS (SELECT read_id, pos, {_MIXED["cigar"]} AS cigar FROM eligible)
+, ops AS (SELECT read_id, pos, CAST(unnest(regexp_extract_all(cigar, '(\d+)[MIDNSHP=X]', 1)) AS BIGINT) AS n, unnest(regexp_extract_all(cigar, '\d+([MIDNSHP=X])', 1)) AS op,
+  unnest(range(len(regexp_extract_all(cigar, '\d+')))) AS k FROM strings)
+, walk AS (SELECT *, sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END) OVER w - CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END AS q,
+  sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END) OVER w - CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END AS r FROM ops WINDOW w AS (PARTITION BY read_id ORDER BY k))
+, steps AS (SELECT read_id, op, CAST(q AS BIGINT) + j AS i, CASE WHEN op IN ('M', '=', 'X') THEN pos + CAST(r AS BIGINT) + j END AS place
+  FROM (SELECT *, unnest(range(n)) AS j FROM walk WHERE op IN ('M', 'I', 'S', '=', 'X')))
+SELECT read_id, length, string_agg(CAST(CASE WHEN place IS NULL THEN 4 WHEN i = {_NAMED} THEN 0 ELSE b END AS VARCHAR), '' ORDER BY i) AS ref,
+  string_agg(CAST(b AS VARCHAR), '' ORDER BY i) AS read, string_agg(coalesce(CAST(place AS VARCHAR), '-'), ',' ORDER BY i) AS places
+FROM stored JOIN steps USING (read_id, i) GROUP BY read_id, length"""
 )
 def ref_reconstruct(spark, d):
     from ..operators.alignment import aligned as rebuild
 
     rows = aligned(spark, d).select(
-        "read_id", "flag", F.concat(F.lit("3S"), (F.col("length") - 8).cast("string"), F.lit("M5I")).alias("cigar"),
-        F.concat(F.lit("4A"), (F.col("length") - 13).cast("string")).alias("md"),
-        F.array_join(F.transform("read", FB.base_letter), "").alias("seq"), "qual",
-    )
-    return rebuild(rows).select("read_id", "length", F.array_join("ref", "").alias("ref"), F.array_join("read", "").alias("read"))
+        "read_id", "flag", "pos", *[F.expr(v).alias(k) for k, v in _MIXED.items()], F.array_join(F.transform("read", FB.base_letter), "").alias("seq"), "qual"
+    )
+    places = F.array_join(F.transform("places", lambda p: F.coalesce(p.cast("string"), F.lit("-"))), ",")
+    return rebuild(rows, places=True).select("read_id", "length", F.array_join("ref", "").alias("ref"), F.array_join("read", "").alias("read"), places.alias("places"))
 
 
 _CONTIG = "SELECT concat('c', {t}) AS rname, array_to_string(list_transform(range(200), lambda i: substr('ACGT', 1 + CAST(({t} * 31 + i * i * 7 + i // 3) % 4 AS INT), 1)), '') AS seq"

@@ -46,7 +46,7 @@ def test_references_under_a_read():
     assert A.reference_of_md("2S3M1I2M1D2M", "1T3^G2", "GGACAAACCC") == [4, 4, 0, 3, 0, 4, 0, 1, 1, 1]
     assert A.reference_of_md("2S3M1I2M1D2M", "1T3^G2", "GGACAAACCC", compat=True) == [4] * 10
     assert A.reference_of_bases("2S3M1I2M1D2M", "ATAACGCC", "GGACAAACCC") == [4, 4, 0, 3, 0, 4, 0, 1, 1, 1]
-    for bad in ("5M2H", "3=", "4M"):
+    for bad in ("5M2Q", "3=", "4M", "5", "M", ""):
         with pytest.raises(ValueError):
             A.reference_of_md(bad, "5", "ACGTA")
 
@@ -80,17 +80,29 @@ def plain_reference(source, cigar, other, seq):
         for number, gone, base in re.findall(r"(\d+)|(\^[A-Za-z]+)|([A-Za-z])", other):
             under += [None] * int(number) if number else [] if gone else [code(base)]
     out, at, place = [], 0, 0
-    for n, op in re.findall(r"(\d+)([MIDS])", cigar):
+    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
         for _ in range(int(n)):
-            if op == "M":
+            if op in "M=X":
                 if source == "md":
                     out.append(code(seq[at]) if under[place] is None else under[place])
                 else:
                     out.append(code(other[place]) if place < len(other) else 4)
             elif op in "IS":
                 out.append(4)
-            at += op in "MIS"
-            place += op == "M" or (op == "D" and source != "md")
+            at += op in "MIS=X"
+            place += op in "M=X" or (op in "DN" and source != "md")
+    return out
+
+
+def plain_places(cigar):
+    import re
+
+    out, place = [], 0
+    for n, op in re.findall(r"(\d+)(.)", cigar):
+        for _ in range(int(n)):
+            if op in "MIS=X":
+                out.append(place if op in "M=X" else -1)
+            place += op in "MDN=X"
     return out
 
 
@@ -102,14 +114,14 @@ def test_references_of_many_reads_at_once():
     for _ in range(300):
         ops, md, run, seq, ref = [], "", 0, "", ""
         for k in range(rng.randint(1, 6)):
-            op, n = rng.choice("MMMIDS" if k else "MMS"), rng.choice([1, 2, 5, 12])
+            op, n = rng.choice("MMMIDS=XNHP" if k else "MMSH="), rng.choice([1, 2, 5, 12])
             if ops and ops[-1][1] == op:
                 continue
             ops.append((n, op))
             bases = "".join(rng.choice("ACGTNacgt") for _ in range(n))
-            if op in "MIS":
+            if op in "MIS=X":
                 seq += bases
-            if op == "M":
+            if op in "M=X":
                 for c in bases:
                     if rng.random() < 0.3:
                         md, run = f"{md}{run}{(x := rng.choice('ACGTN'))}", 0
@@ -119,6 +131,8 @@ def test_references_of_many_reads_at_once():
             elif op == "D":
                 md, run = f"{md}{run}^{bases.upper().replace('N', 'A')}", 0
                 ref += bases
+            elif op == "N":
+                ref += bases
         cigar = "".join(f"{n}{o}" for n, o in ops)
         if seq:
             rows["md"].append((cigar, f"{md}{run}", seq))
@@ -126,3 +140,4 @@ def test_references_of_many_reads_at_once():
     for source, own in rows.items():
         ref, read, sizes = A.reference_under(source, *map(list, zip(*own, strict=True)))
         assert ref.tolist() == [x for r in own for x in plain_reference(source, *r)] and sizes.tolist() == [len(r[2]) for r in own]
+        assert A.places_under([r[0] for r in own], sizes).tolist() == [x for r in own for x in plain_places(r[0])]
