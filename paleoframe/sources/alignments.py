@@ -5,19 +5,19 @@ from __future__ import annotations
 
 import json
 import struct
-import uuid
 from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.bases import CIGAR_OPS, NIBBLES  # noqa: F401
 from ..schema import READS
 from . import bam
 from .bam import LAST_BLOCK, Blocks, parse_header, parse_record
+from .parts import Part, PartsWriter, files
 
 
 def _open(path: str):
@@ -108,7 +108,7 @@ class BamReader(DataSourceReader):
         return sorted(r for r in kept if r[1] < r[2])
 
     def partitions(self):
-        return [piece for path in _files(self.paths) for piece in self._pieces(path)] or [Piece("", [])]
+        return [piece for path in files(self.paths, ".bam") for piece in self._pieces(path)] or [Piece("", [])]
 
     def _pieces(self, path: str):
         index = None
@@ -223,68 +223,28 @@ def _paths(options) -> list[str]:
     return [check_path(p) for p in paths]
 
 
-def _files(paths: list[str]) -> list[str]:
-    """Files as they are, folders as the files that a writer has left in them, in order."""
-    from pyarrow.fs import FileSelector, FileType
+class BamWriter(PartsWriter):
+    """A folder of complete BAM files, each with its index."""
 
-    out = []
-    for path in paths:
-        fs, name = _filesystem(path)
-        if fs.get_file_info(name).type != FileType.Directory:
-            out.append(path)
-            continue
-        found = sorted(x.base_name for x in fs.get_file_info(FileSelector(name)) if x.base_name.startswith("part-") and x.base_name.endswith(".bam"))
-        out += [f"{path.rstrip('/')}/{x}" for x in found]
-    return out
-
-
-def _filesystem(path: str):
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
-
-
-@dataclass
-class Part(WriterCommitMessage):
-    names: list[str]
-
-
-class BamWriter(DataSourceArrowWriter):
-    """A folder of complete BAM files, one for each task that has rows, each with its index.
-
-    Tasks write into a hidden folder of the job. The driver moves the files of successful tasks to their place when all
-    are done, and only then; what other attempts have left goes with the hidden folder, and when the job fails everything
-    does.
-    """
+    suffix = ".bam"
 
     def __init__(self, path: str, schema, header: str, overwrite: bool):
-        self.path, self.header, self.overwrite = path.rstrip("/"), header, overwrite
-        self.hidden = f".parts-{uuid.uuid4().hex}"
+        self.header = header
         self.columns = schema.fieldNames()
         self.scores = [f.name for f in schema.fields if len(f.name) == 2 and f.dataType.simpleString() == "float"]
         missing = {c.split()[0] for c in READS.split(", ")} - set(self.columns)
         if missing:
             raise ValueError(f"a BAM file needs the columns {', '.join(sorted(missing))}")
         self.contigs = header_contigs(header)
-        # here and not in tasks: one that still runs when its job is given up finds no folder to write into
-        fs, place = self._name(self.hidden)
-        fs.create_dir(place, recursive=True)
-
-    def _name(self, *parts: str):
-        fs, base = _filesystem(self.path)
-        return fs, "/".join([base, *parts])
+        super().__init__(path, overwrite)
 
     def write(self, iterator):
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        name = f"part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}.bam"
         out = index = None
         places = {n: k for k, (n, _) in enumerate(self.contigs)}
         reads = [c.split()[0] for c in READS.split(", ")]
         for batch in iterator:
             if out is None and batch.num_rows:
-                fs, place = self._name(self.hidden, name)
+                fs, name, place = self.part()
                 file = fs.open_output_stream(place, compression=None)
                 out, index = bam.BlockWriter(file), bam.Index()
                 out.write(bam.pack_header(self.header, self.contigs))
@@ -305,46 +265,10 @@ class BamWriter(DataSourceArrowWriter):
             f.write(index.pack(len(self.contigs)))
         return Part([name, name + ".bai"])
 
-    def commit(self, messages):
-        from pyarrow.fs import FileSelector, FileType
-
-        names = [n for m in messages if m is not None for n in m.names]
-        fs, base = self._name()
-        if not names:  # a file without records
-            names = ["part-00000-0.bam"]
-            with fs.open_output_stream(self._name(self.hidden, names[0])[1], compression=None) as f:
-                out = bam.BlockWriter(f)
-                out.write(bam.pack_header(self.header, self.contigs))
-                out.finish()
-        old = [x for x in fs.get_file_info(FileSelector(base)) if x.type == FileType.File and (x.base_name.startswith("part-") or x.base_name == "_SUCCESS")]
-        if old and not self.overwrite:
-            self.abort(messages)
-            raise ValueError(f"{self.path} has files already")
-        for x in old:
-            fs.delete_file(x.path)
-        for n in names:
-            fs.move(self._name(self.hidden, n)[1], self._name(n)[1])
-        self.abort(messages)  # what is left in the hidden folder
-        with fs.open_output_stream(self._name("_SUCCESS")[1], compression=None) as f:
-            f.write(b"")
-
-    def abort(self, messages):
-        import contextlib
-        import time
-
-        from pyarrow.fs import FileSelector, FileType
-
-        fs, place = self._name(self.hidden)
-        for _ in range(5):  # a task may just be writing a file
-            if fs.get_file_info(place).type != FileType.Directory:
-                break
-            with contextlib.suppress(OSError):
-                fs.delete_dir(place)
-                break
-            time.sleep(0.2)
-        base = self._name()[1]
-        if not fs.get_file_info(FileSelector(base)):  # made for this job
-            fs.delete_dir(base)
+    def empty(self, file):
+        out = bam.BlockWriter(file)
+        out.write(bam.pack_header(self.header, self.contigs))
+        out.finish()
 
 
 def header_contigs(header: str) -> list[tuple[str, int]]:
@@ -382,7 +306,7 @@ class BamHeaderReader(DataSourceReader):
         self.paths = paths
 
     def partitions(self):
-        return [InputPartition(files[0]) for p in self.paths if (files := _files([p]))]
+        return [InputPartition(found[0]) for p in self.paths if (found := files([p], ".bam"))]
 
     def read(self, partition):
         with _open(partition.value) as file:

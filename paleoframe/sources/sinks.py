@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CELLS, POSITIONS, READS
+from . import damage
 
 
 def mismatch_lines(wide: DataFrame) -> DataFrame:
@@ -56,14 +56,6 @@ def write_fit(spark, fit, path: str) -> None:
     _one_file(spark.createDataFrame([(0, fit_line(fit))], "line int, text string"), path, [], False)
 
 
-def bdamage_bytes(groups: Iterable[tuple[int, int, list, list]], positions: int = POSITIONS) -> bytes:
-    """(taxid, nreads, fw, bw) with positions x 16 numbers an end, as one little-endian record each."""
-    out = [struct.pack("<i", positions)]
-    for taxid, n, fw, bw in groups:
-        out.append(struct.pack(f"<ii{32 * positions}f", taxid, n, *fw, *bw))
-    return b"".join(out)
-
-
 def damage_groups(counts: DataFrame, by: str, n_reads: DataFrame) -> DataFrame:
     """by, n_reads, fw, bw: the counts of each group as 15 x 16 numbers an end, in order of distance and cell."""
     at = F.col("dist") * 16 + F.col("ref") * 4 + F.col("read")
@@ -77,16 +69,8 @@ def damage_groups(counts: DataFrame, by: str, n_reads: DataFrame) -> DataFrame:
 
 
 def write_bdamage(groups: DataFrame, by: str, path: str) -> None:
-    """A gzip file in the format of read_bdamage. groups: of damage_groups, one row a taxon, streamed to the driver."""
-    import gzip
-
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    fs, name = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
-    with fs.open_output_stream(name, compression=None) as f, gzip.GzipFile(fileobj=f, mode="wb") as z:
-        z.write(struct.pack("<i", POSITIONS))
-        for r in groups.where("n_reads > 0").orderBy(by).toLocalIterator():
-            z.write(bdamage_bytes([(r[by], r["n_reads"], r["fw"], r["bw"])])[4:])
+    """A folder of files in the format of read_bdamage, written by the tasks. groups: of damage_groups, one row a taxon."""
+    damage.write(groups, by, path)
 
 
 def group_lines(groups: DataFrame, by: str) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lengths import normalised, normalised_by_all
 from ..operators.profile import mismatch_long
 from ..schema import CELLS, LENGTH_LIMIT, POSITIONS
+from . import damage
 
 
 def read_mismatch_table(spark: SparkSession, path: str) -> DataFrame:
@@ -53,36 +52,9 @@ def read_rlens(spark: SparkSession, path: str, limit: int = LENGTH_LIMIT) -> Dat
     return normalised_by_all(spark.createDataFrame(rows, "length int, weight double"), limit)
 
 
-def parse_bdamage(data: bytes, kind: str = "f4") -> list[tuple]:
-    """(taxid, nreads, positions, fw, bw) of each record; kind f4 or i4: what the cells are stored as."""
-    n = int(np.frombuffer(data, "<i4", 1)[0])
-    size = 8 + 2 * 16 * 4 * n
-    if n <= 0 or (len(data) - 4) % size:
-        raise ValueError("not a damage file, or one that is cut off")
-    record = np.dtype([("taxid", "<i4"), ("n", "<i4"), ("fw", f"<{kind}", 16 * n), ("bw", f"<{kind}", 16 * n)])
-    return [(int(r["taxid"]), int(r["n"]), n, r["fw"].astype(float), r["bw"].astype(float)) for r in np.frombuffer(data, record, offset=4)]
-
-
-BDAMAGE = "taxid int, nreads int, positions int, fw array<double>, bw array<double>"
-
-
-def read_bdamage(spark: SparkSession, path: str, kind: str = "f4") -> DataFrame:
-    """BDAMAGE rows of gzip files; taxa without reads are left out."""
-
-    def run(batches):
-        import gzip
-
-        for batch in batches:
-            for data in batch.column("content"):
-                raw = data.as_py()
-                rows = parse_bdamage(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw, kind)
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int32()) for c in cols[:3]), *(pa.array([list(x) for x in c], pa.list_(pa.float64())) for c in cols[3:])],
-                    ["taxid", "nreads", "positions", "fw", "bw"],
-                )
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, BDAMAGE).where("nreads > 0")
+def read_bdamage(spark: SparkSession, path: str, kind: str = "f4", split: int = damage.SPLIT_BYTES) -> DataFrame:
+    """BDAMAGE rows of a file or of a folder of them; taxa without reads are left out."""
+    return damage.read(spark, path, kind, split).where("nreads > 0")
 
 
 def bdamage_counts(rows: DataFrame) -> DataFrame:

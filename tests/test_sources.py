@@ -60,14 +60,60 @@ def test_rlens_and_stats(spark, tmp_path):
 def test_bdamage(spark, tmp_path):
     rng = np.random.default_rng(1)
     groups = [(5, 10, rng.integers(0, 99, 240).tolist(), rng.integers(0, 99, 240).tolist()), (9, 0, [0] * 240, [0] * 240)]
-    data = sinks.bdamage_bytes(groups)
+    data = damage_bytes(groups)
     (tmp_path / "b.gz").write_bytes(gzip.compress(data))
     rows = tables.read_bdamage(spark, str(tmp_path / "b.gz")).collect()
     assert [(r.taxid, r.nreads, r.positions, r.fw) for r in rows] == [(5, 10, 15, [float(v) for v in groups[0][2]])]
     n = tables.bdamage_counts(tables.read_bdamage(spark, str(tmp_path / "b.gz"))).where("end = \"3'\" AND dist = 2 AND ref = 1 AND read = 3").head().n
     assert n == groups[0][3][2 * 16 + 7]
-    with pytest.raises(ValueError):
-        tables.parse_bdamage(data[:-4])
+    (tmp_path / "plain").write_bytes(data)
+    assert [(r.taxid, r.fw) for r in tables.read_bdamage(spark, str(tmp_path / "plain")).collect()] == [(5, [float(v) for v in groups[0][2]])]
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(data[:-4]))
+    with pytest.raises(Exception, match="cut off"):
+        tables.read_bdamage(spark, str(tmp_path / "cut.gz")).collect()
+
+
+@pytest.mark.parametrize("size", [50, 977, 60_000])
+def test_damage_files_in_pieces(spark, tmp_path, size):
+    """Records across blocks, blocks across splits: each record once, and a cut file is an error."""
+    from paleoframe.sources import bam, damage
+
+    rng = np.random.default_rng(size)
+    groups = [(k * 3, int(rng.integers(0, 3)), rng.integers(0, 9, 240).tolist(), rng.integers(0, 9, 240).tolist()) for k in range(60)]
+    data = damage_bytes(groups)
+    path = str(tmp_path / "x.gz")
+    with open(path, "wb") as f:
+        out = bam.BlockWriter(f, size)
+        out.write(data)
+        out.finish()
+    whole = (tmp_path / "x.gz").stat().st_size
+    want = sorted((k, n, fw) for k, n, fw, _ in groups)
+    for split in (whole // 13, whole // 3, whole):
+        df = damage.read(spark, path, split=split)
+        assert df.rdd.getNumPartitions() > (3 if split < whole // 10 and size < 60_000 else 0)
+        assert sorted((r.taxid, r.nreads, [int(v) for v in r.fw]) for r in df.collect()) == want
+    with open(path, "wb") as f:
+        out = bam.BlockWriter(f, size)
+        out.write(data[:-7])
+        out.finish()
+    with pytest.raises(Exception, match="cut off"):
+        damage.read(spark, path, split=whole // 5).collect()
+
+
+def test_damage_of_many_taxa_there_and_back(spark, tmp_path):
+    cells = lambda k: f"transform(sequence(0, 239), i -> CAST((id * {k} + i * 7) % 11 AS DOUBLE))"
+    groups = spark.range(100_000).selectExpr("id AS taxid", "id % 50 AS n_reads", f"{cells(31)} AS fw", f"{cells(13)} AS bw")
+    out = str(tmp_path / "many")
+    sinks.write_bdamage(groups, "taxid", out)
+    mark = ["count(*) AS n", "sum(CAST(xxhash64(CAST(taxid AS INT), CAST(n AS INT), fw, bw) AS DECIMAL(38, 0))) AS h"]
+    want = groups.where("n_reads > 0").withColumnRenamed("n_reads", "n").selectExpr(*mark).head()
+    back = tables.read_bdamage(spark, out, split=1 << 20)
+    assert back.withColumnRenamed("nreads", "n").selectExpr(*mark).head() == want and want.n == 98_000
+
+
+def damage_bytes(groups):
+    """A number of positions, then records: taxon, reads, 15 x 16 numbers an end."""
+    return struct.pack("<i", 15) + b"".join(struct.pack("<ii480f", taxid, n, *fw, *bw) for taxid, n, fw, bw in groups)
 
 
 def bam(records):
