@@ -1,8 +1,8 @@
 """Mixing sources to target weights with DataFrame functions only.
 
 Documents fall into cells (source, language, topic). Iterative proportional fitting rakes the token weights of the cells
-until their sums over sources, languages and topics meet the targets: each category has a factor, and in turn those of one
-dimension are set to what its categories lack. A document is then taken with the probability that its cell's weight asks
+until their sums over sources, languages and topics meet the targets: in turn, the cells of each category of one dimension
+are scaled by what the category lacks. Rounds go on until every marginal is within ``TOLERANCE`` of its target. A document is then taken with the probability that its cell's weight asks
 for, decided by a hash of its id, so that a rerun takes the same documents.
 
 Targets are the caller's: for each dimension shares by category, or an exponent that tempers the categories' own shares
@@ -10,8 +10,9 @@ Targets are the caller's: for each dimension shares by category, or an exponent
 over one and none is cut off.
 
 What grows with the data is read in place: one pass sums tokens by cell (partial sums before the shuffle), one pass looks
-up the cells. Cells and factors are tables that Spark groups and joins, broadcast only if their written size is under the
-session's limit; to the driver come single numbers.
+up the cells. Cells are a table of one row for each combination of categories that occurs, however many documents there are;
+a round is three windows over it, by source, by language and by topic, and BLOCK rounds are one plan. The table is written
+between blocks, and joined broadcast only if its size is under the session's limit; to the driver come single numbers.
 
 Defined results: a null or empty text has no tokens and its document is taken with its cell's probability; null sources,
 languages and topics are categories of their own, written as ''; a category without a target has the share 0 and is not
@@ -27,12 +28,13 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
 TEMPER = 0.85
-#: Rounds of raking, and how far off a marginal may be after them, as a part of itself.
-ROUNDS, TOLERANCE = 6, 0.01
+#: Rounds of raking in one plan, the most rounds, and how far off its target a marginal may be, as a part of itself.
+BLOCK, ROUNDS, TOLERANCE = 4, 12, 0.01
 DIMS = ("source", "lang", "topic")
 #: Exponents, or shares by category, for each dimension.
 Targets = Mapping[str, "float | Mapping[str, float]"]
@@ -72,7 +74,7 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 
 def target_shares(cells: DataFrame, dim: str, target: float | Mapping[str, float]) -> DataFrame:
-    """dim, want: the categories' shares, which add up to one."""
+    """dim, want: the categories' shares, which add up to one; null if no category has both tokens and a target."""
     own = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0")
     if isinstance(target, Mapping):
         if any(not v >= 0 for v in target.values()):
@@ -81,43 +83,48 @@ def target_shares(cells: DataFrame, dim: str, target: float | Mapping[str, float
         raw = F.coalesce(F.try_element_at(told, F.col(dim)), F.lit(0.0))
     else:
         raw = F.pow("n", F.lit(float(target)))
-    out = own.select(dim, raw.alias("raw"))
-    total = out.agg(F.sum("raw")).head()[0]
-    if total is not None and total <= 0:
-        raise ValueError(f"no category of {dim} has both tokens and a target")
-    return out.select(dim, (F.col("raw") / F.lit(total or 1.0)).alias("want"))
+    return own.select(dim, raw.alias("raw")).select(dim, F.try_divide("raw", F.sum("raw").over(Window.partitionBy())).alias("want"))
 
 
-def rake(cells: DataFrame, targets: Targets = TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def _off(state: DataFrame) -> DataFrame:
+    """dim, off: how far each marginal is off, as a part of its target."""
+    out = None
+    for d in DIMS:
+        own = state.groupBy(d).agg(F.sum("weight").alias("sum"), F.max(f"w_{d}").alias("want"))
+        own = own.select(F.lit(d).alias("dim"), F.try_divide(F.abs(F.col("sum") - F.col("want")), F.col("want")).alias("off"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def rake(cells: DataFrame, targets: Targets = TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, strict: bool = False) -> DataFrame:
     """cells: source, lang, topic, tokens. Adds weight (tokens after raking) and p (probability of a document).
 
-    A warning tells of a marginal that is off by more than ``tolerance`` after all rounds, as where targets contradict cells.
+    Ends after the first block of rounds with all marginals within ``tolerance``, or after ``rounds``: as where targets
+    contradict cells, which is then an error (strict) or a warning that names the dimension.
     """
-    cells = common.written(cells.where("tokens > 0"), "mix-cells")
+    cells = common.written(cells.where("tokens > 0"), "mix-cells", True)
+    state = cells.withColumn("weight", F.col("tokens").cast("double"))
     total = float(cells.agg(F.sum("tokens")).head()[0] or 0)
-    factors = {d: common.written(target_shares(cells, d, targets[d]).select(d, F.lit(1.0).alias(f"f_{d}"), (F.col("want") * total).alias(f"w_{d}")), "mix-targets", True) for d in DIMS}
-    weight = F.col("tokens").cast("double")
     for d in DIMS:
-        weight = weight * F.col(f"f_{d}")
-
-    def weighted():
-        out = cells
-        for d in DIMS:
-            out = out.join(factors[d], d)
-        return out.withColumn("weight", weight)
-
-    def sums(d):
-        return weighted().groupBy(d).agg(F.sum("weight").alias("sum"), F.max(f"f_{d}").alias("f"), F.max(f"w_{d}").alias("want"))
-
-    lack = F.coalesce(F.try_divide(F.col("want"), F.col("sum")), F.lit(0.0))
-    for _ in range(rounds):
-        for d in DIMS:
-            factors[d] = common.written(sums(d).select(d, (F.col("f") * lack).alias(f"f_{d}"), F.col("want").alias(f"w_{d}")), "mix-factors", True)
-    for d in DIMS[:-1]:  # the last one has just been met
-        off = sums(d).agg(F.max(F.try_divide(F.abs(F.col("sum") - F.col("want")), F.col("want")))).head()[0] or 0.0
-        if off > tolerance:
-            warnings.warn(f"raking does not meet the targets of {d}: a marginal is off by {off:.3g} of itself", stacklevel=2)
-    out = weighted().withColumn("f", F.col("weight") / F.col("tokens"))
+        state = state.join(target_shares(cells, d, targets[d]).select(d, (F.col("want") * total).alias(f"w_{d}")), d)
+    done, off = 0, []
+    while done < rounds and not (done and all(x <= tolerance for _, x in off)):
+        for d in DIMS * min(BLOCK, rounds - done):
+            have = F.sum("weight").over(Window.partitionBy(d))
+            state = state.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"w_{d}"), have), F.lit(0.0)))
+        done += min(BLOCK, rounds - done)
+        state = common.written(state, "mix-state", True)
+        found = _off(state).groupBy("dim").agg(F.max("off").alias("off")).collect()
+        if none := sorted(r["dim"] for r in found if r["off"] is None):
+            raise ValueError(f"no category of {none[0]} has both tokens and a target")
+        off = [(r["dim"], r["off"]) for r in found]
+    for d, x in off:
+        if x > tolerance:
+            said = f"raking does not meet the targets of {d}: a marginal is off by {x:.3g} of itself after {done} rounds"
+            if strict:
+                raise ValueError(said)
+            warnings.warn(said, stacklevel=2)
+    out = state.withColumn("f", F.col("weight") / F.col("tokens"))
     top = out.agg(F.max("f")).head()[0]
     return out.select(*DIMS, "tokens", "weight", (F.col("f") / F.lit(top or 1.0)).alias("p"))
 
@@ -140,7 +147,7 @@ def stage_mix(spark, docs, sf_dir):
     return mix(docs).select(*docs.columns)
 
 
-def _sql(rounds: int = ROUNDS) -> str:
+def _sql() -> str:
     case = " ".join(f"WHEN contains(coalesce(text, ''), '{k}') THEN '{v}'" for k, v in TOPICS.items())
     parts = [
         f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {case} ELSE 'general' END AS topic,
@@ -152,14 +159,22 @@ def _sql(rounds: int = ROUNDS) -> str:
             f"t_{x} AS (SELECT {x}, s / sum(s) OVER () AS want FROM (SELECT {x}, pow(sum(tokens), {TEMPER}::DOUBLE) AS s FROM c GROUP BY {x}))"
         )
     parts.append("w0 AS (SELECT source, lang, topic, tokens, tokens AS w, sum(tokens) OVER () AS total FROM c)")
-    k = 0
-    for _ in range(rounds):
+    k, ends = 0, []
+    for done in range(1, ROUNDS + 1):
         for x in DIMS:
             parts.append(
                 f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * want * total / sum(w) OVER (PARTITION BY {x}) AS w, total FROM w{k} JOIN t_{x} USING ({x}))"
             )
             k += 1
-    parts.append(f"f AS (SELECT source, lang, topic, w / tokens / max(w / tokens) OVER () AS p FROM w{k})")
+        if done % BLOCK == 0 or done == ROUNDS:
+            off = " UNION ALL ".join(f"SELECT max(abs(s - want * total) / (want * total)) AS o FROM (SELECT {x}, sum(w) AS s, max(total) AS total FROM w{k} GROUP BY {x}) JOIN t_{x} USING ({x})" for x in DIMS)
+            parts.append(f"off{k} AS (SELECT max(o) AS o FROM ({off}))")
+            ends.append(k)
+    # the first block after which all marginals are near enough
+    choice = " ".join(f"WHEN (SELECT o FROM off{e}) <= {TOLERANCE}::DOUBLE THEN {e}" for e in ends[:-1])
+    parts.append(f"chosen AS (SELECT CASE {choice} ELSE {ends[-1]} END AS k)")
+    parts.append("w AS (" + " UNION ALL ".join(f"SELECT w{e}.* FROM w{e}, chosen WHERE k = {e}" for e in ends) + ")")
+    parts.append("f AS (SELECT source, lang, topic, w / tokens / max(w / tokens) OVER () AS p FROM w)")
     return (
         "WITH "
         + "\n, ".join(parts)

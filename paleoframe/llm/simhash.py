@@ -13,7 +13,8 @@ Only edges of spanning forests leave a task. Components come from the distribute
 
 Defined results: a null, empty or wordless text has fingerprint zero and links like any other; fewer words than a shingle
 make one shingle; repeated rows share a component; rows with a null id take part, but do not name a component unless
-there is no other id, and then it is null; an empty table gives no rows; other columns are ignored.
+there is no other id, and then it is null; ids are whole numbers (of another type: cast to long, an error if they are not);
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@ single text is held whole by one task.
 
 Defined results: a null text is empty; texts under LENGTH bytes are untouched; a null id is smaller than all others;
 repeated rows (same id and text) have the same result, that of one of them; rows with the same id and different texts
-count as one owner, so that what both begin with at the same place is kept in both; an empty table gives no rows; other
-columns are ignored.
+count as one owner, so that what both begin with at the same place is kept in both; ids are whole numbers (of another
+type: cast to long, an error if they are not); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -347,6 +347,25 @@ def test_mixing_to_given_targets(spark):
         mixing.rake(mixing.cells_of(mixing.keyed(df)), targets | {"lang": {"fr": 1}})
 
 
+def test_raking_goes_on_until_targets_are_met(spark):
+    """Cells that are hard to reconcile take several blocks; targets that cannot be met are told of."""
+    cells = [("a", "x", "t", 1000), ("a", "y", "t", 100), ("b", "x", "t", 30), ("b", "y", "t", 10), ("b", "y", "u", 50)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 1, "b": 1}, "lang": {"x": 1, "y": 1}, "topic": {"t": 0.6, "u": 0.4}}
+    for tolerance in (0.2, 1e-6):
+        raked = mixing.rake(df, targets, 60, tolerance, strict=True).collect()
+        total = sum(r.tokens for r in raked)
+        for d, shares in targets.items():
+            for k, v in shares.items():
+                assert sum(r.weight for r in raked if r[d] == k) == pytest.approx(total * v / sum(shares.values()), rel=1.001 * tolerance)
+    apart = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, tokens long")
+    wrong = {"source": {"a": 1, "b": 3}, "lang": {"x": 1, "y": 1}, "topic": 1.0}
+    with pytest.warns(UserWarning, match="targets of source"):
+        mixing.rake(apart, wrong)
+    with pytest.raises(ValueError, match="targets of source"):
+        mixing.rake(apart, wrong, strict=True)
+
+
 @data
 def test_languages(spark):
     d = DATA.replace("sf0.001", "sf0.01") if os.path.exists(DATA.replace("sf0.001", "sf0.01")) else DATA
