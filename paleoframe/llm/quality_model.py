@@ -80,8 +80,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """Embedding and softmax layer by stochastic gradient descent over (feature numbers, weights, label)."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int | None = None) -> Model:
+    """Embedding and softmax layer by stochastic gradient descent over (feature numbers, weights, label). steps: stop
+    after so many."""
     y = np.array([r[2] for r in rows], np.int64)
     share = (y.sum() + 1) / (len(y) + 2)
     bias = np.array([0.0, np.log(share / (1 - share))])
@@ -91,10 +92,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     table = rng.uniform(-0.5, 0.5, (WIDTH, DIM)) / DIM
     layer = rng.uniform(-0.5, 0.5, (DIM, 2))
     epochs = -(-STEPS // len(rows))
-    steps = epochs * len(rows)
-    for k, i in enumerate(np.concatenate([rng.permutation(len(rows)) for _ in range(epochs)])):
+    every = epochs * len(rows)
+    for k, i in enumerate(np.concatenate([rng.permutation(len(rows)) for _ in range(epochs)])[:steps]):
         ids, weights, label = rows[i]
-        rate = RATE * (1 - k / steps)
+        rate = RATE * (1 - k / every)
         own = table[ids]
         v = weights @ own
         z = v @ layer + bias
@@ -141,9 +142,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     # both sides are cut to the sample before they meet
     chosen = docs.where(order <= last).select("doc_id", "text").join(marked.where(order <= last), "doc_id")
     made = chosen.select("text", "label", order.alias("h")).mapInArrow(run, "label int, h long, n long, ids array<int>, weights array<float>")
-    made = common.written(made.orderBy("h", "n", "label").limit(sample), "quality-features")
-    size = np.cumsum([r["n"] for r in made.select("n", "h", "label").orderBy("h", "n", "label").collect()])
-    fit = made.orderBy("h", "n", "label").limit(max(1, int((size <= FEATURES).sum())))
+    made = common.written(made.withColumn("row", F.monotonically_increasing_id()), "quality-features")
+    # which rows to take follows from their sizes alone; features of no other row move
+    key = F.struct("h", "n", "label", "row")
+    sizes = made.select(key.alias("key")).orderBy("key").limit(sample).collect()
+    if not sizes:
+        return train([])
+    taken = max(1, int((np.cumsum([r["key"]["n"] for r in sizes]) <= FEATURES).sum()))
+    end = sizes[taken - 1]["key"]
+    fit = made.where(key <= F.struct(*[F.lit(end[c]).cast(t).alias(c) for c, t in (("h", "long"), ("n", "long"), ("label", "int"), ("row", "long"))]))
     t = fit.select("label", "ids", "weights").toArrow()
     rows = [(ids.values.to_numpy(), weights.values.to_numpy(), y) for y, ids, weights in zip(t["label"].to_pylist(), t["ids"], t["weights"], strict=True)]
     rows.sort(key=lambda r: (len(r[0]), r[2], r[0].tobytes(), r[1].tobytes()))  # the same order in every run

@@ -384,6 +384,64 @@ def test_language_mixtures_and_odd_rows(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd, langid.learn(odd.limit(0).select("text", "lang"))).collect()} == {"und"}
 
 
+def test_quality_training_against_plain_loops():
+    """Every gradient step by itself, one feature after the other."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcde "), 30)) for _ in range(12)]
+    rows = [(ids, w, int(k % 3 == 0)) for k, (ids, w) in enumerate(quality_model._sparse(texts))]
+    got = quality_model.train(rows)
+    y = [r[2] for r in rows]
+    share = (sum(y) + 1) / (len(y) + 2)
+    bias = [0.0, float(np.log(share / (1 - share)))]
+    rng = np.random.default_rng(quality_model.SEED)
+    table = rng.uniform(-0.5, 0.5, (quality_model.WIDTH, quality_model.DIM)) / quality_model.DIM
+    layer = rng.uniform(-0.5, 0.5, (quality_model.DIM, 2))
+    epochs = -(-quality_model.STEPS // len(rows))
+    order = np.concatenate([rng.permutation(len(rows)) for _ in range(epochs)])
+    dims = range(quality_model.DIM)
+    table, layer = {int(i): table[i].tolist() for r in rows for i in r[0]}, layer.tolist()
+    for k, at in enumerate(order[:4000]):
+        ids, weights, label = rows[at]
+        rate = quality_model.RATE * (1 - k / (epochs * len(rows)))
+        v = [sum(float(w) * table[int(i)][d] for i, w in zip(ids, weights, strict=True)) for d in dims]
+        z = [sum(v[d] * layer[d][c] for d in dims) + bias[c] for c in (0, 1)]
+        p = np.exp(np.array(z) - max(z))
+        p = (p / p.sum()).tolist()
+        p[label] -= 1
+        back = [sum(layer[d][c] * p[c] for c in (0, 1)) for d in dims]
+        for d in dims:
+            for c in (0, 1):
+                layer[d][c] -= rate * v[d] * p[c]
+        bias = [bias[c] - 0.1 * rate * p[c] for c in (0, 1)]
+        for i, w in zip(ids, weights, strict=True):
+            for d in dims:
+                table[int(i)][d] -= rate * quality_model.FEATURE_RATE / len(ids) ** 0.5 * float(w) * back[d]
+    # the same steps and no more, in the model's own code
+    part = quality_model.train(rows, steps=4000)
+    for i, own in table.items():
+        assert part.weight[i] == pytest.approx(sum(own[d] * (layer[d][1] - layer[d][0]) for d in dims), rel=1e-4, abs=1e-5)
+    assert part.bias == pytest.approx(bias[1] - bias[0], rel=1e-9)
+    assert ((got.score(texts) >= 0.5) == np.array(y)).all()
+
+
+def test_quality_sample_is_bounded_by_rows_and_features(spark, monkeypatch):
+    rows = [(k % 40, f"text {k % 40} " + "abc " * (k % 40)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_model, "train", lambda rows: seen.append(rows))
+    quality_model.learn(docs, labels)
+    assert len(seen[-1]) == 120
+    quality_model.learn(docs, labels, sample=7)
+    assert len(seen[-1]) == 7
+    per = sorted(len(r[0]) for r in seen[-1])
+    monkeypatch.setattr(quality_model, "FEATURES", sum(len(r[0]) for r in seen[0]) // 4)
+    quality_model.learn(docs, labels)
+    assert 1 <= len(seen[-1]) < 120 and sum(len(r[0]) for r in seen[-1]) <= quality_model.FEATURES and per
+    quality_model.learn(docs.limit(0), labels)
+    assert seen[-1] == []
+
+
 @data
 def test_quality_model(spark, odd):
     d = DATA.replace("sf0.001", "sf0.01") if os.path.exists(DATA.replace("sf0.001", "sf0.01")) else DATA
