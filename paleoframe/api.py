@@ -102,7 +102,7 @@ def main(args: list[str] | None = None) -> int:
     """Command line: python -m paleoframe.api -bam reads.sam -ref genome.fa -model nb -oinf out ..."""
     import argparse
 
-    from .sources import alignments, sinks
+    from .sources import alignments, fasta, sinks
 
     p = argparse.ArgumentParser(prog="paleoframe", allow_abbrev=False)
     for flag in ("bam", "tab", "ref", "len", "ibam", "iref", "obam", "otab", "oinf", "olen", "olik", "bdamage", "rlens", "bed"):
@@ -130,9 +130,7 @@ def main(args: list[str] | None = None) -> int:
             reads = OREF.within(alignments.read_alignments(spark, path, OREF.windows(bed)), bed)
         else:
             reads = alignments.read_alignments(spark, path)
-        if ref:
-            alignments.register(spark)
-        return align(reads, spark.read.format("fasta").load(ref) if ref else None, o)
+        return align(reads, fasta.read(spark, ref) if ref else None, o)
 
     if a.bam:
         fitted = fit_reads(load(a.bam, a.ref), o, tables.read_lengths(spark, a.len, compat=o.compat) if a.len else None)

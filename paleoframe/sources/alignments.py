@@ -1,5 +1,4 @@
-"""Alignment sources: SAM as text, BAM and indexed FASTA as Python data sources that read byte ranges on executors; BAM
-is written by a Python data source as well."""
+"""Alignment sources: SAM as text, BAM as a Python data source that reads byte ranges on executors and writes parts."""
 
 from __future__ import annotations
 
@@ -17,6 +16,7 @@ from ..functions.bases import CIGAR_OPS, NIBBLES  # noqa: F401
 from ..schema import READS
 from . import bam
 from .bam import LAST_BLOCK, Blocks, parse_header, parse_record
+from .fasta import FastaSource
 from .parts import Part, PartsWriter, files
 
 
@@ -331,44 +331,6 @@ class BamHeaderSource(BamSource):
         return BamHeaderReader(_paths(self.options))
 
 
-class FastaReader(DataSourceReader):
-    def __init__(self, path: str, chunk: int):
-        self.path, self.chunk = path, chunk
-
-    def partitions(self):
-        out = []
-        with _open(self.path + ".fai") as f:
-            for line in f.read().decode().splitlines():
-                name, *rest = line.split("\t")
-                length, offset, bases, width = map(int, rest[:4])
-                per = self.chunk * 256
-                out += [InputPartition((name, a, min(a + per, length), offset, bases, width)) for a in range(0, length, per)]
-        return out
-
-    def read(self, partition):
-        name, begin, end, offset, bases, width = partition.value
-        place = lambda i: offset + i // bases * width + i % bases
-        with _open(self.path) as f:
-            for a in range(begin, end, self.chunk):
-                b = min(a + self.chunk, end)
-                data = f.read_at(place(b - 1) + 1 - place(a), place(a))
-                yield name, a // self.chunk, data.replace(b"\n", b"").replace(b"\r", b"").decode().upper()
-
-
-class FastaSource(DataSource):
-    """Chunks of an indexed FASTA: rname, chunk_id, seq. Option chunk: bases a chunk."""
-
-    @classmethod
-    def name(cls):
-        return "fasta"
-
-    def schema(self):
-        return "rname string, chunk_id long, seq string"
-
-    def reader(self, schema):
-        return FastaReader(self.options["path"], int(self.options.get("chunk", 1 << 16)))
-
-
 def register(spark: SparkSession) -> None:
     # the BAM reader takes filters, which Spark has to be told to give
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
