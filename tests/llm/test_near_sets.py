@@ -1,10 +1,11 @@
 """The near-copies of the pipeline against exact similarities of all pairs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
-from paleoframe.llm import near_sets, simhash
+from paleoframe.llm import common, near_sets, simhash
 
 WORDS = [f"w{i}" for i in range(5000)]
 
@@ -95,3 +96,47 @@ def test_first_partners_are_the_first_of_a_group(monkeypatch):
     prints[[0, 4]] = np.iinfo(np.uint64).max
     pairs = sorted((int(y), int(x)) for i, j in near_sets.first_partners(np.array([7, 7, 7, 7, 7, 8]), np.full(6, 10), prints, 3) for x, y in zip(i, j, strict=True))
     assert pairs == [(3, 1), (4, 0)]
+
+
+def test_stage_with_parted_groups(spark, monkeypatch):
+    """Groups over several tasks, blocks and Arrow batches give the same; equal texts are told apart by their ids."""
+    monkeypatch.setattr(near_sets, "DEAL", 8)
+    monkeypatch.setattr(near_sets, "BLOCK", 4)
+    monkeypatch.setattr(common, "ARROW_ROWS", 7)
+    rows = planted()
+    rows += [(1000 + k, rows[k % 7][1]) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == kept_by_force(rows)
+
+
+def test_cells_of_large_groups(spark):
+    """Two nodes of a key in different components are in exactly one cell, on different sides of it; nodes of a large
+    component never meet; no cell has many rows."""
+    parts = [0] * 40 + [1] * 9 + [2, 2, 3, 4, 5, 5, 5]
+    rows = [(7, 100 + k, p) for k, p in enumerate(parts)] + [(8, 1, 1), (8, 2, 2), (8, 3, 2)]
+    by = {}
+    for r in near_sets.cells(spark.createDataFrame(rows, "key long, node long, part long"), 4).collect():
+        by.setdefault((r.key, r.cell), []).append((r.node, r.part, r.side))
+    met = Counter()
+    for (key, _), own in by.items():
+        assert len(own) <= 24
+        for x in own:
+            for y in own:
+                if x[0] < y[0] and (x[2] == 0 or x[2] != y[2]):
+                    met[key, x[0], y[0]] += 1
+                    assert x[1] != y[1] or x[1] not in (0, 1) or key == 8
+    want = {(k, a, b): 1 for k, a, p in rows for m, b, q in rows if k == m and a < b and p != q}
+    assert {x: met[x] for x in want} == want
+
+
+def test_dealt_groups_share_their_first_nodes(spark):
+    rng = np.random.default_rng(3)
+    nodes = rng.integers(-(1 << 63), (1 << 63) - 1, 4000).tolist()
+    rows = [(7, v) for v in nodes] + [(8, v) for v in nodes[:5]]
+    by = {}
+    for r in near_sets.dealt(spark.createDataFrame(rows, "key long, node long"), 1000).collect():
+        by.setdefault((r.key, r.cell), set()).add(r.node)
+    assert sorted(k for k, _ in by) == [7, 7, 7, 7, 8] and by[8, 8] == set(nodes[:5])
+    first = set(sorted(nodes)[: near_sets.WINDOW])
+    own = [v for (k, _), v in by.items() if k == 7]
+    assert set.union(*own) == set(nodes) and all(first <= v for v in own) and max(map(len, own)) < 2000
