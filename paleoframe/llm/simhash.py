@@ -162,11 +162,11 @@ def stage_simhash(spark, docs, sf_dir):
     """One document of each component of near-copies (five-word shingles, similarity 0.8 or more; see near_sets): that
     with the smallest id, once. Documents are told apart by id and text: of two different texts with one id neither goes
     because the other is a copy. Rows without an id stay."""
-    from .near_sets import near_copies, text_hash
+    from .near_sets import first_rows, near_copies, text_hash
 
     own_id, own_hash = common.OWN + "id", common.OWN + "hash"
-    drop = near_copies(docs).where("doc_id IS NOT NULL AND NOT first").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    keep = first_rows(near_copies(docs)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
     marked = docs.withColumn(common.OWN + "text", text_hash())
-    rest = marked.join(drop, (F.col("doc_id").cast("long") == F.col(own_id)) & (F.col(common.OWN + "text") == F.col(own_hash)), "left_anti")
-    once = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", common.OWN + "text"])
-    return once.unionByName(rest.where("doc_id IS NULL")).select(*docs.columns)
+    rest = marked.where("doc_id IS NOT NULL").join(keep, (F.col("doc_id").cast("long") == F.col(own_id)) & (F.col(common.OWN + "text") == F.col(own_hash)), "left_semi")
+    once = rest.dropDuplicates(["doc_id", common.OWN + "text"])
+    return once.unionByName(marked.where("doc_id IS NULL")).select(*docs.columns)
