@@ -44,6 +44,12 @@ def failed(flag: str = "flag") -> Column:
     return F.col(flag).bitwiseAND(F.lit(512 | 1024 | 2048)) != 0
 
 
+def profile_tool_filter(flag: str = "flag", length: str = "length") -> Column:
+    """What per-taxon profiles count: mapped single-end reads that have not failed, of 35 bases or more."""
+    f = F.col(flag)
+    return ~failed(flag) & (f.bitwiseAND(F.lit(4)) == 0) & (f.bitwiseAND(F.lit(1)) == 0) & (F.col(length) >= 35)
+
+
 def end_bases(aligned: DataFrame, keep: tuple[str, ...] = ("read_id",), positions: int = POSITIONS, min_quality: int | None = None) -> DataFrame:
     """One row for each base near an end: dist5, dist3, ref, read, qual; bases without a code are left out.
 

@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from paleoframe.plans import file_queries  # noqa: F401  adds its queries
 from paleoframe.plans.queries import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
