@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from ..operators.profile import mismatch_wide, profile
 from ..schema import POSITIONS
 from .model import Profile, loss, loss_hessian, naive_loss
-from .optimize import minimise
+from .optimize import minimise, newton_polish
 
 NAMES = ("lambda", "delta", "delta_s", "nu")
 FIT_SCHEMA = ", ".join(f"{n} double, {n}_low double, {n}_high double" for n in NAMES) + ", llh double, calls int"
 
 
+#: Parameters lie between this and one minus this.
+EDGE = 1e-8
+
+
 @dataclass(frozen=True)
 class Fit:
     x: np.ndarray
@@ -35,18 +39,20 @@ class Fit:
 
 
 def fit_profile(p: Profile, model: str = "nb", eps: float = 0.0) -> Fit:
-    """Two stages: the naive model from (.2, .1, .1), then the full one from there with nu = .01. 95 % intervals."""
+    """Two stages: the naive model from (.2, .1, .1), then the full one from there with nu = .01 and a
+    few Newton steps at the end. 95 % intervals."""
     first = minimise(lambda x: naive_loss(x, p), (0.2, 0.1, 0.1), np.zeros(3), np.ones(3))
-    edge = 1e-8
-    best = minimise(lambda x: loss(x, p, model, eps), (*first.x, 0.01), np.full(4, edge), np.full(4, 1 - edge))
-    h = loss_hessian(best.x, p, model, eps)
+    low, high = np.full(4, EDGE), np.full(4, 1 - EDGE)
+    best = minimise(lambda x: loss(x, p, model, eps), (*first.x, 0.01), low, high)
+    x, value, more = newton_polish(lambda x: loss(x, p, model, eps), lambda x: loss_hessian(x, p, model, eps), best.x, low, high)
+    h = loss_hessian(x, p, model, eps)
     try:
         cov = np.linalg.inv(h)
     except np.linalg.LinAlgError:
         cov = np.full((4, 4), np.nan)
     with np.errstate(invalid="ignore"):
-        half = 1.96 * np.sqrt(np.where(best.at_bound, np.nan, np.diag(cov)) / p.max_all)
-    return Fit(best.x, best.x - half, best.x + half, -best.value, best.calls, cov)
+        half = 1.96 * np.sqrt(np.where((x <= low) | (x >= high), np.nan, np.diag(cov)) / p.max_all)
+    return Fit(x, x - half, x + half, -value, best.calls + more, cov)
 
 
 def profile_of(counts: DataFrame, lengths: DataFrame) -> Profile:

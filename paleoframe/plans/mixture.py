@@ -23,7 +23,7 @@ NAMES = ("mu_anc", "sigma_anc", "mu_mod", "sigma_mod")
 
 #: Shares of a Newton step that are tried at once, and how small the gain or the gradient in the box has to be at the end.
 STEPS = (1.0, 0.5, 0.2, 0.05, 0.01)
-GAIN, SLOPE = 1e-12, 1e-3
+GAIN, SLOPE = 1e-14, 1e-7
 
 
 def _normal(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -184,3 +184,38 @@ def minimise(fun, x, low, high, pgtol: float = PGTOL, factor: float = FACTOR, st
         if small:
             break
     return Minimum(x, float(value), calls, (x <= low) | (x >= high))
+
+
+def newton_polish(f, hessian, x, low, high, steps: int = 6) -> tuple[np.ndarray, float, int]:
+    """(x, value, evaluations of f) from a place near a minimum: Newton steps in the box, as long as they don't make f larger.
+    What a first-order method leaves of the gradient goes."""
+    value, g = f(x)
+    calls = 1
+    for _ in range(steps):
+        new = _newton_in_box(x, g, hessian(x), low, high)
+        v, slope = f(new)
+        calls += 1
+        if not np.isfinite(v) or v > value + 1e-13 * abs(value):
+            break
+        done = np.abs(new - x).max() < 1e-11
+        x, value, g = new, v, slope
+        if done:
+            break
+    return x, value, calls
+
+
+def _newton_in_box(x, g, h, low, high) -> np.ndarray:
+    """x after a Newton step. Parameters that the step would take over a bound stop there, and the others follow."""
+    move = np.zeros(len(x))
+    free = ~(((x <= low) & (g > 0)) | ((x >= high) & (g < 0)))
+    while free.any():
+        try:
+            move[free] = -np.linalg.solve(h[np.ix_(free, free)], g[free] + h[np.ix_(free, ~free)] @ move[~free])
+        except np.linalg.LinAlgError:
+            return x
+        over = free & ((x + move < low) | (x + move > high))
+        if not over.any():
+            break
+        move[over] = np.clip(x + move, low, high)[over] - x[over]
+        free &= ~over
+    return np.clip(x + move, low, high)

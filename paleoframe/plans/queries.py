@@ -18,6 +18,7 @@ from ..operators import score as OS
 from ..schema import CELLS, LENGTH_LIMIT, MIN_LENGTH, POSITIONS, Options
 from ..sources import derived as D
 from . import fit as PF
+from . import fit_sql as FS
 from . import mixture as PM
 from . import model as DM
 from . import score_sql as SS
@@ -666,25 +667,139 @@ def mixture_loglike_fixed(spark, d):
     return rounded(spark.createDataFrame([(llh, n)], "llh double, n long"), 5, "llh")
 
 
-# fits
+# fits; the oracles are Newton's method in SQL
 
-@query()
+_LOW, _HIGH = (f"{PF.EDGE}::DOUBLE",) * 4, (f"{1 - PF.EDGE!r}::DOUBLE",) * 4
+#: Where SQL begins; the fits themselves begin with the naive model.
+_BEGIN = "0.43::DOUBLE AS p0, 0.029::DOUBLE AS p1, 0.88::DOUBLE AS p2, 0.06::DOUBLE AS p3"
+_NEWTON_STEPS = 20
+
+
+def _fitted(df: DataFrame, names, digits: int = 5, llh: int = 6) -> DataFrame:
+    cols = [f"{n}{x}" for n in names for x in ("", "_low", "_high")]
+    return rounded(rounded(df, digits, *cols), llh, "llh")
+
+
+def _damage_fit_sql(g: str, model: str, tag: str) -> str:
+    """CTEs up to fit{tag}: a row of fitted parameters for each g of prof and freq."""
+    terms = lambda at, tag: FS.damage_terms(model, EPS, at, tag)
+    return (
+        FS.newton(terms(f"newton{tag}_at", ""), f"newton{tag}", f"SELECT g, {_BEGIN} FROM (SELECT DISTINCT g FROM prof)", _LOW, _HIGH, _NEWTON_STEPS)
+        + f", last{tag} AS (SELECT * FROM newton{tag} WHERE it = {_NEWTON_STEPS}), " + terms(f"last{tag}", tag)
+        + f", fit{tag} AS (SELECT '{model}' AS model, e.g AS {g}, " + ", ".join(FS.interval(i, n, _LOW, _HIGH, "top", 5) for i, n in enumerate(PF.NAMES))
+        + f", round(llh, 6) AS llh FROM ({FS.ends(_LOW, _HIGH, False, tag)}) e JOIN (SELECT g, max(max_all) AS top FROM prof GROUP BY g) m USING (g))"
+    )
+
+
+_RECURSIVE_CTE = "WITH RECURSIVE " + _CTE.removeprefix("WITH ")
+_ALL_READS_FIT = _RECURSIVE_CTE + _WIDE + _PROFILE.replace("prof AS (", "prof_of_all AS (") + _HIST + f""", prof AS (SELECT 0 AS g, * FROM prof_of_all)
+, freq AS (SELECT 0 AS g, length, n / (SELECT CAST(sum(n) AS DOUBLE) FROM hist) AS f FROM hist), {FS.CELLS}, """
+
+
+@query(_ALL_READS_FIT + _damage_fit_sql("one", "b", "_b") + ", " + _damage_fit_sql("one", "nb", "_nb") + "SELECT * EXCLUDE (one) FROM fit_b UNION ALL SELECT * EXCLUDE (one) FROM fit_nb")
 def fit_damage_params(spark, d):
     p = model_profile(spark, d)
     rows = [{"model": m} | PF.fit_profile(p, m, EPS).row() for m in ("b", "nb")]
-    return spark.createDataFrame(rows, "model string, " + PF.FIT_SCHEMA)
+    return _fitted(spark.createDataFrame(rows, "model string, " + PF.FIT_SCHEMA), PF.NAMES).drop("calls")
+
+
+_TAXON_FIT = _RECURSIVE_CTE + f""", mm_of AS (SELECT taxid AS g, "end", dist, ref, read, count(*) AS n FROM near GROUP BY ALL)
+, wide AS (SELECT g, "end", dist, {_CELL_SUMS} FROM mm_of GROUP BY g, "end", dist)
+, part AS (SELECT g, "end", dist, CAST(CA + CC + CG + CT AS DOUBLE) AS c, CAST(GA + GC + GG + GT AS DOUBLE) AS g_all, CT, GA,
+  1 - CAST(AA + TT AS DOUBLE) / (AA + AC + AG + "AT" + TA + TC + TG + TT) AS err FROM wide)
+, folded AS (SELECT a.g, a.idx, freq_ct, freq_ga, scale_ct, scale_ga, seq_err FROM
+  (SELECT g, CASE WHEN "end" = '5''' THEN dist ELSE 29 - dist END AS idx, CT / c AS freq_ct, c AS scale_ct, err AS seq_err FROM part) a JOIN
+  (SELECT g, CASE WHEN "end" = '5''' THEN 29 - dist ELSE dist END AS idx, GA / g_all AS freq_ga, g_all AS scale_ga FROM part) b ON a.g = b.g AND a.idx = b.idx)
+, prof AS (SELECT g, idx, freq_ct, freq_ga, scale_ct / m AS scale_ct, scale_ga / m AS scale_ga, seq_err, m AS max_all
+  FROM (SELECT *, max(greatest(scale_ct, scale_ga)) OVER (PARTITION BY g) AS m FROM folded))
+, freq AS (SELECT taxid AS g, length, count(*) / CAST(sum(count(*)) OVER (PARTITION BY taxid) AS DOUBLE) AS f FROM eligible GROUP BY taxid, length), {FS.CELLS}, """
 
 
-@query()
+@query(_TAXON_FIT + _damage_fit_sql("taxid", "nb", "_t") + "SELECT * EXCLUDE (model) FROM fit_t")
 def fit_by_taxon(spark, d):
     lens = reads(spark, d).groupBy("taxid", "length").agg(F.count(F.lit(1)).alias("n"))
-    return PF.fit_by(counts(spark, d, "taxid"), lens, "taxid", "nb", EPS)
+    return _fitted(PF.fit_by(counts(spark, d, "taxid"), lens, "taxid", "nb", EPS), PF.NAMES).drop("calls")
+
+
+_MIX_LOW, _MIX_HIGH = tuple(f"{v}::DOUBLE" for v in PM.LOW), tuple(f"{v}::DOUBLE" for v in PM.HIGH)
+
+
+def _mixture_fit_sql() -> str:
+    parts = [_RECURSIVE_CTE + ", " + SS.FACES, SS.MODERN, SS.weights_sql(X, True), SS.scores_sql(X, True, True), SS.model_sql("", "nb"), FS.nodes_sql()]
+    parts.append("lik AS MATERIALIZED (SELECT v.length, exp(ln_err) AS l_err, v.v AS l_anc FROM value v JOIN modern USING (read_id))")
+    begin = "SELECT 0 AS g, 90::DOUBLE AS p0, 100::DOUBLE AS p1, 30::DOUBLE AS p2, 100::DOUBLE AS p3"
+    parts.append(FS.newton(FS.mixture_terms(EPS, "newton_at"), "newton", begin, _MIX_LOW, _MIX_HIGH, _NEWTON_STEPS))
+    parts.append(f"last AS (SELECT * FROM newton WHERE it = {_NEWTON_STEPS}), " + FS.mixture_terms(EPS, "last", "_end"))
+    shown = ", ".join(FS.interval(i, n, _MIX_LOW, _MIX_HIGH, "1", 3) for i, n in enumerate(PM.NAMES))
+    return ", ".join(parts) + f"SELECT {shown}, round(llh, 3) AS llh FROM ({FS.ends(_MIX_LOW, _MIX_HIGH, True, '_end')})"
 
 
-@query()
+@query(_mixture_fit_sql())
 def fit_mixture_params(spark, d):
     f = PM.fit_mixture(scored(spark, d), EPS)
-    return spark.createDataFrame([f.row()], ", ".join(f"{n} double, {n}_low double, {n}_high double" for n in PM.NAMES) + ", llh double, calls int, jobs int")
+    rows = spark.createDataFrame([f.row()], ", ".join(f"{n} double, {n}_low double, {n}_high double" for n in PM.NAMES) + ", llh double, calls int, jobs int")
+    return _fitted(rows, PM.NAMES, 3, 3).drop("calls", "jobs")
+
+
+# derivatives at fixed parameters
+
+
+def _at_x(model: str) -> str:
+    return _ALL_READS_FIT + f"here AS (SELECT 0 AS g, 0 AS it, {', '.join(f'{v}::DOUBLE AS p{i}' for i, v in enumerate(X))}), " + FS.damage_terms(model, EPS, "here")
+
+
+def _rows_of(sums: str, names, digits: int, *keep: str) -> str:
+    """The columns ``names`` of sums as rows (keep, what, value)."""
+    return "\nUNION ALL ".join(f"SELECT {''.join(k + ', ' for k in keep)}'{n}' AS what, round({n}, {digits}) + 0.0::DOUBLE AS value FROM {sums}" for n in names)
+
+
+def _gradient(spark, d, model):
+    g = DM.loss(X, model_profile(spark, d), model, EPS)[1]
+    return rounded(spark.createDataFrame([(f"g{i}", float(v)) for i, v in enumerate(g)], "what string, value double"), 5, "value")
+
+
+@query(_at_x("b") + _rows_of("sums", [f"g{i}" for i in range(4)], 5))
+def full_gradient_b_fixed(spark, d):
+    return _gradient(spark, d, "b")
+
+
+@query(_at_x("nb") + _rows_of("sums", [f"g{i}" for i in range(4)], 5))
+def full_gradient_nb_fixed(spark, d):
+    return _gradient(spark, d, "nb")
+
+
+@query(_at_x("b") + _rows_of("sums", [f"h{i}{j}" for i, j in FS.PAIRS], 4))
+def full_hessian_b_fixed(spark, d):
+    h = DM.loss_hessian(X, model_profile(spark, d), "b", EPS)
+    return rounded(spark.createDataFrame([(f"h{i}{j}", float(h[i, j])) for i, j in FS.PAIRS], "what string, value double"), 4, "value")
+
+
+@query(
+    _CTE + _WIDE + _PROFILE + f""", c AS (SELECT lam, de, ds, idx, pow(1 - lam, idx + 1) / 2 AS s, -(idx + 1) * pow(1 - lam, idx) / 2 AS t, freq_ct, freq_ga, scale_ct, scale_ga FROM prof, {_GRID_SQL} WHERE idx < 15)
+, q AS (SELECT *, scale_ct * (freq_ct / (de + s * (ds - de)) - (1 - freq_ct) / (1 - de - s * (ds - de))) AS a, scale_ga * (freq_ga / (s * ds) - (1 - freq_ga) / (1 - s * ds)) AS b FROM c)
+SELECT lam, de, ds, round(-sum(a * t * (ds - de) + b * t * ds), 5) AS by_lam, round(-sum(a * (1 - s)), 5) AS by_de, round(-sum(a * s + b * s), 5) AS by_ds FROM q GROUP BY lam, de, ds"""
+)
+def naive_gradient_grid(spark, d):
+    p = DM.Profile.of(profile(spark, d).collect(), [], [])
+    rows = [(*x, *map(float, DM.naive_loss(x, p)[1])) for x in _GRID]
+    return rounded(spark.createDataFrame(rows, "lam double, de double, ds double, by_lam double, by_de double, by_ds double"), 5, "by_lam", "by_de", "by_ds")
+
+
+_POINTS = (MIX, (80.0, 35.0, 60.0, 45.0), (40.0, 90.0, 140.0, 16.0))
+
+
+@query(
+    _CTE + f", {FS.nodes_sql()}, lik AS (SELECT length, (1 + read_id % 97) / 97.0::DOUBLE AS l_err, (1 + read_id % 89) / 89.0::DOUBLE AS l_anc FROM eligible)"
+    + ", here(g, it, p0, p1, p2, p3) AS (VALUES " + ", ".join(f"({k}, 0, " + ", ".join(f"{v}::DOUBLE" for v in x) + ")" for k, x in enumerate(_POINTS)) + "), "
+    + FS.mixture_terms(EPS, "here") + _rows_of("sums", FS.SUMS, 4, "g AS point") + "\nUNION ALL SELECT g AS point, 'value' AS what, round(-llh, 4) AS value FROM sums"
+)
+def mixture_points(spark, d):
+    """The length mixture's likelihood with its derivatives at several points, from one job."""
+    r = reads(spark, d).select("length", ((1 + F.col("read_id") % 97) / F.lit(97.0)).alias("l_err"), ((1 + F.col("read_id") % 89) / F.lit(89.0)).alias("l_anc"))
+    rows = []
+    for k, p in enumerate(PM.evaluate_points(r, _POINTS, EPS)):
+        rows += [(k, "value", p.value)] + [(k, f"g{i}", float(v)) for i, v in enumerate(p.gradient)] + [(k, f"h{i}{j}", float(p.hessian[i, j])) for i, j in FS.PAIRS]
+    return rounded(spark.createDataFrame(rows, "point int, what string, value double"), 4, "value")
 
 
 # what the sinks write
