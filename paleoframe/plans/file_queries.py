@@ -190,9 +190,7 @@ _BY_TAXON = _CTE + ', t AS (SELECT taxid, "end", dist, ref, read, count(*) AS n
 
 @query(_BY_TAXON + 'SELECT CAST(taxid AS INT) AS taxid, CAST(n_reads AS INT) AS n_reads, "end", dist, ref, read, n FROM t JOIN k USING (taxid)')
 def damage_file(spark, d):
-    path = scratch.fresh(spark, "taxa")
-    sinks.write_bdamage(_groups(spark, d), "taxid", path)
-    rows = tables.read_bdamage(spark, path)
+    rows = _damage_rows(spark, d)
     own = rows.select("taxid", F.col("nreads").alias("n_reads"))
     return tables.bdamage_counts(rows).where("n > 0").withColumn("n", F.col("n").cast("long")).join(own, "taxid")
 
@@ -220,3 +218,41 @@ def rate_lines(spark, d):
     return sinks.rate_lines(OP.substitution_rates(counts(spark, d)))
 
 
+def _damage_rows(spark, d):
+    path = scratch.fresh(spark, "taxa")
+    sinks.write_bdamage(_groups(spark, d), "taxid", path)
+    return tables.read_bdamage(spark, path)
+
+
+@query("SELECT * REPLACE (CAST(taxid AS INT) AS taxid, CAST(n_reads AS INT) AS n_reads) FROM (" + SQL["bdamage_summary"] + ")")
+def damage_file_summary(spark, d):
+    return rounded(tables.bdamage_summary(_damage_rows(spark, d), 5), 6, "ct", "ga", "other")
+
+
+def _text(df: DataFrame, name: str) -> str:
+    path = scratch.fresh(df.sparkSession, name)
+    df.write.text(path)
+    return path
+
+
+_STATS = _CTE + """SELECT CAST(taxid AS VARCHAR) AS taxid, count(*) AS nreads, round(avg(length), 6) AS mean_len, round(avg(CAST(length AS DOUBLE) * length) - avg(length) * avg(length), 4) AS var_len,
+  round(avg(mapq), 6) AS mean_gc, CAST(NULL AS DOUBLE) AS var_gc FROM eligible GROUP BY taxid"""
+
+
+@query(_STATS)
+def taxon_stats_file(spark, d):
+    """Statistics of taxa as text and back; mapping qualities stand for shares of GC, which reads alone don't have."""
+    n = F.col("length").cast("double")
+    own = reads(spark, d).groupBy("taxid").agg(F.count(F.lit(1)).alias("n"), F.avg(n).alias("a"), (F.avg(n * n) - F.avg(n) * F.avg(n)).alias("v"), F.avg("mapq").alias("q"))
+    path = _text(own.select(F.concat_ws(" ", "taxid", "n", F.col("a").cast("string"), F.col("v").cast("string"), F.col("q").cast("string"), F.lit("NA")).alias("value")), "stats")
+    return rounded(rounded(tables.read_taxon_stats(spark, path), 6, "mean_len", "mean_gc"), 4, "var_len")
+
+
+@query(SQL["length_dist_rlens_style"])
+def rlens_file(spark, d):
+    """The lengths as a table of two lines, of which some dozen to some hundred columns are the histogram."""
+    by = OL.length_histogram(all_reads(spark, d)).agg(F.sort_array(F.collect_list(F.struct("length", "n"))).alias("h"))
+    cells = lambda k: F.array_join(F.transform("h", k), "\t")
+    head = F.concat(F.lit("id\t"), cells(lambda x: F.concat(F.lit("rlen"), x["length"])))
+    lines = by.select(F.explode(F.array(head, F.concat(F.lit("all\t"), cells(lambda x: x["n"].cast("string"))))).alias("value"))
+    return rounded(tables.read_rlens(spark, _text(lines.coalesce(1), "rlens")), 9, "freq")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lengths import normalised, normalised_by_all
-from ..operators.profile import mismatch_long
+from ..operators.profile import damage_summary, mismatch_long
 from ..schema import CELLS, LENGTH_LIMIT, POSITIONS
 from . import damage
 
@@ -57,17 +57,25 @@ def read_bdamage(spark: SparkSession, path: str, kind: str = "f4", split: int =
     return damage.read(spark, path, kind, split).where("nreads > 0")
 
 
-def bdamage_counts(rows: DataFrame) -> DataFrame:
-    """taxid, end, dist, ref, read, n for the first 15 positions of each end."""
+def bdamage_counts(rows: DataFrame, positions: int = POSITIONS) -> DataFrame:
+    """taxid, end, dist, ref, read, n for the first positions of each end."""
     parts = [
         rows.select("taxid", F.lit(end).alias("end"), F.posexplode(c).alias("i", "n")) for end, c in (("5'", "fw"), ("3'", "bw"))
     ]
     cell = F.col("i") % 16
-    return parts[0].unionByName(parts[1]).where(F.col("i") < 16 * POSITIONS).select(
+    return parts[0].unionByName(parts[1]).where(F.col("i") < 16 * positions).select(
         "taxid", "end", F.floor(F.col("i") / 16).cast("int").alias("dist"), F.floor(cell / 4).cast("int").alias("ref"), (cell % 4).cast("int").alias("read"), "n"
     )
 
 
+def bdamage_summary(rows: DataFrame, positions: int) -> DataFrame:
+    """damage_summary of BDAMAGE rows, at the first positions; a record that stores fewer is an error."""
+    short = F.raise_error(F.concat(F.lit(f"{positions} positions asked for, stored are "), F.col("positions").cast("string")))
+    checked = rows.withColumn("fw", F.when(F.col("positions") < positions, short.cast("array<double>")).otherwise(F.col("fw")))
+    n = rows.select("taxid", F.col("nreads").alias("n_reads"))
+    return damage_summary(bdamage_counts(checked, positions), n, "taxid", positions)
+
+
 def read_taxon_stats(spark: SparkSession, path: str) -> DataFrame:
     """taxid, nreads, mean and variance of lengths and of GC shares, with or without a header; text NA is null."""
     p = F.split(F.trim("value"), r"\s+")

@@ -262,3 +262,13 @@ def test_damage_files_by_group(spark, tmp_path):
 
     lines = {r.line: r.text.split("\t") for r in sinks.rate_lines(substitution_rates(counts.where("taxid = 7").drop("taxid"))).collect()}
     assert lines[0][5] == "0.400000" and lines[29][6] == "1.000000"
+
+
+def test_summary_of_more_positions_than_stored(spark, tmp_path):
+    rows = spark.createDataFrame([(3, 2, 4, [float(k % 7) for k in range(64)], [1.0] * 64)], "taxid int, nreads int, positions int, fw array<double>, bw array<double>")
+    got = {r.dist: r for r in tables.bdamage_summary(rows, 4).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    # C at the 5' end of position 0 is read as 4, 5, 6, 0; G at the 3' end as 1 each
+    assert got[0].ct == 0 and got[0].ga == pytest.approx(2 * 0.25)
+    with pytest.raises(Exception, match="5 positions asked for, stored are 4"):
+        tables.bdamage_summary(rows, 5).collect()
