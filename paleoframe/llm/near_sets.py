@@ -11,17 +11,21 @@ Every such pair is reached:
 3. Sets with an equal bucket meet in a group. A pair is a candidate if it passes a bound: the sizes, and the parities of
    shingles in SKETCH classes, which differ in at most as many classes as the sets in shingles. First each set is compared
    with at most one other, an earlier candidate among the WINDOW first sets of a group, which joins most of a large
-   group of near-copies by few links. Then all candidates that are not yet in one component are compared. Every comparison
-   intersects the two whole sets.
+   group of near-copies by few links. Then all candidates that are not yet in one component are compared.
+   Inside a cell a comparison is left out as soon as its two components are one, so that only links of a forest leave a
+   task, however many pairs of a group are similar. Every comparison intersects the two whole sets.
 
-No group is gathered whole. For the first partners a group over DEAL nodes is dealt out to several tasks, each of which
+No group is gathered whole. For the partners a group over DEAL nodes is dealt out to several tasks, each of which
 has the group's first nodes besides its own. Afterwards a group over BLOCK nodes is parted into blocks: a component of
 more nodes has blocks of its own, the others share blocks, and pairs of blocks meet in cells. Blocks of one component
-never meet, so a large group that is one component but for a few nodes is compared with these few only.
+never meet, so a large group that is one component but for a few nodes is compared with these few only. The sets
+themselves move only with nodes that have a candidate, to cells of HELD shingles at most.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +42,10 @@ SKETCH = 512
 WINDOW = 256
 #: Of each set, so many of its least keys tell whether a pair has met before; pairs that they miss are listed twice.
 LEAST_KEYS = 16
-#: Of a group, so many nodes look for their first partners in one task, and so many are one block of open candidates.
+#: Of a group, so many nodes look for their partners in one task, and so many are one block of open candidates.
 DEAL, BLOCK = 8192, 2048
+#: A task that compares open candidates holds sets of so many shingles of one cell, or two sets that have more.
+HELD = 1 << 22
 #: A task that makes sets remembers so many texts and nodes, then begins anew.
 SEEN = 1 << 20
 _SLOT, _BUCKET = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -308,30 +314,75 @@ def cells(placed: DataFrame, block: int | None = None) -> DataFrame:
     return small.unionByName(rows.select("cell", "side", "key", "node", "part"))
 
 
-def _open(groups: DataFrame, parts: DataFrame, marks: DataFrame) -> DataFrame:
-    """src, dst: all candidates in different components."""
+def _columns(t: pa.Table) -> tuple:
+    """What open_pairs takes, of rows with cell, side, key, part, n, sketch and least."""
+    cell, side, key, part, size = (t.column(c).to_numpy() for c in ("cell", "side", "key", "part", "n"))
+    own = t.column("least").combine_chunks()
+    least = np.full((len(key), LEAST_KEYS), np.iinfo(np.int64).max)
+    least[np.arange(LEAST_KEYS) < np.diff(own.offsets.to_numpy())[:, None]] = own.flatten().to_numpy()
+    return key, part.copy(), size, _prints(t.column("sketch")), least, cell, side
+
+
+def bounded(t: pa.Table, most: int | None = None):
+    """The rows of whole cells; a cell of over ``most`` shingles becomes a cell for each two of its pieces."""
+    most = HELD if most is None else most
+    cell, n = t.column("cell").to_numpy(), t.column("n").to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        piece = np.cumsum(n[a:b]) // (most // 2)
+        pieces = np.unique(piece)
+        if piece[-1] < 2 or len(pieces) < 2:
+            yield t.slice(a, b - a)
+            continue
+        for x, y in combinations(pieces.tolist(), 2):
+            some = t.slice(a, b - a).filter(pa.array((piece == x) | (piece == y)))
+            name = mix(cell[a : a + 1].view(np.uint64) + np.array([x], np.uint64) * _SLOT + np.array([y], np.uint64) * _BUCKET)
+            yield some.set_column(some.schema.get_field_index("cell"), "cell", _long(np.repeat(name, some.num_rows)))
+
+
+def links(key, part, n, prints, least, cell, side, own):
+    """Index pairs of similar rows, as few as join what open_pairs gives: ``part`` is changed with each, and rows that are
+    in one part by then are not compared. own: the set of a row."""
+    for i, j in open_pairs(key, part, n, prints, least, cell, side):
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            if part[x] != part[y] and similar(own(x), own(y)):
+                part[part == part[y]] = part[x]
+                yield x, y
+
+
+def _open(groups: DataFrame, parts: DataFrame, marks: DataFrame, own: DataFrame) -> DataFrame:
+    """src, dst: similar nodes in different components, as many as join these in each cell."""
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = groups.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
     placed = common.written(placed.join(mixed, "key", "left_semi"), "near-open")
-    own = placed.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least")).join(marks, "node")
+    least = placed.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least")).join(marks, "node")
 
-    def run(batches):
+    def met(batches):
         for t in whole_groups(batches, 1):
-            cell, side, key, node, part, size = (t.column(c).to_numpy() for c in ("cell", "side", "key", "node", "part", "n"))
-            own = t.column("least").combine_chunks()
-            long = np.diff(own.offsets.to_numpy())
-            least = np.full((len(key), LEAST_KEYS), np.iinfo(np.int64).max)
-            least[np.arange(LEAST_KEYS) < long[:, None]] = own.flatten().to_numpy()
-            for i, j in open_pairs(key, part, size, _prints(t.column("sketch")), least, cell, side):
-                x, y = node[i], node[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["src", "dst"])
-
-    rows = cells(placed).join(own, "node").select("cell", "side", "key", "node", "part", "n", "sketch", "least")
-    pairs = rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "src long, dst long").distinct()
-    pairs = common.written(pairs, "near-pairs")
+            some = np.zeros(t.num_rows, bool)
+            for i, j in open_pairs(*_columns(t)):
+                some[i] = some[j] = True
+            for own in bounded(t.filter(pa.array(some))):
+                yield from own.to_batches()
+
+    def joined(batches):
+        for t in whole_groups(batches, 1):
+            sets, node = t.column("shingles").combine_chunks(), t.column("node").to_numpy()
+            found = list(links(*_columns(t), lambda k, sets=sets: np.frombuffer(sets[k].as_buffer(), np.uint64)))
+            i, j = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["src", "dst"])
+
+    rows = cells(placed).join(least, "node").select("cell", "side", "key", "node", "part", "n", "sketch", "least")
+    rows = rows.repartition(n, "cell").sortWithinPartitions("cell", "node")
+    rows = common.written(rows.mapInArrow(met, rows.schema), "near-cells")
+    # the sets stay in their buckets; only those of rows with a candidate move
+    one = own.join(rows.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    whole = rows.join(one, "node").select(*rows.columns, "shingles").repartition(n, "cell").sortWithinPartitions("cell", "node")
+    out = common.written(whole.mapInArrow(joined, "src long, dst long").distinct(), "near-edges")
     common.drop_written(placed)
-    return pairs
+    common.drop_written(rows)
+    return out
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -345,13 +396,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     marks = _marks(groups, own)
     first = common.written(_first(groups, marks), "near-pairs")
     edges = common.written(_verified(first, own), "near-edges")
-    pairs = _open(groups, connected_components(edges), marks)
-    more = common.written(_verified(pairs, own), "near-edges")
+    more = _open(groups, connected_components(edges), marks, own)
     roots = connected_components(edges.unionByName(more))
     texts = made.groupBy("text_hash").agg(F.min("node").alias("node")).join(roots, "node", "left").select("text_hash", F.coalesce("component", "node").alias("root"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash")).join(texts, "text_hash")
     rows = common.written(rows.select("doc_id", "text_hash", "root"), "near-rows")
-    for table in (made, groups, marks, first, edges, pairs, more):
+    for table in (made, groups, marks, first, edges, more):
         common.drop_written(table)
     return rows
 

@@ -140,3 +140,55 @@ def test_dealt_groups_share_their_first_nodes(spark):
     first = set(sorted(nodes)[: near_sets.WINDOW])
     own = [v for (k, _), v in by.items() if k == 7]
     assert set.union(*own) == set(nodes) and all(first <= v for v in own) and max(map(len, own)) < 2000
+
+
+def copies_of_one(n=80):
+    """Copies of one text, each with two other words: nearly all pairs are similar."""
+    rng = random.Random(7)
+    own = rng.choices(WORDS, k=200)
+    out = []
+    for k in range(n):
+        copy = list(own)
+        for at in rng.sample(range(200), 2):
+            copy[at] = rng.choice(WORDS)
+        out.append((k, " ".join(copy)))
+    return out
+
+
+def test_few_links_leave_a_group(spark, monkeypatch):
+    """Where no partner joins a group before, its links stay far fewer than its similar pairs."""
+    none = lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    monkeypatch.setattr(near_sets, "first_partners", lambda *a: ())
+    monkeypatch.setattr(near_sets, "print_partners", none, raising=False)
+    monkeypatch.setattr(common, "ARROW_ROWS", 50)
+    found, components = [], near_sets.connected_components
+    monkeypatch.setattr(near_sets, "connected_components", lambda edges: found.append(edges.count()) or components(edges))
+    rows = copies_of_one()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()] == kept_by_force(rows) == [0]
+    assert found[0] == 0 and len(rows) - 1 <= found[1] < 8 * len(rows)  # of 3,160 pairs
+
+
+def test_links_join_what_is_similar():
+    """A chain of sets and one alone, each its own component: a link fewer than sets in the chain, and none twice."""
+    own = [np.arange(k, k + 100, dtype=np.uint64) for k in range(0, 60, 2)] + [np.arange(500, 600, dtype=np.uint64)]
+    key, size = np.full(31, 7), np.full(31, 100)
+    prints = np.frombuffer(b"".join(near_sets.sketch(s) for s in own), np.uint64).reshape(31, -1)
+    part = np.arange(31)
+    got = list(near_sets.links(key, part, size, prints, np.full((31, near_sets.LEAST_KEYS), 1 << 62), key, np.zeros(31, int), own.__getitem__))
+    assert len(got) == 29 and all(near_sets.similar(own[i], own[j]) for i, j in got)
+    assert len(set(part[:30])) == 1 and part[30] == 30
+
+
+def test_cells_of_many_shingles_are_parted():
+    """Any two rows of a cell still meet, no piece is over the limit but by one set, and smaller cells stay."""
+    import pyarrow as pa
+
+    n = np.array([5, 5, 30, 5, 5, 12, 1, 4, 4, 300, 2])
+    cell = np.array([1] * 7 + [2, 2] + [3, 3])
+    t = pa.table({"side": np.zeros(11, np.int32), "cell": cell, "n": n, "node": np.arange(11)})
+    got = list(near_sets.bounded(t, 20))
+    met = {(a, b) for x in got for a in x.column("node").to_pylist() for b in x.column("node").to_pylist() if a < b}
+    assert met == {(b, a) for a in range(11) for b in range(a) if cell[a] == cell[b]}
+    assert len({x.column("cell")[0].as_py() for x in got}) == len(got) > 3 and all(x.schema == t.schema for x in got)
+    assert list(near_sets.bounded(t.slice(0, 0), 20)) == []
