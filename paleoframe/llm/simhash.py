@@ -67,10 +67,10 @@ def shingle_hashes(text: bytes | None, words: int):
         yield np.array([xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """Of the UTF-8 text, as an unsigned number."""
+def majority(parts) -> int:
+    """The bits set in over half of the hashes in the arrays ``parts``, as an unsigned number."""
     counts, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, words):
+    for hashes in parts:
         for i in range(0, len(hashes), 1 << 16):
             bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts += bits.sum(0, dtype=np.int64)
@@ -78,6 +78,11 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, words: int = WORDS) -> int:
+    """Of the UTF-8 text, as an unsigned number."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
     common.tune(docs.sparkSession)
@@ -159,8 +164,8 @@ def op6_simhash(spark, sf_dir):
 
 
 def stage_simhash(spark, docs, sf_dir):
-    """One document of each component of near-copies (five-word shingles, similarity 0.8 or more; see near_sets): that
-    with the smallest id, once. Documents are told apart by id and text: of two different texts with one id neither goes
+    """One document of each component of near-copies (five-word shingles, similarity 0.8 or more; near_sets pairs them by
+    their fingerprints in pivot distance tables and finds the rest exactly): that with the smallest id, once. Documents are told apart by id and text: of two different texts with one id neither goes
     because the other is a copy. Rows without an id stay."""
     from .near_sets import first_rows, near_copies, text_hash
 

@@ -180,6 +180,37 @@ def test_links_join_what_is_similar():
     assert len(set(part[:30])) == 1 and part[30] == 30
 
 
+def test_fingerprints_find_near_copies(spark, monkeypatch):
+    """Pivot distance tables alone, without the first sets of groups and the exact rest, pair texts that differ in a word."""
+    monkeypatch.setattr(near_sets, "first_partners", lambda *a: ())
+    monkeypatch.setattr(near_sets, "_open", lambda *a: common.written(spark.createDataFrame([], "src long, dst long"), "t"))
+    rng, rows = random.Random(9), []
+    for k in range(20):
+        own = rng.choices(WORDS, k=300)
+        rows.append((k, " ".join(own)))
+        rows.append((100 + k, " ".join(own[:150] + ["other"] + own[151:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == kept_by_force(rows) == list(range(20))
+
+
+def test_fingerprint_partners_against_all_pairs():
+    """Of the earlier rows of a key that are near by fingerprint and pass the bound the nearest, then the first."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fp = base[rng.integers(0, 6, 300)]
+    for _ in range(7):
+        fp ^= np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
+    key, n = np.sort(rng.integers(0, 9, 300)), rng.choice([100, 110, 140], 300)
+    prints, new = np.zeros((300, near_sets.SKETCH // 64), np.uint64), 40
+    want = []
+    for j in range(new, 300):
+        near = [(int(fp[i] ^ fp[j]).bit_count(), i) for i in range(j) if key[i] == key[j] and 9 * min(n[i], n[j]) >= 4 * (n[i] + n[j])]
+        near = [x for x in near if x[0] <= near_sets.BITS_APART]
+        want += [(min(near)[1], j)] if near else []
+    i, j = near_sets.print_partners(key, n, prints, fp, new)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True), key=lambda x: x[1]) == want and len(want) > 50
+
+
 def test_cells_of_many_shingles_are_parted():
     """Any two rows of a cell still meet, no piece is over the limit but by one set, and smaller cells stay."""
     import pyarrow as pa
