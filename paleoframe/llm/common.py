@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch. Texts of a few kB keep a batch at a few MB; numpy code cuts batches again by size.
 ARROW_ROWS = 1000
 
+#: A small table has a file for so many rows, not one for each of the shuffle's tasks.
+FILE_ROWS = 1 << 15
+
 #: Names of columns that operators add to a user's rows for themselves begin with this.
 OWN = "__pf_"
 
@@ -76,6 +79,11 @@ def written(df: DataFrame, what: str, small: bool = False) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows or fewer and whose last step is a cheap one, in as many partitions as they need."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now; it does so when the driver's JVM collects garbage."""
     gc.collect()

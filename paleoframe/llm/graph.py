@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        after = common.written(small, "edges")
+        # a round has about as many edges as the one before
+        after = common.written(common.few(small, state[0]), "edges")
         common.drop_written(e)
         e = after
     # now every edge leads from a node to its component's smallest

@@ -16,7 +16,9 @@ Every such pair is reached:
    differ in at most as many classes as the sets in shingles.
 4. Similarity does not bound the bits apart, so what is left is compared exactly: all candidates that are not yet in one
    component. Inside a cell a comparison is left out as soon as its two components are one, so that only links of a
-   forest leave a task, however many pairs of a group are similar. Every comparison intersects the two whole sets.
+   forest leave a task, however many pairs of a group are similar. Every comparison intersects the two whole sets. SKETCH
+   classes tell nothing of sets of over 9 / 4 * SKETCH shingles, so candidates have to pass the bound by the parities
+   in classes that grow with the set (`fine`) before their sets move.
 
 No group is gathered whole. For the partners a group over DEAL nodes is dealt out to several tasks, each of which
 has the group's first nodes besides its own. Afterwards a group over BLOCK nodes is parted into blocks: a component of
@@ -41,6 +43,8 @@ from .simhash import SEED, majority, near_pairs, shingle_hashes
 
 WORDS = 5
 SKETCH = 512
+#: A fine sketch has two to four classes a shingle, and so many at most.
+CLASSES = 1 << 20
 #: Near-copies are looked for among fingerprints so many bits apart: 292 of 293 pairs counted differed in 3 to 11.
 BITS_APART = 12
 #: Of a group, so many sets are looked at for the first partners of the others.
@@ -99,11 +103,24 @@ def keys(own: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketch(own: np.ndarray) -> bytes:
-    odd = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+def sketch(own: np.ndarray, classes: int = SKETCH) -> bytes:
+    odd = np.bincount((own % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def fine(own: np.ndarray) -> bytes:
+    """A sketch with classes by the size of the set, a power of two."""
+    return sketch(own, min(CLASSES, max(SKETCH, 1 << (2 * len(own) - 1).bit_length())))
+
+
+def fine_close(a: np.ndarray, b: np.ndarray, n: int) -> bool:
+    """Whether sets of ``n`` shingles together pass the bound by their fine sketches, which similar sets do."""
+    while len(a) != len(b):  # the halves of the longer one, added up, are the sketch with half the classes
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return 9 * int(np.bitwise_count(a ^ b).sum()) <= n
+
+
 def _sets(column) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
 
@@ -194,18 +211,23 @@ def _verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def _marks(groups: DataFrame, own: DataFrame) -> DataFrame:
-    """node, n, sketch, fp: what the bound needs of the nodes in groups, and their fingerprints."""
+    """node, n, sketch, fine, fp: what the bounds need of the nodes in groups, and their fingerprints."""
 
     def run(batches):
         for batch in batches:
             found = _sets(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.binary()), _long([majority([s]) for s in found])],
-                ["node", "n", "sketch", "fp"],
+                [
+                    batch.column(0),
+                    pa.array([len(s) for s in found], pa.int64()),
+                    *(pa.array([f(s) for s in found], pa.binary()) for f in (sketch, fine)),
+                    _long([majority([s]) for s in found]),
+                ],
+                ["node", "n", "sketch", "fine", "fp"],
             )
 
     some = own.join(groups.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "shingles")
-    marked = some.mapInArrow(run, "node long, n long, sketch binary, fp long").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "fp")])
+    marked = some.mapInArrow(run, "node long, n long, sketch binary, fine binary, fp long").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "fine", "fp")])
     return common.written(marked, "near-marks")
 
 
@@ -376,8 +398,8 @@ def _open(groups: DataFrame, parts: DataFrame, marks: DataFrame, own: DataFrame)
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = groups.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
-    placed = common.written(placed.join(mixed, "key", "left_semi"), "near-open")
-    least = placed.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least")).join(marks.drop("fp"), "node")
+    placed = common.written(common.few(placed.join(mixed, "key", "left_semi"), groups.count()), "near-open")
+    least = placed.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST_KEYS).alias("least")).join(marks.select("node", "n", "sketch"), "node")
 
     def met(batches):
         for t in whole_groups(batches, 1):
@@ -387,6 +409,15 @@ def _open(groups: DataFrame, parts: DataFrame, marks: DataFrame, own: DataFrame)
             for own in bounded(t.filter(pa.array(some))):
                 yield from own.to_batches()
 
+    def finer(batches):
+        for t in whole_groups(batches, 1):
+            prints, size, some = _sets(t.column("fine")), t.column("n").to_numpy(), np.zeros(t.num_rows, bool)
+            for i, j in open_pairs(*_columns(t)):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    if not (some[x] and some[y]) and fine_close(prints[x], prints[y], size[x] + size[y]):
+                        some[x] = some[y] = True
+            yield from t.drop_columns(["fine"]).filter(pa.array(some)).to_batches()
+
     def joined(batches):
         for t in whole_groups(batches, 1):
             sets, node = t.column("shingles").combine_chunks(), t.column("node").to_numpy()
@@ -396,11 +427,13 @@ def _open(groups: DataFrame, parts: DataFrame, marks: DataFrame, own: DataFrame)
 
     rows = cells(placed).join(least, "node").select("cell", "side", "key", "node", "part", "n", "sketch", "least")
     rows = rows.repartition(n, "cell").sortWithinPartitions("cell", "node")
-    rows = common.written(rows.mapInArrow(met, rows.schema), "near-cells")
+    rows = rows.mapInArrow(met, schema := rows.schema).join(marks.select("node", "fine"), "node").select(*rows.columns, "fine")
+    rows = common.written(rows.repartition(n, "cell").sortWithinPartitions("cell", "node").mapInArrow(finer, schema), "near-cells")
     # the sets stay in their buckets; only those of rows with a candidate move
     one = own.join(rows.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     whole = rows.join(one, "node").select(*rows.columns, "shingles").repartition(n, "cell").sortWithinPartitions("cell", "node")
-    out = common.written(whole.mapInArrow(joined, "src long, dst long").distinct(), "near-edges")
+    # a cell has fewer links than rows
+    out = common.written(common.few(whole.mapInArrow(joined, "src long, dst long").distinct(), rows.count()), "near-edges")
     common.drop_written(placed)
     common.drop_written(rows)
     return out
@@ -415,10 +448,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     groups = _groups(own)
     common.release(docs.sparkSession)
     marks = _marks(groups, own)
-    first = common.written(_first(groups, marks), "near-pairs")
+    first = common.written(common.few(_first(groups, marks), groups.count()), "near-pairs")
     edges = common.written(_verified(first, own), "near-edges")
-    more = _open(groups, connected_components(edges), marks, own)
-    roots = connected_components(edges.unionByName(more))
+    more = _open(groups, connected_components(common.few(edges, edges.count())), marks, own)
+    both = edges.unionByName(more)
+    roots = connected_components(common.few(both, both.count()))
     texts = made.groupBy("text_hash").agg(F.min("node").alias("node")).join(roots, "node", "left").select("text_hash", F.coalesce("component", "node").alias("root"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash")).join(texts, "text_hash")
     rows = common.written(rows.select("doc_id", "text_hash", "root"), "near-rows")

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from paleoframe.llm import common, near_sets, simhash
+from paleoframe.llm import common, graph, near_sets, simhash
 
 WORDS = [f"w{i}" for i in range(5000)]
 
@@ -223,3 +223,53 @@ def test_cells_of_many_shingles_are_parted():
     assert met == {(b, a) for a in range(11) for b in range(a) if cell[a] == cell[b]}
     assert len({x.column("cell")[0].as_py() for x in got}) == len(got) > 3 and all(x.schema == t.schema for x in got)
     assert list(near_sets.bounded(t.slice(0, 0), 20)) == []
+
+
+def test_fine_sketches_tell_large_sets_apart():
+    """Similar sets pass the bound, also with other numbers of classes; large unlike ones do, by 512 classes, but not by fine ones."""
+    rng = np.random.default_rng(2)
+    prints = lambda s, f: np.frombuffer(f(s), np.uint64)
+    for k in range(600):
+        n = int(rng.choice([3, 250, 260, 1000, 1030, 4000, 4200]))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        b = np.concatenate([a[: n - k % (n // 9 + 1)], rng.integers(0, 1 << 63, k % (n // 7 + 1), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        if near_sets.similar(a, b):
+            assert near_sets.fine_close(prints(a, near_sets.fine), prints(b, near_sets.fine), len(a) + len(b))
+            assert near_sets.fine_close(prints(b, near_sets.fine), prints(a, near_sets.fine), len(a) + len(b))
+        other = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        assert n < 250 or not near_sets.fine_close(prints(a, near_sets.fine), prints(other, near_sets.fine), len(a) + len(other))
+        if n >= 4000:
+            two = np.stack([prints(a, near_sets.sketch), prints(other, near_sets.sketch)])
+            assert near_sets.close(np.array([len(a), len(other)]), two, np.array([0]), np.array([1])).all()
+
+
+def test_sets_of_unlike_large_texts_stay(spark, monkeypatch):
+    """Texts of 2,000 words that share 800 meet in groups; their sets are not moved to be compared."""
+    rng, written, rows = random.Random(11), common.written, {}
+    monkeypatch.setattr(common, "written", lambda df, what, small=False: rows.update({what: rows.get(what, 0) + (out := written(df, what, small)).count()}) or out)
+    line = rng.choices(WORDS, k=800)
+    texts = [(k, " ".join(line + rng.choices(WORDS, k=1200))) for k in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == kept_by_force(texts) == list(range(12))
+    assert rows["near-open"] > 12 and rows["near-cells"] == 0
+
+
+def test_a_round_of_components_writes_few_files(spark, monkeypatch):
+    """A file for some thousands of edges, however many tasks a shuffle has; a smaller number gives more files and the same."""
+    written, files = common.written, []
+    monkeypatch.setattr(common, "written", lambda df, what, small=False: files.append(len((out := written(df, what, small)).inputFiles())) or out)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.createDataFrame([(k, k - 1) for k in range(1, 300) if k % 100], "src long, dst long")
+    try:
+        for k, v in zip(was, ("24", "false"), strict=True):
+            spark.conf.set(k, v)
+        for most, fewest in ((common.FILE_ROWS, 1), (50, 2)):
+            files.clear()
+            monkeypatch.setattr(common, "FILE_ROWS", most)
+            got = {(r.node, r.component) for r in graph.connected_components(common.few(edges, edges.count())).collect()}
+            assert got == {(k, k // 100 * 100) for k in range(300)}
+            assert all(fewest <= f <= 300 // most + 1 for f in files[most < 300 :]) and len(files) > 2
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
