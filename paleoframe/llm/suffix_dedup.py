@@ -322,9 +322,9 @@ def removed_spans(texts: list[bytes], anchors: list[np.ndarray], firsts: list[np
             yield i + int(k), np.stack([start[s], end[s]], 1) - begins[k]
 
 
-def repeats(docs: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, group_contexts: int = GROUP_CONTEXTS, decoded: bool = False) -> tuple[DataFrame, DataFrame]:
     """All rows, doc (the id), sha, n_bytes, whole (the text is an earlier one's); changed texts: doc, sha, kept (the
-    bytes left), n_removed, n_spans, spans."""
+    bytes left, or if ``decoded`` their whole characters as a string), n_removed, n_spans, spans."""
     common.tune(docs.sparkSession)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
@@ -364,15 +364,15 @@ def repeats(docs: DataFrame, group_contexts: int = GROUP_CONTEXTS) -> tuple[Data
                 edges = [0, *spans.reshape(-1).tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 pairs = [{"begin": a, "end": b} for a, b in spans.tolist()]
-                out.append((docs[k], hashlib.sha256(text).hexdigest(), kept, len(text) - len(kept), len(spans), pairs))
+                out.append((docs[k], hashlib.sha256(text).hexdigest(), kept.decode("utf-8", "ignore") if decoded else kept, len(text) - len(kept), len(spans), pairs))
             span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(span)]
+            kinds = [pa.int64(), pa.string(), pa.string() if decoded else pa.binary(), pa.int64(), pa.int64(), pa.list_(span)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
     changed = (
         candidates.join(firsts.hint("merge"), "doc", "left")
         .select("doc", "text", "anchors", "firsts")
-        .mapInArrow(run, "doc long, sha string, kept binary, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>")
+        .mapInArrow(run, f"doc long, sha string, kept {'string' if decoded else 'binary'}, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>")
     )
     return marked, changed
 
@@ -393,15 +393,10 @@ def op2_suffix_dedup(spark, sf_dir):
 def stage_substrings(spark, docs, sf_dir):
     """Documents without their repeated strings; those of which nothing is left go. Characters of which a part is
     removed go entirely."""
-    rows, changed = repeats(docs)
-
-    def clean(batches):
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("sha"), pa.array(texts, pa.string())], ["doc", "sha", "new"])
-
+    # decoded where it is made: a second Python step in the same tasks would need twice as many workers
+    rows, changed = repeats(docs, decoded=True)
     own_doc, own_sha, own_new = (common.OWN + x for x in ("doc", "sha", "new"))
-    new = changed.select("doc", "sha", "kept").mapInArrow(clean, "doc long, sha string, new string")
+    new = changed.select("doc", "sha", F.col("kept").alias("new"))
     gone = rows.where("whole").select("doc", "sha", F.lit("").alias("new"))
     new = new.unionByName(gone).dropDuplicates(["doc", "sha"]).toDF(own_doc, own_sha, own_new)
     keyed = docs.withColumns(

@@ -44,3 +44,12 @@ def test_stages(spark):
     for stage in (rules, near, cut, mixed):
         assert stage.columns == columns
     assert stages["pieces"](spark, mixed, DATA).count() == mixed.count() and names == ["quality_rules", "simhash", "substrings", "mixing", "pieces"]
+
+
+def test_substring_tasks_have_one_python_step(spark):
+    """Each Python step of a task has a worker of its own, which stays; characters of which a part is removed go."""
+    same = "é" * 60
+    docs = spark.createDataFrame([(1, same), (2, "xĩ" + same), (3, "xé" + same + "é end")], "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["substrings"](spark, docs, "")
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "é", 2: "x", 3: "x end"}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
